@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a worker holds as Python objects at one time.
@@ -112,7 +113,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about ``chars`` bytes of text, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     begin, n = 0, batch.num_rows
     while begin < n:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, topk
+from effectlens.llm import bpe, chat, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": chat.op3_chat,
+    "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
     "op9_topk": topk.op9_topk,
 }
