@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, packing, topk
+from effectlens.llm import bpe, chat, packing, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
 }
 
