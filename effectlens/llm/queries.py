@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, packing, quality, topk, toxicity
+from effectlens.llm import bpe, chat, packing, pii, quality, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
