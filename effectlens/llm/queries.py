@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, packing, pii, quality, topk, toxicity
+from effectlens.llm import bpe, chat, packing, pii, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
+    "op2_substrings": substrings.op2_substrings,
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe.op6_bpe,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": topk.op9_topk,
 }
 
-ORACLES: dict[str, str] = {"op3_chat": chat.SQL, "op9_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL}
