@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, packing, pii, quality, substrings, topk, toxicity
+from effectlens.llm import bpe, chat, neardup, packing, pii, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
+    "op10_neardup": neardup.op10_neardup,
 }
 
-ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL, "op10_neardup": neardup.SQL}
