@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, neardup, packing, pii, quality, substrings, topk, toxicity
+from effectlens.llm import bpe, chat, lines, neardup, packing, pii, quality, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_substrings": substrings.op2_substrings,
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
+    "op5_lines": lines.op5_lines,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,

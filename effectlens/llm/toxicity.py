@@ -173,6 +173,18 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     return docs.select(*read).mapInArrow(common.per_slice(rate), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", severity double, rejected boolean")
 
 
+def without_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model doesn't reject."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    held = spark.sparkContext.broadcast(model)  # at most FEATURES weights
+
+    def keep(part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array([held.value.severity(t) < REJECT for t in common.texts(part)], pa.bool_()))
+
+    return docs.mapInArrow(common.per_slice(keep), docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity and verdict of every document, the model fitted on the labelled ones."""
     docs = common.table(spark, sf_dir, "documents")
