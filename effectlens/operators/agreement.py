@@ -18,7 +18,7 @@ from effectlens.functions import numeric
 from effectlens.operators import de
 from effectlens.sources import staging
 
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 KEY = ["target", "feature"]
 
 
@@ -238,16 +238,16 @@ def direction_metrics(e: Evidence) -> DataFrame:
     raw, cover = numeric.ratio(k, n_pred), numeric.ratio(n_pred, n_conf)
     fixed = (raw - q) / d
     empty = F.when(n_pred == 0, 1.0).otherwise(0.0)
-    reach = lambda c, need_q: F.when((n_conf == 0) | (q.isNull() if need_q else F.lit(False)), NAN).otherwise(numeric.ratio(z(F.col(c)), n_conf))
+    reach = lambda c, need_q: F.when((n_conf == 0) | (q.isNull() if need_q else F.lit(False)), F.lit(NAN)).otherwise(numeric.ratio(z(F.col(c)), n_conf))
     return out.select(
         "target", "direction_precision",
         F.when(F.coalesce("n_sig", F.lit(0)) > 0, numeric.ratio(z(F.col("ks")), F.col("n_sig"))).otherwise(0.0).alias("direction_sensitivity"),
         F.when(F.coalesce("n_sig", F.lit(0)) > 0, numeric.ratio(z(F.col("ksu")), F.col("n_sig"))).otherwise(0.0).alias("direction_sensitivity_universe"),
         raw.alias("direction_fidelity_raw"), cover.alias("direction_coverage"),
-        F.when(n_conf == 0, empty).when(q.isNull() | (n_pred == 0), NAN).otherwise(fixed).alias("direction_fidelity"),
+        F.when(n_conf == 0, empty).when(q.isNull() | (n_pred == 0), F.lit(NAN)).otherwise(fixed).alias("direction_fidelity"),
         numeric.ratio(k, n_conf).alias("direction_yield_raw"),
-        F.when((n_conf == 0) | q.isNull(), NAN).otherwise(numeric.ratio(k - q * n_pred, n_conf * d)).alias("direction_yield"),
-        F.when(n_conf == 0, empty).when(q.isNull(), NAN).when(n_pred == 0, 0.0).otherwise(F.least(F.lit(1.0), cover) * fixed).alias("direction_fidelity_yield"),
+        F.when((n_conf == 0) | q.isNull(), F.lit(NAN)).otherwise(numeric.ratio(k - q * n_pred, n_conf * d)).alias("direction_yield"),
+        F.when(n_conf == 0, empty).when(q.isNull(), F.lit(NAN)).when(n_pred == 0, 0.0).otherwise(F.least(F.lit(1.0), cover) * fixed).alias("direction_fidelity_yield"),
         numeric.ratio(k, F.greatest(n_pred, n_conf)).alias("direction_fidelity_yield_raw"),
         reach("kc", True).alias("direction_reach"), reach("kr", False).alias("direction_reach_raw"),
         reach("kcu", True).alias("direction_reach_unbounded"), reach("kru", False).alias("direction_reach_unbounded_raw"),
