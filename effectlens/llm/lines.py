@@ -9,9 +9,9 @@ hashed counters.  Two lines can match only if they share a word among the
 first s - ceil(percent s) + 1 of each, so only these prefixes are shuffled, by
 word.  Within a word's rows, pairs must pass the length filter, the positional
 filter (words left after the shared one) and a parity-bitmap bound on the
-symmetric difference; a line takes up to QUOTA earlier candidates a word, and
-only if none of them proves to match and there were more are all of them
-looked at.  Full word sets are then fetched from the texts and the Jaccard
+symmetric difference.  Of the first QUOTA such pairs of a line and word the two
+with the most alike bitmaps become candidates, and only if none of a line's
+candidates proves to match and there were more are all of them looked at.  Full word sets are then fetched from the texts and the Jaccard
 similarity verified.  Words with over 1/HEAVY of the rows are dealt to SALTS
 tasks, each with all their earlier rows.
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from effectlens.llm import common
 
-PERCENT, BUCKETS, QUOTA, HEAVY, SALTS = 80, 1 << 18, 2, 500, 16
-#: Bits of a map of documents that hold candidate lines; beyond its capacity it lets more through, never less.
-DOC_BITS = 1 << 23
+PERCENT, BUCKETS, QUOTA, HEAVY, SALTS = 80, 1 << 18, 16, 500, 16
+#: Places in a map of documents that hold candidate lines; beyond its capacity it lets more through, never less.
+DOC_SLOTS = 1 << 20
 _CHUNKS = 64
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -71,16 +71,18 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 
 def _lines(texts: list[str], rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lines with words: text index, line number, end in the keys; keys: their distinct words, rarest first."""
-    doc, line, size, words = [], [], [], []
-    for i, t in enumerate(texts):
-        for j, x in enumerate(t.split("\n")):
-            w = common.words_of(x)
-            if w:
-                doc.append(i)
-                line.append(j)
-                size.append(len(w))
-                words += w
-    h = common.mix(common.word_hashes(words))
+    # a mark word stands for each line's end, so that lines need no loop
+    mark = next(m for m in ("\x00", *(f"\x00{i}\x00" for i in range(1000))) if not any(m in t for t in texts))
+    words = common.words_of("".join([t.replace("\n", f" {mark} ") + f" {mark} " for t in texts]))
+    every = common.word_hashes(words)
+    stop = every == common.word_hashes([mark])[0]
+    per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    whole = np.diff(np.r_[-1, np.flatnonzero(stop)]) - 1  # words of each line
+    text_of = np.repeat(np.arange(len(texts)), per_text)
+    number = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    some = whole > 0
+    doc, line, size = text_of[some], number[some], whole[some]
+    h = common.mix(every[~stop])
     key = h & _LOW40
     if rarity is not None:
         key |= rarity[(h >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
@@ -94,7 +96,7 @@ def _lines(texts: list[str], rarity: np.ndarray | None) -> tuple[np.ndarray, np.
         ends.append(np.bincount((part >> np.uint64(48)).astype(np.int64), minlength=min(65536, len(size) - begin)))
         done = upto
     n = np.concatenate(ends) if ends else np.empty(0, np.int64)
-    return np.array(doc, np.int64), np.array(line, np.int64), np.cumsum(n), np.concatenate(out) if out else np.empty(0, np.uint64)
+    return doc, line, np.cumsum(n), np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -138,7 +140,8 @@ def prefixes(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
         bits = (np.bincount(owner * 128 + at, minlength=128 * len(size)) & 1).astype(np.uint8).reshape(-1, 128)
         maps = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
         first = np.zeros(len(size), bool)
-        first[np.unique(node, return_index=True)[1]] = True  # a copy later in this slice needs no rows
+        order = np.lexsort((line, part.column("d").to_numpy(zero_copy_only=False)[doc]))
+        first[order[np.unique(node[order], return_index=True)[1]]] = True  # a copy later in this slice needs no rows
         count = np.where(first & (size >= 4), size - _need(size, percent) + 1, 0)
         of = np.repeat(np.arange(len(size)), count)
         if not len(of):
@@ -152,19 +155,19 @@ def prefixes(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     return keyed.select("d", "text").mapInArrow(common.per_slice(cut), "word bigint, d bigint, place bigint, shape bigint, bits bigint, more bigint")
 
 
-def _possible(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Length, positional and bitmap filters on pairs of rows."""
+def _possible(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and bitmap filters on pairs of rows; and how far the bitmaps are apart."""
     sa, sb, pa_, pb = x["size"][a], x["size"][b], x["pos"][a], x["pos"][b]
     total = sa + sb
     shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
     ok = np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent
     ok &= np.minimum(pa_, pb) + np.minimum(sa - pa_, sb - pb) >= shared
-    ok &= np.bitwise_count(x["bits"][a] ^ x["bits"][b]).astype(np.int64) + np.bitwise_count(x["more"][a] ^ x["more"][b]) <= total - 2 * shared
-    return ok
+    apart = np.bitwise_count(x["bits"][a] ^ x["bits"][b]).astype(np.int64) + np.bitwise_count(x["more"][a] ^ x["more"][b])
+    return ok & (apart <= total - 2 * shared), apart
 
 
-def candidate_pairs(rows: DataFrame, percent: int, quota: int | None) -> DataFrame:
-    """d, line (the later one), ed, eline (an earlier one), over (there were more than the quota)."""
+def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """d, line (the later one), ed, eline (an earlier one), over (there were more than are returned)."""
     spark = rows.sparkSession
     # words with more than 1/HEAVY of the rows: fewer than HEAVY of them
     counts = rows.groupBy("word").count()
@@ -183,28 +186,29 @@ def candidate_pairs(rows: DataFrame, percent: int, quota: int | None) -> DataFra
         n = len(x["word"])
         new = np.r_[True, (x["word"][1:] != x["word"][:-1]) | (x["salt"][1:] != x["salt"][:-1])]
         rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        taken, live, step = np.zeros(n, np.int64), np.flatnonzero((rank > 0) & x["asks"]), 1
-        later, earlier, over = [], [], []
+        live, step = np.flatnonzero((rank > 0) & x["asks"]), 1
+        taken = np.zeros(n, np.int64)
+        best, far = np.full((2, n), -1, np.int64), np.full((2, n), 1 << 30, np.int64)
         while len(live):
             at = live - step
             copy = (x["node"][live] == x["node"][at]) & (x["size"][live] == x["size"][at])
-            ok = ~copy & _possible(at, live, x, percent)
-            later.append(live[ok])
-            earlier.append(at[ok])
-            taken[live[ok]] += 1
+            ok, apart = _possible(at, live, x, percent)
+            ok &= ~copy
+            i, j, d = live[ok], at[ok], apart[ok]
+            taken[i] += 1
+            first = d < far[0, i]
+            second = ~first & (d < far[1, i])
+            best[1, i] = np.where(first, best[0, i], np.where(second, j, best[1, i]))
+            far[1, i] = np.where(first, far[0, i], np.where(second, d, far[1, i]))
+            best[0, i], far[0, i] = np.where(first, j, best[0, i]), np.where(first, d, far[0, i])
             step += 1
-            stay = ~copy & (rank[live] >= step)  # a line whose set has come before needs no match
-            if quota is not None:
-                full = taken[live] >= quota
-                over.append(live[full & stay])
-                stay &= ~full
-            live = live[stay]
-        b, a = np.concatenate(later or [[]]).astype(np.int64), np.concatenate(earlier or [[]]).astype(np.int64)
+            # a line whose set has come before needs no match
+            live = live[~copy & (rank[live] >= step) & (taken[live] < QUOTA)]
+        b = np.r_[np.flatnonzero(best[0] >= 0), np.flatnonzero(best[1] >= 0)]
         if not len(b):
             return None
-        more = np.zeros(n, bool)
-        for o in over:
-            more[o] = True
+        a = np.r_[best[0][best[0] >= 0], best[1][best[1] >= 0]]
+        more = taken > 2
         cols = [x["d"][b], (x["place"][b] >> 32).astype(np.int32), x["d"][a], (x["place"][a] >> 32).astype(np.int32), more[b]]
         return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "over"])
 
@@ -251,21 +255,13 @@ def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     lines = wanted.groupBy("d").agg(F.collect_list("line").alias("lines"))  # the lines of one document
     # a map of fixed size keeps most documents without a wanted line out of the shuffle
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOC_BITS))
-    marks = np.zeros(DOC_BITS // 8, np.uint8)
-    bytes_of = wanted.select(slot("d").alias("s")).distinct().groupBy(F.floor(F.col("s") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(s % 8 as int)))").alias("bits"))
-    for part in bytes_of.groupBy(F.pmod("byte", F.lit(64)).alias("p")).agg(F.collect_list(F.struct("byte", "bits")).alias("x")).toLocalIterator():  # DOC_BITS bits
-        marks[[y["byte"] for y in part["x"]]] = [y["bits"] for y in part["x"]]
-    held = spark.sparkContext.broadcast(marks.tobytes())
-
-    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            s = batch.column("s").to_numpy(zero_copy_only=False)
-            keep = (m[s >> 3] >> (s & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(["d", "text"])
-
-    some = keyed.select("d", "text", slot("d").alias("s")).mapInArrow(marked, "d bigint, text string")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOC_SLOTS)).cast("int")
+    marks = np.full(DOC_SLOTS, ord("0"), np.uint8)
+    marked = lines.select(slot("d").alias("s")).distinct().groupBy(F.pmod("s", F.lit(64))).agg(F.collect_list("s").alias("s"))
+    for part in marked.toLocalIterator():  # at most DOC_SLOTS numbers
+        marks[part["s"]] = ord("1")
+    held = spark.createDataFrame([(bytearray(marks.tobytes()),)], "marks binary")
+    some = keyed.select("d", "text").join(F.broadcast(held), F.substring("marks", slot("d") + 1, F.lit(1)) == F.lit(b"1"), "left_semi")
 
     def read(part: pa.RecordBatch) -> pa.RecordBatch:
         d, line, words = [], [], []
@@ -313,10 +309,10 @@ def removed_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = every.groupBy("node").agg(F.min(F.struct("d", "line")).alias("first"))
     rows = prefixes(keyed, _rarity(keyed), percent)
     rows = common.staged(rows, "prefixes")
-    pairs = common.staged(candidate_pairs(rows, percent, QUOTA).groupBy("d", "line", "ed", "eline").agg(F.max("over").alias("over")), "line-pairs")
+    pairs = common.staged(candidate_pairs(rows, percent).groupBy("d", "line", "ed", "eline").agg(F.max("over").alias("over")), "line-pairs")
     both = lambda p: p.select("d", "line").unionByName(p.select(F.col("ed").alias("d"), F.col("eline").alias("line"))).distinct()
     found = common.staged(_matching(pairs, common.staged(_sets(keyed, both(pairs)), "line-sets"), percent), "matched")
-    # lines that had more candidates than the quota and no match yet: all their candidates
+    # lines that had more candidates and no match yet: all their candidates
     left = common.staged(pairs.filter("over").select("d", "line").distinct().join(found, ["d", "line"], "left_anti"), "left")
     if left.limit(1).count():
         line = F.shiftright("place", 32).cast("int")
