@@ -73,9 +73,9 @@ class Model:
             if len(w) > STEM:
                 s = w[:STEM]
                 stems[s] = stems.get(s, 0) + 1
-        for s, n in stems.items():
+        for s, times in stems.items():
             if s + "*" in words:
-                z[s + "*"] = n
+                z[s + "*"] = times
         score = sum(words[k] * z[k] for k in sorted(z)) * _scale(n)
         return float(sum(1 / (1 + np.exp(-np.clip(score - t, -60, 60))) for t in self.thresholds))
 
