@@ -10,16 +10,17 @@ from effectlens.functions import numeric
 from effectlens.operators import profiles
 
 
-def paired(profile: DataFrame, value: str, control: int) -> DataFrame:
-    """pert, gene, p, r, c: predicted and measured profile, measured control."""
+def paired(profile: DataFrame, value: str, control: int, control_source: str = "real") -> DataFrame:
+    """pert, gene, p, r, c, cp: predicted and measured profile, measured control, and the control of the prediction."""
     side = lambda s, name: profile.filter((F.col("side") == s) & (F.col("pert") != control)).select("pert", "gene", F.col(value).alias(name))
-    ref = profile.filter((F.col("side") == 0) & (F.col("pert") == control)).select("gene", F.col(value).alias("c"))
-    return side(1, "p").join(side(0, "r"), ["pert", "gene"]).join(ref, "gene")
+    ref = lambda s, name: profile.filter((F.col("side") == s) & (F.col("pert") == control)).select("gene", F.col(value).alias(name))
+    both = side(1, "p").join(side(0, "r"), ["pert", "gene"]).join(ref(0, "c"), "gene")
+    return both.join(ref(1, "cp"), "gene") if control_source == "pred" else both.withColumn("cp", F.col("c"))
 
 
-def errors(profile: DataFrame, value: str, control: int) -> DataFrame:
+def errors(profile: DataFrame, value: str, control: int, control_source: str = "real") -> DataFrame:
     """pert, expr_mae, expr_mse, delta_mae, delta_mse, delta_pearson (-1 where undefined), expr_real_mass (sum of expm1)."""
-    d = paired(profile, value, control).select("pert", (F.col("p") - F.col("r")).alias("d"), (F.col("p") - F.col("c")).alias("x"), (F.col("r") - F.col("c")).alias("y"), "r")
+    d = paired(profile, value, control, control_source).select("pert", (F.col("p") - F.col("r")).alias("d"), (F.col("p") - F.col("cp")).alias("x"), (F.col("r") - F.col("c")).alias("y"), "r")
     s, n = F.sum, F.count("*").cast("double")
     x, y = F.col("x"), F.col("y")
     r = numeric.pearson(n, s(x), s(y), s(x * x), s(y * y), s(x * y))

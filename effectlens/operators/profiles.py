@@ -88,7 +88,7 @@ def noise(counts: DataFrame, level: float, seed: int) -> DataFrame:
 
 def halves(libs: DataFrame, seed: int) -> DataFrame:
     """side, pert, cell, half (0 or 1): disjoint halves of floor(n / 2) cells each group, dealt by hash."""
-    w = Window.partitionBy(*GROUP).orderBy(F.xxhash64(F.lit(seed), "cell"), "cell")
+    w = Window.partitionBy(*GROUP).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell").cast("string"))), "cell")
     h = F.floor(F.count("*").over(Window.partitionBy(*GROUP)) / 2)
     ranked = libs.withColumn("r", F.row_number().over(w)).withColumn("h", h).filter((F.col("h") >= 1) & (F.col("r") <= 2 * F.col("h")))
     return ranked.select(*GROUP, "cell", F.when(F.col("r") <= F.col("h"), 0).otherwise(1).alias("half"))

@@ -80,6 +80,13 @@ def cohorts(tidy: DataFrame) -> DataFrame:
     return tidy.groupBy("metric").agg(F.count("*").alias("n_rows"), one(~null & ~nan).alias("n_used"), one(nan).alias("n_nan"), one(null).alias("n_null"))
 
 
+def hierarchy(tidy: DataFrame) -> DataFrame:
+    """context, metric, value from (context, perturbation, metric, value): means of contexts, and their mean as ``overall``."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    per = tidy.groupBy("context", "metric").agg(F.avg(v).alias("value"))
+    return per.unionByName(per.groupBy("metric").agg(F.avg("value").alias("value")).withColumn("context", F.lit("overall")))
+
+
 def ratio_of_sums(tidy: DataFrame, numerator: str, denominator: str, name: str) -> DataFrame:
     """A derived metric over perturbations that are finite in both parts; NaN unless the denominator is positive."""
     fine = tidy.filter(~F.isnan("value") & F.col("value").isNotNull())
