@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that a worker holds as Python objects at one time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
