@@ -14,8 +14,15 @@ bounded number of candidates, however large its group.
 Candidates whose signatures agree too little to reach the threshold (five
 standard errors below it) are dropped.  The rest are confirmed on full shingle
 sets in two rounds: the best earlier candidate of each class first; then every
-candidate pair whose ends lie in different components by then.  So no pair is
-left open, and groups of copies cost a pair each, not all pairs.
+candidate pair whose ends lie in different components by then.  So groups of
+copies cost a pair each, not all pairs.
+
+The forest alone can miss links, so an exact prefix-filter join of all classes
+follows: sets that reach the threshold share one of the first n - need + 1
+shingles in any fixed order.  Shingles that a sample finds in many classes come
+last in it, and their classes are dealt to pairs of blocks; the sample decides
+the order and the salt only, never the result.  Pairs within one component are
+left out; the others are confirmed on full sets, block by block.
 
 Cases: null text counts as empty; an empty set is linked with nothing and its
 document is kept; fewer words than a shingle are one shingle; repeated rows and
@@ -30,6 +37,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +47,9 @@ VALUES, TREES, KEY = 128, 32, 8
 DEPTH, REGION, NEAR = 3, 64, 4
 #: Trees whose rows carry signatures; how far back a row is compared there, and how many of its best partners count in dense regions.
 SIGNED, BACK, BEST = 4, 1024, 8
+#: Classes of a common shingle that share a block, documents that are sampled for common shingles, common shingles at most,
+#: and classes in a block of confirmation.
+BLOCK, SAMPLED, COMMON, CONFIRMED = 500, 4000, 100_000, 1500
 _FACTORS = np.random.default_rng(20240501).integers(1, 2**63, (2, VALUES), dtype=np.int64).astype(np.uint64)
 _FACTORS[0] |= np.uint64(1)
 
@@ -62,11 +73,47 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (common.mix(best) & np.uint64(0xFFFF)).astype(">u2")
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, t (hash of the text), n, node (hash of the shingle set; null if empty), sig."""
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of a sample hold, and about how many texts of all hold each."""
+    share = max(1, docs.count() // SAMPLED)
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    some = docs.select(t.alias("t"), "text").filter(F.pmod("t", F.lit(share)) == 0).dropDuplicates(["t"])
+
+    def spell(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([shingles(x, k) for x in common.texts(part)]).view(np.int64))], ["x"])
+
+    counts = some.select("text").mapInArrow(common.per_slice(spell), "x bigint").groupBy("x").count()
+    rows = counts.filter(F.col("count") >= max(3, BLOCK // share)).orderBy(F.desc("count"), "x").limit(COMMON).collect()
+    x, n = np.array([r["x"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] * share for r in rows], np.int64)
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def times(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """About how many texts hold each shingle; 0 if it isn't a common one."""
+    x, n = known
+    if not len(x):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(x, s), len(x) - 1)
+    return np.where(x[at] == s, n[at], 0)
+
+
+def head(s: np.ndarray, percent: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - need + 1 shingles of a set, common ones last."""
+    return s[np.lexsort((s, times(s, known)))][: len(s) + 1 - -(-percent * len(s) // 100)]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of 256 ranges, 255 for more: two sets share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Broadcast]:
+    """doc_id, t (hash of the text), n, node (hash of the shingle set; null if empty), sig, head, sketch; the common shingles."""
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))  # of bounded size
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
-        n, node, sig = [], [], []
+        n, node, sig, heads, counts = [], [], [], [], []
         for text in common.texts(part):
             s = shingles(text, k)
             n.append(len(s))
@@ -74,10 +121,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 total = common.mix(np.array([common.mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]
             node.append(int(total) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        return pa.record_batch([part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "t", "n", "node", "sig"])
+            heads.append(head(s, percent, known.value).tobytes() if len(s) else None)
+            counts.append(sketch(s) if len(s) else None)
+        cols = [part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(heads, pa.binary()), pa.array(counts, pa.binary())]
+        return pa.record_batch(cols, ["doc_id", "t", "n", "node", "sig", "head", "sketch"])
 
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    return keyed.mapInArrow(common.per_slice(sign), "doc_id bigint, t bigint, n bigint, node bigint, sig binary")
+    return keyed.mapInArrow(common.per_slice(sign), "doc_id bigint, t bigint, n bigint, node bigint, sig binary, head binary, sketch binary"), known
 
 
 def _neighbours(tree: np.ndarray, key: np.ndarray, node: np.ndarray, n: np.ndarray, ratio: float, fresh: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +313,121 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text", "other").mapInArrow(common.per_slice(verify), "a bigint, b bigint")
 
 
+def sharing(classes: DataFrame, known: Broadcast, percent: int) -> DataFrame:
+    """a, b (a < b): all pairs of (node, n, head, label) of two labels that share a shingle of their heads and may reach the threshold."""
+    spark = classes.sparkSession
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for node, n, h, label in zip(*(part.column(c).to_pylist() for c in ("node", "n", "head", "label")), strict=True):
+                    x = np.frombuffer(h, np.uint64)
+                    size = (n << 32) + np.arange(len(x))  # the size of the set, and the place in its order
+                    blocks = -(-times(x, known.value) // BLOCK)
+                    few = blocks <= 1
+                    mine = [(x[few].view(np.int64), size[few], np.full(int(few.sum()), 2))]
+                    for i in np.flatnonzero(~few).tolist():
+                        m = int(blocks[i])
+                        own, other = node % m, np.arange(m)
+                        with np.errstate(over="ignore"):
+                            both = common.mix(x[i] + common.mix((np.minimum(own, other) * m + np.maximum(own, other) + 1).astype(np.uint64)))
+                        mine.append((both.view(np.int64), np.full(m, size[i]), np.where(other == own, 2, np.where(own < other, 0, 1))))
+                    for c, v in zip(cols, (*(np.concatenate(c) for c in zip(*mine, strict=True)), node, label), strict=True):
+                        c.append(v if isinstance(v, np.ndarray) else np.full(sum(len(y[0]) for y in mine), v))
+                if cols[0]:
+                    yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["key", "size", "side", "node", "label"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: list[np.ndarray] | None = None
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(x[0]):
+                continue
+            fresh = len(carry[0]) if carry else 0
+            key, size, side, node, label = both = [np.concatenate(p) for p in zip(carry, x, strict=True)] if carry else x
+            n, place = size >> 32, size & 0xFFFFFFFF
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            before = np.arange(len(key)) - np.repeat(begin, np.diff(np.r_[begin, len(key)]))
+            live, back = np.flatnonzero((before > 0) & (np.arange(len(key)) >= fresh)), 1
+            while len(live):
+                i, j = live, live - back
+                rest = np.minimum(n[i] - place[i], n[j] - place[j])  # what two sets can share from here on
+                ok = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j])) & ((100 + percent) * rest >= percent * (n[i] + n[j]))
+                a, b = node[i[ok]], node[j[ok]]
+                if len(a):
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                back += 1
+                live = live[before[live] >= back]
+            carry = [c[begin[-1] :] for c in both]
+
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = classes.select("node", "n", "head", "label").mapInArrow(deal, "key bigint, size bigint, side bigint, node bigint, label bigint")
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave room for the threshold; none that reaches it is dropped."""
+
+    def fits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                least = np.minimum(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch", "other")))
+                ok = (100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * batch.column("n").to_numpy(zero_copy_only=False)
+                yield batch.select(["a", "b"]).filter(pa.array(ok | (least == 255).any(axis=1)))
+
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), "sketch")
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("other"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch", "other", (F.col("na") + F.col("nb")).alias("n")).mapInArrow(fits, "a bigint, b bigint")
+
+
+def confirmed_in_blocks(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that reach the threshold, of each block as many as connect what all of them do; a block has each text once."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    m = max(8, -(-ends.count() // CONFIRMED))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(m))
+    pairs = pairs.select("a", "b", (F.least(part("a"), part("b")) * m + F.greatest(part("a"), part("b"))).alias("block"))
+    sides = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node").select(F.col("block").alias("of"), "node", "text")
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {x: shingles(t or "", k) for x, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist(), strict=True)}
+        up = {x: x for x in sets}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        kept: tuple[list, list] = ([], [])
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                s, t = sets[a], sets[b]
+                inter = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * inter >= percent * (len(s) + len(t) - inter):
+                    up[x] = y
+                    kept[0].append(a)
+                    kept[1].append(b)
+        return pa.table({"a": pa.array(kept[0], pa.int64()), "b": pa.array(kept[1], pa.int64())})
+
+    return pairs.groupBy("block").cogroup(sides.groupBy("of")).applyInArrow(verify, "a bigint, b bigint")
+
+
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """node, text of the classes (node, t); copies of a text have one hash, and one of them is enough."""
+    text = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    return text.join(needed.hint("shuffle_hash"), "t").select("node", "text").dropDuplicates(["node"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; links have 100 |A & B| >= percent |A | B|."""
     common.ship(docs.sparkSession)
-    signed = common.staged(signatures(docs, k), "signatures")
+    signed, known = signatures(docs, k, percent)
+    signed = common.staged(signed, "signatures")
     filled = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("x"), F.min("sig").alias("sig"))
-    classes = common.staged(classes.select("node", "n", "x.t", F.col("x.doc_id").alias("first"), "sig"), "classes")
+    classes = filled.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("x"), F.min(F.struct("sig", "head", "sketch")).alias("y"))
+    classes = common.staged(classes.select("node", "n", "x.t", F.col("x.doc_id").alias("first"), "y.sig", "y.head", "y.sketch"), "classes")
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5
     pairs = candidates(classes, percent / 100).union(best_partners(classes, least)).distinct()
 
@@ -286,16 +444,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = pairs.join(sig.select(F.col("node").alias("a"), "sig"), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("other")), "b")
     pairs = common.staged(pairs.select("a", "b", "sig", "other").mapInArrow(agreeing, "a bigint, b bigint, estimate double"), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "t"), "node")
-    text = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    # copies of a text have one hash, and one of them is enough
-    texts = common.staged(text.join(needed.hint("shuffle_hash"), "t").select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = common.staged(texts_of(docs, needed), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links = common.staged(confirmed(best, texts, k, percent), "links")
     label = components(links)
     ends = pairs.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     open_pairs = ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(open_pairs, texts, k, percent)
-    label = common.staged(components(links.unionByName(more)), "labels")
+    links = common.staged(links.unionByName(confirmed(open_pairs, texts, k, percent)), "links")
+    label = common.staged(components(links), "labels")
+    # whatever the forest missed, by the exact way
+    labelled = classes.select("node", F.col("n"), "head").join(label, "node", "left").select("node", "n", "head", F.coalesce("label", "node").alias("label"))
+    left = common.staged(possible(sharing(labelled, known, percent), classes, percent), "left")
+    needed = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "t"), "node")
+    found = common.staged(confirmed_in_blocks(left, common.staged(texts_of(docs, needed), "left-texts"), k, percent), "left-links")
+    if found.limit(1).count():
+        label = common.staged(components(links.unionByName(found)), "labels")
     # classes that share an id are one group too, as rows of one id are one document
     named = classes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))

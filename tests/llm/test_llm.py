@@ -399,6 +399,24 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute_groups(rows, 4, 80)
 
 
+def test_links_inside_a_large_family(spark):
+    """Thousands of texts below the threshold: a pair of them that reaches it must be found wherever it sorts."""
+    rows, base = [], prose(400, 60).split(" ")
+    for i in range(1100):
+        r = random.Random(9000 + i)
+        w = list(base)
+        for j in r.sample(range(400), 7):  # any two at about 0.76
+            w[j] = f"new{i}x{j}"
+        rows.append((i, " ".join(w)))
+        if i % 20 == 0:  # a partner at a little over 0.8
+            for j in range(7, 400, 41):
+                w[j] = f"other{i}x{j}"
+            rows.append((5000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter(tuple(r) for r in neardup.near_duplicates(df, 4, 80).collect())
+    assert got == brute_groups(rows, 4, 80)
+
+
 # ---- pipeline
 
 
