@@ -88,8 +88,10 @@ _CUES = {
 }
 _ENDS = frozenset("com org net edu gov io co de fr es uk eu info example".split())
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_DIGITS = re.compile(r"(?<![A-Za-z0-9])[(]?[0-9][0-9 ().\-\[\]]{5,}[0-9](?![A-Za-z0-9])")
-_SPELLED = re.compile(r"(?i)\bdot\b|[\[({]\s?(?:at|dot|\.|@)\s?[\])}]")
+#: Digit groups with up to four marks or spaces between them; they trigger with seven digits, or from four groups on.
+_DIGITS = re.compile(r"[0-9]++(?:[\W_]{1,4}+[0-9]++)*+")
+_SPELLED = re.compile(r"(?i)\bdot\b|[\[({]\s?(?:at|dot|\.|@)\s?[\])}]|\s@\s")
+_GROUP = re.compile(r"[0-9]+")
 _LABELS = ("none", *KINDS)
 
 
@@ -313,11 +315,8 @@ def trained(n: int = 700, epochs: int = 4) -> dict[str, np.ndarray]:
 
 def added_spans(text: str, base: list[Span], weights: dict[str, np.ndarray]) -> list[Span]:
     """What the model finds where no base span is."""
-    triggers = [m.span() for m in _DIGITS.finditer(text) if sum(map(str.isdigit, m[0])) >= 7 or "[" in m[0]]
-    if " dot " in text or "[" in text or "(" in text or "{" in text or " Dot " in text or " DOT " in text:
-        triggers += [m.span() for m in _SPELLED.finditer(text)]
-    if " @ " in text:
-        triggers += [m.span() for m in re.finditer(" @ ", text)]
+    triggers = [m.span() for m in _DIGITS.finditer(text) if sum(map(str.isdigit, m[0])) >= 7 or len(_GROUP.findall(m[0])) >= 4]
+    triggers += [m.span() for m in _SPELLED.finditer(text)]
     taken = sorted((s, e) for _, s, e in base)
     regions: list[list[int]] = []
     for s, e in sorted(triggers):

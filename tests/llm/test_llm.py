@@ -90,6 +90,23 @@ def test_model_finds_written_forms_and_leaves_others_alone():
     assert pii.added_spans(prose(500, 12), [], w) == []
 
 
+def test_added_spans_reach_every_trained_form():
+    w = pii.trained()
+    hit = miss = 0
+    for text, spans in pii._sentences(300, seed=78):
+        for pad in ("", prose(40, 3) + "\n"):
+            base = pii.base_spans(pad + text)
+            got = {(s, e) for _, s, e in base + pii.added_spans(pad + text, base, w)}
+            found = sum(any(a < e + len(pad) and s + len(pad) < b for a, b in got) for _, s, e in spans)
+            hit, miss = hit + found, miss + len(spans) - found
+    assert hit / (hit + miss) > 0.99
+    for text in ("pay 4111/1111/1111/1111 today", "ping 10 . 0 . 0 . 1 now", "server 10\ndot\n0 dot 0 dot 1 now"):
+        base = pii.base_spans(text)
+        assert pii.added_spans(text, base, w), text
+    for text in ("write to jo at corp\tdot\torg", "ip 1 dot 2 dot 3\ndot 4", "mail jo\t@\tcorp.org"):
+        assert pii.added_spans(text, [], w), text
+
+
 def test_pii_query(spark, docs, none):
     got = {(r["doc_id"], r["base_sha256"]) for r in pii.find(docs).collect()}
     assert got == {(i, hashlib.sha256(pii.listed(brute_spans(t or "")).encode()).hexdigest()) for i, t in corpus()}
