@@ -1,12 +1,13 @@
 """Operator 3: chat formatting with prefix-target expansion, DataFrame functions only.
 
 Every assistant turn is an example of its own: all preceding turns are its
-context and only its reply is trainable.  Contexts of one conversation are
-prefixes of one text, so the output keeps each turn's formatted segment once,
-with its offset; the example of an assistant row is the conversation's text
-from 0 to ``example_chars`` with the loss mask [loss_start, loss_end).  A
-conversation of n turns so takes n rows, not n * n / 2; ``materialize`` spells
-the examples out for those who want each one whole.
+context and only its reply is trainable.  ``format_chat`` gives each turn's
+formatted segment with its offset; ``examples`` joins every assistant turn with
+its context and spells the example out, with the loss mask [loss_start,
+loss_end) in it.  Turns after the last reply make one more text, of the whole
+conversation, with nothing to train on.  The digest is read back from these
+texts alone.  Their size is that of all prefixes together, as the method has
+it; the turns of a long conversation are dealt to many tasks.
 
 Template of a turn: ``### role: text</turn>\\n``.  Inside roles and texts
 ``\\``, ``#`` and ``<`` (in roles ``:`` too) become ``\\s``, ``\\h``, ``\\l``
@@ -49,7 +50,7 @@ def _unescape(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """One row a turn: conv_id, block, start, segment, trainable, loss_start, loss_end, example_chars, last."""
+    """One row a turn: conv_id, block, shares (blocks of the conversation), start, segment, trainable, loss_start, loss_end, example_chars, last."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN), _escape(role, _ROLE), F.lit(MIDDLE))
     rows = turns.select(
@@ -66,61 +67,62 @@ def format_chat(turns: DataFrame) -> DataFrame:
     blocks = blocks.select(
         "conv_id", "block",
         F.coalesce(F.sum("size").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-        F.sum("size").over(Window.partitionBy("conv_id")).alias("whole"),
+        F.sum("size").over(Window.partitionBy("conv_id")).alias("whole"), F.count("*").over(Window.partitionBy("conv_id")).alias("shares"),
     )
     same = rows.conv_id.eqNullSafe(blocks.conv_id) & (rows.block == blocks.block)
-    rows = rows.join(blocks, same).select(rows["*"], "base", "whole")
+    rows = rows.join(blocks, same).select(rows["*"], "base", "whole", "shares")
     end = F.col("base") + F.col("upto")
     start = end - size
     mine = F.col("role") == "assistant"
     return rows.select(
-        "conv_id", "block", start.alias("start"), "segment", mine.alias("trainable"),
+        "conv_id", "block", "shares", start.alias("start"), "segment", mine.alias("trainable"),
         F.when(mine, start + F.col("head")).alias("loss_start"), F.when(mine, end - len(CLOSE)).alias("loss_end"),
         F.when(mine, end).alias("example_chars"), (end == F.col("whole")).alias("last"),
     )
 
 
-def materialize(formatted: DataFrame) -> DataFrame:
-    """conv_id, example_chars, text, loss_start, loss_end: every example spelled out.
-
-    Its size is that of all prefixes together, so it is meant for corpora whose
-    conversations have bounded length.
-    """
-    reply = formatted.filter("trainable").select(F.col("conv_id").alias("c"), F.col("start").alias("s"), "example_chars", "loss_start", "loss_end")
-    parts = formatted.select("conv_id", "start", "segment")
-    joined = reply.join(parts, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("start") <= F.col("s")))
+def examples(formatted: DataFrame) -> DataFrame:
+    """conv_id, start (of the last turn), trainable, last, loss_start, loss_end, text: every example, and conversations that end without a reply."""
+    ends = formatted.filter(F.col("trainable") | F.col("last")).select(
+        F.col("conv_id").alias("c"), F.col("start").alias("s"), "trainable", "last", "loss_start", "loss_end",
+        F.pmod(F.xxhash64("start"), F.col("shares")).alias("share"),
+    )
+    parts = formatted.select("conv_id", "start", "segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("of"))
+    joined = ends.join(parts, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("share") == F.col("of")) & (F.col("start") <= F.col("s")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "segment"))), lambda x: x.segment), "")
-    return joined.groupBy("conv_id", "example_chars", "loss_start", "loss_end").agg(whole.alias("text"))
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """role and text of each turn, and the text under its loss mask, from the segments."""
-    body = F.expr(f"substring(segment, {len(OPEN) + 1}, length(segment) - {len(OPEN) + len(CLOSE)})")
-    cut = F.instr(body, ":")  # a role has no colon of its own
-    masked = F.expr("substring(segment, cast(loss_start - start as int) + 1, cast(loss_end - loss_start as int))")
-    return formatted.select(
-        "conv_id", "block", "start", "trainable", "example_chars", "last", F.length("segment").cast("long").alias("chars"),
-        _unescape(F.substring(body, F.lit(1), cut - 1), _ROLE).alias("role"),
-        _unescape(F.substring(body, cut + len(MIDDLE), F.length(body)), _TEXT).alias("text"),
-        F.when(F.col("trainable"), _unescape(masked, _TEXT)).alias("loss"),
+    return joined.groupBy("conv_id", F.col("s").alias("start"), "trainable", "last", "loss_start", "loss_end").agg(whole.alias("text"))
+
+
+def materialize(formatted: DataFrame) -> DataFrame:
+    """conv_id, example_chars, text, loss_start, loss_end of the examples to train on."""
+    return examples(formatted).filter("trainable").select("conv_id", F.length("text").cast("long").alias("example_chars"), "text", "loss_start", "loss_end")
+
+
+def read_back(spelled: DataFrame) -> DataFrame:
+    """The text under each example's loss mask; of whole conversations their number of turns and all that was said."""
+    turns = F.split("text", CLOSE, -1)  # with an empty piece at the end
+    n = F.size(turns) - 1
+
+    def said(turn: Column) -> Column:
+        body = F.substring(turn, F.lit(len(OPEN) + 1), F.length(turn))
+        cut = F.instr(body, ":")  # a role has no colon of its own
+        role, text = F.substring(body, F.lit(1), cut - 1), F.substring(body, cut + len(MIDDLE), F.length(body))
+        return F.concat(_unescape(role, _ROLE), F.lit("\n"), _unescape(text, _TEXT), F.lit("\n"))
+
+    masked = F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_end - loss_start as int))")
+    return spelled.select(
+        "conv_id", "start", F.length("text").cast("long").alias("chars"), F.when(F.col("trainable"), _unescape(masked, _TEXT)).alias("loss"),
+        F.when(F.col("last"), n.cast("long")).alias("n"), F.when(F.col("last"), F.array_join(F.transform(F.slice(turns, 1, n), said), "")).alias("said"),
     )
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """The contract's row for each conversation, read back from the formatted rows."""
-    def joined(order: str, value: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "")
-
-    rows = read_back(formatted).withColumn("said", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
-    parts = rows.groupBy("conv_id", "block").agg(
-        F.count("*").alias("n"), joined("start", "said").alias("said"),
-        joined("start", "loss").alias("loss"), F.coalesce(F.sum("example_chars"), F.lit(0)).alias("examples"),
-        F.max(F.when(F.col("last") & ~F.col("trainable"), F.col("start") + F.col("chars"))).alias("tail"),
+    """The contract's row for each conversation, read back from the spelled-out examples."""
+    loss = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "loss"))), lambda x: x.loss), "")
+    rows = read_back(examples(formatted)).groupBy("conv_id").agg(
+        F.max("n").alias("n_turns"), F.max("said").alias("said"), loss.alias("loss"), F.sum("chars").alias("formatted_chars"),
     )
-    return parts.groupBy("conv_id").agg(
-        F.sum("n").alias("n_turns"), joined("block", "said").alias("said"), joined("block", "loss").alias("loss"),
-        (F.sum("examples") + F.coalesce(F.max("tail"), F.lit(0))).alias("formatted_chars"),
-    ).select(
+    return rows.select(
         "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )

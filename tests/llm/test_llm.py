@@ -166,6 +166,28 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_chat_digest_comes_from_the_examples(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} <of> {c}: x") for c in (1, 2) for t in range(150 - c)]
+    formatted = chat.format_chat(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))
+    sums = formatted.withColumn("example_chars", F.lit(0).cast("long"))  # a digest of texts can't depend on it
+    got = {r["conv_id"]: r for r in chat.digest(sums).collect()}
+    texts = defaultdict(list)
+    for r in chat.materialize(formatted).collect():
+        texts[r["conv_id"]].append((r["text"], r["text"][r["loss_start"] : r["loss_end"]]))
+    for c in (1, 2):
+        turns = [(role, text) for i, _, role, text in rows if i == c]
+        segments = [f"### {role}: {text.replace('<', chr(92) + 'l')}</turn>\n" for role, text in turns]
+        want = ["".join(segments[: t + 1]) for t in range(1, len(turns), 2)]
+        assert sorted(x for x, _ in texts[c]) == sorted(want)
+        assert sorted(x for _, x in texts[c]) == sorted(t.replace("<", "\\l") for r, t in turns if r == "assistant")
+        whole = sum(map(len, want)) + (len("".join(segments)) if turns[-1][0] == "user" else 0)
+        said = "".join(f"{r}\n{t}\n" for r, t in turns)
+        assert (got[c]["n_turns"], got[c]["formatted_chars"]) == (len(turns), whole)
+        assert got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 # ---- 4
 
 
