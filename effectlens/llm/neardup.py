@@ -420,8 +420,8 @@ def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return text.join(needed.hint("shuffle_hash"), "t").select("node", "text").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document; links have 100 |A & B| >= percent |A | B|."""
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t (hash of the text), n, label (of the group; null if it has no shingles), component_id."""
     common.ship(docs.sparkSession)
     signed, known = signatures(docs, k, percent)
     signed = common.staged(signed, "signatures")
@@ -462,19 +462,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # classes that share an id are one group too, as rows of one id are one document
     named = classes.select("node", "first").join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = named.join(least_id, "label").select("node", "component_id")
-    rows = signed.select("doc_id", "n", "node").join(of, "node", "left")
+    of = named.join(least_id, "label").select("node", "label", "component_id")
+    return signed.select("doc_id", "t", "n", "node").join(of, "node", "left").select("doc_id", "t", "n", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; links have 100 |A & B| >= percent |A | B|."""
     component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return grouped(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each group; rows without an id stay."""
-    found = near_duplicates(docs, k, percent)
-    stay = common.staged(found.filter("kept and doc_id is not null").groupBy("doc_id").count(), "kept-ids")
-    out = docs.filter("doc_id is not null").join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if stay.filter("count > 1").limit(1).count():  # rows of one id are one document
-        out = out.dropDuplicates(["doc_id"])
+    """``docs``, all columns, with one row of each group, that of the least id and text hash; rows without an id stay.
+
+    Rows that share an id are rows of their own: only linked ones go, and all but one of those equal in id and text.
+    """
+    found = common.staged(grouped(docs, k, percent).filter("doc_id is not null").groupBy("doc_id", "t", "label").count(), "grouped")
+    first = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("x")).select("x.doc_id", "x.t")
+    stay = common.staged(first.unionByName(found.filter("label is null").select("doc_id", "t")), "kept-rows")
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    of = stay.select(F.col("doc_id").alias("stays"), F.col("t").alias("hash"))
+    out = docs.filter("doc_id is not null").join(of, (F.col("doc_id") == F.col("stays")) & (t == F.col("hash")), "left_semi").select(*docs.columns)
+    if found.filter("count > 1").limit(1).count():
+        least = F.min(F.struct(*docs.columns)).alias("x")
+        out = out.groupBy(F.col("doc_id").alias("stays"), t.alias("hash")).agg(least).select("x.*")
     return out.unionByName(docs.filter("doc_id is null"))
 
 

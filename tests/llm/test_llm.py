@@ -456,6 +456,14 @@ def test_links_inside_a_large_family(spark):
     assert got == brute_groups(rows, 4, 80)
 
 
+def test_rows_of_one_id_go_only_if_linked(spark):
+    near = prose(80, 71).split(" ")
+    near[79] = "changed"
+    rows = [(1, prose(80, 70), "a"), (1, prose(80, 71), "b"), (2, " ".join(near), "c"), (3, prose(80, 72), "d"), (3, prose(80, 72), "e"), (4, prose(80, 70), "f"), (4, prose(80, 73), "g"), (5, "", "h"), (5, prose(80, 74), "i")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted(r["source"] for r in neardup.one_of_each(df).collect()) == ["a", "b", "d", "g", "h", "i"]
+
+
 # ---- pipeline
 
 
