@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How far from an integer a count may lie; cells that a guess of the type looks at.
-INTEGRAL, SAMPLE = 1e-6, 500
+#: How far from an integer a count may lie.
+INTEGRAL = 1e-6
 
 
 def profile_of_values(counts: DataFrame) -> DataFrame:
@@ -38,11 +38,15 @@ def require_type(counts: DataFrame, kind: str, allow_fractional: bool = False) -
             raise ValueError(f"side {r['side']}: log-normalised values are all whole, so these look like counts")
 
 
-def guess_type(libs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """side, kind: lognorm if any of ``sample`` cell totals, drawn by hash, isn't whole."""
-    from pyspark.sql.window import Window
-
-    drawn = libs.withColumn("_r", F.row_number().over(Window.partitionBy("side").orderBy(F.md5(F.col("cell").cast("string")), "cell"))).filter(F.col("_r") <= sample)
+def guess_type(libs: DataFrame, sample: int | None = None) -> DataFrame:
+    """side, kind: lognorm if any cell total isn't whole; of ``sample`` cells a side, drawn by hash, if given."""
+    drawn = libs
+    if sample is not None:
+        sides = [r["side"] for r in libs.select("side").distinct().collect()]  # two at most
+        parts = [libs.filter(F.col("side").eqNullSafe(F.lit(x))).orderBy(F.md5(F.col("cell").cast("string")), "cell").limit(sample) for x in sides]
+        drawn = libs.limit(0)
+        for part in parts:
+            drawn = drawn.unionByName(part)
     off = F.max(F.abs(F.col("lib") - F.rint("lib")))
     return drawn.groupBy("side").agg(F.when(off > INTEGRAL, "lognorm").otherwise("counts").alias("kind"))
 

@@ -107,3 +107,12 @@ def test_batches_keep_to_the_budget():
     assert pieces.batches([(1, 10), (2, 20), (3, 30)], 90) == [[1, 2], [3]]
     with pytest.raises(ValueError):
         pieces.batches([(1, 40)], 90)
+
+
+def test_input_type_looks_at_every_cell(spark):
+    from effectlens.operators import validation
+
+    rows = [(side, c, 10.5 if side and c % 1500 == 0 else 10.0) for side in (0, 1) for c in range(1, 3001)]
+    libs = spark.createDataFrame(rows, "side int, cell bigint, lib double")
+    assert {tuple(r) for r in validation.guess_type(libs).collect()} == {(0, "counts"), (1, "lognorm")}
+    assert {r["side"] for r in validation.guess_type(libs, 5).collect()} == {0, 1}
