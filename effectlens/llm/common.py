@@ -137,6 +137,42 @@ def per_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str =
     return run
 
 
+def per_group(f: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch | None], keys: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow`` over rows sorted by ``keys``: it gets whole groups, and where each begins and ends."""
+
+    def ends(batch: pa.RecordBatch) -> np.ndarray:
+        k = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        return np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cuts = ends(table.to_batches()[0])
+                made = f(table, np.r_[0, cuts], np.r_[cuts, table.num_rows])
+                if made is not None and made.num_rows:
+                    yield made
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = ends(batch)
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in keys):
+                yield from out()
+                held = []
+            if len(cuts):  # the last group may go on
+                held.append(batch.slice(0, int(cuts[-1])))
+                yield from out()
+                held = [batch.slice(int(cuts[-1]))]
+            else:
+                held.append(batch)
+        yield from out()
+
+    return run
+
+
 def texts(part: pa.RecordBatch, text: str = "text") -> list[str]:
     """The texts of a batch; a null text is empty."""
     return [x or "" for x in part.column(text).to_pylist()]

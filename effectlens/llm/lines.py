@@ -4,22 +4,27 @@ A line is the set of its words.  Lines match at a Jaccard similarity of
 ``percent`` or more; a line goes if an earlier line (by document id, then
 place) matches it, both judged on the input.
 
-Words are ordered by rarity: occurrences of all documents, counted in BUCKETS
-hashed counters.  Two lines can match only if they share a word among the
-first s - ceil(percent s) + 1 of each, so only these prefixes are shuffled, by
-word.  Within a word's rows, pairs must pass the length filter, the positional
-filter (words left after the shared one) and a parity-bitmap bound on the
-symmetric difference.  Of the first QUOTA such pairs of a line and word the two
-with the most alike bitmaps become candidates, and only if none of a line's
-candidates proves to match and there were more are all of them looked at.  Full word sets are then fetched from the texts and the Jaccard
-similarity verified.  Words with over 1/HEAVY of the rows are dealt to SALTS
-tasks, each with all their earlier rows.
-
-Cases: null text counts as empty; lines without words are never removed; lines
-of fewer than four words match only lines of the same set; rows that share an
-id, or have none, are separate documents in the order of id and text hash;
-very long lines and texts take the same path; extra columns stay as they are;
-an empty table gives no rows.
+Lines of one set are copies: all but the first go at once, the others of a
+task's share before anything is shuffled, and only the first takes part in the
+join.  Its words are ordered by rarity (occurrences in all documents, counted in
+BUCKETS hashed counters).  Two lines can match only if they share a word among
+the first s - ceil(percent s) + 1 of each, so these prefixes are shuffled, by
+word.  Pairs of a word must pass the length filter, the positional filter
+(words left after the shared one) and a parity-bitmap bound on the symmetric
+difference.  The TRIED most alike candidates of a line are verified on the full
+word sets.  A line whose candidates were more than that and failed is compared
+with all lines of its words: these meet in bounded blocks, with their sets, and
+only the verdict leaves the task, never the pairs.
+
+Words are known by 128-bit hashes and sets by 128-bit sums of these, so that
+chance agreement is below 1e-14 among 1e12 lines; bitmaps, prefix words of 40
+bits and counters only choose candidates.  Numbers travel as columns of bytes
+in binary cells, one cell for each share of the words and task.
+
+Cases: null text counts as empty; lines without words are never removed; rows
+that share an id, or have none, are separate documents in the order of id and
+text hash; very long lines and texts take the same path; columns of any name
+stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,17 +34,68 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.llm import common
 
-PERCENT, BUCKETS, QUOTA, HEAVY, SALTS = 80, 1 << 18, 16, 500, 16
-#: Places in a map of documents that hold candidate lines; beyond its capacity it lets more through, never less.
-DOC_SLOTS = 1 << 20
+PERCENT, BUCKETS = 80, 1 << 18
+#: Passing pairs of a line and word that are looked at, and candidates of a line that are verified, before all of them are.
+QUOTA, TRIED = 16, 3
+#: Lines of a task that copies are sought in before the shuffle, lines of a block, words held by code, and the share of entries from which a word is split.
+HELD, BLOCK, CODES, HEAVY = 100_000, 2048, 400_000, 20_000
+#: Places in a map of lines, documents or words that are asked for; beyond its capacity it lets more through, never less.
+SLOTS = 1 << 22
 _CHUNKS = 64
 _LOW40 = np.uint64((1 << 40) - 1)
 
+#: A line of words: identity, document, number, words, bitmap.
+LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("line", "<i4"), ("size", "<i4"), ("bits", "<u8", (2,))])
+PLACE = np.dtype([("d", "<i8"), ("line", "<i4")])
+#: One word of a line's prefix.
+ENTRY = np.dtype([("word", "<u8"), ("d", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8", (2,)), ("part", "<u8")])
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """Rows as columns of bytes: constant ones vanish when Spark compresses a shuffle."""
+    return rows.view(np.uint8).reshape(len(rows), rows.itemsize).T.tobytes()
+
+
+def unpack(cell: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+class _Codes(dict):
+    """Numbers of words with their hashes, kept while a worker lives."""
+
+    def __init__(self) -> None:
+        self.hashes = np.empty((0, 2), np.uint64)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.fresh.append(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")))
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The codes of ``words``; earlier ones are void once there are too many."""
+        if len(self) > CODES:
+            self.clear()
+            self.hashes = np.empty((0, 2), np.uint64)
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            self.hashes = np.concatenate([self.hashes, np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)])
+            self.fresh.clear()
+        return out
+
+
+_KNOWN = _Codes()
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(46)).astype(np.int64)
+
 
 def _rarity(docs: DataFrame) -> np.ndarray:
     """One byte for each of BUCKETS: the logarithm of how often its words occur."""
@@ -47,12 +103,15 @@ def _rarity(docs: DataFrame) -> np.ndarray:
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        common.require_stable_hash()
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in common.slices(batch):
-                h = common.word_hashes([w for t in common.texts(part) for w in common.words_of(t)])
-                total += np.bincount((common.mix(h) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+                words: list[str] = []
+                for t in common.texts(part):
+                    words += common.words_of(t)
+                n = np.bincount(_KNOWN.of(words))
+                used = np.flatnonzero(n)
+                total += np.bincount(_bucket(_KNOWN.hashes[used, 0]), n[used], BUCKETS).astype(np.int64)
         if total.any():
             parts = total.reshape(_CHUNKS, -1)
             yield pa.record_batch([pa.array(range(_CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * _CHUNKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "salt", "counts"])
@@ -69,199 +128,262 @@ def _rarity(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, 9 * np.log2(out.ravel() + 1)).astype(np.uint8)
 
 
-def _lines(texts: list[str], rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with words: text index, line number, end in the keys; keys: their distinct words, rarest first."""
+def _need(s: np.ndarray, percent: int) -> np.ndarray:
+    """Words that a line of ``s`` shares at least with any match: ceil(percent s)."""
+    return -(-s * percent // 100)
+
+
+def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """Words of a line's prefix; none if only copies can match it."""
+    alone = (s * 100 // percent == s) & (-(-2 * s * percent // (100 + percent)) == s)
+    return np.where(alone, 0, s - _need(s, percent) + 1)
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines with words: text index and line number; of their words: index of the line, code."""
     # a mark word stands for each line's end, so that lines need no loop
     mark = next(m for m in ("\x00", *(f"\x00{i}\x00" for i in range(1000))) if not any(m in t for t in texts))
     words = common.words_of("".join([t.replace("\n", f" {mark} ") + f" {mark} " for t in texts]))
-    every = common.word_hashes(words)
-    stop = every == common.word_hashes([mark])[0]
+    code = _KNOWN.of(words)
+    stop = code == _KNOWN[mark]
     per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    whole = np.diff(np.r_[-1, np.flatnonzero(stop)]) - 1  # words of each line
+    size = np.diff(np.r_[-1, np.flatnonzero(stop)]) - 1  # words of each line
     text_of = np.repeat(np.arange(len(texts)), per_text)
     number = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    some = whole > 0
-    doc, line, size = text_of[some], number[some], whole[some]
-    h = common.mix(every[~stop])
-    key = h & _LOW40
-    if rarity is not None:
-        key |= rarity[(h >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
-    of = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-    out, ends = [], []
-    done = 0
-    for begin in range(0, len(size), 65536):  # the line number takes the 16 bits above a key
-        upto = int(np.searchsorted(of, begin + 65536))
-        part = np.unique(((of[done:upto] - np.uint64(begin)) << np.uint64(48)) | key[done:upto])
-        out.append(part & np.uint64((1 << 48) - 1))
-        ends.append(np.bincount((part >> np.uint64(48)).astype(np.int64), minlength=min(65536, len(size) - begin)))
-        done = upto
-    n = np.concatenate(ends) if ends else np.empty(0, np.int64)
-    return doc, line, np.cumsum(n), np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.r_[np.uint64(0), np.cumsum(x)]
-    return total[ends] - total[np.r_[0, ends[:-1]]]
+    some = size > 0
+    return text_of[some], number[some], np.repeat(np.arange(int(some.sum())), size[some]), code[~stop]
+
+
+def line_rows(texts: list[str], key: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """LINE rows of all lines with words, and their prefixes' words end to end."""
+    doc, line, of, code = _cut(texts)
+    used = np.flatnonzero(np.bincount(code))
+    h = _KNOWN.hashes[used]
+    order = np.lexsort((h[:, 0], rarity[_bucket(h[:, 0])]))
+    rank = np.empty(len(_KNOWN), np.int64)
+    rank[used[order]] = np.arange(len(used))
+    distinct = np.unique((of << 32) | rank[code])
+    owner, at = distinct >> 32, distinct & 0xFFFFFFFF
+    h = h[order]
+    out = np.zeros(len(doc), LINE)
+    out["d"], out["line"] = key[doc], line
+    size = np.bincount(owner, minlength=len(doc))
+    out["size"] = size
+    begin = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        for name, x in (("a", h[:, 0]), ("b", h[:, 1])):
+            sums = np.add.reduceat(common.mix(x)[at], begin) if len(doc) else np.empty(0, np.uint64)
+            out[name] = common.mix(sums + size.astype(np.uint64))
+    # parity of the words in each of 128 places
+    slot = (common.mix(h[:, 0]) >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(owner * 128 + slot[at], minlength=128 * len(doc)) & 1).astype(np.uint8).reshape(-1, 128)
+    out["bits"] = np.packbits(odd, axis=1).view("<u8")
+    count = _prefix(size, percent)
+    first = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return out, h[at[first], 0] & _LOW40
+
+
+def firsts(rows: np.ndarray, words: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first line of each set with its prefix; and the places of the others."""
+    count = _prefix(rows["size"].astype(np.int64), percent)
+    begin = np.cumsum(count) - count
+    order = np.lexsort((rows["line"], rows["d"], rows["b"], rows["a"]))
+    s = rows[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
+    kept = order[new]
+    n = count[kept]
+    at = np.repeat(begin[kept], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    gone = np.zeros(int((~new).sum()), PLACE)
+    gone["d"], gone["line"] = s["d"][~new], s["line"][~new]
+    return rows[kept], words[at], gone
+
+
+def distinct_lines(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """lines, words: the first line of each set; gone: places of copies.  Cells of many each."""
+    spark = keyed.sparkSession
+    held = spark.sparkContext.broadcast(rarity)  # BUCKETS bytes
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema, names = "share int, lines binary, words binary, gone binary", ["share", "lines", "words", "gone"]
+
+    def row(share: int, lines: np.ndarray, words: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([share], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in (lines, words, gone))], names)
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, words, n, turn = [], [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, words, n, turn
+            if rows:
+                first, prefix, gone = firsts(np.concatenate(rows), np.concatenate(words), percent)
+                share = (first["a"] % np.uint64(4 * parts)).astype(np.int64)
+                order = np.argsort(share, kind="stable")
+                count = _prefix(first["size"].astype(np.int64), percent)
+                begin = np.cumsum(count) - count
+                for mine in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+                    k = count[mine]
+                    at = np.repeat(begin[mine], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                    yield row(int(share[mine[0]]), first[mine], prefix[at], gone[:0])
+                if len(gone):
+                    turn += 1
+                    yield row(turn % (4 * parts), first[:0], prefix[:0], gone)
+            rows, words, n = [], [], 0
 
+        for batch in batches:
+            for part in common.slices(batch):
+                r, w = line_rows(common.texts(part), part.column("d").to_numpy(zero_copy_only=False), held.value, percent)
+                rows.append(r)
+                words.append(w)
+                n += len(r) + len(w) // 8
+                if n >= HELD:
+                    yield from flush()
+        yield from flush()
+
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, words = [np.empty(0, LINE)], [np.empty(0, np.uint64)]
+        for batch in batches:
+            for x, w, gone in zip(*(batch.column(c).to_pylist() for c in names[1:]), strict=True):
+                rows.append(unpack(x, LINE))
+                words.append(unpack(w, np.dtype("<u8")))
+                if gone:
+                    yield row(0, rows[0], words[0], unpack(gone, PLACE))
+        first, prefix, gone = firsts(np.concatenate(rows), np.concatenate(words), percent)
+        count = np.cumsum(_prefix(first["size"].astype(np.int64), percent))
+        for at in range(0, len(first), HELD // 4):
+            upto = min(len(first), at + HELD // 4)
+            yield row(0, first[at:upto], prefix[count[at - 1] if at else 0 : count[upto - 1]], gone[:0])
+        if len(gone):
+            yield row(0, first[:0], prefix[:0], gone)
+
+    return keyed.select("d", "text").mapInArrow(read, schema).repartition(parts, "share").mapInArrow(settle, schema).drop("share")
+
+
+def _entries(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
+    """The ENTRY rows of each cell of ``lines`` and ``words``; part is the next word, by which a heavy word is split."""
+    for x, w in zip(batch.column("lines").to_pylist(), batch.column("words").to_pylist(), strict=True):
+        rows, words = unpack(x, LINE), unpack(w, np.dtype("<u8"))
+        n = _prefix(rows["size"].astype(np.int64), percent)
+        of = np.repeat(np.arange(len(rows)), n)
+        out = np.zeros(len(of), ENTRY)
+        for c in ("d", "line", "size", "bits"):
+            out[c] = rows[c][of]
+        out["word"], out["pos"] = words, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        out["part"][:-1] = words[1:]
+        yield out
+
+
+def heavy_words(distinct: DataFrame, percent: int) -> np.ndarray:
+    """Sorted words with a share of all entries that one task should not hold: of bounded number."""
+
+    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in _entries(batch, percent):
+                word, n = np.unique(e["word"], return_counts=True)
+                often = n > max(64, len(e) // HEAVY)
+                yield pa.record_batch([pa.array(word[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
 
-def _need(s: np.ndarray, percent: int) -> np.ndarray:
-    """Words that a line of ``s`` shares at least with any match: ceil(percent s)."""
-    return -(-s * percent // 100)
+    counts = distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(local, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["word"] for r in counts.filter(F.col("n") > 20 * BLOCK).orderBy(F.desc("n")).limit(100_000).collect()], np.int64).view(np.uint64))
 
 
-def line_sets(keyed: DataFrame) -> DataFrame:
-    """d, line, node (hash of the word set), size: every line with words."""
-
-    def cut(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        doc, line, ends, keys = _lines(common.texts(part), None)
-        if not len(doc):
-            return None
-        size = np.diff(np.r_[0, ends])
-        node = common.mix(_sums(common.mix(keys), ends) + size.astype(np.uint64)).view(np.int64)
-        return pa.record_batch([part.column("d").take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(node), pa.array(size.astype(np.int32))], ["d", "line", "node", "size"])
-
-    return keyed.select("d", "text").mapInArrow(common.per_slice(cut), "d bigint, line int, node bigint, size int")
-
-
-def prefixes(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """word, d, place (line, set hash), shape (size, position), bits, more: a row for each word of each prefix."""
-    held = keyed.sparkSession.sparkContext.broadcast(rarity)  # BUCKETS bytes
-
-    def cut(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        doc, line, ends, keys = _lines(common.texts(part), held.value)
-        if not len(doc):
-            return None
-        size = np.diff(np.r_[0, ends])
-        plain = keys & _LOW40
-        node = common.mix(_sums(common.mix(plain), ends) + size.astype(np.uint64))
-        # parity of the words in each of 128 places
-        at = (common.mix(plain + np.uint64(1)) >> np.uint64(57)).astype(np.int64)
-        owner = np.repeat(np.arange(len(size)), size)
-        bits = (np.bincount(owner * 128 + at, minlength=128 * len(size)) & 1).astype(np.uint8).reshape(-1, 128)
-        maps = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-        first = np.zeros(len(size), bool)
-        order = np.lexsort((line, part.column("d").to_numpy(zero_copy_only=False)[doc]))
-        first[order[np.unique(node[order], return_index=True)[1]]] = True  # a copy later in this slice needs no rows
-        count = np.where(first & (size >= 4), size - _need(size, percent) + 1, 0)
-        of = np.repeat(np.arange(len(size)), count)
-        if not len(of):
-            return None
-        pos = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        word = plain[np.r_[0, ends[:-1]][of] + pos].view(np.int64)
-        place = (line[of] << 32) | (node[of] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        shape = (size[of] << 32) | pos
-        return pa.record_batch([pa.array(word), part.column("d").take(pa.array(doc[of])), pa.array(place), pa.array(shape), pa.array(maps[of, 0]), pa.array(maps[of, 1])], ["word", "d", "place", "shape", "bits", "more"])
-
-    return keyed.select("d", "text").mapInArrow(common.per_slice(cut), "word bigint, d bigint, place bigint, shape bigint, bits bigint, more bigint")
-
-
-def _possible(a: np.ndarray, b: np.ndarray, x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Length, positional and bitmap filters on pairs of rows; and how far the bitmaps are apart."""
-    sa, sb, pa_, pb = x["size"][a], x["size"][b], x["pos"][a], x["pos"][b]
+def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length, positional and bitmap filters on pairs of entries; and how many words they may differ in beyond what bitmaps show."""
+    sa, sb, pa_, pb = (x.astype(np.int64) for x in (a["size"], b["size"], a["pos"], b["pos"]))
     total = sa + sb
     shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
     ok = np.minimum(sa, sb) * 100 >= np.maximum(sa, sb) * percent
     ok &= np.minimum(pa_, pb) + np.minimum(sa - pa_, sb - pb) >= shared
-    apart = np.bitwise_count(x["bits"][a] ^ x["bits"][b]).astype(np.int64) + np.bitwise_count(x["more"][a] ^ x["more"][b])
-    return ok & (apart <= total - 2 * shared), apart
-
-
-def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """d, line (the later one), ed, eline (an earlier one), over (there were more than are returned)."""
-    spark = rows.sparkSession
-    # words with more than 1/HEAVY of the rows: fewer than HEAVY of them
-    counts = rows.groupBy("word").count()
-    least = max(20_000, rows.count() // HEAVY)
-    heavy = [r[0] for r in counts.filter(F.col("count") > least).select("word").collect()]
-    if heavy:
-        hot = F.col("word").isin(heavy)
-        own = F.pmod(F.xxhash64("d", "place"), F.lit(SALTS)).cast("int")
-        dealt = rows.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).withColumn("asks", ~hot | (F.col("salt") == own))
-    else:
-        dealt = rows.withColumn("salt", F.lit(0)).withColumn("asks", F.lit(True))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "word", "salt").sortWithinPartitions("word", "salt", "d", "place")
-
-    def search(x: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        n = len(x["word"])
-        new = np.r_[True, (x["word"][1:] != x["word"][:-1]) | (x["salt"][1:] != x["salt"][:-1])]
+    spare = total - 2 * shared - np.bitwise_count(a["bits"] ^ b["bits"]).sum(axis=1).astype(np.int64)
+    return ok & (spare >= 0), spare
+
+
+def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
+    """d, line (the later one), ed, eline (an earlier one), spare, over (there may be more than are returned)."""
+    spark = distinct.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heavy = spark.sparkContext.broadcast(heavy_words(distinct, percent))  # at most 100,000 numbers
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in _entries(batch, percent):
+                split = np.isin(e["word"], heavy.value)
+                e["part"] = np.where(split, e["part"] | (np.uint64(1) << np.uint64(63)), 0)
+                share = (common.mix(e["word"] ^ common.mix(e["part"])) % np.uint64(4 * parts)).astype(np.int64)
+                order = np.argsort(share, kind="stable")
+                e, share = e[order], share[order]
+                cuts = np.flatnonzero(np.diff(share)) + 1
+                if len(e):
+                    yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([pack(x) for x in np.split(e, cuts)], pa.binary())], ["share", "entries"])
+
+    def search(e: np.ndarray) -> pa.RecordBatch:
+        # words of one line only are no longer needed
+        order = np.argsort(e["word"], kind="stable")
+        word = e["word"][order]
+        again = np.zeros(len(e), bool)
+        again[1:] = word[1:] == word[:-1]
+        e = e[order[again | np.r_[again[1:], False]]]
+        e = e[np.lexsort((e["line"], e["d"], e["part"], e["word"]))]
+        n = len(e)
+        new = np.ones(n, bool)
+        new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["part"][1:] != e["part"][:-1])
         rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        live, step = np.flatnonzero((rank > 0) & x["asks"]), 1
+        live, step = np.flatnonzero(rank > 0), 1
         taken = np.zeros(n, np.int64)
-        best, far = np.full((2, n), -1, np.int64), np.full((2, n), 1 << 30, np.int64)
+        found: list[np.ndarray] = []
         while len(live):
-            at = live - step
-            copy = (x["node"][live] == x["node"][at]) & (x["size"][live] == x["size"][at])
-            ok, apart = _possible(at, live, x, percent)
-            ok &= ~copy
-            i, j, d = live[ok], at[ok], apart[ok]
+            ok, spare = _possible(e[live - step], e[live], percent)
+            i = live[ok]
             taken[i] += 1
-            first = d < far[0, i]
-            second = ~first & (d < far[1, i])
-            best[1, i] = np.where(first, best[0, i], np.where(second, j, best[1, i]))
-            far[1, i] = np.where(first, far[0, i], np.where(second, d, far[1, i]))
-            best[0, i], far[0, i] = np.where(first, j, best[0, i]), np.where(first, d, far[0, i])
+            found.append(np.stack([i, i - step, spare[ok]]))
             step += 1
-            # a line whose set has come before needs no match
-            live = live[~copy & (rank[live] >= step) & (taken[live] < QUOTA)]
-        b = np.r_[np.flatnonzero(best[0] >= 0), np.flatnonzero(best[1] >= 0)]
-        if not len(b):
-            return None
-        a = np.r_[best[0][best[0] >= 0], best[1][best[1] >= 0]]
-        more = taken > 2
-        cols = [x["d"][b], (x["place"][b] >> 32).astype(np.int32), x["d"][a], (x["place"][a] >> 32).astype(np.int32), more[b]]
-        return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "over"])
+            live = live[(rank[live] >= step) & (taken[live] < QUOTA)]
+        i, j, spare = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        # the most alike ones of each line and word
+        order = np.lexsort((j, -spare, i))
+        i, j, spare = i[order], j[order], spare[order]
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0)) if len(i) else i
+        i, j, spare = (x[place < TRIED] for x in (i, j, spare))
+        over = taken[i] > TRIED
+        cols = [e["d"][i], e["line"][i], e["d"][j], e["line"][j], spare.astype(np.int32), over]
+        # an entry of a split word may have partners in other parts
+        alone = np.flatnonzero(e["part"] > 0)
+        cols = [np.concatenate([x, y]) for x, y in zip(cols, (e["d"][alone], e["line"][alone], e["d"][alone], e["line"][alone], np.full(len(alone), -1, np.int32), np.ones(len(alone), bool)), strict=True)]
+        return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "spare", "over"])
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "salt", "d", "place", "shape", "bits", "more", "asks"]
-        held: list[list[np.ndarray]] = []
-
-        def flush(final: bool) -> pa.RecordBatch | None:
-            nonlocal held
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            x = dict(zip(names, cols, strict=True))
-            n = len(x["word"])
-            if not final:  # the last group may go on
-                same = (x["word"] == x["word"][-1]) & (x["salt"] == x["salt"][-1])
-                n = int(np.argmax(same))
-                held = [[c[n:] for c in cols]]
-            if n == 0:
-                return None
-            x = {k: v[:n] for k, v in x.items()}
-            x |= {"size": x["shape"] >> 32, "pos": x["shape"] & 0xFFFFFFFF, "node": x["place"] & 0xFFFFFFFF}
-            x["bits"], x["more"] = x["bits"].view(np.uint64), x["more"].view(np.uint64)
-            return search(x)
-
-        rows_held = 0
+        cells = [unpack(x, ENTRY) for batch in batches for x in batch.column("entries").to_pylist()]
+        if cells:
+            yield search(np.concatenate(cells))
+
+    dealt = distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(deal, "share int, entries binary")
+    return dealt.repartition(4 * parts, "share").mapInArrow(walk, "d bigint, line int, ed bigint, eline int, spare int, over boolean")
+
+
+def _marks(asked: DataFrame, *columns: str) -> np.ndarray:
+    """A map of SLOTS bits in which those of the rows are set."""
+    bits = np.zeros(SLOTS, bool)
+    slots = asked.select(F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int").alias("s")).distinct()
+    for part in slots.groupBy(F.pmod("s", F.lit(64))).agg(F.collect_list("s").alias("s")).toLocalIterator():  # at most SLOTS numbers
+        bits[part["s"]] = True
+    return np.packbits(bits)
+
+
+def _only_marked(rows: DataFrame, marks: np.ndarray, *columns: str) -> DataFrame:
+    """The rows whose bit is set: all that were asked for, and some more."""
+    held = rows.sparkSession.sparkContext.broadcast(marks)  # SLOTS / 8 bytes
+    names = rows.columns
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-                rows_held += batch.num_rows
-                if rows_held >= 300_000:
-                    out = flush(False)
-                    rows_held = 0
-                    if out is not None:
-                        yield out
-        if held:
-            out = flush(True)
-            if out is not None:
-                yield out
-
-    return dealt.select("word", "salt", "d", "place", "shape", "bits", "more", "asks").mapInArrow(walk, "d bigint, line int, ed bigint, eline int, over boolean")
-
-
-def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, line, words (hashes) of the lines in ``wanted`` (d, line), read from the texts."""
-    spark = keyed.sparkSession
+            s = batch.column("_slot").to_numpy(zero_copy_only=False)
+            yield batch.select(names).filter(pa.array((held.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
+
+    return rows.withColumn("_slot", F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")).mapInArrow(keep, rows.schema)
+
+
+def line_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d, line, words (sorted hashes) of the lines in ``wanted`` (d, line), read from the texts."""
     lines = wanted.groupBy("d").agg(F.collect_list("line").alias("lines"))  # the lines of one document
-    # a map of fixed size keeps most documents without a wanted line out of the shuffle
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(DOC_SLOTS)).cast("int")
-    marks = np.full(DOC_SLOTS, ord("0"), np.uint8)
-    marked = lines.select(slot("d").alias("s")).distinct().groupBy(F.pmod("s", F.lit(64))).agg(F.collect_list("s").alias("s"))
-    for part in marked.toLocalIterator():  # at most DOC_SLOTS numbers
-        marks[part["s"]] = ord("1")
-    held = spark.createDataFrame([(bytearray(marks.tobytes()),)], "marks binary")
-    some = keyed.select("d", "text").join(F.broadcast(held), F.substring("marks", slot("d") + 1, F.lit(1)) == F.lit(b"1"), "left_semi")
 
     def read(part: pa.RecordBatch) -> pa.RecordBatch:
         d, line, words = [], [], []
@@ -270,93 +392,162 @@ def _sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             for j in wish:
                 d.append(key)
                 line.append(j)
-                words.append(np.unique(common.word_hashes(common.words_of(all_lines[j]))).tobytes())
+                code = np.unique(_KNOWN.of(common.words_of(all_lines[j])))
+                words.append(np.sort(_KNOWN.hashes[code, 0]).tobytes())
         return pa.record_batch([pa.array(d, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], ["d", "line", "words"])
 
+    some = _only_marked(keyed.select("d", "text"), _marks(lines, "d"), "d")
     return some.join(lines.hint("shuffle_hash"), "d").mapInArrow(common.per_slice(read), "d bigint, line int, words binary")
 
 
-def _matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """d, line of the later line of each pair that reaches the threshold."""
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("words").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                inter = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * inter >= percent * (len(a) + len(b) - inter))
+                both = np.sort(np.frombuffer(x + y, np.uint64))
+                inter = int(np.count_nonzero(both[1:] == both[:-1]))
+                ok.append(100 * inter >= percent * (len(both) - inter))
             yield batch.select(["d", "line"]).filter(pa.array(ok, pa.bool_()))
 
     other = sets.select(F.col("d").alias("ed"), F.col("line").alias("eline"), F.col("words").alias("others"))
     return pairs.join(sets, ["d", "line"]).join(other, ["ed", "eline"]).select("d", "line", "words", "others").mapInArrow(verify, "d bigint, line int").distinct()
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with d: the id, or a place in the order of id and text where ids repeat or are missing."""
-    n, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if n == known == distinct:
-        return docs.withColumn("d", F.col("doc_id").cast("long"))
-    spark = docs.sparkSession
-    ordered = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.col("doc_id").asc_nulls_first(), "_t")
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return common.staged(spark.createDataFrame(numbered, ordered.schema.add("d", "long")).drop("_t"), "numbered")
+def _earlier(e: np.ndarray, i: int) -> np.ndarray:
+    return (e["d"] < e["d"][i]) | ((e["d"] == e["d"][i]) & (e["line"] < e["line"][i]))
+
+
+def against_all(distinct: DataFrame, keyed: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """d, line: the lines of ``left`` that any earlier line matches."""
+    spark = keyed.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = ["word", "d", "line", "size", "pos", "x", "y"]
+    kinds = "word bigint, d bigint, line int, size int, pos int, x bigint, y bigint"
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for e in _entries(batch, percent):
+                cols = [e["word"].view(np.int64) if c == "word" else e["bits"][:, "xy".index(c)].view(np.int64) if c in "xy" else e[c] for c in names]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+
+    entries = distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(spell, kinds)
+    mine = common.staged(_only_marked(entries, _marks(left, "d", "line"), "d", "line").join(left, ["d", "line"], "left_semi"), "left-entries")
+    near = _only_marked(entries, _marks(mine, "word"), "word").join(mine.select("word").distinct(), "word", "left_semi")
+    near = common.staged(near.join(left.select("d", "line", F.lit(True).alias("asks")), ["d", "line"], "left").select(*names, F.coalesce("asks", F.lit(False)).alias("asks")), "near-entries")
+    # a word's lines meet in pairs of blocks of about BLOCK lines
+    blocks = near.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
+    dealt = near.join(blocks, "word").withColumn("own", F.pmod(F.xxhash64("d", "line"), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    dealt = dealt.select(*names, "asks", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    group = ["word", "lo", "hi"]
+
+    def meet(table: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch | None:
+        """The lines of each group that some pair of an asking line may need."""
+        col = {c: table.column(c).to_numpy() for c in table.column_names}
+        e = np.zeros(table.num_rows, ENTRY)
+        for c in ("d", "line", "size", "pos"):
+            e[c] = col[c]
+        e["bits"] = np.stack([col["x"], col["y"]], axis=1).view(np.uint64)
+        used = np.zeros(len(e), bool)
+        for b, t in zip(begin.tolist(), end.tolist(), strict=True):
+            part = e[b:t]
+            for i in np.flatnonzero(col["asks"][b:t]).tolist():
+                ok = _earlier(part, i)
+                if col["lo"][b] != col["hi"][b]:
+                    ok &= col["own"][b:t] != col["own"][b + i]
+                at = np.flatnonzero(ok)
+                at = at[_possible(part[at], part[np.full(len(at), i)], percent)[0]]
+                if len(at):
+                    used[b + at] = True
+                    used[b + i] = True
+        return pa.record_batch([pa.array(col[c][used]) for c in (*group, "d", "line", "asks", "own")], [*group, "d", "line", "asks", "own"])
+
+    needed = dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(common.per_group(meet, group), "word bigint, lo bigint, hi bigint, d bigint, line int, asks boolean, own bigint")
+    needed = common.staged(needed, "needed-lines")
+    sets = common.staged(line_sets(keyed, needed.select("d", "line").distinct()), "needed-sets")
+
+    def verify(table: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch | None:
+        col = {c: table.column(c).to_numpy() for c in ("d", "line", "asks")}
+        hit = np.zeros(table.num_rows, bool)
+        cells = table.column("words").to_pylist()
+        for b, t in zip(begin.tolist(), end.tolist(), strict=True):
+            size = np.array([len(x) // 8 for x in cells[b:t]])
+            every = np.unique(np.frombuffer(b"".join(cells[b:t]), np.uint64), return_inverse=True)[1]
+            starts = np.cumsum(size) - size
+            seen = np.zeros(len(every) + 1, np.int64)
+            part = {"d": col["d"][b:t], "line": col["line"][b:t]}
+            for i in np.flatnonzero(col["asks"][b:t]).tolist():
+                own = every[starts[i] : starts[i] + size[i]]
+                seen[own] = 1
+                inter = np.add.reduceat(seen[every], starts)
+                seen[own] = 0
+                hit[b + i] = bool((_earlier(part, i) & (100 * inter >= percent * (size + size[i] - inter))).any())
+        return pa.record_batch([pa.array(col["d"][hit]), pa.array(col["line"][hit])], ["d", "line"])
+
+    meeting = needed.join(sets, ["d", "line"]).select(*group, "d", "line", "asks", "words").repartition(parts, *group).sortWithinPartitions(*group)
+    return meeting.mapInArrow(common.per_group(verify, group), "d bigint, line int").distinct()
 
 
 def removed_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """d, line: the lines that an earlier line matches."""
-    every = common.staged(line_sets(keyed), "lines")
-    firsts = every.groupBy("node").agg(F.min(F.struct("d", "line")).alias("first"))
-    rows = prefixes(keyed, _rarity(keyed), percent)
-    rows = common.staged(rows, "prefixes")
-    pairs = common.staged(candidate_pairs(rows, percent).groupBy("d", "line", "ed", "eline").agg(F.max("over").alias("over")), "line-pairs")
-    both = lambda p: p.select("d", "line").unionByName(p.select(F.col("ed").alias("d"), F.col("eline").alias("line"))).distinct()
-    found = common.staged(_matching(pairs, common.staged(_sets(keyed, both(pairs)), "line-sets"), percent), "matched")
-    # lines that had more candidates and no match yet: all their candidates
-    left = common.staged(pairs.filter("over").select("d", "line").distinct().join(found, ["d", "line"], "left_anti"), "left")
+    distinct = common.staged(distinct_lines(keyed, _rarity(keyed), percent), "lines")
+
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("gone").to_pylist():
+                gone = unpack(x, PLACE)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(gone[c])) for c in ("d", "line")], ["d", "line"])
+
+    copies = distinct.filter(F.length("gone") > 0).select("gone").mapInArrow(places, "d bigint, line int")
+    some = candidate_pairs(distinct, percent).groupBy("d", "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("spare")).alias("spare"), "ed", "eline"))).alias("all"), F.max("over").alias("over"))
+    real = F.filter("all", lambda x: x.spare <= 0)
+    some = common.staged(some.select("d", "line", F.slice(real, 1, TRIED).alias("tried"), (F.col("over") | (F.size(real) > TRIED)).alias("over")), "candidates")
+    pairs = some.select("d", "line", F.explode("tried").alias("x")).select("d", "line", "x.ed", "x.eline")
+    wanted = pairs.select(F.explode(F.array(F.struct("d", "line"), F.struct(F.col("ed").alias("d"), F.col("eline").alias("line")))).alias("x")).select("x.*").distinct()
+    found = common.staged(verified(pairs, common.staged(line_sets(keyed, wanted), "line-sets"), percent), "matched")
+    # lines that had more candidates, of which none matched yet
+    left = common.staged(some.filter("over").select("d", "line").join(found, ["d", "line"], "left_anti"), "left")
     if left.limit(1).count():
-        line = F.shiftright("place", 32).cast("int")
-        mine = rows.withColumn("line", line).join(left, ["d", "line"]).select("word", F.col("d").alias("xd"), "line", F.col("shape").alias("xs"), F.col("bits").alias("xb"), F.col("more").alias("xm"))
-        size, pos = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-        total = size("shape") + size("xs")
-        shared = F.ceil(total * percent / F.lit(100.0 + percent) - 1e-9)
-        fits = (F.least(size("shape"), size("xs")) * 100 >= F.greatest(size("shape"), size("xs")) * percent) & (
-            F.least(pos("shape"), pos("xs")) + F.least(size("shape") - pos("shape"), size("xs") - pos("xs")) >= shared
-        )
-        fits &= F.bit_count(F.col("bits").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("xm"))) <= total - 2 * shared
-        before = (F.col("d") < F.col("xd")) | ((F.col("d") == F.col("xd")) & (line < F.col("line")))
-        rest = rows.join(mine, "word").filter(fits & before).select(F.col("xd").alias("d"), "line", F.col("d").alias("ed"), F.shiftright("place", 32).cast("int").alias("eline")).distinct()
-        rest = common.staged(rest.join(pairs, ["d", "line", "ed", "eline"], "left_anti"), "rest-pairs")
-        found = found.unionByName(_matching(rest, common.staged(_sets(keyed, both(rest)), "rest-sets"), percent))
-    # a line goes if its set has come before, or its set's first line has an earlier match
-    match = found.select("d", "line", F.lit(True).alias("matched"))
-    heads = firsts.select("node", "first.d", "first.line").join(match, ["d", "line"], "left")
-    heads = heads.select("node", F.col("d").alias("fd"), F.col("line").alias("fline"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    later = (F.col("d") > F.col("fd")) | ((F.col("d") == F.col("fd")) & (F.col("line") > F.col("fline")))
-    return every.join(heads, "node").filter(later | F.col("matched")).select("d", "line")
-
-
-def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, Column, Column]:
-    """``docs`` with _gone, the numbers of removed lines; the text that is kept; the lines."""
+        found = found.unionByName(against_all(distinct, keyed, left, percent))
+    return copies.unionByName(found)
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """row (all columns), text, d: the id, or a place in the order of id and text where ids repeat or are missing."""
+    n, known, different = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.col("doc_id").cast("long").alias("d"))
+    if n == known == different:
+        return rows
+    ordered = rows.orderBy(F.col("d").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    numbered = ordered.select("row", "text").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    return common.staged(docs.sparkSession.createDataFrame(numbered, rows.schema), "numbered")
+
+
+def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, Column]:
+    """row, text, gone (numbers of removed lines); the text that is kept."""
     common.ship(docs.sparkSession)
     keyed = _with_key(docs)
-    gone = removed_lines(keyed, percent).groupBy("d").agg(F.collect_list("line").alias("_gone"))
-    joined = keyed.join(gone.hint("shuffle_hash"), "d", "left").drop("d").withColumn("_lines", F.split("text", "\n", -1))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return joined, F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")), F.col("_lines")
+    gone = removed_lines(keyed, percent).groupBy("d").agg(F.collect_list("line").alias("gone"))
+    joined = keyed.join(gone.hint("shuffle_hash"), "d", "left").drop("d")
+    lines = F.split("text", "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+    return joined, F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text without the lines that match earlier ones, n_lines, n_removed."""
-    joined, kept, lines = _joined(docs.select("doc_id", "text"), percent)
-    return joined.select("doc_id", kept.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    joined, kept = _joined(docs.select("doc_id", "text"), percent)
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return joined.select("row.doc_id", kept.alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def without_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, its texts without the lines that match earlier ones."""
-    joined, kept, _ = _joined(docs, percent)
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    joined, kept = _joined(docs, percent)
+    return joined.select(*[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,38 @@ def test_near_lines_among_many_candidates(spark):
     assert digests(df) == brute_lines(rows)
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    base = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(base) + "\n" + " ".join(base[:4])), (2, " ".join([*base[:11], "x"]) + "\nother words here"), (2, "a\nb"), (None, "only this")]
+    names = ["d", "_gone", "_lines", "_t", "row", "gone", "line", "share", "a.b", "words", "asks", "over"]
+    df = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in rows], ["doc_id", "text", *names])
+    for some in (df, df.filter("doc_id = 1 or text like 'w0%'")):  # with repeated and missing ids, and without
+        got = lines.without_matches(some)
+        assert got.columns == df.columns and got.count() == some.count()
+        for r in got.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
+        assert "other words here" in {r["text"] for r in got.collect()}
+
+
+def test_lines_of_a_large_family_in_blocks(spark, monkeypatch):
+    """Many lines just below the threshold, in small blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 40)
+    base, rows = [f"w{i}" for i in range(30)], []
+    for i in range(300):
+        r = random.Random(i)
+        w = list(base)
+        for j in r.sample(range(30), 3 + (i % 7 != 0)):  # any two at about 0.6 to 0.82
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w) + ("\n" + " ".join(base[:5]) if i % 50 == 0 else "")))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert digests(df) == brute_lines(rows)
+    keyed = df.selectExpr("doc_id as d", "text")
+    distinct = common.staged(lines.distinct_lines(keyed, np.zeros(lines.BUCKETS, np.uint8), 80), "test-lines")
+    every = keyed.selectExpr("d", "0 as line")
+    want = {d for d, _, n, _ in brute_lines([(i, t.split("\n")[0]) for i, t in rows]) if n}
+    assert {r["d"] for r in lines.against_all(distinct, keyed, every, 80).collect()} == want
+
+
 # ---- 6
 
 
