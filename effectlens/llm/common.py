@@ -8,6 +8,7 @@ import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -42,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"/tmp/checkpoints/effectlens-{os.getpid()}"
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -88,6 +91,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Words:
+    """The words of texts end to end: two independent 64-bit hashes, text and line of each, and where each text's words end."""
+
+    a: np.ndarray
+    b: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+    ends: np.ndarray
+
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _factors(n: int, seed: int) -> np.ndarray:
+    """Odd numbers by place, as if drawn at random."""
+    with np.errstate(over="ignore"):
+        return mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def hashed_words(column: pa.Array, lower: bool = False, both: bool = True) -> Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a string column, found and hashed on its bytes; null is empty; ``lower`` maps A-Z to a-z, without ``both`` there is one hash.
+
+    A word's hashes are sums of its bytes times random numbers of their places.
+    """
+    column = pc.fill_null(column, "")
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    n = len(column)
+    offsets = np.frombuffer(offsets, wide, n + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if lower:
+        raw = _LOWER[raw]
+    inside = ~_SPACE[raw]
+    before = np.zeros(len(raw), bool)
+    before[1:] = inside[:-1]
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = False  # no word goes on in the next text
+    start = np.flatnonzero(inside & ~before)
+    letters = raw[inside]
+    upto = np.cumsum(inside)
+    begin = upto[start] - 1 if len(start) else start
+    size = np.diff(np.r_[begin, len(letters)])
+    place = np.arange(len(letters)) - np.repeat(begin, size)
+    value = letters.astype(np.uint64) + np.uint64(1)
+    longest = int(size.max(initial=0))
+    out = []
+    with np.errstate(over="ignore"):
+        for seed in (0x1234567, 0x89ABCDEF)[: 1 + both]:
+            sums = np.zeros(len(letters) + 1, np.uint64)
+            np.cumsum(value * _factors(longest, seed)[place], out=sums[1:])
+            out.append(mix(sums[begin + size] - sums[begin] + size.astype(np.uint64) * np.uint64(seed)))
+    text = np.searchsorted(offsets, start, side="right") - 1
+    lines = np.flatnonzero(raw == 10)
+    line = np.searchsorted(lines, start) - np.searchsorted(lines, offsets[:-1])[text] if n else start
+    return Words(out[0], out[-1], text, line, np.searchsorted(start, offsets[1:]))
+
+
 #: An odd base; its powers and inverse powers turn running sums into window hashes.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -16,8 +16,8 @@ word sets.  A line whose candidates were more than that and failed is compared
 with all lines of its words: these meet in bounded blocks, with their sets, and
 only the verdict leaves the task, never the pairs.
 
-Words are known by 128-bit hashes and sets by 128-bit sums of these, so that
-chance agreement is below 1e-14 among 1e12 lines; bitmaps, prefix words of 40
+Words are known by two 64-bit hashes and sets by two sums of these, so that
+chance agreement is below 1e-12 among 1e12 lines; bitmaps, prefix words of 40
 bits and counters only choose candidates.  Numbers travel as columns of bytes
 in binary cells, one cell for each share of the words and task.
 
@@ -34,7 +34,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +42,8 @@ from effectlens.llm import common
 PERCENT, BUCKETS = 80, 1 << 18
 #: Passing pairs of a line and word that are looked at, and candidates of a line that are verified, before all of them are.
 QUOTA, TRIED = 16, 3
-#: Lines of a task that copies are sought in before the shuffle, lines of a block, words held by code, and the share of entries from which a word is split.
-HELD, BLOCK, CODES, HEAVY = 100_000, 2048, 400_000, 20_000
+#: Lines of a task that copies are sought in before the shuffle, lines of a block, and the share of entries from which a word is split.
+HELD, BLOCK, HEAVY = 100_000, 2048, 20_000
 #: Places in a map of lines, documents or words that are asked for; beyond its capacity it lets more through, never less.
 SLOTS = 1 << 22
 _CHUNKS = 64
@@ -66,33 +65,6 @@ def unpack(cell: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-class _Codes(dict):
-    """Numbers of words with their hashes, kept while a worker lives."""
-
-    def __init__(self) -> None:
-        self.hashes = np.empty((0, 2), np.uint64)
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        self.fresh.append(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")))
-        return code
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """The codes of ``words``; earlier ones are void once there are too many."""
-        if len(self) > CODES:
-            self.clear()
-            self.hashes = np.empty((0, 2), np.uint64)
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            self.hashes = np.concatenate([self.hashes, np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)])
-            self.fresh.clear()
-        return out
-
-
-_KNOWN = _Codes()
-
-
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
@@ -105,13 +77,8 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in common.slices(batch):
-                words: list[str] = []
-                for t in common.texts(part):
-                    words += common.words_of(t)
-                n = np.bincount(_KNOWN.of(words))
-                used = np.flatnonzero(n)
-                total += np.bincount(_bucket(_KNOWN.hashes[used, 0]), n[used], BUCKETS).astype(np.int64)
+            for part in common.slices(batch, chars=4 * common.CHUNK_CHARS):
+                total += np.bincount(_bucket(common.hashed_words(part.column("text"), both=False).a), minlength=BUCKETS)
         if total.any():
             parts = total.reshape(_CHUNKS, -1)
             yield pa.record_batch([pa.array(range(_CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * _CHUNKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "salt", "counts"])
@@ -139,48 +106,49 @@ def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
     return np.where(alone, 0, s - _need(s, percent) + 1)
 
 
-def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines with words: text index and line number; of their words: index of the line, code."""
-    # a mark word stands for each line's end, so that lines need no loop
-    mark = next(m for m in ("\x00", *(f"\x00{i}\x00" for i in range(1000))) if not any(m in t for t in texts))
-    words = common.words_of("".join([t.replace("\n", f" {mark} ") + f" {mark} " for t in texts]))
-    code = _KNOWN.of(words)
-    stop = code == _KNOWN[mark]
-    per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    size = np.diff(np.r_[-1, np.flatnonzero(stop)]) - 1  # words of each line
-    text_of = np.repeat(np.arange(len(texts)), per_text)
-    number = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    some = size > 0
-    return text_of[some], number[some], np.repeat(np.arange(int(some.sum())), size[some]), code[~stop]
-
-
-def line_rows(texts: list[str], key: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_words(owner: np.ndarray, w: common.Words, rarity: np.ndarray | None = None) -> np.ndarray:
+    """Of each line the places of its distinct words in ``w``, rarest first, ties by hash; ``owner`` numbers the lines from 0 upwards."""
+    rare = rarity[_bucket(w.a)].astype(np.uint64) if rarity is not None else np.uint64(0)
+    out, done = [], 0
+    for begin in range(0, int(owner[-1]) + 1 if len(owner) else 0, 65536):  # the line number takes 16 bits of the key
+        upto = int(np.searchsorted(owner, begin + 65536))
+        mine = slice(done, upto)
+        key = ((owner[mine] - begin).astype(np.uint64) << np.uint64(48)) | ((rare[mine] if rarity is not None else rare) << np.uint64(40)) | (w.a[mine] >> np.uint64(24))
+        order = np.argsort(key)
+        k, a = key[order], w.a[mine][order]
+        if np.any((k[1:] == k[:-1]) & (a[1:] != a[:-1])):
+            order = np.lexsort((w.a[mine], key))
+            k, a = key[order], w.a[mine][order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
+        out.append(done + order[new])
+        done = upto
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def line_rows(column: pa.Array, key: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """LINE rows of all lines with words, and their prefixes' words end to end."""
-    doc, line, of, code = _cut(texts)
-    used = np.flatnonzero(np.bincount(code))
-    h = _KNOWN.hashes[used]
-    order = np.lexsort((h[:, 0], rarity[_bucket(h[:, 0])]))
-    rank = np.empty(len(_KNOWN), np.int64)
-    rank[used[order]] = np.arange(len(used))
-    distinct = np.unique((of << 32) | rank[code])
-    owner, at = distinct >> 32, distinct & 0xFFFFFFFF
-    h = h[order]
-    out = np.zeros(len(doc), LINE)
-    out["d"], out["line"] = key[doc], line
-    size = np.bincount(owner, minlength=len(doc))
+    w = common.hashed_words(column)
+    new = np.ones(len(w.a), bool)
+    new[1:] = (w.text[1:] != w.text[:-1]) | (w.line[1:] != w.line[:-1])
+    owner = np.cumsum(new) - 1
+    at = distinct_words(owner, w, rarity)
+    owner, a, b = owner[at], w.a[at], w.b[at]
+    n = int(new.sum())
+    out = np.zeros(n, LINE)
+    out["d"], out["line"] = key[w.text[new]], w.line[new]
+    size = np.bincount(owner, minlength=n)
     out["size"] = size
     begin = np.cumsum(size) - size
     with np.errstate(over="ignore"):
-        for name, x in (("a", h[:, 0]), ("b", h[:, 1])):
-            sums = np.add.reduceat(common.mix(x)[at], begin) if len(doc) else np.empty(0, np.uint64)
-            out[name] = common.mix(sums + size.astype(np.uint64))
+        for name, x in (("a", a), ("b", b)):
+            out[name] = common.mix(np.add.reduceat(common.mix(x), begin) + size.astype(np.uint64)) if n else x
     # parity of the words in each of 128 places
-    slot = (common.mix(h[:, 0]) >> np.uint64(57)).astype(np.int64)
-    odd = (np.bincount(owner * 128 + slot[at], minlength=128 * len(doc)) & 1).astype(np.uint8).reshape(-1, 128)
+    odd = (np.bincount(owner * 128 + (common.mix(a) >> np.uint64(57)).astype(np.int64), minlength=128 * n) & 1).astype(np.uint8).reshape(-1, 128)
     out["bits"] = np.packbits(odd, axis=1).view("<u8")
     count = _prefix(size, percent)
     first = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return out, h[at[first], 0] & _LOW40
+    return out, a[first] & _LOW40
 
 
 def firsts(rows: np.ndarray, words: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +199,7 @@ def distinct_lines(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFr
 
         for batch in batches:
             for part in common.slices(batch):
-                r, w = line_rows(common.texts(part), part.column("d").to_numpy(zero_copy_only=False), held.value, percent)
+                r, w = line_rows(part.column("text"), part.column("d").to_numpy(zero_copy_only=False), held.value, percent)
                 rows.append(r)
                 words.append(w)
                 n += len(r) + len(w) // 8
@@ -322,32 +290,52 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
         again = np.zeros(len(e), bool)
         again[1:] = word[1:] == word[:-1]
         e = e[order[again | np.r_[again[1:], False]]]
-        e = e[np.lexsort((e["line"], e["d"], e["part"], e["word"]))]
+        e = e[np.lexsort((e["line"], e["d"], e["size"], e["part"], e["word"]))]
         n = len(e)
+        d, line, size, pos = (np.ascontiguousarray(e[c]) for c in ("d", "line", "size", "pos"))
+        size, pos, bits = size.astype(np.int64), pos.astype(np.int64), np.ascontiguousarray(e["bits"])
+        when = np.empty(n, np.int64)
+        when[np.lexsort((line, d))] = np.arange(n)
         new = np.ones(n, bool)
         new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["part"][1:] != e["part"][:-1])
-        rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        live, step = np.flatnonzero(rank > 0), 1
-        taken = np.zeros(n, np.int64)
+        group = np.cumsum(new) << 32
+        # lines of a word by size: those before a line that are long enough for it
+        first = np.searchsorted(group + size, group + _need(size, percent))
+        live, step = np.flatnonzero(np.arange(n) > first), 1
+        taken, more = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         found: list[np.ndarray] = []
         while len(live):
-            ok, spare = _possible(e[live - step], e[live], percent)
-            i = live[ok]
+            i, j = live, live - step
+            total = size[i] + size[j]
+            shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
+            ok = np.flatnonzero(np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= shared)
+            i, j = i[ok], j[ok]
+            spare = total[ok] - 2 * shared[ok] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
+            ok = spare >= 0
+            i, j = i[ok], j[ok]
             taken[i] += 1
-            found.append(np.stack([i, i - step, spare[ok]]))
+            late = when[i] > when[j]
+            found.append(np.stack([np.where(late, i, j), np.where(late, j, i), spare[ok]]))
             step += 1
-            live = live[(rank[live] >= step) & (taken[live] < QUOTA)]
+            live = live[live - first[live] >= step]
+            full = live[taken[live] >= QUOTA]
+            if len(full):  # what lies further back isn't looked at here
+                np.add.at(more, first[full], 1)
+                np.add.at(more, full - step + 1, -1)
+                more[full] += 1
+                more[full + 1] -= 1
+                live = live[taken[live] < QUOTA]
         i, j, spare = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
         # the most alike ones of each line and word
         order = np.lexsort((j, -spare, i))
         i, j, spare = i[order], j[order], spare[order]
         place = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0)) if len(i) else i
+        over = np.bincount(i, minlength=n) > TRIED
         i, j, spare = (x[place < TRIED] for x in (i, j, spare))
-        over = taken[i] > TRIED
-        cols = [e["d"][i], e["line"][i], e["d"][j], e["line"][j], spare.astype(np.int32), over]
-        # an entry of a split word may have partners in other parts
-        alone = np.flatnonzero(e["part"] > 0)
-        cols = [np.concatenate([x, y]) for x, y in zip(cols, (e["d"][alone], e["line"][alone], e["d"][alone], e["line"][alone], np.full(len(alone), -1, np.int32), np.ones(len(alone), bool)), strict=True)]
+        cols = [d[i], line[i], d[j], line[j], spare.astype(np.int32), over[i]]
+        # lines that may have partners out of sight: in other parts of a split word, or further back
+        rest = np.flatnonzero((e["part"] > 0) | (np.cumsum(more)[:-1] > 0))
+        cols = [np.concatenate([x, y]) for x, y in zip(cols, (d[rest], line[rest], d[rest], line[rest], np.full(len(rest), -1, np.int32), np.ones(len(rest), bool)), strict=True)]
         return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "spare", "over"])
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,18 +370,20 @@ def _only_marked(rows: DataFrame, marks: np.ndarray, *columns: str) -> DataFrame
 
 
 def line_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, line, words (sorted hashes) of the lines in ``wanted`` (d, line), read from the texts."""
+    """d, line, words (hashes) of the lines in ``wanted`` (d, line), read from the texts."""
     lines = wanted.groupBy("d").agg(F.collect_list("line").alias("lines"))  # the lines of one document
 
     def read(part: pa.RecordBatch) -> pa.RecordBatch:
-        d, line, words = [], [], []
-        for key, text, wish in zip(part.column("d").to_pylist(), common.texts(part), part.column("lines").to_pylist(), strict=True):
-            all_lines = text.split("\n")
-            for j in wish:
-                d.append(key)
-                line.append(j)
-                code = np.unique(_KNOWN.of(common.words_of(all_lines[j])))
-                words.append(np.sort(_KNOWN.hashes[code, 0]).tobytes())
+        d, line, text = [], [], []
+        for key, whole, wish in zip(part.column("d").to_pylist(), common.texts(part), part.column("lines").to_pylist(), strict=True):
+            all_lines = whole.split("\n")
+            d += [key] * len(wish)
+            line += wish
+            text += [all_lines[j] for j in wish]
+        w = common.hashed_words(pa.array(text, pa.string()))
+        at = distinct_words(w.text, w)
+        cuts = np.searchsorted(w.text[at], np.arange(len(text) + 1))
+        words = [w.a[at[b:e]].tobytes() for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.record_batch([pa.array(d, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], ["d", "line", "words"])
 
     some = _only_marked(keyed.select("d", "text"), _marks(lines, "d"), "d")

@@ -12,7 +12,9 @@ keyed once in about a dozen words.  Joins on the key show which edges repeat:
   coordinates lead back to the text, and its single windows are compared.
 
 Every word that a repeated window covers is removed; windows are judged on the
-input.  Hashes have 64 bits.
+input.  Edges and windows are found by one 64-bit hash and verified by a second,
+independent one of the words at their source coordinates: they count as
+repeated only if both agree, so chance stays below 1e-12 among 1e13 windows.
 
 Cases: null text counts as empty: no words, nothing removed, the digest of the
 empty string; fewer than ``window`` words have no window; periodic texts repeat
@@ -64,23 +66,19 @@ def leftmost_minimum(g: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts end to end, and where each text ends."""
-    words = [common.words_of(t) for t in texts]
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    return common.word_hashes([w for ws in words for w in ws]), ends
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """d, t: the key of a row, so that rows of one id with other texts stay apart."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "doc_id", "text")
+    """d, t: the key of a row; t tells rows of one id with other texts apart and is 0 where ids are unique."""
+    n, different = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    t = F.lit(0).cast("long") if n == different else F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), t.alias("t"), "doc_id", "text")
 
 
 def edges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """d, t, lo, n, key, content: the windows lo .. lo+n-1 of a text, cut by their least gram."""
+    """d, t, lo, n, key, content, check: the windows lo .. lo+n-1 of a text, cut by their least gram."""
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, ends = _flat(common.texts(part))
+        w = common.hashed_words(part.column("text"))
+        h, other, ends = w.a, w.b, w.ends
         if len(h) < window:
             return None
         g = common.window_hashes(h, gram)
@@ -92,12 +90,12 @@ def edges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             return None
         last = np.r_[edge[1:], len(at)]
         last = np.minimum(last, ends[doc[edge]] - window + 1)
-        content = span_hashes(h, edge, last + window - 1)
+        content, check = (span_hashes(x, edge, last + window - 1) for x in (h, other))
         lo = edge - np.r_[0, ends][doc[edge]]
         of = pa.array(doc[edge])
-        return pa.record_batch([part.column("d").take(of), part.column("t").take(of), pa.array(lo.astype(np.int32)), pa.array((last - edge).astype(np.int32)), pa.array(g[at[edge]].view(np.int64)), pa.array(content.view(np.int64))], ["d", "t", "lo", "n", "key", "content"])
+        return pa.record_batch([part.column("d").take(of), part.column("t").take(of), pa.array(lo.astype(np.int32)), pa.array((last - edge).astype(np.int32)), pa.array(g[at[edge]].view(np.int64)), pa.array(content.view(np.int64)), pa.array(check.view(np.int64))], ["d", "t", "lo", "n", "key", "content", "check"])
 
-    return keyed.select("d", "t", "text").mapInArrow(common.per_slice(cut), "d bigint, t bigint, lo int, n int, key bigint, content bigint")
+    return keyed.select("d", "t", "text").mapInArrow(common.per_slice(cut), "d bigint, t bigint, lo int, n int, key bigint, content bigint, check bigint")
 
 
 def paths(repeated: DataFrame, window: int) -> DataFrame:
@@ -119,36 +117,40 @@ def paths(repeated: DataFrame, window: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """d, t, start, stop: spans of words that are covered by repeated windows."""
     cut = common.staged(edges(keyed, window, gram), "edges")
-    keys = cut.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count("*").alias("times"))
-    keys = keys.filter("times > 1").select("key", (F.col("a") == F.col("b")).alias("alike"))
+    keys = cut.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("content", "check") for n, f in (("least", F.min), ("most", F.max))], F.count("*").alias("times"))
+    alike = (F.col("least_content") == F.col("most_content")) & (F.col("least_check") == F.col("most_check"))
+    # written first, so that Spark can split the join where a key has many edges
+    keys = common.staged(keys.filter("times > 1").select("key", alike.alias("alike")), "keys")
     found = common.staged(cut.join(keys, "key"), "found")
     # of keys with several contents: how often each content comes, and one place of it
-    mixed = found.filter("not alike").groupBy("key", "content").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "lo", "n")).alias("at"))
+    same = ["key", "content", "check"]
+    mixed = found.filter("not alike").groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "lo", "n")).alias("at"))
     mixed = common.staged(mixed, "mixed")
-    again = mixed.filter("times > 1").select("key", "content")
-    whole = found.filter("alike").select("d", "t", "lo", "n", "content").unionByName(found.filter("not alike").join(again, ["key", "content"], "left_semi").select("d", "t", "lo", "n", "content"))
+    again = mixed.filter("times > 1").select(*same)
+    whole = found.filter("alike").select("d", "t", "lo", "n", "content").unionByName(found.filter("not alike").join(again, same, "left_semi").select("d", "t", "lo", "n", "content"))
     # open one edge of each content of these keys
     places = mixed.select("at.*", "times").groupBy("d", "t").agg(F.collect_list(F.struct("lo", "n", "times")).alias("places"))
 
     def opened(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, ends = _flat(common.texts(part))
+        w = common.hashed_words(part.column("text"))
+        h, other, ends = w.a, w.b, w.ends
         begin = np.r_[0, ends]
-        rows: list[list[np.ndarray]] = [[], [], [], []]
+        rows: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, here in enumerate(part.column("places").to_pylist()):
-            wh = common.window_hashes(h[begin[i] : begin[i + 1]], window)
+            wh, check = (common.window_hashes(x[begin[i] : begin[i + 1]], window) for x in (h, other))
             lo, n, times = (np.array([p[c] for p in here], np.int64) for c in ("lo", "n", "times"))
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            for to, x in zip(rows, (np.full(len(at), i), at, wh[at].view(np.int64), np.repeat(times, n)), strict=True):
+            for to, x in zip(rows, (np.full(len(at), i), at, wh[at].view(np.int64), check[at].view(np.int64), np.repeat(times, n)), strict=True):
                 to.append(x)
-        of, at, wh, times = (np.concatenate(x) for x in rows)
+        of, at, wh, check, times = (np.concatenate(x) for x in rows)
         of = pa.array(of)
-        return pa.record_batch([part.column("d").take(of), part.column("t").take(of), pa.array(at.astype(np.int32)), pa.array(wh), pa.array(times)], ["d", "t", "at", "hash", "times"])
+        return pa.record_batch([part.column("d").take(of), part.column("t").take(of), pa.array(at.astype(np.int32)), pa.array(wh), pa.array(check), pa.array(times)], ["d", "t", "at", "hash", "check", "times"])
 
-    windows = keyed.select("d", "t", "text").join(places.hint("shuffle_hash"), ["d", "t"]).mapInArrow(common.per_slice(opened), "d bigint, t bigint, at int, hash bigint, times bigint")
+    windows = keyed.select("d", "t", "text").join(places.hint("shuffle_hash"), ["d", "t"]).mapInArrow(common.per_slice(opened), "d bigint, t bigint, at int, hash bigint, check bigint, times bigint")
     # rows of one id and text give the same windows: count the places once
     windows = common.staged(windows.dropDuplicates(["d", "t", "at"]), "windows")
-    twice = windows.groupBy("hash").agg(F.sum("times").alias("all"), F.min("times").alias("least")).filter("all > 1 and least = 1").select("hash")
-    lone = windows.filter("times = 1").join(twice, "hash", "left_semi").select("d", "t", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
+    twice = windows.groupBy("hash", "check").agg(F.sum("times").alias("all"), F.min("times").alias("least")).filter("all > 1 and least = 1").select("hash", "check")
+    lone = windows.filter("times = 1").join(twice, ["hash", "check"], "left_semi").select("d", "t", F.col("at").alias("start"), (F.col("at") + window).alias("stop"))
     return paths(whole, window).unionByName(lone)
 
 
