@@ -3,18 +3,20 @@
 Documents become pieces of at most ``capacity`` tokens.  Pieces of one length
 are interchangeable, so a packing is a multiset of patterns (the lengths in a
 bin) with copies: its size depends on ``capacity`` alone, never on the number
-of documents.  Islands evolve such packings apart: crossover injects whole
-well-filled bins of one parent, the other parent's bins that would use pieces
-twice are removed, and what they displace goes back by best fit; after each
-epoch every island's elite also moves to the next island through a shuffle.
-Evolution ends early at the lower bound, ceil(tokens / capacity).  Pieces then
-take the places of their length by rank, numbered without bringing a length's
-pieces together in one task.
+of documents.  Islands begin with packings made in orders of their own and
+evolve them apart: crossover injects whole well-filled bins of one parent, the
+other parent's bins that would use pieces twice are removed, displaced pieces
+take the places of shorter ones where that fills a bin further, and what is then
+left goes back by best fit.  After each epoch every island's elite also moves to
+the next island through a shuffle.  The packing that is returned comes from
+crossover; an island stops breeding at the lower bound, ceil(tokens /
+capacity).  Pieces then take the places of their length by rank, numbered
+without bringing a length's pieces together in one task.
 
 Cases: null and empty texts are one piece of the separator alone; very long
 texts are cut into pieces of ``capacity``, of which the first may be shorter;
-repeated rows are separate pieces; extra columns are ignored; no rows give no
-rows.
+repeated rows are separate pieces; extra columns of ``documents`` are ignored,
+those of pieces stay, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +26,23 @@ import random
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from effectlens.llm import bpe, common
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Islands, epochs between migrations, individuals and generations of an island.
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 2, 4, 6
+#: Islands, epochs between migrations, individuals of an island, generations of an epoch.
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4, 3, 6, 12
+#: Patterns of a packing at most, in units of the capacity: what is broadcast is bounded by it.
+PATTERNS = 8
 #: Pieces of one length that are numbered together.
 RANKED = 50_000
 
@@ -114,8 +120,30 @@ def cost(packing: Packing, capacity: int) -> tuple[int, float]:
     return sum(packing.values()), -sum(n * (sum(p) / capacity) ** 2 for p, n in packing.items())
 
 
+def replace(child: Packing, left: Counter, capacity: int) -> None:
+    """Let displaced pieces take the places of shorter ones where a bin gets fuller so; the shorter ones are displaced."""
+    for p in sorted((p for p in child if sum(p) < capacity), key=lambda p: (sum(p), p)):
+        room = capacity - sum(p)
+        best = (0, 0, 0)
+        for y in set(p):
+            x = next((x for x in range(y + room, y, -1) if left.get(x, 0) > 0), 0)
+            if x - y > best[0] and x:
+                best = (x - y, x, y)
+        if best[0]:
+            _, x, y = best
+            n = min(child[p], left[x])
+            q = list(p)
+            q.remove(y)
+            child[tuple(sorted((*q, x), reverse=True))] += n
+            child[p] -= n
+            if not child[p]:
+                del child[p]
+            left[x] -= n
+            left[y] += n
+
+
 def crossover(a: Packing, b: Packing, counts: dict[int, int], capacity: int, rng: random.Random) -> Packing:
-    """Whole well-filled bins of ``b``, the bins of ``a`` that use no piece twice, the rest by best fit."""
+    """Whole well-filled bins of ``b``, the bins of ``a`` that use no piece twice, then replacement and best fit of the rest."""
     left, child = Counter(counts), Counter()
 
     def take(p: tuple[int, ...], n: int) -> None:
@@ -130,31 +158,44 @@ def crossover(a: Packing, b: Packing, counts: dict[int, int], capacity: int, rng
     for p in full[: max(1, len(full) // 2)]:
         if rng.random() < 0.5:
             take(p, rng.randint(1, b[p]))
-    # of the other parent the worst-filled bins are dissolved too, so that best fit has pieces to move
-    other = sorted(a, key=lambda p: (-sum(p), p))
-    for p in other[: max(1, int(len(other) * 0.9))]:
+    # of the other parent the worst-filled bins are dissolved too, so that there are pieces to move
+    other = sorted(a, key=lambda p: (-sum(p), rng.random()))
+    for p in other[: max(1, int(len(other) * rng.uniform(0.75, 1.0)))]:
         take(p, a[p])
+    replace(child, left, capacity)
     return best_fit({x: n for x, n in left.items() if n > 0}, child, capacity)
 
 
-def evolve(counts: dict[int, int], seeds: list[Packing], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing of an island after some generations."""
+def evolve(counts: dict[int, int], elites: list[Packing], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> tuple[Packing, int]:
+    """The best packing that crossover makes on an island, and the generations that were bred.
+
+    ``elites`` come from earlier epochs; without any the island begins with random orders.
+    """
     rng = random.Random(seed)
     bound = -(-sum(x * n for x, n in counts.items()) // capacity)
-    people = list(seeds) or [best_fit(counts, {}, capacity)]
-    best = min(people, key=lambda p: cost(p, capacity))
-    if cost(best, capacity)[0] <= bound:
-        return best
+    better = lambda p: cost(p, capacity)
+    bred = sorted(elites, key=better)[:1]
+    if bred and better(bred[0])[0] <= bound:
+        return bred[0], 0
+    people = list(elites)
     while len(people) < population:
-        order = sorted(counts, key=lambda x: -x * rng.uniform(0.8, 1.2))
-        people.append(best_fit(counts, {}, capacity, order))
-    for _ in range(generations):
-        people.sort(key=lambda p: cost(p, capacity))
-        if cost(people[0], capacity)[0] <= bound:
+        people.append(best_fit(counts, {}, capacity, sorted(counts, key=lambda x: -x * rng.uniform(0.7, 1.4))))
+    done = 0
+    while done < generations and not (bred and better(bred[0])[0] <= bound):
+        done += 1
+        children = []
+        for _ in range(population):
+            child = crossover(*rng.sample(people, 2), counts, capacity, rng)
+            if len(child) <= max(PATTERNS * capacity, 64):
+                children.append(child)
+                if better(child)[0] <= bound:
+                    break
+        bred = sorted([*bred, *children], key=better)[:1]
+        # one of each packing, so that an island does not become all alike
+        people = sorted({tuple(sorted(p.items())): p for p in [*people, *children]}.values(), key=better)[:population]
+        if len(people) < 2:
             break
-        children = [crossover(*rng.sample(people, 2), counts, capacity, rng) for _ in range(population)]
-        people = sorted([*people, *children], key=lambda p: cost(p, capacity))[:population]
-    return min(people, key=lambda p: cost(p, capacity))
+    return (bred or people)[0], done
 
 
 def _dump(p: Packing) -> bytes:
@@ -169,37 +210,54 @@ def _load(x: bytes) -> Packing:
     return out
 
 
-def plan(spark: SparkSession, counts: dict[int, int], capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> Packing:
+@dataclass(frozen=True)
+class Plan:
+    """A packing, and the generations and migrations that led to it."""
+
+    packing: Packing
+    generations: int = 0
+    migrations: int = 0
+
+
+def plan(spark: SparkSession, counts: dict[int, int], capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> Plan:
     """Evolve on islands; ``counts`` has at most ``capacity`` entries."""
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+
     def grower(epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             island = int(pdf["island"].iloc[0])
-            best = evolve(counts, [_load(x) for x in pdf["packing"] if x is not None], capacity, 1000 * epoch + island)
-            return pd.DataFrame({"island": [island], "bins": [cost(best, capacity)[0]], "evenness": [cost(best, capacity)[1]], "packing": [_dump(best)]})
+            best, done = evolve(counts, [_load(x) for x in pdf["packing"] if x is not None], capacity, 1000 * epoch + island)
+            bins, evenness = cost(best, capacity)
+            return pd.DataFrame({"island": [island], "bins": [bins], "evenness": [evenness], "generations": [done + int(pdf["generations"].max())], "packing": [_dump(best)]})
 
         return grow
 
-    elites = None
+    elites, moved = None, 0
     for epoch in range(epochs):
         if elites is None:
-            asked = spark.range(islands).select(F.col("id").alias("island"), F.lit(None).cast("binary").alias("packing"))
+            asked = spark.range(islands).select(F.col("id").alias("island"), F.lit(0).cast("bigint").alias("generations"), F.lit(None).cast("binary").alias("packing"))
         else:  # every elite stays, and a copy moves to the next island
-            asked = elites.select("island", "packing").unionByName(elites.select(((F.col("island") + 1) % islands).alias("island"), "packing"))
-        elites = common.staged(asked.groupBy("island").applyInPandas(grower(epoch), "island bigint, bins bigint, evenness double, packing binary"), f"islands{epoch}")
-    return _load(elites.orderBy("bins", "evenness", "island").first()["packing"])
+            kept = elites.select("island", "generations", "packing")
+            asked = kept.unionByName(kept.withColumn("island", (F.col("island") + 1) % islands))
+            moved += islands
+        elites = common.staged(asked.groupBy("island").applyInPandas(grower(epoch), "island bigint, bins bigint, evenness double, generations bigint, packing binary"), f"islands{epoch}")
+        if epoch and elites.agg(F.min("bins")).first()[0] <= bound:
+            break
+    best = elites.orderBy("bins", "evenness", "island").first()
+    return Plan(_load(best["packing"]), best["generations"], moved)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset."""
+    """``pieces`` (doc_id, piece, length, ...) with sequence_id, offset, and the generations and migrations of the packing."""
     spark = pieces.sparkSession
     common.ship(spark)
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError("pieces must have 1 to capacity tokens")
-    packing = plan(spark, counts, capacity) if counts else {}
+    found = plan(spark, counts, capacity) if counts else Plan({})
     slots: dict[int, tuple[list, list, list]] = {}
     used, base = Counter(), 0
-    for p, n in sorted(packing.items()):
+    for p, n in sorted(found.packing.items()):
         offset = 0
         for x in p:
             lo, first, at = slots.setdefault(x, ([], [], []))
@@ -211,31 +269,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += n
     if used != Counter(counts):
         raise AssertionError("a packing must hold every piece once")
-    places = spark.sparkContext.broadcast({x: tuple(np.array(v, np.int64) for v in s) for x, s in slots.items()})  # bounded by capacity
+    places = spark.sparkContext.broadcast({x: tuple(np.array(v, np.int64) for v in s) for x, s in slots.items()})  # PATTERNS x capacity patterns at most
     # rank of a piece among those of its length: inside a block, plus the blocks before it
     blocks = max(8, -(-max(counts.values(), default=1) // RANKED))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    before = dealt.groupBy("length", "block").count()
-    w = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("length", "block", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "block").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["length", "block"])
-    ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("base")).cast("long").alias("rank"))
-    keep = pieces.columns
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"), F.col("length").alias("size"))
+    dealt = rows.withColumn("hash", F.xxhash64("row")).withColumn("block", F.pmod("hash", F.lit(blocks)))
+    before = dealt.groupBy("size", "block").count()
+    w = Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("size", "block", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("size", "block").orderBy("hash", "row.doc_id", "row.piece")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["size", "block"])
+    ranked = ranked.select("row", "size", (F.col("rank") + F.col("base")).cast("long").alias("rank"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "rank"))
             seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for x in np.unique(length).tolist():
                 mine = length == x
                 lo, first, at = places.value[x]
                 i = np.searchsorted(lo, rank[mine], side="right") - 1
                 seq[mine], off[mine] = first[i] + rank[mine] - lo[i], at[i]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
+            yield pa.record_batch([batch.column("row"), pa.array(seq), pa.array(off)], ["row", "sequence", "place"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    schema = StructType([ranked.schema["row"], *(StructField(c, LongType()) for c in ("sequence", "place"))])
+    out = ranked.mapInArrow(place, schema)
+    mine = {"sequence_id": F.col("sequence"), "offset": F.col("place"), "generations": F.lit(found.generations).cast("long"), "migrations": F.lit(found.migrations).cast("long")}
+    kept = [F.col("row").getField(c).alias(c) for c in pieces.columns if c not in mine]
+    return out.select(*kept, *[c.alias(k) for k, c in mine.items()])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
