@@ -57,6 +57,8 @@ class RankArrayBPE:
             self.bytes_of[i] = t.encode()
         self.names = [str(i) for i in range(len(self.bytes_of))]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("pairs of ids are kept in 32 bits: a vocabulary has at most 65,536 entries")
         left = np.array([vocab[a] for a, _ in merges], np.uint32)
         right = np.array([vocab[b] for _, b in merges], np.uint32)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.uint32)

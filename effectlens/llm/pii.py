@@ -64,7 +64,7 @@ def base_spans(text: str) -> list[Span]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -120,7 +120,8 @@ class _Tokens:
             return False
         shape = "".join(self.shape[i:j])
         if "@" in shape:
-            return first[0].isalnum() and ".w" in shape.split("@", 1)[1] or "." in shape.split("@", 1)[1]
+            host = shape.split("@", 1)[1]
+            return first[0].isalnum() and "." in host
         return not any(t[0].isalpha() and t.lower() != "dot" for t, _, _ in self.items[i:j]) and sum(len(t) for t, _, _ in self.items[i:j] if t[0].isdigit()) >= 4
 
     def features(self, i: int, j: int) -> list[str]:

@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
     some = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     drawn = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``rows`` pairs of numbers
-    got = statistics(drawn, ("doc_id", "quality")).drop("doc_id").toPandas()
+    stats = statistics(drawn, ("doc_id", "quality")).drop("doc_id")
+    # ids that repeat bring more texts than labels: ``rows`` of them are enough
+    got = stats.orderBy(F.xxhash64(*stats.columns), *stats.columns).limit(rows).toPandas()
     if got.empty:
         return []
     got = got.sort_values(list(got.columns)).sample(frac=1.0, random_state=0)

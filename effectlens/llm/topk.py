@@ -11,7 +11,8 @@ score can't lie below it.  Scores are integers, exact in float64 products up to
 2**53 and in Python integers beyond (then held to the range of a long).
 
 Cases: vectors that are null, or hold null or non-finite components, take no
-part; vectors of another length than the query's have no score with it;
+part, nor do those with a component of 2**1016 or more, of which 256 times is
+not finite; vectors of another length than the query's have no score with it;
 repeated ids are separate candidates, but a query has no score with rows of its
 own id; fewer than k candidates are all returned; empty tables give no rows.
 """
@@ -115,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col(vec_col)
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(2.0**1016)))
         return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
     candidates = _packed(valid(vectors), CANDIDATES)

@@ -63,7 +63,7 @@ def test_words_and_windows():
 
 def brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(re.fullmatch("0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])", x) for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m[0])
         if 13 <= len(d) <= 19 and pii.luhn(d):
@@ -78,6 +78,12 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
+def test_base_spans_of_very_long_numbers():
+    for t in ("1.2.3." + "0" * 5000 + "4", "1.2.3." + "4" * 9000, "0" * 6000 + ".0.0.0", "+" + "1" * 9000, "4" * 9000):
+        assert [k for k, _, _ in pii.base_spans(t)] == [k for k, _, _ in brute_spans(t)]
+        pii.added_spans(t, pii.base_spans(t), pii.trained())
+
+
 def test_model_finds_written_forms_and_leaves_others_alone():
     w = pii.trained()
     hit = miss = wrong = 0
@@ -214,6 +220,27 @@ def test_packing_is_valid_and_near_the_bound(spark):
     assert -(-sum(n for _, _, n in rows) // 100) <= check_packing(got, 100) <= plain
 
 
+def test_evolution_beats_best_fit():
+    """Mixes on which best fit misses the bound and crossover attains it."""
+    for capacity, lo, hi, n, seed in ((1000, 200, 501, 40, 2), (1000, 200, 501, 40, 9), (150, 20, 100, 60, 6), (100, 10, 60, 50, 12)):
+        r = random.Random(seed)
+        counts = dict(Counter(r.randint(lo, hi) for _ in range(n)))
+        bound = -(-sum(x * k for x, k in counts.items()) // capacity)
+        assert packing.cost(packing.best_fit(counts, {}, capacity), capacity)[0] > bound
+        best, generations = packing.evolve(counts, [], capacity, seed, generations=40)
+        assert packing.cost(best, capacity)[0] == bound and generations > 0
+        assert Counter(x for p, k in best.items() for x in p for _ in range(k)) == counts
+
+
+def test_pieces_keep_their_columns(spark):
+    names = ["block", "rank", "base", "row", "size", "hash", "place", "count", "a.b"]
+    df = spark.createDataFrame([(i % 3 if i else None, i // 3, 10 + i, *[f"{c}{i}" for c in names]) for i in range(30)], ["doc_id", "piece", "length", *names])
+    got = packing.pack(df, 100).collect()
+    assert len(got) == 30 and all(r[c] == f"{c}{r['length'] - 10}" for r in got for c in names)
+    assert all(r["generations"] > 0 and r["migrations"] >= packing.ISLANDS for r in got)
+    check_packing(got, 100)
+
+
 def test_crossover_keeps_every_piece():
     r = random.Random(2)
     counts = Counter(r.randint(1, 64) for _ in range(300))
@@ -400,6 +427,49 @@ def test_toxicity_recognises_held_out_documents(spark, docs, none, write):
     assert toxicity.without_rejected(docs, model).count() == len(corpus()) and toxicity.score(none, model).count() == 0
 
 
+def test_ordinal_likelihood_and_slopes():
+    """Against the plain formula, one document at a time, and finite differences."""
+    r = np.random.default_rng(4)
+    rows, cols, values = r.integers(0, 12, 60), r.integers(0, 5, 60), r.random(60)
+    grade, w, gaps = r.integers(0, 3, 12), r.normal(size=5), np.array([0.3, -0.4])
+
+    def plain(w, gaps):
+        theta, total = [gaps[0], gaps[0] + np.exp(gaps[1])], 0.0
+        for i in range(12):
+            z = sum(w[c] * v for d, c, v in zip(rows, cols, values) if d == i)
+            above = [1.0, *(1 / (1 + np.exp(t - z)) for t in theta), 0.0]
+            total -= np.log(above[grade[i]] - above[grade[i] + 1])
+        return total / 12 + 0.01 / 2 * float(w @ w)
+
+    loss, gw, gg = toxicity.likelihood(w, gaps, rows, cols, values, grade, 0.01)
+    assert abs(loss - plain(w, gaps)) < 1e-12
+    for at, g in ((w, gw), (gaps, gg)):
+        for i in range(len(at)):
+            up, down = at.copy(), at.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            step = (plain(up, gaps) - plain(down, gaps)) if at is w else (plain(w, up) - plain(w, down))
+            assert abs(g[i] - step / 2e-5) < 1e-7
+
+
+def test_toxicity_scores_against_the_formula(spark, write):
+    """Every severity from counts of words and stems, without the operator's own code."""
+    where, rows = labelled(spark, write)
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["severity"] for r in toxicity.score(docs, model).collect()}
+    for i, text in rows:
+        found = [w.strip(toxicity._EDGE) for w in words(text.lower())]
+        z = sum(model.weights.get(w, 0) for w in found) + sum(model.weights.get(w[:5] + "*", 0) for w in found if len(w) > 5)
+        z *= 10 / np.sqrt(len(found) + 50)
+        assert abs(got[i] - sum(1 / (1 + np.exp(t - z)) for t in model.thresholds)) < 1e-9
+    again = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' more') as text"))  # ids that repeat, with other texts
+    drawn, totals = toxicity.drawn_rows(again, labels, 50)
+    assert drawn.count() == sum(totals.values()) <= 100 and max(totals.values()) == 50
+    few = toxicity.fit(again, labels, rows=50)
+    assert len(few.thresholds) == 2 and few.thresholds[0] < few.thresholds[1]
+
+
 def test_ordinal_thresholds_are_ordered():
     rows, cols = np.arange(90), np.zeros(90, int)
     values = np.r_[np.zeros(30), np.ones(30), 2 * np.ones(30)]
@@ -425,6 +495,10 @@ def test_topk_against_brute_force(spark):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
+    huge = spark.createDataFrame([(50, [1e308, 1.0]), (51, [2.0, 1.0]), (100, [3.0, -1e200]), (101, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    got = [tuple(x) for x in topk.top_k(huge, huge.filter("vec_id % 50 = 0"), 5).orderBy("rank").collect()]
+    most = 2**63 - 1
+    assert got == [(100, 1, 51, -most - 1), (100, 2, 101, -most - 1)]
 
 
 # ---- 10
