@@ -56,15 +56,6 @@ PLACE = np.dtype([("d", "<i8"), ("line", "<i4")])
 ENTRY = np.dtype([("word", "<u8"), ("d", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8", (2,)), ("part", "<u8")])
 
 
-def pack(rows: np.ndarray) -> bytes:
-    """Rows as columns of bytes: constant ones vanish when Spark compresses a shuffle."""
-    return rows.view(np.uint8).reshape(len(rows), rows.itemsize).T.tobytes()
-
-
-def unpack(cell: bytes, kind: np.dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-
-
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
@@ -175,7 +166,7 @@ def distinct_lines(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFr
     schema, names = "share int, lines binary, words binary, gone binary", ["share", "lines", "words", "gone"]
 
     def row(share: int, lines: np.ndarray, words: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([share], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in (lines, words, gone))], names)
+        return pa.record_batch([pa.array([share], pa.int32()), *(pa.array([common.pack(x)], pa.binary()) for x in (lines, words, gone))], names)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, words, n, turn = [], [], 0, 0
@@ -211,10 +202,10 @@ def distinct_lines(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFr
         rows, words = [np.empty(0, LINE)], [np.empty(0, np.uint64)]
         for batch in batches:
             for x, w, gone in zip(*(batch.column(c).to_pylist() for c in names[1:]), strict=True):
-                rows.append(unpack(x, LINE))
-                words.append(unpack(w, np.dtype("<u8")))
+                rows.append(common.unpack(x, LINE))
+                words.append(common.unpack(w, np.dtype("<u8")))
                 if gone:
-                    yield row(0, rows[0], words[0], unpack(gone, PLACE))
+                    yield row(0, rows[0], words[0], common.unpack(gone, PLACE))
         first, prefix, gone = firsts(np.concatenate(rows), np.concatenate(words), percent)
         count = np.cumsum(_prefix(first["size"].astype(np.int64), percent))
         for at in range(0, len(first), HELD // 4):
@@ -229,7 +220,7 @@ def distinct_lines(keyed: DataFrame, rarity: np.ndarray, percent: int) -> DataFr
 def _entries(batch: pa.RecordBatch, percent: int) -> Iterator[np.ndarray]:
     """The ENTRY rows of each cell of ``lines`` and ``words``; part is the next word, by which a heavy word is split."""
     for x, w in zip(batch.column("lines").to_pylist(), batch.column("words").to_pylist(), strict=True):
-        rows, words = unpack(x, LINE), unpack(w, np.dtype("<u8"))
+        rows, words = common.unpack(x, LINE), common.unpack(w, np.dtype("<u8"))
         n = _prefix(rows["size"].astype(np.int64), percent)
         of = np.repeat(np.arange(len(rows)), n)
         out = np.zeros(len(of), ENTRY)
@@ -281,7 +272,7 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
                 e, share = e[order], share[order]
                 cuts = np.flatnonzero(np.diff(share)) + 1
                 if len(e):
-                    yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([pack(x) for x in np.split(e, cuts)], pa.binary())], ["share", "entries"])
+                    yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([common.pack(x) for x in np.split(e, cuts)], pa.binary())], ["share", "entries"])
 
     def search(e: np.ndarray) -> pa.RecordBatch:
         # words of one line only are no longer needed
@@ -339,7 +330,7 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
         return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "spare", "over"])
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = [unpack(x, ENTRY) for batch in batches for x in batch.column("entries").to_pylist()]
+        cells = [common.unpack(x, ENTRY) for batch in batches for x in batch.column("entries").to_pylist()]
         if cells:
             yield search(np.concatenate(cells))
 
@@ -487,7 +478,7 @@ def removed_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("gone").to_pylist():
-                gone = unpack(x, PLACE)
+                gone = common.unpack(x, PLACE)
                 yield pa.record_batch([pa.array(np.ascontiguousarray(gone[c])) for c in ("d", "line")], ["d", "line"])
 
     copies = distinct.filter(F.length("gone") > 0).select("gone").mapInArrow(places, "d bigint, line int")

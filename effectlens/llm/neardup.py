@@ -3,13 +3,11 @@
 Documents of one shingle set are one class.  Each class has VALUES MinHash
 values; each of TREES trees sorts all classes by its own order of these values
 (a range-partitioned sort, so that a dense region spreads over partitions).
-Candidates are neighbours in that order by longest common prefix: at least
-DEPTH values, and deeper where more than REGION classes share a prefix; the
-next neighbour in order always counts.  In SIGNED of the trees the rows carry
-their signatures: there all classes of a prefix, up to BACK rows apart, are
-compared by estimated similarity; small regions yield all pairs that may reach
-the threshold, dense ones the BEST partners of each class.  A class so has a
-bounded number of candidates, however large its group.
+Candidates are neighbours in that order by longest common prefix.  The prefix
+that counts is as deep as a region needs: the least depth from DEPTH on at which
+no more than REGION classes of those at hand share it; the next neighbour in
+order counts from DEPTH on.  A class so has a bounded number of candidates,
+however large its group.
 
 Candidates whose signatures agree too little to reach the threshold (five
 standard errors below it) are dropped.  The rest are confirmed on full shingle
@@ -24,6 +22,9 @@ last in it, and their classes are dealt to pairs of blocks; the sample decides
 the order and the salt only, never the result.  Pairs within one component are
 left out; the others are confirmed on full sets, block by block.
 
+A set is known by a 64-bit hash: among 1e10 different sets about three pairs
+would be taken for copies by chance.
+
 Cases: null text counts as empty; an empty set is linked with nothing and its
 document is kept; fewer words than a shingle are one shingle; repeated rows and
 copies share a class; rows of one id form one group; a null id has a null
@@ -43,10 +44,8 @@ from pyspark.sql import functions as F
 
 from effectlens.llm import common
 
-VALUES, TREES, KEY = 128, 32, 8
+VALUES, TREES, KEY = 64, 16, 8
 DEPTH, REGION, NEAR = 3, 64, 4
-#: Trees whose rows carry signatures; how far back a row is compared there, and how many of its best partners count in dense regions.
-SIGNED, BACK, BEST = 4, 1024, 8
 #: Classes of a common shingle that share a block, documents that are sampled for common shingles, common shingles at most,
 #: and classes in a block of confirmation.
 BLOCK, SAMPLED, COMMON, CONFIRMED = 500, 4000, 100_000, 1500
@@ -54,13 +53,19 @@ _FACTORS = np.random.default_rng(20240501).integers(1, 2**63, (2, VALUES), dtype
 _FACTORS[0] |= np.uint64(1)
 
 
-def shingles(text: str, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``k`` words, A-Z lower-cased."""
-    words = common.words_of(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-    if not words:
-        return np.empty(0, np.uint64)
-    h = common.word_hashes(words)
-    return np.unique(common.window_hashes(h, min(k, len(h))) + np.uint64(0 if len(h) >= k else len(h)))
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of the runs of ``k`` words, A-Z lower-cased."""
+    w = common.hashed_words(column, lower=True, both=False)
+    every = common.window_hashes(w.a, k)
+    begin = np.r_[0, w.ends[:-1]]
+    out = []
+    for b, e in zip(begin.tolist(), w.ends.tolist(), strict=True):
+        if e - b >= k:
+            x = np.sort(every[b : e - k + 1])
+            out.append(x[np.r_[True, x[1:] != x[:-1]]])
+        else:  # the whole sequence as one
+            out.append(common.window_hashes(w.a[b:e], e - b) + np.uint64(e - b) if e > b else np.empty(0, np.uint64))
+    return out
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -80,7 +85,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     some = docs.select(t.alias("t"), "text").filter(F.pmod("t", F.lit(share)) == 0).dropDuplicates(["t"])
 
     def spell(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.concatenate([shingles(x, k) for x in common.texts(part)]).view(np.int64))], ["x"])
+        return pa.record_batch([pa.array(np.concatenate(shingle_sets(part.column("text"), k)).view(np.int64))], ["x"])
 
     counts = some.select("text").mapInArrow(common.per_slice(spell), "x bigint").groupBy("x").count()
     rows = counts.filter(F.col("count") >= max(3, BLOCK // share)).orderBy(F.desc("count"), "x").limit(COMMON).collect()
@@ -114,8 +119,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Broadc
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
         n, node, sig, heads, counts = [], [], [], [], []
-        for text in common.texts(part):
-            s = shingles(text, k)
+        for s in shingle_sets(part.column("text"), k):
             n.append(len(s))
             with np.errstate(over="ignore"):
                 total = common.mix(np.array([common.mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]
@@ -136,17 +140,19 @@ def _neighbours(tree: np.ndarray, key: np.ndarray, node: np.ndarray, n: np.ndarr
     size = len(node)
     if size < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.r_[True, (tree[1:] != tree[:-1]) | (key[1:, :DEPTH] != key[:-1, :DEPTH]).any(axis=1)]
-    region = np.cumsum(new) - 1
-    dense = np.bincount(region)[region] > REGION
+    # how deep a row must agree with another: until few enough share the prefix
+    need = np.full(size, KEY, np.int64)
+    for depth in range(KEY - 1, DEPTH - 1, -1):
+        new = np.r_[True, (tree[1:] != tree[:-1]) | (key[1:, :depth] != key[:-1, :depth]).any(axis=1)]
+        region = np.cumsum(new) - 1
+        need[np.bincount(region)[region] <= REGION] = depth
     for step in range(1, NEAR + 1):
         if step >= size:
             break
         a, b = np.arange(size - step), np.arange(step, size)
         same = (key[a] == key[b]) & (tree[a] == tree[b])[:, None]
         prefix = np.cumprod(same, axis=1).sum(axis=1)
-        need = np.where(dense[a] & (step > 1), DEPTH + 3, DEPTH)
-        ok = (prefix >= need) & (b >= fresh) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-9)
+        ok = (prefix >= (need[a] if step > 1 else DEPTH)) & (b >= fresh) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-9)
         left.append(a[ok])
         right.append(b[ok])
     return np.concatenate(left), np.concatenate(right)
@@ -213,67 +219,6 @@ def candidates(classes: DataFrame, ratio: float) -> DataFrame:
     return found.filter("side is null").select("a", "b").unionByName(border).filter("a <> b").distinct()
 
 
-def best_partners(classes: DataFrame, least: float) -> DataFrame:
-    """a, b (a < b): pairs of one region whose signatures agree enough."""
-    spark = classes.sparkSession
-    wrapped = F.concat("sig", F.substring("sig", 1, 2 * KEY))
-    step = 2 * VALUES // SIGNED
-    per_tree = F.transform(F.sequence(F.lit(0), F.lit(SIGNED - 1)), lambda t: F.struct(t.alias("tree"), F.substring(wrapped, t * step + 1, F.lit(2 * KEY)).alias("key")))
-    rows = classes.select("node", "sig", F.explode(per_tree).alias("x")).select("x.tree", "x.key", "node", "sig")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-
-    def search(tree: np.ndarray, key: np.ndarray, node: np.ndarray, sig: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(node)
-        new = np.r_[True, (tree[1:] != tree[:-1]) | (key[1:, :DEPTH] != key[:-1, :DEPTH]).any(axis=1)]
-        region = np.cumsum(new) - 1
-        place = np.arange(n) - np.flatnonzero(new)[region]
-        dense = np.bincount(region)[region] > REGION
-        best, how = np.full((BEST, n), -1, np.int64), np.zeros((BEST, n), np.float32)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def offer(i: np.ndarray, j: np.ndarray, same: np.ndarray) -> None:
-            slot = np.argmin(how[:, i], axis=0)
-            better = same > how[slot, i]
-            i, slot = i[better], slot[better]
-            best[slot, i], how[slot, i] = j[better], same[better]
-
-        live, back = np.flatnonzero((place > 0) & (np.arange(n) >= fresh)), 1
-        while len(live) and back <= BACK:
-            for at in range(0, len(live), 20_000):
-                i = live[at : at + 20_000]
-                same = (sig[i] == sig[i - back]).mean(axis=1, dtype=np.float32)
-                ok = same >= least
-                i, same = i[ok], same[ok]
-                few = ~dense[i]
-                found.append((i[few] - back, i[few]))
-                i, same = i[~few], same[~few]
-                offer(i, i - back, same)
-                offer(i - back, i, same)
-            back += 1
-            live = live[place[live] >= back]
-        slot, i = np.nonzero(best >= 0)
-        found.append((best[slot, i], i))
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            read = lambda c, w: np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, w)  # noqa: B023, E731
-            x = [batch.column(0).to_numpy(zero_copy_only=False), read(1, KEY), batch.column(2).to_numpy(zero_copy_only=False), read(3, VALUES)]
-            fresh = len(carry[2]) if carry else 0
-            both = [np.concatenate(p) for p in zip(carry, x, strict=True)] if carry else x
-            a, b = search(*both, fresh)
-            if len(a):
-                a, b = both[2][a], both[2][b]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            carry = [c[-BACK:] for c in both]
-
-    return rows.mapInArrow(link, "a bigint, b bigint").filter("a <> b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label: connected components of (a, b), by alternating large and small stars."""
     e = common.staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
@@ -291,80 +236,97 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    inter = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * inter >= percent * (len(both) - inter)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
     def verify(part: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-        kept: tuple[list, list] = ([], [])
-        known: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for x, y, tx, ty in zip(a, b, part.column("text").to_pylist(), part.column("other").to_pylist(), strict=True):
-            if known[0] != x:
-                known = (x, shingles(tx or "", k))
-            s, t = known[1], shingles(ty or "", k)
-            inter = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * inter >= percent * (len(s) + len(t) - inter):
-                kept[0].append(x)
-                kept[1].append(y)
-        return pa.record_batch([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64())], ["a", "b"])
+        sets, others = shingle_sets(part.column("text"), k), shingle_sets(part.column("other"), k)
+        ok = pa.array([_alike(x, y, percent) for x, y in zip(sets, others, strict=True)], pa.bool_())
+        return part.select(["a", "b"]).filter(ok)
 
     one = texts.select(F.col("node").alias("b"), F.col("text").alias("other"))
     two = texts.select(F.col("node").alias("a"), "text")
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text", "other").mapInArrow(common.per_slice(verify), "a bigint, b bigint")
 
 
+#: One shingle of a set's head: the shingle, or a pair of blocks of it; size of the set, place in its order, side of the blocks, class and its label (0: its own).
+HEAD = np.dtype([("key", "<u8"), ("n", "<u4"), ("place", "<u4"), ("side", "u1"), ("node", "<i8"), ("label", "<i8")])
+
+
 def sharing(classes: DataFrame, known: Broadcast, percent: int) -> DataFrame:
     """a, b (a < b): all pairs of (node, n, head, label) of two labels that share a shingle of their heads and may reach the threshold."""
     spark = classes.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def spread(part: pa.RecordBatch) -> np.ndarray:
+        """HEAD rows of some classes."""
+        node, n, label = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "label"))
+        heads = [np.frombuffer(h, np.uint64) for h in part.column("head").to_pylist()]
+        size = np.array([len(h) for h in heads])
+        x, of = np.concatenate(heads), np.repeat(np.arange(len(heads)), size)
+        place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+        m = np.maximum(1, -(-times(x, known.value) // BLOCK))  # blocks of a common shingle
+        at = np.repeat(np.arange(len(x)), m)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+        m, of = m[at], of[at]
+        own = node[of] % m
+        out = np.zeros(len(at), HEAD)
+        with np.errstate(over="ignore"):
+            both = common.mix(x[at] + common.mix((np.minimum(own, other) * m + np.maximum(own, other) + 1).astype(np.uint64)))
+        out["key"] = np.where(m > 1, both, x[at])
+        out["side"] = np.where(own == other, 2, np.where(own < other, 0, 1))
+        out["n"], out["place"], out["node"] = n[of], place[at], node[of]
+        out["label"] = np.where(label[of] == node[of], 0, label[of])
+        return out
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for node, n, h, label in zip(*(part.column(c).to_pylist() for c in ("node", "n", "head", "label")), strict=True):
-                    x = np.frombuffer(h, np.uint64)
-                    size = (n << 32) + np.arange(len(x))  # the size of the set, and the place in its order
-                    blocks = -(-times(x, known.value) // BLOCK)
-                    few = blocks <= 1
-                    mine = [(x[few].view(np.int64), size[few], np.full(int(few.sum()), 2))]
-                    for i in np.flatnonzero(~few).tolist():
-                        m = int(blocks[i])
-                        own, other = node % m, np.arange(m)
-                        with np.errstate(over="ignore"):
-                            both = common.mix(x[i] + common.mix((np.minimum(own, other) * m + np.maximum(own, other) + 1).astype(np.uint64)))
-                        mine.append((both.view(np.int64), np.full(m, size[i]), np.where(other == own, 2, np.where(own < other, 0, 1))))
-                    for c, v in zip(cols, (*(np.concatenate(c) for c in zip(*mine, strict=True)), node, label), strict=True):
-                        c.append(v if isinstance(v, np.ndarray) else np.full(sum(len(y[0]) for y in mine), v))
-                if cols[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["key", "size", "side", "node", "label"])
+            for at in range(0, batch.num_rows, 1000):
+                rows = spread(batch.slice(at, 1000))
+                share = (rows["key"] % np.uint64(4 * parts)).astype(np.int64)
+                order = np.argsort(share, kind="stable")
+                rows, share = rows[order], share[order]
+                cuts = np.flatnonzero(np.diff(share)) + 1
+                if len(rows):
+                    yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([common.pack(x) for x in np.split(rows, cuts)], pa.binary())], ["share", "rows"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-        for batch in batches:
-            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(x[0]):
-                continue
-            fresh = len(carry[0]) if carry else 0
-            key, size, side, node, label = both = [np.concatenate(p) for p in zip(carry, x, strict=True)] if carry else x
-            n, place = size >> 32, size & 0xFFFFFFFF
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            before = np.arange(len(key)) - np.repeat(begin, np.diff(np.r_[begin, len(key)]))
-            live, back = np.flatnonzero((before > 0) & (np.arange(len(key)) >= fresh)), 1
-            while len(live):
-                i, j = live, live - back
-                rest = np.minimum(n[i] - place[i], n[j] - place[j])  # what two sets can share from here on
-                ok = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j])) & ((100 + percent) * rest >= percent * (n[i] + n[j]))
-                a, b = node[i[ok]], node[j[ok]]
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                back += 1
-                live = live[before[live] >= back]
-            carry = [c[begin[-1] :] for c in both]
+        cells = [common.unpack(x, HEAD) for batch in batches for x in batch.column("rows").to_pylist()]
+        if not cells:
+            return
+        rows = np.concatenate(cells)
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        again = np.zeros(len(rows), bool)
+        again[1:] = key[1:] == key[:-1]
+        rows = rows[order[again | np.r_[again[1:], False]]]  # shingles of one class only are no longer needed
+        rows = rows[np.lexsort((rows["n"], rows["key"]))]
+        n, place, side, node = (rows[c].astype(np.int64) for c in ("n", "place", "side", "node"))
+        label = np.where(rows["label"] == 0, node, rows["label"])
+        new = np.ones(len(rows), bool)
+        new[1:] = rows["key"][1:] != rows["key"][:-1]
+        group = np.cumsum(new) << 32
+        # sets of a shingle by size: those before a set that are large enough for it
+        first = np.searchsorted(group + n, group - (-percent * n // 100))
+        live, back = np.flatnonzero(np.arange(len(n)) > first), 1
+        while len(live):
+            i, j = live, live - back
+            rest = np.minimum(n[i] - place[i], n[j] - place[j])  # what two sets can share from here on
+            ok = (label[i] != label[j]) & ((side[i] == 2) | (side[i] != side[j])) & ((100 + percent) * rest >= percent * (n[i] + n[j]))
+            a, b = node[i[ok]], node[j[ok]]
+            if len(a):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            back += 1
+            live = live[live - first[live] >= back]
 
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = classes.select("node", "n", "head", "label").mapInArrow(deal, "key bigint, size bigint, side bigint, node bigint, label bigint")
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    rows = classes.select("node", "n", "head", "label").mapInArrow(deal, "share int, rows binary")
+    return rows.repartition(4 * parts, "share").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -391,7 +353,9 @@ def confirmed_in_blocks(pairs: DataFrame, texts: DataFrame, k: int, percent: int
     sides = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node").select(F.col("block").alias("of"), "node", "text")
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {x: shingles(t or "", k) for x, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist(), strict=True)}
+        sets = {}
+        for part in right.to_batches(max_chunksize=200):
+            sets |= dict(zip(part.column("node").to_pylist(), shingle_sets(part.column("text"), k), strict=True))
         up = {x: x for x in sets}
 
         def top(x: int) -> int:
@@ -403,9 +367,7 @@ def confirmed_in_blocks(pairs: DataFrame, texts: DataFrame, k: int, percent: int
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
             x, y = top(a), top(b)
             if x != y:
-                s, t = sets[a], sets[b]
-                inter = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * inter >= percent * (len(s) + len(t) - inter):
+                if _alike(sets[a], sets[b], percent):
                     up[x] = y
                     kept[0].append(a)
                     kept[1].append(b)
@@ -429,7 +391,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = filled.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "t")).alias("x"), F.min(F.struct("sig", "head", "sketch")).alias("y"))
     classes = common.staged(classes.select("node", "n", "x.t", F.col("x.doc_id").alias("first"), "y.sig", "y.head", "y.sketch"), "classes")
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / VALUES) ** 0.5
-    pairs = candidates(classes, percent / 100).union(best_partners(classes, least)).distinct()
+    pairs = candidates(classes, percent / 100)
 
     def agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
