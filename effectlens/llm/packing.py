@@ -154,13 +154,13 @@ def crossover(a: Packing, b: Packing, counts: dict[int, int], capacity: int, rng
             for x, m in need.items():
                 left[x] -= n * m
 
-    full = sorted(b, key=lambda p: (-sum(p), p))
+    full, share = sorted(b, key=lambda p: (-sum(p), p)), rng.choice((0.05, 0.2, 0.5))
     for p in full[: max(1, len(full) // 2)]:
-        if rng.random() < 0.5:
+        if rng.random() < share:
             take(p, rng.randint(1, b[p]))
-    # of the other parent the worst-filled bins are dissolved too, so that there are pieces to move
+    # of the other parent more or fewer of the worst-filled bins are dissolved too, so that there are pieces to move
     other = sorted(a, key=lambda p: (-sum(p), rng.random()))
-    for p in other[: max(1, int(len(other) * rng.uniform(0.75, 1.0)))]:
+    for p in other[: int(len(other) * rng.random())]:
         take(p, a[p])
     replace(child, left, capacity)
     return best_fit({x: n for x, n in left.items() if n > 0}, child, capacity)
@@ -178,8 +178,9 @@ def evolve(counts: dict[int, int], elites: list[Packing], capacity: int, seed: i
     if bred and better(bred[0])[0] <= bound:
         return bred[0], 0
     people = list(elites)
-    while len(people) < population:
-        people.append(best_fit(counts, {}, capacity, sorted(counts, key=lambda x: -x * rng.uniform(0.7, 1.4))))
+    while len(people) < population:  # orders by length, more or less disturbed
+        stir = rng.choice((0.0, 0.02, 0.05, 0.1, 0.2, 0.4))
+        people.append(best_fit(counts, {}, capacity, sorted(counts, key=lambda x: -x * rng.uniform(1 - stir, 1 + stir))))
     done = 0
     while done < generations and not (bred and better(bred[0])[0] <= bound):
         done += 1
@@ -195,7 +196,7 @@ def evolve(counts: dict[int, int], elites: list[Packing], capacity: int, seed: i
         people = sorted({tuple(sorted(p.items())): p for p in [*people, *children]}.values(), key=better)[:population]
         if len(people) < 2:
             break
-    return (bred or people)[0], done
+    return min([*bred, *people], key=lambda p: better(p)[0]), done  # of as few bins, the bred one
 
 
 def _dump(p: Packing) -> bytes:
