@@ -41,7 +41,7 @@ from effectlens.llm import common
 
 PERCENT, BUCKETS = 80, 1 << 18
 #: Passing pairs of a line and word that are looked at, and candidates of a line that are verified, before all of them are.
-QUOTA, TRIED = 16, 3
+QUOTA, TRIED = 32, 6
 #: Lines of a task that copies are sought in before the shuffle, lines of a block, and the share of entries from which a word is split.
 HELD, BLOCK, HEAVY = 100_000, 2048, 20_000
 #: Places in a map of lines, documents or words that are asked for; beyond its capacity it lets more through, never less.
@@ -290,42 +290,38 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
         new = np.ones(n, bool)
         new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["part"][1:] != e["part"][:-1])
         group = np.cumsum(new) << 32
-        # lines of a word by size: those before a line that are long enough for it
-        first = np.searchsorted(group + size, group + _need(size, percent))
-        live, step = np.flatnonzero(np.arange(n) > first), 1
-        taken, more = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        # lines of a word stand by size: every line looks back and ahead for earlier ones of fitting size
+        every = np.arange(n)
+        back = every - np.searchsorted(group + size, group + _need(size, percent))
+        ahead = np.searchsorted(group + size, group + size * 100 // percent, side="right") - 1 - every
+        taken = np.zeros(n, np.int64)
         found: list[np.ndarray] = []
-        while len(live):
-            i, j = live, live - step
-            total = size[i] + size[j]
-            shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
-            ok = np.flatnonzero(np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= shared)
-            i, j = i[ok], j[ok]
-            spare = total[ok] - 2 * shared[ok] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
-            ok = spare >= 0
-            i, j = i[ok], j[ok]
-            taken[i] += 1
-            late = when[i] > when[j]
-            found.append(np.stack([np.where(late, i, j), np.where(late, j, i), spare[ok]]))
-            step += 1
-            live = live[live - first[live] >= step]
-            full = live[taken[live] >= QUOTA]
-            if len(full):  # what lies further back isn't looked at here
-                np.add.at(more, first[full], 1)
-                np.add.at(more, full - step + 1, -1)
-                more[full] += 1
-                more[full + 1] -= 1
+        for sign, far in ((-1, back), (1, ahead)):
+            live, step = np.flatnonzero(far > 0), 1
+            while len(live):
                 live = live[taken[live] < QUOTA]
+                i, j = live, live + sign * step
+                ok = when[j] < when[i]
+                i, j = i[ok], j[ok]
+                total = size[i] + size[j]
+                shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
+                ok = np.flatnonzero(np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= shared)
+                i, j = i[ok], j[ok]
+                spare = total[ok] - 2 * shared[ok] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
+                ok = spare >= 0
+                taken[i[ok]] += 1
+                found.append(np.stack([i[ok], j[ok], spare[ok]]))
+                step += 1
+                live = live[far[live] >= step]
         i, j, spare = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
         # the most alike ones of each line and word
         order = np.lexsort((j, -spare, i))
         i, j, spare = i[order], j[order], spare[order]
         place = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0)) if len(i) else i
-        over = np.bincount(i, minlength=n) > TRIED
+        over = taken > TRIED
         i, j, spare = (x[place < TRIED] for x in (i, j, spare))
         cols = [d[i], line[i], d[j], line[j], spare.astype(np.int32), over[i]]
-        # lines that may have partners out of sight: in other parts of a split word, or further back
-        rest = np.flatnonzero((e["part"] > 0) | (np.cumsum(more)[:-1] > 0))
+        rest = np.flatnonzero(e["part"] > 0)  # a split word may have partners in other parts
         cols = [np.concatenate([x, y]) for x, y in zip(cols, (d[rest], line[rest], d[rest], line[rest], np.full(len(rest), -1, np.int32), np.ones(len(rest), bool)), strict=True)]
         return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "spare", "over"])
 
