@@ -41,7 +41,7 @@ class Evidence:
         p = self.pred.select(*KEY, F.col("log2_fold_change").alias("lp"), F.col("p_adj").alias("pp"), F.col("p_value").alias("vp"), F.lit(True).alias("tp"))
         own = self.own.select(*KEY, F.lit(True).alias("own"))
         no = F.lit(False)
-        both = r.join(p, KEY, "full").join(F.broadcast(own), KEY, "left")  # at most one row a perturbation
+        both = r.join(p, KEY, "full").join(own, KEY, "left")
         both = both.select(*KEY, "lr", "pr", "lp", "pp", "vp", *[F.coalesce(c, no).alias(c) for c in ("tr", "tp", "own")], self.significant("pr").alias("sr"), self.significant("pp").alias("sp"))
         return staging.written(both, "joint")
 
@@ -212,7 +212,7 @@ def _longest(rows: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
 
 def reference_stats(e: Evidence) -> DataFrame:
     """target, n_conf, q, d from the measured side, own gene out."""
-    sig = e.real.filter(e.significant("p_adj")).join(F.broadcast(e.own.select(*KEY)), KEY, "left_anti")
+    sig = e.real.filter(e.significant("p_adj")).join(e.own.select(*KEY), KEY, "left_anti")
     lfc = F.col("log2_fold_change")
     den = numeric.defined(lfc)
     g = sig.groupBy("target").agg(F.count("*").alias("n_conf"), F.sum(den.cast("int")).alias("votes"), F.sum((den & (lfc > 0)).cast("int")).alias("pos"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def generic_response(profile: DataFrame, own: DataFrame, control: int, value: str) -> DataFrame:
     """gene, g: mean over measured perturbations, each gene without the one that targets it."""
     rows = profile.filter((F.col("side") == 0) & (F.col("pert") != control))
-    return rows.join(F.broadcast(own), ["pert", "gene"], "left_anti").groupBy("gene").agg(F.avg(value).alias("g"))
+    return rows.join(own, ["pert", "gene"], "left_anti").groupBy("gene").agg(F.avg(value).alias("g"))
 
 
 def tiled(profile: DataFrame, generic: DataFrame, control: int, value: str) -> DataFrame:

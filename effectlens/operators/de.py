@@ -11,14 +11,14 @@ from effectlens.functions import numeric
 KEY = ["target", "feature"]
 
 
-def rank_sum(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: int) -> DataFrame:
-    """side, pert, gene, z, p_value: every target against the measured control, zeros as one tie.
+def rank_sum(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: int, control_side: int = 0) -> DataFrame:
+    """side, pert, gene, z, p_value: every target against the control of ``control_side``, zeros as one tie.
 
     The control isn't copied to each target: within a gene, running counts of
     control values meet the targets' distinct values in one ordered pass.
     """
     v = values.select("side", "pert", "gene", "v")
-    ctrl = v.filter((F.col("side") == 0) & (F.col("pert") == control)).groupBy("gene", "v").agg(F.count("*").alias("c"))
+    ctrl = v.filter((F.col("side") == control_side) & (F.col("pert") == control)).groupBy("gene", "v").agg(F.count("*").alias("c"))
     tgt = v.filter(F.col("pert") != control).groupBy("side", "pert", "gene", "v").agg(F.count("*").alias("t"))
     none = F.lit(None).cast("int")
     rows = tgt.withColumn("c", F.lit(0).cast("bigint")).unionByName(ctrl.select(none.alias("side"), none.alias("pert"), "gene", "v", F.lit(0).cast("bigint").alias("t"), "c"))
@@ -31,7 +31,7 @@ def rank_sum(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: i
         F.sum(d("t") * (d("lt") + d("eq") / 2)).alias("u"), F.sum("t").alias("nz"), F.sum(cube(d("t") + d("eq")) - cube(d("eq"))).alias("ties")
     )
     base = ctrl.groupBy("gene").agg(F.sum("c").alias("cnz"), F.sum(cube(d("c"))).alias("cties"))
-    n2 = sizes.filter((F.col("side") == 0) & (F.col("pert") == control)).select(F.col("n").alias("n2"))
+    n2 = sizes.filter((F.col("side") == control_side) & (F.col("pert") == control)).select(F.col("n").alias("n2"))
     grid = profile.filter(F.col("pert") != control).select("side", "pert", "gene", F.col("n").alias("n1"))
     full = grid.join(part, ["side", "pert", "gene"], "left").join(base, "gene", "left").join(F.broadcast(n2), F.lit(True)).fillna(0)
     zt, zc = d("n1") - d("nz"), d("n2") - d("cnz")
@@ -55,16 +55,26 @@ def benjamini_hochberg(df: DataFrame, p: str, scope: list[str], order: list[str]
     return ranked.withColumn("p_adj", F.when(usable, F.least(F.lit(1.0), F.min("_step").over(down))).otherwise(F.col(p))).drop("_step")
 
 
-def de_table(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: int, epsilon: float = 1e-9, cpm_gate: float = 5.0, scope: str = "per_pert", clip: float | None = None, mean: str = "normalized") -> DataFrame:
-    """side, target, feature, log2_fold_change, p_value, p_adj of both sides against the measured control."""
-    ref = profile.filter((F.col("side") == 0) & (F.col("pert") == control)).select("gene", F.col(mean).alias("ref"), F.col("normalized").alias("cpm"))
-    lfc = profile.filter(F.col("pert") != control).join(ref, "gene")
-    if cpm_gate >= 0:  # reference cells only, so a prediction can't move it
-        lfc = lfc.filter(F.col("cpm") > cpm_gate)
-    lfc = lfc.select("side", "pert", "gene", numeric.log2_ratio(F.col(mean), F.col("ref"), epsilon, clip).alias("log2_fold_change"))
-    joined = lfc.join(rank_sum(values, sizes, profile, control), ["side", "pert", "gene"])
-    joined = joined.select("side", F.col("pert").alias("target"), F.col("gene").alias("feature"), "log2_fold_change", "p_value")
-    return benjamini_hochberg(joined, "p_value", ["side", "target"] if scope == "per_pert" else ["side"], ["target", "feature"])
+def gated_genes(profile: DataFrame, control: int, least: float) -> DataFrame:
+    """gene, cpm, kept: counts per million of the measured control cells, which no prediction can move, above the gate or not."""
+    ref = profile.filter((F.col("side") == 0) & (F.col("pert") == control))
+    return ref.select("gene", F.col("normalized").alias("cpm"), (F.col("normalized") > least).alias("kept"))
+
+
+def de_table(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: int, epsilon: float = 1e-9, cpm_gate: float = 5.0, scope: str = "per_pert", clip: float | None = None, mean: str = "normalized", control_source: str = "real") -> DataFrame:
+    """side, target, feature, log2_fold_change, p_value, p_adj of both sides, against the measured control or (``pred``) each side's own."""
+    out = None
+    for side, of in ((None, 0),) if control_source == "real" else ((0, 0), (1, 1)):
+        mine = lambda df: df if side is None else df.filter(F.col("side") == side)  # noqa: B023, E731
+        ref = profile.filter((F.col("side") == of) & (F.col("pert") == control)).select("gene", F.col(mean).alias("ref"))
+        lfc = mine(profile.filter(F.col("pert") != control)).join(ref, "gene")
+        lfc = lfc.select("side", "pert", "gene", numeric.log2_ratio(F.col(mean), F.col("ref"), epsilon, clip).alias("log2_fold_change"))
+        part = lfc.join(mine(rank_sum(mine(values) if side is not None else values, sizes, profile, control, of)), ["side", "pert", "gene"])
+        out = part if out is None else out.unionByName(part)
+    if cpm_gate >= 0:
+        out = out.join(gated_genes(profile, control, cpm_gate).filter("kept").select("gene"), "gene", "left_semi")
+    out = out.select("side", F.col("pert").alias("target"), F.col("gene").alias("feature"), "log2_fold_change", "p_value")
+    return benjamini_hochberg(out, "p_value", ["side", "target"] if scope == "per_pert" else ["side"], ["target", "feature"])
 
 
 def apply_policies(de: DataFrame, nan_lfc: str = "mask", min_abs_lfc: float = 0.0) -> DataFrame:

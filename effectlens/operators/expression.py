@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,8 @@ from pyspark.sql.window import Window
 from effectlens.functions import numeric
 from effectlens.operators import profiles
 
+#: Perturbations of a block of distances.
+BLOCK = 1024
 
 def paired(profile: DataFrame, value: str, control: int, control_source: str = "real") -> DataFrame:
     """pert, gene, p, r, c, cp: predicted and measured profile, measured control, and the control of the prediction."""
@@ -30,26 +35,38 @@ def errors(profile: DataFrame, value: str, control: int, control_source: str = "
     )
 
 
-def unbiased(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, value: str = "bulk") -> DataFrame:
-    """pert, expr_mse_unbiased, expr_mse_unbiased_capped, expr_distance_unbiased; own genes leave the distances."""
-    rows = paired(profile, value, control).join(F.broadcast(own.withColumn("own", F.lit(True))), ["pert", "gene"], "left")
+def _corrected(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of pairs with ``use`` (0 for own genes); and one row a perturbation: err, gap, g, jp, jr, jc."""
+    rows = paired(profile, value, control).join(own.withColumn("own", F.lit(True)), ["pert", "gene"], "left")
     rows = rows.withColumn("use", F.when(F.col("own"), 0.0).otherwise(1.0))
     sq: Column = lambda c: F.sum(F.col("use") * c * c)
     dist = rows.groupBy("pert").agg(sq(F.col("p") - F.col("r")).alias("err"), sq(F.col("r") - F.col("c")).alias("gap"), F.sum("use").alias("g"))
     j = lambda s, name: jk.filter((F.col("side") == s) & (F.col("pert") != control)).select("pert", F.col("jk").alias(name))
     ctrl = jk.filter((F.col("side") == 0) & (F.col("pert") == control)).select(F.col("jk").alias("jc"))
-    dist = dist.join(j(1, "jp"), "pert").join(j(0, "jr"), "pert").join(F.broadcast(ctrl), F.lit(True))  # one row
-    # the budget of sampling correction: weighted scatter of predictions across perturbations
+    return rows, dist.join(j(1, "jp"), "pert").join(j(0, "jr"), "pert").join(F.broadcast(ctrl), F.lit(True))  # one row
+
+
+def correction_budget(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, value: str = "bulk") -> DataFrame:
+    """budget, claim (one row): the weighted scatter of predictions across perturbations, and what sampling correction asks of it."""
+    rows, dist = _corrected(profile, jk, own, control, value)
     weights = rows.groupBy("pert").agg(F.sum("use").alias("g")).select("pert", (1 / F.col("g")).alias("w"))
     mean = rows.groupBy("gene").agg(F.avg("p").alias("mean"))
     dev = rows.join(weights, "pert").join(mean, "gene").filter("use = 1").withColumn("v", F.col("p") - F.col("mean"))
     w, v = F.col("w"), F.col("v")
     per = dev.groupBy("gene").agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * v).alias("s1"), F.sum(w * v * v).alias("s2")).filter("n >= 2 and sw > 0")
     budget = per.agg(F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / F.col("sw"))), F.lit(0.0)).alias("budget"))
+    return budget.join(dist.agg(F.sum(F.least("jp", "jr") / F.col("g")).alias("claim")), F.lit(True))
+
+
+def unbiased(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, value: str = "bulk", budget: DataFrame | None = None) -> DataFrame:
+    """pert, expr_mse_unbiased, expr_mse_unbiased_capped, expr_distance_unbiased; own genes leave the distances.
+
+    ``budget`` is that of the whole panel where ``profile`` holds a part of it.
+    """
+    _, dist = _corrected(profile, jk, own, control, value)
     term = F.least("jp", "jr")
-    claim = dist.agg(F.sum(term / F.col("g")).alias("claim"))
     scale = F.when(F.col("claim") > 0, F.least(F.lit(1.0), F.try_divide("budget", "claim"))).otherwise(1.0)
-    out = dist.join(F.broadcast(budget), F.lit(True)).join(F.broadcast(claim), F.lit(True))  # one row each
+    out = dist.join(F.broadcast(budget or correction_budget(profile, jk, own, control, value)), F.lit(True))  # one row
     return out.select(
         "pert", ((F.col("err") - F.col("jp") - F.col("jr")) / F.col("g")).alias("expr_mse_unbiased"),
         ((F.col("err") - term * scale - F.col("jr")) / F.col("g")).alias("expr_mse_unbiased_capped"),
@@ -57,26 +74,69 @@ def unbiased(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, va
     )
 
 
-def distances(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, drop: str | None = None) -> DataFrame:
+def distances(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, block: int = BLOCK) -> DataFrame:
     """pert, other, l1, l2, cosine: each predicted effect to each measured one.
 
-    Pairs meet gene by gene in an equi-join and are summed at once, so a partial
-    aggregate of P x P rows is what a task holds.  ``panel`` removes all own
-    genes first, ``row`` the predicted perturbation's own one.
+    Effects travel as one vector a perturbation, in blocks of about ``block``;
+    each pair of blocks is one task of matrix work, so that what is shuffled grows
+    with P x P / block vectors and no gene is a key.  ``panel`` removes all own
+    genes first, ``row`` the predicted perturbation's own ones.
     """
+    spark = profile.sparkSession
     e = profiles.effects(profile, value, control)
     if scope == "panel":
-        e = e.join(F.broadcast(own.select("gene").distinct()), "gene", "left_anti")
-    pred = e.filter("side = 1").select("pert", "gene", F.col("e").alias("a"))
-    real = e.filter("side = 0").select(F.col("pert").alias("other"), "gene", F.col("e").alias("b"))
-    pairs = pred.join(real, "gene")
+        e = e.join(own.select("gene").distinct(), "gene", "left_anti")
+    cells = F.sort_array(F.collect_list(F.struct("gene", "e")))
+    vectors = e.groupBy("side", "pert").agg(cells.alias("x")).select("side", "pert", F.col("x.gene").alias("genes"), F.col("x.e").alias("effects"))
+    m = max(1, -(-vectors.filter("side = 0").count() // block))
+    vectors = vectors.withColumn("own_block", F.pmod(F.xxhash64("pert"), F.lit(m)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    pred = vectors.filter("side = 1")
     if scope == "row":
-        pairs = pairs.join(F.broadcast(own), ["pert", "gene"], "left_anti")
-    a, b = F.col("a"), F.col("b")
-    g = pairs.groupBy("pert", "other").agg(F.sum(F.abs(a - b)).alias("l1"), F.sum((a - b) * (a - b)).alias("ss"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
-    norm = F.sqrt(F.col("aa") * F.col("bb"))
-    cosine = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - F.try_divide("ab", norm)))).otherwise(1.0)
-    return g.select("pert", "other", "l1", F.sqrt(F.greatest(F.lit(0.0), F.col("ss"))).alias("l2"), cosine.alias("cosine"))
+        pred = pred.join(own.groupBy("pert").agg(F.collect_list("gene").alias("own")), "pert", "left")
+    else:
+        pred = pred.withColumn("own", F.lit(None).cast("array<int>"))
+    pred = pred.select("pert", "genes", "effects", "own", F.col("own_block").alias("i"), every.alias("j"))
+    real = vectors.filter("side = 0").select(*[F.col(c).alias(c) for c in ("pert", "genes", "effects")], every.alias("i"), F.col("own_block").alias("j"))
+
+    def only(t: pa.Table, genes: np.ndarray) -> pa.Table:
+        """The vectors of a table on some genes."""
+        flat = pc.list_flatten(t.column("genes")).to_numpy()
+        keep = np.isin(flat, genes)
+        if keep.all():
+            return t
+        of = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("genes")).to_numpy())
+        at = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=t.num_rows))].astype(np.int32)
+        cut = lambda c: pa.ListArray.from_arrays(pa.array(at), pa.array(pc.list_flatten(t.column(c)).to_numpy()[keep]))
+        return t.select(["pert", *[c for c in ("own",) if c in t.column_names]]).append_column("genes", cut("genes")).append_column("effects", cut("effects"))
+
+    def matrix(t: pa.Table, genes: np.ndarray) -> np.ndarray:
+        out = np.zeros((t.num_rows, len(genes)))
+        of = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("genes")).to_numpy())
+        out[of, np.searchsorted(genes, pc.list_flatten(t.column("genes")).to_numpy())] = pc.list_flatten(t.column("effects")).to_numpy()
+        return out
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("pert", left.schema.field("pert").type), ("other", left.schema.field("pert").type), ("l1", pa.float64()), ("l2", pa.float64()), ("cosine", pa.float64()))})
+        # genes of one side only have no partner to differ from
+        genes = np.intersect1d(pc.list_flatten(left.column("genes")).to_numpy(), pc.list_flatten(right.column("genes")).to_numpy())
+        a, b = (matrix(only(t, genes), genes) for t in (left, right))
+        l1, l2, cosine = np.empty((3, len(a), len(b)))
+        for k, mine in enumerate(left.column("own").to_pylist()):
+            use = ~np.isin(genes, mine or [])
+            x, y = a[k, use], b[:, use]
+            d = y - x
+            l1[k], l2[k] = np.abs(d).sum(axis=1), np.sqrt((d * d).sum(axis=1))
+            norm = np.sqrt((x * x).sum() * (y * y).sum(axis=1))
+            cosine[k] = np.where(norm > 0, np.clip(1 - np.divide(y @ x, norm, out=np.zeros(len(b)), where=norm > 0), 0, 2), 1.0)
+        other = pa.chunked_array([right.column("pert").combine_chunks()])
+        p = left.column("pert").combine_chunks().take(pa.array(np.repeat(np.arange(len(a)), len(b))))
+        o = other.combine_chunks().take(pa.array(np.tile(np.arange(len(b)), len(a))))
+        return pa.table({"pert": p, "other": o, "l1": l1.ravel(), "l2": l2.ravel(), "cosine": cosine.ravel()})
+
+    kind = dict(profile.dtypes)["pert"]
+    return pred.groupBy("i", "j").cogroup(real.groupBy("i", "j")).applyInArrow(compare, f"pert {kind}, other {kind}, l1 double, l2 double, cosine double")
 
 
 def discrimination(dist: DataFrame, metric: str, ties: str = "midrank", denominator: str = "n-1") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BULK_SUM, CELL_SUM = 5e4, 1e6
 GROUP = ["side", "pert"]
+#: Cells of a group that one task of the jackknife takes.
+SHARE = 2000
 
 
 def libraries(counts: DataFrame) -> DataFrame:
@@ -29,6 +33,23 @@ def normalized(counts: DataFrame, libs: DataFrame, total: float = CELL_SUM) -> D
     return counts.join(libs.select("side", "cell", "lib"), ["side", "cell"]).withColumn("v", F.col("x") * total / F.col("lib"))
 
 
+def lognormed(counts: DataFrame, libs: DataFrame, total: float = CELL_SUM) -> DataFrame:
+    """counts with x = log(1 + x * total / lib)."""
+    return normalized(counts, libs, total).withColumn("x", F.log1p("v")).drop("v", "lib")
+
+
+def linear(values: DataFrame, libs: DataFrame, kinds: tuple[str, str], total: float = CELL_SUM) -> DataFrame:
+    """values with v in linear space, each side by its kind: counts are scaled, log-normalised values taken back."""
+    if unknown := set(kinds) - {"counts", "lognorm"}:
+        raise ValueError(f"unknown input types {sorted(unknown)}")
+    if kinds == ("counts", "counts"):
+        return normalized(values, libs, total)
+    logged = F.lit(False)
+    for side, kind in enumerate(kinds):
+        logged = logged | ((F.col("side") == side) & F.lit(kind == "lognorm"))
+    return normalized(values, libs, total).withColumn("v", F.when(logged, F.expm1("x")).otherwise(F.col("v")))
+
+
 def profiles(values: DataFrame, sizes: DataFrame, genes: DataFrame, bulk_sum: float = BULK_SUM) -> DataFrame:
     """One row a (side, pert, gene), zeros included: total, counts, normalized, geometric, lognorm, bulk, sumsq.
 
@@ -53,19 +74,47 @@ def traces(profile: DataFrame) -> DataFrame:
     return m.select(*GROUP, "n", "sumsq", F.when(F.col("n") >= 2, F.try_divide(F.col("sumsq") - F.col("n") * F.col("mm"), F.col("n") - 1)).otherwise(F.lit(float("nan"))).alias("trace"))
 
 
-def jackknife(counts: DataFrame, libs: DataFrame, profile: DataFrame, bulk_sum: float = BULK_SUM) -> DataFrame:
+def trace_over_n(profile: DataFrame) -> DataFrame:
+    """side, pert, jk: tr(Sigma) / n, the sampling variance of a mean of log-normalised cells; 0 below 2 cells."""
+    return traces(profile).select(*GROUP, F.when(F.col("n") >= 2, F.col("trace") / F.col("n")).otherwise(F.lit(0.0)).alias("jk"))
+
+
+def jackknife(counts: DataFrame, libs: DataFrame, profile: DataFrame, bulk_sum: float = BULK_SUM, share: int = SHARE) -> DataFrame:
     """side, pert, jk: delete-one-cell variance of the group-sum comparator, summed over genes.
 
     A zero count still varies through its cell's total, so every cell meets every
-    gene of its group; sums are of deviations from the whole group's value, and
-    two of them a (pert, gene) are all that is shuffled.
+    gene of its group.  Cells travel as sparse vectors, in shares of about
+    ``share`` cells of a group; each share meets its group's totals as one vector
+    and returns two sums a gene, of deviations from the whole group's value.
     """
-    group = profile.groupBy(*GROUP).agg(F.collect_list(F.struct("gene", "total", "bulk")).alias("genes"), F.sum("total").alias("all"), F.max("n").alias("n"))
-    cells = libs.join(group, GROUP).select(*GROUP, "cell", "lib", "all", "n", F.explode("genes").alias("g"))
-    rows = cells.select(*GROUP, "cell", "n", "g.gene", "g.total", "g.bulk", (F.col("all") - F.col("lib")).alias("rest")).join(counts.select("side", "cell", "gene", "x"), ["side", "cell", "gene"], "left")
-    left = F.col("total") - F.coalesce("x", F.lit(0.0))
-    d = F.when(F.col("rest") > 0, F.log1p(F.try_divide(left * bulk_sum, "rest"))).otherwise(F.lit(0.0)) - F.col("bulk")
-    s = rows.withColumn("d", d).groupBy(*GROUP, "gene").agg(F.max("n").alias("n"), F.sum("d").alias("d1"), F.sum(F.col("d") * F.col("d")).alias("d2"))
+    cells = F.collect_list(F.struct("gene", "x"))
+    sparse = counts.groupBy(*GROUP, "cell").agg(cells.alias("x"), F.sum("x").alias("lib"))
+    group = profile.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("gene", "total", "bulk"))).alias("g"), F.sum("total").alias("all"), F.max("n").alias("n"))
+    shares = group.select(*GROUP, F.ceil(F.col("n") / share).cast("int").alias("shares"))
+    left = libs.select(*GROUP, "cell").join(sparse, [*GROUP, "cell"], "left").join(shares, GROUP)
+    left = left.select(*GROUP, F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int").alias("share"), F.col("x.gene").alias("genes"), F.col("x.x").alias("xs"), F.coalesce("lib", F.lit(0.0)).alias("lib"))
+    right = group.select(*GROUP, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1)).alias("share"), F.col("g.gene").alias("genes"), F.col("g.total").alias("total"), F.col("g.bulk").alias("bulk"), "all")
+    key = [*GROUP, "share"]
+    names = [*GROUP, "gene", "d1", "d2"]
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        one = {c: b.column(c)[0].as_py() for c in GROUP} if b.num_rows else {}
+        genes, total, bulk = (np.array(b.column(c)[0].as_py() if b.num_rows else []) for c in ("genes", "total", "bulk"))
+        d1, d2 = np.zeros(len(genes)), np.zeros(len(genes))
+        every = b.column("all")[0].as_py() if b.num_rows else 0.0
+        for mine, xs, lib in zip(*(a.column(c).to_pylist() for c in ("genes", "xs", "lib")), strict=True):
+            rest, kept = every - lib, total.copy()
+            if mine:
+                kept[np.searchsorted(genes, mine)] -= xs
+            d = (np.log1p(kept * bulk_sum / rest) if rest > 0 else 0.0) - bulk
+            d1 += d
+            d2 += d * d
+        n = len(genes)
+        return pa.table([pa.array([one.get(c)] * n, b.schema.field(c).type) for c in GROUP] + [pa.array(genes, pa.int32()), pa.array(d1), pa.array(d2)], names)
+
+    kinds = dict(profile.dtypes)
+    s = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(sums, f"side {kinds['side']}, pert {kinds['pert']}, gene int, d1 double, d2 double")
+    s = s.groupBy(*GROUP, "gene").agg(F.sum("d1").alias("d1"), F.sum("d2").alias("d2")).join(group.select(*GROUP, "n"), GROUP)
     per = s.groupBy(*GROUP).agg(F.max("n").alias("n"), F.sum(F.col("d2") - F.col("d1") * F.col("d1") / F.col("n")).alias("v"))
     return per.select(*GROUP, F.when(F.col("n") >= 2, F.greatest(F.lit(0.0), (F.col("n") - 1) / F.col("n") * F.col("v"))).otherwise(F.lit(0.0)).alias("jk"))
 

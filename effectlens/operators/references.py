@@ -44,7 +44,7 @@ def nmae_reference(de: DataFrame, halves: DataFrame, own: DataFrame, threshold:
     itself; own genes and targets of fewer than ``least`` genes are left out.
     """
     sig = de.filter((F.col("p_adj") < threshold) & ~F.isnan("p_adj") & (F.abs("log2_fold_change") < float("inf"))).select("target", "feature", F.col("log2_fold_change").alias("full"))
-    sig = sig.join(F.broadcast(own.select(F.col("pert").alias("target"), F.col("gene").alias("feature"))), ["target", "feature"], "left_anti")
+    sig = sig.join(own.select(F.col("pert").alias("target"), F.col("gene").alias("feature")), ["target", "feature"], "left_anti")
     side = lambda s, name: halves.filter(F.col("side") == s).select("target", "feature", F.col("lfc").alias(name))
     both = sig.join(side(0, "a"), ["target", "feature"]).join(side(1, "b"), ["target", "feature"])
     g = both.groupBy("target").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap"), F.avg(F.abs("full")).alias("size"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +22,20 @@ class Metric:
     policy: sc.Policy
     profiles: tuple[str, ...]
     legacy: str | None = None
+    worst: float | None = None  # what a missing or NaN value counts as in version 2
 
 
+#: Values of metrics that have none for a perturbation (fixed by the published rule).
+_WORST = {
+    "delta_pearson": -1.0, "nsig_spearman": -1.0, "sig_recall": 0.0, "direction_match": 0.0, "model_direction_match": 0.0, "direction_precision": 0.0, "direction_sensitivity": 0.0,
+    "direction_sensitivity_universe": 0.0, "lfc_spearman": -1.0, "lfc_spearman_pos": -1.0, "lfc_spearman_neg": -1.0, "pr_auc": 0.0, "roc_auc": 0.0,
+    "overlap_adjusted": -1.0, "precision_adjusted": -1.0, "sig_recall_adjusted": -1.0, "sig_mcc": -1.0,
+}
+
 #: Families: (key column, frame of an evaluation).
 FAMILIES: dict[str, tuple[str, Callable[[Evaluation], DataFrame]]] = {
-    "errors": ("pert", lambda e: expression.errors(e.profile, "bulk", e.config.control)),
-    "unbiased": ("pert", lambda e: expression.unbiased(e.profile, e.jk, e.own, e.config.control)),
+    "errors": ("pert", lambda e: expression.errors(e.profile, e.comparator, e.config.control, e.config.control_source)),
+    "unbiased": ("pert", lambda e: expression.unbiased(e.profile, e.correction, e.own, e.config.control, e.comparator)),
     "pds_l1": ("pert", lambda e: e.pds("l1")),
     "pds_l2": ("pert", lambda e: e.pds("l2")),
     "pds_cosine": ("pert", lambda e: e.pds("cosine")),
@@ -99,7 +107,10 @@ def _entries() -> list[Metric]:
     return out
 
 
-CATALOG: dict[str, Metric] = {m.name: m for m in _entries()}
+CATALOG: dict[str, Metric] = {m.name: replace(m, worst=_WORST.get(m.name.removeprefix("de_wilcoxon_"))) for m in _entries()}
+#: The members that a competition's score is made of: without a usable range for one there is no score.
+DECISIVE = tuple(m.name for m in CATALOG.values() if "vcc2026" in m.profiles and m.policy.scored)
+LEGACY = {m.legacy: m.name for m in CATALOG.values() if m.legacy}
 #: A ratio of sums: (numerator, denominator).
 DERIVED = {"expr_mse_unbiased_capped_norm": ("expr_mse_unbiased_capped", "expr_distance_unbiased")}
 DERIVED_POLICIES = {"expr_mse_unbiased_capped_norm": sc.CAPPED}
@@ -114,10 +125,9 @@ def resolve(names: str | list[str]) -> list[str]:
         if not found:
             raise ValueError(f"unknown profile {names!r}")
         return found
-    legacy = {m.legacy: m.name for m in CATALOG.values() if m.legacy}
     out: list[str] = []
     for n in names:
-        n = legacy.get(n, n)
+        n = LEGACY.get(n, n)
         if n not in CATALOG and n not in DERIVED:
             raise ValueError(f"unknown metric {n!r}")
         out += [x for x in (*DERIVED.get(n, ()), n) if x not in out]
@@ -131,14 +141,28 @@ def _family(e: Evaluation, family: str) -> DataFrame:
     return e.frames[family]
 
 
+def _values(e: Evaluation, family: str, mine: list[Metric]) -> DataFrame:
+    """perturbation, metric, value; in version 2 a metric with a worst value has a number for every perturbation."""
+    key = FAMILIES[family][0]
+    frame = _family(e, family).withColumn("perturbation", F.col(key).cast("string")).withColumn("there", F.lit(True))
+    filled = [m for m in mine if m.worst is not None and e.config.no_drop]
+    if filled:
+        frame = e.targets.select(F.col("pert").cast("string").alias("perturbation")).join(frame, "perturbation", "left")
+    cells = []
+    for m in mine:
+        value = F.col(m.column).cast("double")
+        if m.name == "expr_real_mass_ratio":
+            value = value / e.mass_target
+        if m in filled:
+            value = F.when(value.isNull() | F.isnan(value), F.lit(m.worst)).otherwise(value)
+        cells.append(F.struct(F.lit(m.name).alias("metric"), value.alias("value"), (F.coalesce("there", F.lit(False)) | F.lit(m in filled)).alias("counts")))
+    return frame.select("perturbation", F.explode(F.array(*cells)).alias("x")).filter("x.counts").select("perturbation", "x.metric", "x.value")
+
+
 def metric_frame(e: Evaluation, name: str) -> DataFrame:
     """perturbation, metric, value of one metric."""
     m = CATALOG[name]
-    key = FAMILIES[m.family][0]
-    value = F.col(m.column).cast("double")
-    if name == "expr_real_mass_ratio":
-        value = value / e.config.bulk_target_sum
-    return _family(e, m.family).select(F.col(key).cast("string").alias("perturbation"), F.lit(name).alias("metric"), value.alias("value"))
+    return _values(e, m.family, [m])
 
 
 def evaluate(e: Evaluation, names: str | list[str]) -> DataFrame:
@@ -146,10 +170,7 @@ def evaluate(e: Evaluation, names: str | list[str]) -> DataFrame:
     wanted = [CATALOG[n] for n in resolve(names) if n in CATALOG]
     out: DataFrame | None = None
     for family in dict.fromkeys(m.family for m in wanted):
-        key = FAMILIES[family][0]
-        mine = [m for m in wanted if m.family == family]
-        cells = [F.struct(F.lit(m.name).alias("metric"), (F.col(m.column).cast("double") / (e.config.bulk_target_sum if m.name == "expr_real_mass_ratio" else 1.0)).alias("value")) for m in mine]
-        part = _family(e, family).select(F.col(key).cast("string").alias("perturbation"), F.explode(F.array(*cells)).alias("x")).select("perturbation", "x.metric", "x.value")
+        part = _values(e, family, [m for m in wanted if m.family == family])
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no metric to evaluate")

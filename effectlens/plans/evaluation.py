@@ -31,10 +31,18 @@ class Config:
     pds_ties: str = "midrank"
     pds_denominator: str = "n-1"
     mean: str = "normalized"
+    control_source: str = "real"
+    no_drop: bool = True
+    group_sums: bool = True  # compare logarithms of group sums where both sides are counts
+    #: What the values of the measured and the predicted side are: counts, or lognorm.
+    input_types: tuple[str, str] = ("counts", "counts")
 
     @staticmethod
     def v1() -> Config:
-        return Config(epsilon=0.0, clip_value=20.0, cpm_gate=-1.0, fdr_scope="global", auc_floor="replace_zero", nan_lfc_policy="keep", pds_scope="row", pds_ties="position", pds_denominator="n", mean="geometric")
+        return Config(
+            epsilon=0.0, clip_value=20.0, cpm_gate=-1.0, fdr_scope="global", auc_floor="replace_zero", nan_lfc_policy="keep", pds_scope="row", pds_ties="position",
+            pds_denominator="n", mean="geometric", control_source="pred", no_drop=False, group_sums=False,
+        )
 
 
 @dataclass
@@ -55,9 +63,24 @@ class Evaluation:
     def sizes(self) -> DataFrame:
         return staging.written(profiles.group_sizes(self.libs), "sizes")
 
+    @property
+    def comparator(self) -> str:
+        """The profile that expression metrics compare: log group sums of counts, else means of log-normalised cells."""
+        return "bulk" if self.config.group_sums and set(self.config.input_types) == {"counts"} else "lognorm"
+
+    @property
+    def mass_target(self) -> float:
+        return self.config.bulk_target_sum if self.comparator == "bulk" else self.config.target_sum
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """pert: the predicted perturbations."""
+        return self.sizes.filter((F.col("side") == 1) & (F.col("pert") != self.config.control)).select("pert")
+
     @cached_property
     def values(self) -> DataFrame:
-        return profiles.normalized(self.counts, self.libs, self.config.target_sum)
+        """Counts scaled to the target sum; log-normalised values taken back to linear space."""
+        return profiles.linear(self.counts, self.libs, self.config.input_types, self.config.target_sum)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -67,10 +90,16 @@ class Evaluation:
     def jk(self) -> DataFrame:
         return staging.written(profiles.jackknife(self.counts, self.libs, self.profile, self.config.bulk_target_sum), "jackknife")
 
+    @cached_property
+    def correction(self) -> DataFrame:
+        """side, pert, jk: sampling variance of the comparator, by the jackknife of group sums or the trace of means."""
+        return self.jk if self.comparator == "bulk" else profiles.trace_over_n(self.profile)
+
     @cached_property
     def de(self) -> DataFrame:
         c = self.config
-        table = de.de_table(self.values, self.sizes, self.profile, c.control, c.epsilon, c.cpm_gate, c.fdr_scope, c.clip_value, c.mean)
+        gate = c.cpm_gate if c.input_types[0] == "counts" else -1.0  # log-normalised values have no counts per million
+        table = de.de_table(self.values, self.sizes, self.profile, c.control, c.epsilon, gate, c.fdr_scope, c.clip_value, c.mean, c.control_source)
         return staging.written(de.apply_policies(table, c.nan_lfc_policy, c.min_abs_log2fc), "de")
 
     @cached_property
@@ -83,20 +112,37 @@ class Evaluation:
     @cached_property
     def distances(self) -> DataFrame:
         c = self.config
-        return staging.written(expression.distances(self.profile, "bulk", self.own, c.control, c.pds_scope), "distances")
+        return staging.written(expression.distances(self.profile, self.comparator, self.own, c.control, c.pds_scope), "distances")
 
     def pds(self, metric: str) -> DataFrame:
         c = self.config
         return expression.discrimination(self.distances, metric, c.pds_ties, c.pds_denominator)
 
 
-_KNOWN: dict[tuple[str, str, Config], Evaluation] = {}
+_KNOWN: dict[tuple, Evaluation] = {}
+#: Evaluations that are kept at one time.
+KEPT = 8
+
+
+def identity(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of a folder's tables from another: number, size, age and names of their files, by a listing alone."""
+    files = None
+    for t in starschema.TABLES:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{t}.parquet").select("path", "length", "modificationTime")
+        files = part if files is None else files.unionByName(part)
+    key = F.xxhash64("path", "length", F.col("modificationTime").cast("string")).cast("decimal(38,0)")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(key).cast("string")).first())
 
 
-def of(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Evaluation:
-    """The evaluation of a data folder, shared by the queries of one application."""
+def of(spark: SparkSession, sf_dir: str, config: Config | None = None, axis: str = "brand", form: str = "counts") -> Evaluation:
+    """The evaluation of a data folder as its files now are, shared by the queries of one application."""
     config = config or Config()
-    key = (spark.sparkContext.applicationId, sf_dir, config)
+    key = (spark.sparkContext.applicationId, sf_dir, identity(spark, sf_dir), config, axis, form)
     if key not in _KNOWN:
-        _KNOWN[key] = Evaluation(staging.written(starschema.counts(spark, sf_dir), "counts"), starschema.genes(spark), starschema.own_genes(spark), config)
+        while len(_KNOWN) >= KEPT:
+            _KNOWN.pop(next(iter(_KNOWN)))
+        counts = starschema.counts(spark, sf_dir, axis)
+        if form == "lognorm":
+            counts = profiles.lognormed(counts, profiles.libraries(counts), config.target_sum)
+        _KNOWN[key] = Evaluation(staging.written(counts, "counts"), starschema.genes(spark, axis), starschema.own_genes(spark), config)
     return _KNOWN[key]

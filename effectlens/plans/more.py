@@ -57,7 +57,7 @@ _add(
 )
 _add(
     "agg17_cohorts", lambda s, d: scoring.cohorts(_tidy(s, d)), TIDY,
-    "SELECT metric, count(*) AS n_rows, count(*) FILTER (NOT isnan(value)) AS n_used, count(*) FILTER (isnan(value)) AS n_nan, count(*) FILTER (value IS NULL) AS n_null FROM tidy GROUP BY metric",
+    "SELECT metric, count(*) AS n_rows, count(*) FILTER (NOT isnan(value)) AS n_used, count(*) FILTER (isnan(value)) AS n_nan, count(*) FILTER (value IS NULL) AS n_null, false AS derived FROM tidy GROUP BY metric",
 )
 
 
@@ -142,16 +142,13 @@ def _bl2(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(baseline.dispersed(e.counts, e.libs, _scale(spark, sf), e.config.control, SEED), "x")
 
 
-_add(
-    "bl2_dispersed", _bl2,
-    [
-        oracle.CORE, GENERIC, SCALE,
-        f"pool AS (SELECT cell AS source, row_number() OVER (ORDER BY {HEX.format('CAST(cell AS VARCHAR)')} % 64, cell) - 1 AS i FROM lib WHERE side = 0 AND pert = 0)",
-        f"slot AS (SELECT pert, cell, {HEX.format(repr(str(SEED) + ':') + ' || pert || ' + repr(':') + ' || cell')} % (SELECT count(*) FROM pool) AS i FROM lib WHERE side = 0 AND pert > 0)",
-    ],
-    """SELECT CAST(1 AS INTEGER) AS side, slot.pert, slot.cell, k.gene, round(k.x * ratio, 6) AS x FROM slot JOIN pool USING (i) JOIN counts k ON k.side = 0 AND k.pert = 0 AND k.cell = source JOIN scale ON scale.gene = k.gene WHERE k.x * ratio <> 0
-  UNION ALL SELECT 1, pert, cell, gene, round(x, 6) FROM counts WHERE side = 0 AND pert = 0""",
-)
+DISPERSED = [
+    f"pool AS (SELECT cell AS source, row_number() OVER (ORDER BY {HEX.format('CAST(cell AS VARCHAR)')} % 64, cell) - 1 AS i FROM lib WHERE side = 0 AND pert = 0)",
+    f"slot AS (SELECT pert, cell, {HEX.format(repr(str(SEED) + ':') + ' || pert || ' + repr(':') + ' || cell')} % (SELECT count(*) FROM pool) AS i FROM lib WHERE side = 0 AND pert > 0)",
+]
+DISPERSED_ROWS = """SELECT CAST(1 AS INTEGER) AS side, slot.pert, slot.cell, k.gene, k.x * ratio AS x FROM slot JOIN pool USING (i) JOIN counts k ON k.side = 0 AND k.pert = 0 AND k.cell = source JOIN scale ON scale.gene = k.gene WHERE k.x * ratio <> 0
+  UNION ALL SELECT 1, pert, cell, gene, x FROM counts WHERE side = 0 AND pert = 0"""
+_add("bl2_dispersed", _bl2, [oracle.CORE, GENERIC, SCALE, *DISPERSED], f"SELECT side, pert, cell, gene, round(x, 6) AS x FROM ({DISPERSED_ROWS})")
 
 
 def _sc6(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.operators import de, expression, profiles
-from effectlens.plans import catalog, evaluation, more, oracle
+from effectlens.plans import catalog, conventions, more, oracle
 from effectlens.plans.evaluation import Config, of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,11 +130,11 @@ _register("de17_ranks", _de17, oracle.query([oracle.CORE, oracle.DE], "SELECT ta
 
 
 def _val6(spark: SparkSession, sf: str) -> DataFrame:
-    gate = of(spark, sf).profile.filter("side = 0 and pert = 0").select("gene", F.round("normalized", 4).alias("cpm"), (F.col("normalized") > 40000).alias("kept"))
-    return gate
+    return de.gated_genes(of(spark, sf).profile, 0, 40000.0).withColumn("cpm", F.round("cpm", 4))
 
 
 _register("val6_cpm_gate", _val6, oracle.query([oracle.CORE], "SELECT gene, round(normalized, 4) AS cpm, normalized > 40000 AS kept FROM prof WHERE side = 0 AND pert = 0"))
 
-QUERIES.update(more.QUERIES)
-ORACLES.update(more.ORACLES)
+for _part in (more, conventions):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)

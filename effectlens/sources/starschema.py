@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENES = 25
+TABLES = ("lineitem", "orders", "part", "customer")
+#: Gene axes: number of genes, and the gene of a part.  ``brand`` is narrow; ``part`` is wide enough for every top-k.
+AXES = {"brand": (GENES, "cast(regexp_extract(p_brand, '[0-9]+', 0) as int)"), "part": (1000, "cast(p_partkey % 1000 + 1 as int)")}
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counts(spark: SparkSession, sf_dir: str, axis: str = "brand") -> DataFrame:
     """side, pert, cell, gene, x: nonzero counts."""
+    n, gene = AXES[axis]
     read = lambda t, *c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*c)
     base = (
         read("lineitem", "l_orderkey", "l_partkey", "l_quantity")
@@ -23,18 +27,18 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(read("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(
             (F.col("o_orderkey") % 2).cast("int").alias("side"), F.col("c_nationkey").cast("int").alias("pert"), F.col("o_custkey").alias("cell"),
-            F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("gene"),
+            F.expr(gene).alias("gene"),
         )
         .agg(F.sum("l_quantity").cast("double").alias("x"))
     )
     cells = base.select("side", "pert", "cell").distinct().filter("pert > 0")
-    moved = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(GENES))).alias("gene"))
+    moved = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("gene"))
     moved = moved.filter((7 * F.col("pert") + F.col("gene")) % 5 < F.when(F.col("side") == 0, 2).otherwise(3)).withColumn("x", F.lit(40.0))
     return base.unionByName(moved).groupBy("side", "pert", "cell", "gene").agg(F.sum("x").alias("x"))
 
 
-def genes(spark: SparkSession) -> DataFrame:
-    return spark.range(1, GENES + 1).select(F.col("id").cast("int").alias("gene"))
+def genes(spark: SparkSession, axis: str = "brand") -> DataFrame:
+    return spark.range(1, AXES[axis][0] + 1).select(F.col("id").cast("int").alias("gene"))
 
 
 def own_genes(spark: SparkSession) -> DataFrame:

@@ -4,45 +4,49 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REQUIRED = ("target", "feature", "log2_fold_change", "p_adj")
 MANIFEST = "dataset string, panel_id int, context string, control_value string, path_real string, path_pred string, var_names_path string, n_cells bigint, n_genes bigint"
-
-
-def load_de_table(spark: SparkSession, source: DataFrame | str) -> DataFrame:
-    """A DE table from a DataFrame, CSV (gz) or parquet, in the standard schema."""
-    if isinstance(source, DataFrame):
-        return normalize_de(source)
-    low = source.lower()
-    if low.endswith((".csv", ".csv.gz")):
-        df = spark.read.csv(source, header=True, inferSchema=True)
-    elif low.endswith((".parquet", ".pq")):
-        df = spark.read.parquet(source)
-    else:
-        raise ValueError(f"a DE table must be .csv, .csv.gz, .parquet or .pq: {source}")
-    return normalize_de(df)
-
-
-def normalize_de(df: DataFrame) -> DataFrame:
-    """``fdr`` as p_adj, required columns, string keys, |lfc| derived anew."""
-    if "p_adj" not in df.columns and "fdr" in df.columns:
-        df = df.withColumnRenamed("fdr", "p_adj")
-    missing = [c for c in REQUIRED if c not in df.columns]
-    if missing:
-        raise ValueError(f"the DE table lacks {missing}")
-    p = F.col("p_value").cast("double") if "p_value" in df.columns else F.lit(None).cast("double")
-    return df.select(
-        F.col("target").cast("string"), F.col("feature").cast("string"), F.col("log2_fold_change").cast("double"),
-        p.alias("p_value"), F.col("p_adj").cast("double"), F.abs(F.col("log2_fold_change").cast("double")).alias("abs_log2_fold_change"),
-    )
+#: Columns of a differential-expression table: type, names it may come under, whether a table must have it.
+DE_COLUMNS: dict[str, tuple[str, tuple[str, ...], bool]] = {
+    "target": ("string", ("target",), True),
+    "feature": ("string", ("feature",), True),
+    "log2_fold_change": ("double", ("log2_fold_change",), True),
+    "p_value": ("double", ("p_value",), False),
+    "p_adj": ("double", ("p_adj", "fdr"), True),
+}
+#: Endings of files and how they are read: text columns first, so that a label such as 001 stays what it is.
+_READERS: dict[tuple[str, ...], Callable[[SparkSession, str], DataFrame]] = {
+    (".csv", ".csv.gz"): lambda spark, path: spark.read.option("header", True).option("inferSchema", False).csv(path),
+    (".parquet", ".pq"): lambda spark, path: spark.read.parquet(path),
+}
+
+
+def read_de(spark: SparkSession, source: DataFrame | str) -> DataFrame:
+    """A differential-expression table from a DataFrame or file, in the columns of DE_COLUMNS and the size of the effect."""
+    if isinstance(source, str):
+        found = [read for ends, read in _READERS.items() if source.lower().endswith(ends)]
+        if not found:
+            raise ValueError(f"{source}: the name of a table ends in one of {sorted(x for ends in _READERS for x in ends)}")
+        source = found[0](spark, source)
+    given = {name: next((x for x in names if x in source.columns), None) for name, (_, names, _) in DE_COLUMNS.items()}
+    if lacking := [name for name, (_, _, needed) in DE_COLUMNS.items() if needed and given[name] is None]:
+        raise ValueError(f"no column for {lacking} among {source.columns}")
+    typed = [(F.col(f"`{given[name]}`") if given[name] else F.lit(None)).cast(kind).alias(name) for name, (kind, _, _) in DE_COLUMNS.items()]
+    return source.select(*typed).withColumn("abs_log2_fold_change", F.abs("log2_fold_change"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row an artifact to score."""
-    return spark.read.schema(MANIFEST).csv(path, header=True)
+    """One row an artifact to score, from a file or a folder of them; relative paths are those beside the manifest."""
+    out = spark.read.schema(MANIFEST).csv(path, header=True)
+    if not out.limit(1).count():
+        raise ValueError(f"{path}: a manifest needs one artifact at least")
+    beside = path.rstrip("/").rpartition("/")[0] if path.lower().endswith(".csv") else path.rstrip("/")
+    whole = lambda c: F.when(F.col(c).rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), F.col(c)).otherwise(F.concat(F.lit(beside + "/"), F.col(c)))
+    return out.select(*[whole(c).alias(c) if c.startswith("path_") or c == "var_names_path" else F.col(c) for c in out.columns])
 
 
 def read_expression(spark: SparkSession, path: str, labels: list | None = None) -> DataFrame:
@@ -59,6 +63,9 @@ def write_expression(df: DataFrame, path: str) -> None:
 def write_results(results: DataFrame, aggregate: DataFrame, outdir: str, meta: dict) -> None:
     """Tidy and aggregate tables, and the run's record."""
     results.write.mode("overwrite").parquet(os.path.join(outdir, "results.parquet"))
-    aggregate.write.mode("overwrite").option("header", True).csv(os.path.join(outdir, "agg_results.csv"))
+    ordered = aggregate.orderBy("metric") if "metric" in aggregate.columns else aggregate  # sorted at the sink only
+    ordered.write.mode("overwrite").option("header", True).csv(os.path.join(outdir, "agg_results.csv"))
+    if {"metric", "agg"} <= set(aggregate.columns):
+        aggregate.select("metric", "agg").orderBy("metric").write.mode("overwrite").option("header", True).csv(os.path.join(outdir, "metric_aggregation.csv"))
     spark = results.sparkSession
     spark.createDataFrame([(json.dumps(meta, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(outdir, "run_meta.json"))

@@ -7,12 +7,14 @@ number, so that a repeated batch overwrites itself.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from effectlens.plans import catalog
+from effectlens.plans import catalog, identity
 from effectlens.plans.evaluation import Config, Evaluation
 
 PIECE = "pert int, cell bigint, gene int, x double"
@@ -22,59 +24,49 @@ WHOLE_PANEL = ("nsig_spearman", "pds_l1", "pds_l2", "pds_cosine", "expr_mse_unbi
 
 def subset(perts: DataFrame, parts: int, index: int) -> DataFrame:
     """The perturbations at ``index``, ``index`` + ``parts`` ... of the sorted labels."""
-    labels = perts.select("pert").distinct()  # a row a perturbation
+    labels = perts.select("pert").distinct()  # a row a perturbation: some 1e4, so one window will do
     return labels.withColumn("_i", F.row_number().over(Window.orderBy("pert")) - 1).filter(F.col("_i") % parts == index).drop("_i")
 
 
-def batches(sizes: list[tuple[int, int]], budget: int, safety: int = 3) -> list[list[int]]:
-    """Perturbations in order, grouped so that ``safety`` times their bytes stay within ``budget``."""
-    out: list[list[int]] = []
-    used = 0
-    for pert, size in sizes:
-        if size * safety > budget:
-            raise ValueError(f"perturbation {pert!r} alone needs {size * safety} bytes of {budget}")
-        if not out or used + size * safety > budget:
-            out.append([])
-            used = 0
-        out[-1].append(pert)
-        used += size * safety
-    return out
-
-
-def require_mergeable(config: Config, names: list[str]) -> None:
-    """A piece can't know a false-discovery pool or ranks over all perturbations."""
+def piece_config(config: Config, names: list[str]) -> Config:
+    """What a piece is scored by: it can't know ranks over all perturbations, a common pool or a common least p-value."""
     if config.fdr_scope == "global":
         raise ValueError("pieces can't share one false-discovery pool")
-    if config.auc_floor == "min_nonzero" and any("auc" in n for n in names):
-        raise ValueError("pieces have no common least p-value; use replace_zero")
     whole = [n for n in names if n.removeprefix("de_wilcoxon_") in WHOLE_PANEL]
     if whole:
         raise ValueError(f"these need all perturbations at once: {whole}")
+    return replace(config, auc_floor="replace_zero") if config.auc_floor == "min_nonzero" else config
 
 
 def score_piece(real: DataFrame, piece: DataFrame, genes: DataFrame, own: DataFrame, names: list[str], config: Config) -> DataFrame:
-    """perturbation, metric, value of the perturbations in ``piece`` (predicted counts)."""
+    """perturbation, metric, value of the perturbations in ``piece`` (predicted counts), and the digest of how they were scored."""
+    config = piece_config(config, names)
     perts = piece.select("pert").distinct()
-    mine = real.filter(F.col("pert") == config.control).unionByName(real.filter(F.col("pert") != config.control).join(F.broadcast(perts), "pert", "left_semi"))
+    mine = real.filter(F.col("pert") == config.control).unionByName(real.filter(F.col("pert") != config.control).join(perts, "pert", "left_semi"))
     both = mine.select(F.lit(0).alias("side"), "pert", "cell", "gene", "x").unionByName(piece.select(F.lit(1).alias("side"), "pert", "cell", "gene", "x"))
-    return catalog.evaluate(Evaluation(both, genes, own, config), names)
+    return catalog.evaluate(Evaluation(both, genes, own, config), names).withColumn("scored_by", F.lit(identity.digest(identity.semantics(config, names))))
 
 
 def score_stream(spark: SparkSession, source: str, real: DataFrame, genes: DataFrame, own: DataFrame, names: list[str], out: str, checkpoint: str, config: Config) -> StreamingQuery:
     """Score every piece found under ``source``; partials go to ``out``/piece=N."""
-    require_mergeable(config, names)
+    piece_config(config, names)
 
     def score(batch: DataFrame, number: int) -> None:
         batch.persist()
-        if batch.limit(1).count():
-            score_piece(real, batch, genes, own, names, config).write.mode("overwrite").parquet(f"{out}/piece={number}")
-        batch.unpersist()
+        try:
+            if batch.limit(1).count():
+                score_piece(real, batch, genes, own, names, config).write.mode("overwrite").parquet(f"{out}/piece={number}")
+        finally:
+            batch.unpersist()
 
     return spark.readStream.schema(PIECE).parquet(source).writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge(partials: DataFrame, expected: DataFrame) -> DataFrame:
-    """One tidy frame from partials; doubled or missing perturbations are refused."""
+    """One tidy frame from partials; doubled or missing perturbations are refused, and partials that were scored in different ways."""
+    ways = partials.select("scored_by").distinct().limit(3).count()
+    if ways > 1:
+        raise ValueError("the partials were scored with different settings")
     twice = partials.groupBy("perturbation", "metric").count().filter("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"scored more than once: {[tuple(r)[:2] for r in twice]}")

@@ -160,11 +160,26 @@ def test_catalog_counts_and_names():
 def test_de_table_source(spark, tmp_path):
     path = str(tmp_path / "de.csv")
     with open(path, "w") as f:
-        f.write("target,feature,log2_fold_change,fdr\nA,g,-2.0,0.01\n")
-    row = tables.load_de_table(spark, path).first()
-    assert (row["target"], row["p_adj"], row["abs_log2_fold_change"]) == ("A", 0.01, 2.0)
+        f.write("target,feature,log2_fold_change,fdr\n001,1e5,-2.0,0.01\n")
+    row = tables.read_de(spark, path).first()
+    assert (row["target"], row["feature"], row["p_adj"], row["p_value"], row["abs_log2_fold_change"]) == ("001", "1e5", 0.01, None, 2.0)
     with pytest.raises(ValueError):
-        tables.load_de_table(spark, "x.json")
+        tables.read_de(spark, "x.json")
+    with pytest.raises(ValueError):
+        tables.read_de(spark, tables.read_de(spark, path).drop("feature"))
+
+
+def test_manifest_paths(spark, tmp_path):
+    head = "dataset,panel_id,context,control_value,path_real,path_pred,var_names_path,n_cells,n_genes\n"
+    path = str(tmp_path / "m.csv")
+    with open(path, "w") as f:
+        f.write(head + "a,1,c,ctrl,real,/data/pred,s3://x/genes,10,20\n")
+    row = tables.read_manifest(spark, path).first()
+    assert (row["path_real"], row["path_pred"], row["var_names_path"]) == (str(tmp_path / "real"), "/data/pred", "s3://x/genes")
+    with open(path, "w") as f:
+        f.write(head)
+    with pytest.raises(ValueError):
+        tables.read_manifest(spark, path)
 
 
 def test_duplicate_keys_are_refused(spark):

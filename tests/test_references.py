@@ -89,24 +89,23 @@ def test_pieces_from_a_stream_equal_one_run(spark, tmp_path):
         pred.filter(F.col("pert").isin(perts)).coalesce(1).write.parquet(f"{tmp_path}/in/p{i}")
     query = pieces.score_stream(spark, f"{tmp_path}/in/*", real, genes, own, names, f"{tmp_path}/out", f"{tmp_path}/cp", Config())
     query.awaitTermination(120)
-    merged = pieces.merge(spark.read.parquet(f"{tmp_path}/out"), spark.createDataFrame([(1,), (2,), (3,)], "pert int"))
+    partials = spark.read.parquet(f"{tmp_path}/out")
+    merged = pieces.merge(partials, spark.createDataFrame([(1,), (2,), (3,)], "pert int"))
     whole = pieces.score_piece(real, pred.filter("pert > 0"), genes, own, names, Config())
     key = lambda df: {(r["perturbation"], r["metric"]): round(r["value"], 9) for r in df.collect()}
     assert key(merged) == key(whole) and merged.count() == 9
     with pytest.raises(ValueError, match="not scored"):
-        pieces.merge(merged, spark.createDataFrame([(8,)], "pert int"))
+        pieces.merge(partials, spark.createDataFrame([(8,)], "pert int"))
     with pytest.raises(ValueError, match="more than once"):
-        pieces.merge(merged.unionByName(merged), spark.createDataFrame([(1,)], "pert int"))
+        pieces.merge(partials.unionByName(partials), spark.createDataFrame([(1,)], "pert int"))
     with pytest.raises(ValueError, match="pool"):
-        pieces.require_mergeable(Config.v1(), names)
+        pieces.piece_config(Config.v1(), names)
     with pytest.raises(ValueError, match="all perturbations"):
-        pieces.require_mergeable(Config(), ["pds_l1"])
-
-
-def test_batches_keep_to_the_budget():
-    assert pieces.batches([(1, 10), (2, 20), (3, 30)], 90) == [[1, 2], [3]]
+        pieces.piece_config(Config(), ["pds_l1"])
+    assert pieces.piece_config(Config(), names).auc_floor == "replace_zero"
+    other = pieces.score_piece(real, pred.filter("pert = 2"), genes, own, names, Config(bulk_target_sum=1e4))
     with pytest.raises(ValueError):
-        pieces.batches([(1, 40)], 90)
+        pieces.merge(pieces.score_piece(real, pred.filter("pert = 1"), genes, own, names, Config()).unionByName(other), spark.createDataFrame([(1,), (2,)], "pert int"))
 
 
 def test_input_type_looks_at_every_cell(spark):
@@ -116,3 +115,71 @@ def test_input_type_looks_at_every_cell(spark):
     libs = spark.createDataFrame(rows, "side int, cell bigint, lib double")
     assert {tuple(r) for r in validation.guess_type(libs).collect()} == {(0, "counts"), (1, "lognorm")}
     assert {r["side"] for r in validation.guess_type(libs, 5).collect()} == {0, 1}
+
+
+def test_command_line_runs_scores_and_builds(spark, tmp_path):
+    from effectlens import __main__ as cli
+    from effectlens.plans.evaluation import Config
+
+    rows = [(p, 10 * p + c, g, float((3 * p + 7 * c + 5 * g) % 9 + (4 if p == g else 1))) for p in range(4) for c in range(6) for g in range(1, 9)]
+    real = spark.createDataFrame(rows, "pert int, cell bigint, gene int, x double")
+    real.write.parquet(f"{tmp_path}/real")
+    real.withColumn("x", F.col("x") + (F.col("gene") % 2)).write.parquet(f"{tmp_path}/pred")
+    names = "expr_mae,expr_mse,delta_pearson"
+    cli.main(["run", "--real", f"{tmp_path}/real", "--pred", f"{tmp_path}/pred", "--metrics", names, "--set", "cpm_gate=1.0", "--out", f"{tmp_path}/run"], spark)
+    cli.main(["baseline", "--real", f"{tmp_path}/real", "--metrics", names, "--seed", "3", "--out", f"{tmp_path}/base"], spark)
+    cli.main(["score", "--results", f"{tmp_path}/run/agg_results.csv", "--baseline", f"{tmp_path}/base/agg_results.csv", "--out", f"{tmp_path}/score"], spark)
+    got = [r["metric"] for r in spark.read.option("header", True).csv(f"{tmp_path}/score").collect()]
+    assert sorted(got) == ["avg_score", "delta_pearson", "expr_mae", "expr_mse"]
+    assert cli.configured("v1", ["control='ctrl'", "pds_scope=panel"]) == Config.v1().__class__(**{**Config.v1().__dict__, "control": "ctrl", "pds_scope": "panel"})
+    with pytest.raises(ValueError):
+        cli.configured("v2", ["nothing=1"])
+
+
+def test_records_tell_differences(spark):
+    from effectlens.plans import identity
+    from effectlens.plans.evaluation import Config
+
+    a = identity.digest(identity.semantics(Config(), ["expr_mae"]))
+    assert a == identity.digest(identity.semantics(Config(), ["mae"])) != identity.digest(identity.semantics(Config(epsilon=0.0), ["expr_mae"]))
+    df = spark.range(100).selectExpr("id", "cast(id as string) as s")
+    assert identity.fingerprint(df) == identity.fingerprint(df.repartition(7)) != identity.fingerprint(df.filter("id <> 5"))
+    run = {"comparator": "bulk", "digest": "x", "real": "r", "metrics": ["m"]}
+    assert identity.require_paired(run, run) == [] and identity.require_paired(run, run | {"digest": "y"}, waive=True) == ["digest"]
+    for other in (run | {"digest": "y"}, run | {"comparator": "lognorm"}):
+        with pytest.raises(ValueError):
+            identity.require_paired(run, other)
+    fine = spark.createDataFrame([("m", 0.5, 0.1, 0.4, 0.6)], "metric string, replicate double, replicate_sd double, replicate_min double, replicate_max double")
+    assert identity.resolve_anchor(None, fine, ["m"]) is fine
+    for given, names in ((None, ["m"]), (fine, ["n"]), (fine.withColumn("replicate", F.lit(float("nan"))), ["m"]), (fine.drop("replicate"), ["m"])):
+        with pytest.raises(ValueError):
+            identity.resolve_anchor(given, None, names)
+    published = dict.fromkeys(identity.PEERS, "a")
+    identity.check_submission(published, published)
+    with pytest.raises(ValueError):
+        identity.check_submission(published | {"genes": "b"}, published)
+    assert identity.digest(identity.competition_rule(Config())) != identity.digest(identity.competition_rule(Config(), (1, 2)))
+
+
+def test_scores_of_unusable_values(spark):
+    from effectlens.plans import scoring as sc
+
+    rows = [(float("inf"), 1.0), (0.5, float("nan")), (0.5, float("inf")), (float("nan"), 0.5), (None, 0.5), (0.5, 0.25)]
+    df = spark.createDataFrame(rows, "u double, b double")
+    got = [r[0] for r in df.select(sc.value_of(F.col("u"), F.col("b"), sc.BOUNDED)).collect()]
+    assert got == [None, None, None, 0.0, 0.0, pytest.approx(1 / 3)]
+    results = spark.createDataFrame([("de_wilcoxon_lfc_nmae", 0.6), ("expr_mae", 0.1)], "metric string, mean double")
+    at = lambda raw, n: {r["metric"]: r["from_reference"] for r in sc.reference_column(results, raw, n).collect()}
+    assert at(0.5, 3) == {"de_wilcoxon_lfc_nmae": pytest.approx(0.8), "expr_mae": None} and at(1.5, 3)["de_wilcoxon_lfc_nmae"] == pytest.approx(0.4)
+    assert at(None, 0)["de_wilcoxon_lfc_nmae"] is None
+    for raw, n in ((None, 2), (0.5, 0), (-1.0, 2), (float("nan"), 2)):
+        with pytest.raises(ValueError):
+            sc.reference_column(results, raw, n)
+    with pytest.raises(ValueError):
+        sc.scale_column(results, "low-random_high-1_v10")
+    with pytest.raises(ValueError):
+        sc.Scale("from_replicate", {"expr_mae": (1.0, sc.ERROR)})
+    with pytest.raises(ValueError):
+        sc.Scale("mine", {"expr_mae": (0.0, sc.ERROR)})
+    with pytest.raises(ValueError):
+        sc.with_overrides({"expr_mae": sc.ERROR}, {"mae": sc.ERROR, "expr_mae": sc.ERROR}, {"mae": "expr_mae"})
