@@ -11,10 +11,10 @@ BUCKETS hashed counters).  Two lines can match only if they share a word among
 the first s - ceil(percent s) + 1 of each, so these prefixes are shuffled, by
 word.  Pairs of a word must pass the length filter, the positional filter
 (words left after the shared one) and a parity-bitmap bound on the symmetric
-difference.  The TRIED most alike candidates of a line are verified on the full
-word sets.  A line whose candidates were more than that and failed is compared
-with all lines of its words: these meet in bounded blocks, with their sets, and
-only the verdict leaves the task, never the pairs.
+difference.  A line's candidates are verified on the full word sets, the TRIED
+most alike ones first.  A line without a match that passed with QUOTA lines of a
+word is compared with all lines of its words: these meet in bounded blocks, with
+their sets, and only the verdict leaves the task, never the pairs.
 
 Words are known by two 64-bit hashes and sets by two sums of these, so that
 chance agreement is below 1e-12 among 1e12 lines; bitmaps, prefix words of 40
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from effectlens.llm import common
 
 PERCENT, BUCKETS = 80, 1 << 18
-#: Passing pairs of a line and word that are looked at, and candidates of a line that are verified, before all of them are.
+#: Passing pairs of a line and word that are looked at, and candidates of a line that are verified, before all others are.
 QUOTA, TRIED = 32, 6
 #: Lines of a task that copies are sought in before the shuffle, lines of a block, and the share of entries from which a word is split.
 HELD, BLOCK, HEAVY = 100_000, 2048, 20_000
@@ -257,7 +257,7 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 
 def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
-    """d, line (the later one), ed, eline (an earlier one), spare, over (there may be more than are returned)."""
+    """d, line (the later one), ed, eline (an earlier one), spare (how much more alike they are than they must be), over (there may be more than are returned)."""
     spark = distinct.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     heavy = spark.sparkContext.broadcast(heavy_words(distinct, percent))  # at most 100,000 numbers
@@ -314,12 +314,7 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
                 step += 1
                 live = live[far[live] >= step]
         i, j, spare = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-        # the most alike ones of each line and word
-        order = np.lexsort((j, -spare, i))
-        i, j, spare = i[order], j[order], spare[order]
-        place = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0)) if len(i) else i
-        over = taken > TRIED
-        i, j, spare = (x[place < TRIED] for x in (i, j, spare))
+        over = taken >= QUOTA
         cols = [d[i], line[i], d[j], line[j], spare.astype(np.int32), over[i]]
         rest = np.flatnonzero(e["part"] > 0)  # a split word may have partners in other parts
         cols = [np.concatenate([x, y]) for x, y in zip(cols, (d[rest], line[rest], d[rest], line[rest], np.full(len(rest), -1, np.int32), np.ones(len(rest), bool)), strict=True)]
@@ -478,14 +473,21 @@ def removed_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.record_batch([pa.array(np.ascontiguousarray(gone[c])) for c in ("d", "line")], ["d", "line"])
 
     copies = distinct.filter(F.length("gone") > 0).select("gone").mapInArrow(places, "d bigint, line int")
-    some = candidate_pairs(distinct, percent).groupBy("d", "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("spare")).alias("spare"), "ed", "eline"))).alias("all"), F.max("over").alias("over"))
-    real = F.filter("all", lambda x: x.spare <= 0)
-    some = common.staged(some.select("d", "line", F.slice(real, 1, TRIED).alias("tried"), (F.col("over") | (F.size(real) > TRIED)).alias("over")), "candidates")
-    pairs = some.select("d", "line", F.explode("tried").alias("x")).select("d", "line", "x.ed", "x.eline")
-    wanted = pairs.select(F.explode(F.array(F.struct("d", "line"), F.struct(F.col("ed").alias("d"), F.col("eline").alias("line")))).alias("x")).select("x.*").distinct()
-    found = common.staged(verified(pairs, common.staged(line_sets(keyed, wanted), "line-sets"), percent), "matched")
-    # lines that had more candidates, of which none matched yet
-    left = common.staged(some.filter("over").select("d", "line").join(found, ["d", "line"], "left_anti"), "left")
+    some = candidate_pairs(distinct, percent).groupBy("d", "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("spare")).alias("far"), "ed", "eline"))).alias("all"), F.max("over").alias("over"))
+    some = common.staged(some.select("d", "line", F.filter("all", lambda x: x.far <= 0).alias("all"), "over"), "candidates")  # QUOTA a word at most
+
+    def proven(lines: DataFrame, which: Column, name: str) -> DataFrame:
+        pairs = lines.select("d", "line", F.explode(which).alias("x")).select("d", "line", "x.ed", "x.eline")
+        wanted = pairs.select(F.explode(F.array(F.struct("d", "line"), F.struct(F.col("ed").alias("d"), F.col("eline").alias("line")))).alias("x")).select("x.*").distinct()
+        return common.staged(verified(pairs, common.staged(line_sets(keyed, wanted), "line-sets"), percent), name)
+
+    # the most alike candidates first, then the others of lines that none of these matched
+    found = proven(some, F.slice("all", 1, TRIED), "matched")
+    left = common.staged(some.filter((F.size("all") > TRIED) | F.col("over")).join(found, ["d", "line"], "left_anti"), "left")
+    if left.filter(F.size("all") > TRIED).limit(1).count():
+        found = found.unionByName(proven(left, F.filter("all", lambda x, i: i >= TRIED), "matched-later"))
+    # last, lines that had more candidates of some word than were looked at
+    left = common.staged(left.filter("over").select("d", "line").join(found, ["d", "line"], "left_anti"), "left")
     if left.limit(1).count():
         found = found.unionByName(against_all(distinct, keyed, left, percent))
     return copies.unionByName(found)
@@ -508,9 +510,13 @@ def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, Column]:
     keyed = _with_key(docs)
     gone = removed_lines(keyed, percent).groupBy("d").agg(F.collect_list("line").alias("gone"))
     joined = keyed.join(gone.hint("shuffle_hash"), "d", "left").drop("d")
-    lines = F.split("text", "\n", -1)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    def without(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    # the text is split once, as the one element of an array
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), without), F.lit(0))
     return joined, F.when(F.col("gone").isNotNull(), kept).otherwise(F.col("text"))
 
 
@@ -521,9 +527,12 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.select("row.doc_id", kept.alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def without_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs``, all columns, its texts without the lines that match earlier ones."""
+def without_matches(docs: DataFrame, percent: int = PERCENT, drop_emptied: bool = False) -> DataFrame:
+    """``docs``, all columns, its texts without the lines that match earlier ones; on wish without the rows that lose all their words so."""
     joined, kept = _joined(docs, percent)
+    if drop_emptied:
+        joined = joined.withColumn("kept", kept).filter(F.col("gone").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+        kept = F.col("kept")
     return joined.select(*[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
