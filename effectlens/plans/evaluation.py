@@ -134,6 +134,11 @@ def identity(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(key).cast("string")).first())
 
 
+def forget() -> None:
+    """Let the next query build its tables anew."""
+    _KNOWN.clear()
+
+
 def of(spark: SparkSession, sf_dir: str, config: Config | None = None, axis: str = "brand", form: str = "counts") -> Evaluation:
     """The evaluation of a data folder as its files now are, shared by the queries of one application."""
     config = config or Config()
