@@ -351,6 +351,30 @@ def _only_marked(rows: DataFrame, marks: np.ndarray, *columns: str) -> DataFrame
     return rows.withColumn("_slot", F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")).mapInArrow(keep, rows.schema)
 
 
+def _slots(rows: np.ndarray, by: str) -> np.ndarray:
+    """Places of ENTRY or PLACE rows in a map of SLOTS bits, by line or by word."""
+    key = rows["word"] if by == "word" else rows["d"].view(np.uint64) ^ common.mix(rows["line"].astype(np.uint64))
+    return (common.mix(key) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _entry_marks(asked: DataFrame, by: str) -> np.ndarray:
+    """The map of the lines (d, line) or words (word) in ``asked``."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, ENTRY)
+            for c in batch.schema.names:
+                x = batch.column(c).to_numpy(zero_copy_only=False)
+                rows[c] = x.view(np.uint64) if c == "word" else x
+            yield pa.record_batch([pa.array(np.unique(_slots(rows, by)))], ["s"])
+
+    bits = np.zeros(SLOTS, bool)
+    slots = asked.select(*(("word",) if by == "word" else ("d", "line"))).mapInArrow(mark, "s bigint").distinct()
+    for part in slots.groupBy(F.pmod("s", F.lit(64))).agg(F.collect_list("s").alias("s")).toLocalIterator():  # at most SLOTS numbers
+        bits[part["s"]] = True
+    return bits
+
+
 def line_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """d, line, words (hashes) of the lines in ``wanted`` (d, line), read from the texts."""
     lines = wanted.groupBy("d").agg(F.collect_list("line").alias("lines"))  # the lines of one document
@@ -399,15 +423,22 @@ def against_all(distinct: DataFrame, keyed: DataFrame, left: DataFrame, percent:
     names = ["word", "d", "line", "size", "pos", "x", "y"]
     kinds = "word bigint, d bigint, line int, size int, pos int, x bigint, y bigint"
 
-    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for e in _entries(batch, percent):
-                cols = [e["word"].view(np.int64) if c == "word" else e["bits"][:, "xy".index(c)].view(np.int64) if c in "xy" else e[c] for c in names]
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+    def entries(by: str, asked: DataFrame) -> DataFrame:
+        """The prefix words of lines, or of all lines with a word, that were asked for, and some more."""
+        bits = spark.sparkContext.broadcast(np.packbits(_entry_marks(asked, by)))  # SLOTS / 8 bytes
+
+        def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for e in _entries(batch, percent):
+                    at = _slots(e, by)
+                    e = e[(bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)]
+                    cols = [e["word"].view(np.int64) if c == "word" else e["bits"][:, "xy".index(c)].view(np.int64) if c in "xy" else e[c] for c in names]
+                    yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names)
+
+        return distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(spell, kinds)
 
-    entries = distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(spell, kinds)
-    mine = common.staged(_only_marked(entries, _marks(left, "d", "line"), "d", "line").join(left, ["d", "line"], "left_semi"), "left-entries")
-    near = _only_marked(entries, _marks(mine, "word"), "word").join(mine.select("word").distinct(), "word", "left_semi")
+    mine = common.staged(entries("line", left).join(left, ["d", "line"], "left_semi"), "left-entries")
+    near = entries("word", mine).join(mine.select("word").distinct(), "word", "left_semi")
     near = common.staged(near.join(left.select("d", "line", F.lit(True).alias("asks")), ["d", "line"], "left").select(*names, F.coalesce("asks", F.lit(False)).alias("asks")), "near-entries")
     # a word's lines meet in pairs of blocks of about BLOCK lines
     blocks = near.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).alias("m"))

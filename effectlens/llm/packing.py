@@ -241,7 +241,7 @@ def plan(spark: SparkSession, counts: dict[int, int], capacity: int, islands: in
             kept = elites.select("island", "generations", "packing")
             asked = kept.unionByName(kept.withColumn("island", (F.col("island") + 1) % islands))
             moved += islands
-        elites = common.staged(asked.groupBy("island").applyInPandas(grower(epoch), "island bigint, bins bigint, evenness double, generations bigint, packing binary"), f"islands{epoch}")
+        elites = common.staged(asked.repartition(islands, "island").groupBy("island").applyInPandas(grower(epoch), "island bigint, bins bigint, evenness double, generations bigint, packing binary"), f"islands{epoch}")
         if epoch and elites.agg(F.min("bins")).first()[0] <= bound:
             break
     best = elites.orderBy("bins", "evenness", "island").first()
