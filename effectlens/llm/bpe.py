@@ -309,7 +309,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> D
             text_sha.append(hashlib.sha256(encoder.bpe.decode(x).encode()).hexdigest())
         return pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", text).mapInArrow(common.per_slice(digest, text), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return common.keyed_texts(docs, text).mapInArrow(common.per_slice(digest, text), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

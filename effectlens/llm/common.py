@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a worker holds as Python objects at one time.
 CHUNK_CHARS = 500_000
@@ -76,6 +77,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
+def keyed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id as a long, whatever integer it is, and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+
+
 def require_stable_hash() -> None:
     seed = os.environ.get("PYTHONHASHSEED", "random")
     if seed == "random":

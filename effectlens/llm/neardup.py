@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Broadc
         cols = [part.column("doc_id"), part.column("t"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(heads, pa.binary()), pa.array(counts, pa.binary())]
         return pa.record_batch(cols, ["doc_id", "t", "n", "node", "sig", "head", "sketch"])
 
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     return keyed.mapInArrow(common.per_slice(sign), "doc_id bigint, t bigint, n bigint, node bigint, sig binary, head binary, sketch binary"), known
 
 

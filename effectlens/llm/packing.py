@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         out = [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
         return pa.record_batch(out if with_ids else out[:5], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(common.per_slice(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return common.keyed_texts(docs).mapInArrow(common.per_slice(cut), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def best_fit(counts: dict[int, int], packing: Packing, capacity: int, order: list[int] | None = None) -> Packing:

@@ -358,7 +358,7 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.per_slice(search), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return common.keyed_texts(docs).mapInArrow(common.per_slice(search), "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:

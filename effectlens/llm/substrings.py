@@ -70,7 +70,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """d, t: the key of a row; t tells rows of one id with other texts apart and is 0 where ids are unique."""
     n, different = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
     t = F.lit(0).cast("long") if n == different else F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), t.alias("t"), "doc_id", "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), t.alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def edges(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

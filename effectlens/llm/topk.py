@@ -14,7 +14,7 @@ Cases: vectors that are null, or hold null or non-finite components, take no
 part, nor do those with a component of 2**1016 or more, of which 256 times is
 not finite; vectors of another length than the query's have no score with it;
 repeated ids are separate candidates, but a query has no score with rows of its
-own id; fewer than k candidates are all returned; empty tables give no rows.
+own id, and a query id that comes again asks once, with its least vector; fewer than k candidates are all returned; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
     candidates = _packed(valid(vectors), CANDIDATES)
-    asked = valid(queries).dropDuplicates(["id"])
+    asked = valid(queries).groupBy("id").agg(F.min("v").alias("v"))
     blocks = common.staged(_packed(asked, QUERIES).select(F.monotonically_increasing_id().alias("block"), "dim", "ids", "data"), "topk-queries")
     # a candidate block is sent once to each of the ``n`` bins of query blocks
     n = max(1, blocks.count())

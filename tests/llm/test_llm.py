@@ -570,6 +570,17 @@ def test_rows_of_one_id_go_only_if_linked(spark):
     assert sorted(r["source"] for r in neardup.one_of_each(df).collect()) == ["a", "b", "d", "g", "h", "i"]
 
 
+def test_ids_of_any_integer_type(spark):
+    df = spark.createDataFrame([(1, prose(60, 1)), (2, prose(60, 1)), (3, "a.b@c.de")], "doc_id int, text string")
+    assert {r["doc_id"] for r in pii.find(df).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in bpe.encode_decode(df, common.tokenizer_file()).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in packing.token_pieces(df, common.tokenizer_file()).collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in substrings.remove_repeats(df).filter("n_removed > 0").collect()} == {1, 2}
+    assert {r["doc_id"] for r in neardup.near_duplicates(df).filter("kept").collect()} == {1, 3}
+    assert {r["doc_id"] for r in lines.dedup_lines(df).filter("n_removed > 0").collect()} == {2}
+    assert {r["doc_id"] for r in quality.statistics(df).collect()} == {1, 2, 3}
+
+
 # ---- pipeline
 
 
