@@ -105,6 +105,16 @@ def panel_genes(genes: DataFrame, own: DataFrame) -> DataFrame:
     return left
 
 
+def require_targets(real: DataFrame, pred: DataFrame, control: object) -> None:
+    """Both differential-expression tables have the same targets, and the control is none of them."""
+    a, b = (df.select(F.col("target").cast("string")).distinct() for df in (real, pred))
+    other = [r[0] for r in a.exceptAll(b).unionByName(b.exceptAll(a)).limit(20).collect()]
+    if other:
+        raise ValueError(f"targets of one table only: {sorted(map(str, other))}")
+    if a.filter(F.col("target") == str(control)).limit(1).count():
+        raise ValueError(f"the control {control!r} is a target")
+
+
 def require_resolution(own: DataFrame) -> None:
     if not own.limit(1).count():
         raise ValueError("no perturbation is a measured gene; give a map from perturbation to gene")

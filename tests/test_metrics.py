@@ -182,6 +182,16 @@ def test_manifest_paths(spark, tmp_path):
         tables.read_manifest(spark, path)
 
 
+def test_tables_need_the_same_targets(spark):
+    from effectlens.operators import validation
+
+    one = table(spark, [("A", "g", 1, 0.1), ("B", "g", 1, 0.1)])
+    validation.require_targets(one, one, "ctrl")
+    for other, control in ((one.filter("target = 'A'"), "ctrl"), (one, "A")):
+        with pytest.raises(ValueError):
+            validation.require_targets(one, other, control)
+
+
 def test_duplicate_keys_are_refused(spark):
     with pytest.raises(ValueError):
         de.refuse_duplicates(table(spark, [("A", "g", 1, 0.1), ("A", "g", 1, 0.1)]))
