@@ -93,7 +93,7 @@ def jackknife(counts: DataFrame, libs: DataFrame, profile: DataFrame, bulk_sum:
     shares = group.select(*GROUP, F.ceil(F.col("n") / share).cast("int").alias("shares"))
     left = libs.select(*GROUP, "cell").join(sparse, [*GROUP, "cell"], "left").join(shares, GROUP)
     left = left.select(*GROUP, F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int").alias("share"), F.col("x.gene").alias("genes"), F.col("x.x").alias("xs"), F.coalesce("lib", F.lit(0.0)).alias("lib"))
-    right = group.select(*GROUP, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1)).alias("share"), F.col("g.gene").alias("genes"), F.col("g.total").alias("total"), F.col("g.bulk").alias("bulk"), "all")
+    right = group.select(*[F.col(c).alias(c) for c in GROUP], F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / share).cast("int") - 1)).alias("share"), F.col("g.gene").alias("genes"), F.col("g.total").alias("total"), F.col("g.bulk").alias("bulk"), "all")
     key = [*GROUP, "share"]
     names = [*GROUP, "gene", "d1", "d2"]
 
