@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, lines, neardup, packing, pii, quality, substrings, topk, toxicity
+from effectlens.llm import bpe, chat, lines, neardup, packing, pii, quality, spelling, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_topk": topk.op9_topk,
     "op10_neardup": neardup.op10_neardup,
+    "op11_spelling": spelling.op11_spelling,
 }
 
-ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL, "op10_neardup": neardup.SQL}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL, "op10_neardup": neardup.SQL, "op11_spelling": spelling.SQL}
