@@ -119,9 +119,11 @@ def _factors(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-def hashed_words(column: pa.Array, lower: bool = False, both: bool = True) -> Words:
+def hashed_words(column: pa.Array, lower: bool = False, both: bool = True, space: np.ndarray = _SPACE, breaks: bytes = b"\n") -> Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a string column, found and hashed on its bytes; null is empty; ``lower`` maps A-Z to a-z, without ``both`` there is one hash.
 
+    ``space`` says of each byte whether it stands between words, ``breaks`` which of these end a line.
+
     A word's hashes are sums of its bytes times random numbers of their places.
     """
     column = pc.fill_null(column, "")
@@ -133,7 +135,7 @@ def hashed_words(column: pa.Array, lower: bool = False, both: bool = True) -> Wo
     offsets = offsets - offsets[0]
     if lower:
         raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
     before[offsets[:-1][offsets[:-1] < len(raw)]] = False  # no word goes on in the next text
@@ -152,7 +154,7 @@ def hashed_words(column: pa.Array, lower: bool = False, both: bool = True) -> Wo
             np.cumsum(value * _factors(longest, seed)[place], out=sums[1:])
             out.append(mix(sums[begin + size] - sums[begin] + size.astype(np.uint64) * np.uint64(seed)))
     text = np.searchsorted(offsets, start, side="right") - 1
-    lines = np.flatnonzero(raw == 10)
+    lines = np.flatnonzero(np.isin(raw, np.frombuffer(breaks, np.uint8)) if len(breaks) > 1 else raw == breaks[0])
     line = np.searchsorted(lines, start) - np.searchsorted(lines, offsets[:-1])[text] if n else start
     return Words(out[0], out[-1], text, line, np.searchsorted(start, offsets[1:]))
 

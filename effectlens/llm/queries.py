@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectlens.llm import bpe, chat, contamination, lines, neardup, packing, pii, quality, spelling, substrings, topk, toxicity
+from effectlens.llm import bpe, chat, contamination, lines, neardup, packing, phrases, pii, quality, spelling, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neardup": neardup.op10_neardup,
     "op11_spelling": spelling.op11_spelling,
     "op12_contamination": contamination.op12_contamination,
+    "op13_phrases": phrases.op13_phrases,
 }
 
-ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL, "op10_neardup": neardup.SQL, "op11_spelling": spelling.SQL, "op12_contamination": contamination.SQL}
+ORACLES: dict[str, str] = {"op2_substrings": substrings.SQL, "op3_chat": chat.SQL, "op9_topk": topk.SQL, "op10_neardup": neardup.SQL, "op11_spelling": spelling.SQL, "op12_contamination": contamination.SQL, "op13_phrases": phrases.SQL}
