@@ -68,7 +68,7 @@ def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: i
 
 
 def _steps(part: pa.RecordBatch) -> pa.RecordBatch | None:
-    """word, n, depth, node, next of sorted words: the trie's nodes on each word's path where another word can leave it.
+    """id, depth, node, next of sorted words: the trie's nodes on each word's path where another word can leave it.
 
     Below the longest prefix that a word shares with its neighbours it is
     alone; the first and the last of a batch don't know theirs and keep all.
@@ -94,24 +94,24 @@ def _steps(part: pa.RecordBatch) -> pa.RecordBatch | None:
     keep = depth <= deep[of]
     of, depth = of[keep], depth[keep]
     letter = np.where(depth < size[of], np.r_[flat, np.uint64(0)][np.minimum(first[of] + depth, len(flat))], np.uint64(0))
-    rows = pa.array(of)
-    return pa.record_batch([part.column("word").take(rows), part.column("n").take(rows), pa.array(depth.astype(np.int32)), pa.array(node[keep].view(np.int64)), pa.array(letter.astype(np.int32))], ["word", "n", "depth", "node", "next"])
+    return pa.record_batch([part.column("id").take(pa.array(of)), pa.array(depth.astype(np.int32)), pa.array(node[keep].view(np.int64)), pa.array(letter.astype(np.int32))], ["id", "depth", "node", "next"])
 
 
 def light_edges(vocab: DataFrame) -> DataFrame:
-    """word, n, depth, next, heavy: light edges on the paths of sorted words; next is 0 where a word ends, letters are code points."""
-    steps = vocab.mapInArrow(common.per_slice(_steps, "word"), "word string, n bigint, depth int, node bigint, next int")
+    """word, n, depth, next, heavy: light edges on the paths of sorted words (id, word, n); next is 0 where a word ends, letters are code points."""
+    steps = vocab.select("id", "word").mapInArrow(common.per_slice(_steps, "word"), "id bigint, depth int, node bigint, next int")
     edges = steps.groupBy("depth", "node", "next").count()
     heavy = edges.groupBy("depth", "node").agg(F.count("*").alias("children"), F.max(F.when(F.col("next") > 0, F.struct("count", "next")))["next"].alias("heavy"))
     heavy = common.staged(heavy.filter("children > 1").drop("children"), "heavy")
     top = steps.filter(F.col("depth") <= SHALLOW).join(F.broadcast(heavy.filter(F.col("depth") <= SHALLOW)), ["depth", "node"])
     rest = steps.filter(F.col("depth") > SHALLOW).join(heavy.filter(F.col("depth") > SHALLOW), ["depth", "node"])
-    return top.unionByName(rest).filter("next <> heavy").select("word", "n", "depth", "next", "heavy")
+    light = common.staged(top.unionByName(rest).filter("next <> heavy").select("id", "depth", "next", "heavy"), "light")
+    return light.join(vocab, "id").select("word", "n", "depth", "next", "heavy")
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
-    """word, n_near, best (minus its n, word): of the words one inserted, deleted or replaced letter away."""
-    edges = common.staged(light_edges(vocab), "light")
+    """word, n_near, best (minus its n, word) of sorted words (id, word, n): of the words one inserted, deleted or replaced letter away."""
+    edges = common.staged(light_edges(vocab), "edges")
     head, rest, tail = F.expr("substring(word, 1, depth)"), F.expr("substring(word, depth + 1)"), F.expr("substring(word, depth + 2)")
     heavy = F.char("heavy")  # letters end at U+00FF, where char() does
     last_of_run = F.expr("substring(word, depth + 2, 1) <> substring(word, depth + 1, 1)")
@@ -143,7 +143,7 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, typo: int = TYPO, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of the vocabulary."""
     vocab = vocabulary(docs, least_length, least_count, typo)
-    vocab = common.staged(vocab.repartitionByRange("word").sortWithinPartitions("word"), "vocabulary")
+    vocab = common.staged(vocab.repartitionByRange("word").sortWithinPartitions("word").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
     words = vocab.join(near_words(vocab), "word", "left")
     most = -F.col("best.minus_n")
     counts = most >= ratio * F.col("n")
