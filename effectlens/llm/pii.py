@@ -12,7 +12,8 @@ written forms of the four kinds, and look-alikes that are none of them.
 
 Cases: null text counts as empty and has no spans; texts of any length are
 searched whole; spans of different kinds may overlap as the patterns allow, an
-added span overlaps no other; repeated ids each have a row; extra columns are
+added span overlaps no other; digits are those of ASCII, others are marks; long
+tables of numbers are decoded place by place; repeated ids each have a row; extra columns are
 ignored; empty tables give no rows.
 """
 
@@ -21,17 +22,22 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from effectlens.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment at most, characters of context beside a trigger.
-LONGEST, CONTEXT = 16, 48
+#: Tokens of a segment at most, digits of a number at most, characters of a token at most, characters of context beside a trigger.
+LONGEST, MOST_DIGITS, LONGEST_TOKEN, CONTEXT = 16, 19, 4096, 48
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -42,12 +48,11 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 Span = tuple[str, int, int]
 
 
+_DOUBLED = {str(d): 2 * d - 9 if d > 4 else 2 * d for d in range(10)}
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c)
-        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(_DOUBLED.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def base_spans(text: str) -> list[Span]:
@@ -96,59 +101,109 @@ _LABELS = ("none", *KINDS)
 
 
 class _Tokens:
-    """Tokens of a stretch of text with what features need of each."""
+    """Tokens with what the features need of each; ``push`` adds the next one, ``forget`` drops early ones.
+
+    Digits are ASCII digits; other characters that Python calls digits, such as a superscript two, are marks.
+    """
 
-    def __init__(self, text: str, begin: int, end: int):
-        found = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, begin, end)]
-        self.text, self.items = text, found
+    def __init__(self, text: str):
+        self.text = text
+        self.token: list[str] = []
+        self.start: list[int] = []
+        self.stop: list[int] = []
         self.shape: list[str] = []
-        for i, (t, s, _) in enumerate(found):
-            low, gap = t.lower(), "_" if i and s > found[i - 1][2] else ""
-            if t[0].isdigit() and t.isascii():
-                n = len(t)
-                x = "d" if n <= 3 else "q" if n == 4 else "m" if n <= 12 else "L" if n <= 19 else "X"
-            elif t[0].isalpha():
-                x = "@w" if low == "at" else ".w" if low == "dot" else "t" if low in _ENDS else "a"
-            else:
-                x = t
-            self.shape.append(gap + x)
-
-    def feasible(self, i: int, j: int) -> bool:
-        """Whether items i..j-1 could be an entity of some kind."""
-        first, last = self.items[i][0], self.items[j - 1][0]
-        if not (first[0].isalnum() or first in "(+") or not last[-1].isalnum() or j - i < 2 and len(first) < 7:
-            return False
-        shape = "".join(self.shape[i:j])
-        if "@" in shape:
-            host = shape.split("@", 1)[1]
-            return first[0].isalnum() and "." in host
-        return not any(t[0].isalpha() and t.lower() != "dot" for t, _, _ in self.items[i:j]) and sum(len(t) for t, _, _ in self.items[i:j] if t[0].isdigit()) >= 4
-
-    def features(self, i: int, j: int) -> list[str]:
-        items, text = self.items, self.text
-        shape = "".join(self.shape[i:j]).lstrip("_")
-        digits = "".join(t for t, _, _ in items[i:j] if t[0].isdigit())
-        numbers = [t for t, _, _ in items[i:j] if t[0].isdigit()]
-        n, s, e = len(digits), items[i][1], items[j - 1][2]
-        before, after = text[s - 1 : s], text[e : e + 1]
-        cue = next((_CUES[t.lower()] for t, _, _ in reversed(items[max(0, i - 4) : i]) if t.lower() in _CUES), "-")
-        out = [
-            "bias", "shape " + (re.sub(r"(\d|[a-zA-Z])\1+", r"\1", shape) if len(shape) <= 40 else "long"),
-            f"digits {n if n < 20 else 20}", "marks " + "".join(sorted({x for x in shape if not x.isalnum()})), f"cue {cue}",
-            "left " + ("word" if before.isalnum() else before if before in "=\"'/.-_#$:" else "-"), "right " + ("word" if after.isalnum() else "join" if after in "-/_@%" and after else "-"),
-            f"ends {shape[0]} {shape[-1]}", f"ats {min(2, shape.count('@'))} dots {min(3, shape.count('.'))}", f"groups {min(7, len(numbers))}",
-        ]
-        if 13 <= n <= 19 and shape.count("a") == 0:
-            out.append(f"luhn {luhn(digits)}")
-        if len(numbers) == 4:
-            out.append(f"octets {all(len(x) <= 3 and int(x) <= 255 for x in numbers)}")
-        if numbers:
-            out.append("lengths " + "-".join(str(min(9, len(x))) for x in numbers[:6]))
-        return out
-
-    def spans(self) -> list[tuple[int, int]]:
-        n = len(self.items)
-        return [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if self.feasible(i, j)]
+        self.number: list[bool] = []
+        self.cue: list[str] = []  # beside each token: the nearest hint of the four before it
+        self.left: list[str] = []
+        self.right: list[str] = []
+        self._hints: list[str | None] = []
+
+    def push(self, t: str, s: int, e: int) -> None:
+        low, gap = t.lower(), "_" if self.stop and s > self.stop[-1] else ""
+        number = "0" <= t[0] <= "9"
+        if number:
+            n = len(t)
+            x = "d" if n <= 3 else "q" if n == 4 else "m" if n <= 12 else "L" if n <= 19 else "X"
+        elif t[0].isalpha():
+            x = "@w" if low == "at" else ".w" if low == "dot" else "t" if low in _ENDS else "a"
+        else:
+            x = t
+        before, after = self.text[s - 1 : s], self.text[e : e + 1]
+        self.cue.append(next((c for c in reversed(self._hints[-4:]) if c), "-"))
+        self.left.append("word" if before.isalnum() else before if before in "=\"'/.-_#$:" else "-")
+        self.right.append("word" if after.isalnum() else "join" if after in "-/_@%" and after else "-")
+        self._hints.append(_CUES.get(low))
+        self.token.append(t)
+        self.start.append(s)
+        self.stop.append(e)
+        self.shape.append(gap + x)
+        self.number.append(number)
+
+    def forget(self, n: int) -> None:
+        for x in (self.token, self.start, self.stop, self.shape, self.number, self.cue, self.left, self.right, self._hints):
+            del x[:n]
+
+    def segments(self, j: int) -> Iterator[tuple[int, tuple]]:
+        """(i, traits) of each feasible segment i..j-1, from the shortest on: what could be an entity of some kind, and all that its features depend on.
+
+        An e-mail address has a sign or word for "at" and a dot after it; the
+        other kinds hold 4 to 19 digits and no words but "dot".
+        """
+        token, shapes, number = self.token, self.shape, self.number
+        last = token[j - 1]
+        if not last[-1].isalnum():
+            return
+        least = max(0, j - LONGEST)
+        at = any("@" in x for x in shapes[least:j])
+        shape, host, n, ats, plain = "", "", 0, 0, True
+        numbers: list[str] = []
+        for i in range(j - 1, least - 1, -1):
+            t = token[i]
+            shape = shapes[i] + shape
+            if number[i]:
+                n += len(t)
+                numbers.insert(0, t)
+            elif t[0].isalpha() and t.lower() != "dot":
+                plain = False
+            if "@" in shapes[i]:
+                ats += 1
+                host = shape.split("@", 1)[1]
+            elif not at and (not plain or n > MOST_DIGITS):
+                return
+            if j - i < 2 and len(t) < 7 or not (t[0].isalnum() or t in "(+"):
+                continue
+            if not (t[0].isalnum() and "." in host if ats else plain and 4 <= n <= MOST_DIGITS):
+                continue
+            own = shape.lstrip("_")
+            yield i, (
+                own, n, self.cue[i], self.left[i], self.right[j - 1], tuple(map(len, numbers)),
+                luhn("".join(numbers)) if 13 <= n <= 19 and "a" not in own else None,
+                all(len(x) <= 3 and int(x) <= 255 for x in numbers) if len(numbers) == 4 else None,
+            )
+
+
+def features(traits: tuple) -> list[str]:
+    shape, n, cue, left, right, lengths, sum_fits, octets = traits
+    out = [
+        "bias", "shape " + (re.sub(r"(\d|[a-zA-Z])\1+", r"\1", shape) if len(shape) <= 40 else "long"),
+        f"digits {n if n < 20 else 20}", "marks " + "".join(sorted({x for x in shape if not x.isalnum()})), f"cue {cue}", f"left {left}", f"right {right}",
+        f"ends {shape[0]} {shape[-1]}", f"ats {min(2, shape.count('@'))} dots {min(3, shape.count('.'))}", f"groups {min(7, len(lengths))}",
+    ]
+    if sum_fits is not None:
+        out.append(f"luhn {sum_fits}")
+    if octets is not None:
+        out.append(f"octets {octets}")
+    if lengths:
+        out.append("lengths " + "-".join(str(min(9, x)) for x in lengths[:6]))
+    return out
+
+
+def _tokens(text: str, begin: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Tokens of a stretch; very long ones in pieces, which are no parts of entities."""
+    for m in _TOKEN.finditer(text, begin, end):
+        for s in range(m.start(), m.end(), LONGEST_TOKEN):
+            e = min(m.end(), s + LONGEST_TOKEN)
+            yield text[s:e], s, e
 
 
 def _scores(weights: dict[str, np.ndarray], features: list[str]) -> np.ndarray:
@@ -160,40 +215,80 @@ def _scores(weights: dict[str, np.ndarray], features: list[str]) -> np.ndarray:
     return out
 
 
-def decode(tokens: _Tokens, weights: dict[str, np.ndarray]) -> list[Span]:
-    """The best segmentation: segments of one token without a kind, or feasible spans with one."""
-    n, labels = len(tokens.items), len(_LABELS)
-    step = weights["transitions"]
-    best = np.full((n + 1, labels), -np.inf)
-    best[0, 0] = 0.0
-    back: list[list[tuple[int, int] | None]] = [[None] * labels for _ in range(n + 1)]
-    ending: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for i, j in tokens.spans():
-        ending.setdefault(j, []).append((i, _scores(weights, tokens.features(i, j))))
-    for j in range(1, n + 1):
-        reach = best[j - 1] + step[:, 0]
-        y = int(np.argmax(reach))
-        best[j, 0], back[j][0] = reach[y], (j - 1, y)
-        for i, s in ending.get(j, ()):
-            reach = best[i][:, None] + step[:, 1:]
-            ys = np.argmax(reach, axis=0)
-            total = reach[ys, np.arange(labels - 1)] + s[1:]
-            for k in np.flatnonzero(total > best[j, 1:]).tolist():
-                best[j, k + 1], back[j][k + 1] = total[k], (i, int(ys[k]))
-    out, j, y = [], n, int(np.argmax(best[n]))
+class Scorer:
+    """Scores of segments by their traits; those of MEMORY traits are kept."""
+
+    MEMORY = 100_000
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.weights = weights
+        self.step: list[list[float]] = weights["transitions"].tolist()
+        self._known: dict[tuple, tuple[float, ...]] = {}
+
+    def __call__(self, traits: tuple) -> tuple[float, ...]:
+        s = self._known.get(traits)
+        if s is None:
+            if len(self._known) >= self.MEMORY:
+                self._known.clear()
+            s = self._known[traits] = tuple(_scores(self.weights, features(traits)).tolist()[1:])
+        return s
+
+
+def decode(text: str, begin: int, end: int, score: Scorer) -> list[Span]:
+    """The best segmentation of text[begin:end]: segments of one token without a kind, or feasible spans with one.
+
+    A segment has at most LONGEST tokens, so only so many places are held at one
+    time; of earlier ones the length and the previous label of the best segment
+    that ends there stay, and where the tokens stand: 26 bytes a token.
+    """
+    kinds, step = range(1, len(_LABELS)), score.step
+    low = float("-inf")
+    best = [0.0, *[low] * len(KINDS)]
+    tokens = _Tokens(text)
+    starts, stops, lengths, labels = array("q"), array("q"), array("b"), array("b")
+
+    def entered(best: list[float]) -> list[tuple[float, int]]:
+        """For each label the best score of a path to here that goes on with it, and the path's last label."""
+        return [max(((b + row[k], -y) for y, (b, row) in enumerate(zip(best, step, strict=True))), key=lambda x: x) for k in range(len(_LABELS))]
+
+    reach = [entered(best)]
+    for t, s, e in _tokens(text, begin, end):
+        if len(tokens.token) >= 64 * LONGEST:
+            gone = len(tokens.token) - LONGEST - 4
+            tokens.forget(gone)
+            del reach[:gone]
+        tokens.push(t, s, e)
+        j = len(tokens.token)
+        value, label = reach[j - 1][0]
+        now, size, came = [value, *[low] * len(KINDS)], [1] * len(_LABELS), [-label, *[0] * len(KINDS)]
+        for i, traits in tokens.segments(j):
+            here, own = reach[i], score(traits)
+            for k in kinds:
+                value = here[k][0] + own[k - 1]
+                if value >= now[k] and value > low:  # ties: the longer segment
+                    now[k], size[k], came[k] = value, j - i, -here[k][1]
+        reach.append(entered(now))
+        starts.append(s)
+        stops.append(e)
+        lengths.extend(size)
+        labels.extend(came)
+        best = now
+    out, j, n = [], len(starts), len(_LABELS)
+    y = best.index(max(best))
     while j > 0:
-        i, previous = back[j][y]
+        at = (j - 1) * n + y
+        i = j - lengths[at]
         if y:
-            out.append((_LABELS[y], tokens.items[i][1], tokens.items[j - 1][2]))
-        j, y = i, previous
+            out.append((_LABELS[y], starts[i], stops[j - 1]))
+        j, y = i, labels[at]
     return out[::-1]
 
 
 def _learn_one(tokens: _Tokens, gold: set[tuple[int, int, int]], weights: dict[str, np.ndarray], squares: dict[str, np.ndarray], rate: float) -> None:
     """One AdaGrad step on the likelihood of a sentence, by forward and backward sums over segments."""
-    n, labels = len(tokens.items), len(_LABELS)
+    n, labels = len(tokens.token), len(_LABELS)
     step = weights["transitions"]
-    parts = [(i, j, tokens.features(i, j)) for i, j in tokens.spans()]
+    parts = sorted(((i, j, features(x)) for j in range(1, n + 1) for i, x in tokens.segments(j)), key=lambda x: x[:2])
     scored = [(i, j, f, _scores(weights, f)) for i, j, f in parts]
     by_end: dict[int, list] = {}
     by_begin: dict[int, list] = {}
@@ -262,7 +357,7 @@ def _sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
         a, b, c = num(3), num(3), num(4)
         if rng.random() < 0.3:  # plain forms that the patterns miss beside other digits
             return f"+{rng.choice(['1', '44', '49', '33'])} ({a}) {b}-{c}"
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"1 ({a}) {b}-{c}", f"00{num(2)} {num(3)} {num(7)}", f"0{num(3)} {num(6)}"])
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"1 ({a}) {b}-{c}", f"00{num(2)} {num(3)} {num(7)}", f"0{num(3)} {num(6)}", f"0{num(2)} {num(rng.choice([7, 8]))}", f"0{num(4)} {num(5)}"])
 
     def card() -> str:
         return group(_card(rng), rng.choice([".", "  ", " - ", "/", " ", "-"])) if rng.random() < 0.6 else _card(rng)
@@ -305,8 +400,10 @@ def trained(n: int = 700, epochs: int = 4) -> dict[str, np.ndarray]:
     squares = {"transitions": np.zeros_like(weights["transitions"])}
     data = []
     for text, spans in _sentences(n):
-        t = _Tokens(text, 0, len(text))
-        begins, ends = {s: i for i, (_, s, _) in enumerate(t.items)}, {e: i + 1 for i, (_, _, e) in enumerate(t.items)}
+        t = _Tokens(text)
+        for x in _tokens(text, 0, len(text)):
+            t.push(*x)
+        begins, ends = {s: i for i, s in enumerate(t.start)}, {e: i + 1 for i, e in enumerate(t.stop)}
         data.append((t, {(begins[s], ends[e], _LABELS.index(k)) for k, s, e in spans}))
     for epoch in range(epochs):
         for t, gold in data:
@@ -314,27 +411,37 @@ def trained(n: int = 700, epochs: int = 4) -> dict[str, np.ndarray]:
     return weights
 
 
-def added_spans(text: str, base: list[Span], weights: dict[str, np.ndarray]) -> list[Span]:
+@lru_cache(maxsize=1)
+def _scorer(held: Broadcast) -> Scorer:
+    """The scorer of a worker."""
+    return Scorer(held.value)
+
+
+def added_spans(text: str, base: list[Span], score: Scorer) -> list[Span]:
     """What the model finds where no base span is."""
     triggers = [m.span() for m in _DIGITS.finditer(text) if sum(map(str.isdigit, m[0])) >= 7 or len(_GROUP.findall(m[0])) >= 4]
     triggers += [m.span() for m in _SPELLED.finditer(text)]
+    if not triggers:
+        return []
     taken = sorted((s, e) for _, s, e in base)
+    begins, furthest = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     regions: list[list[int]] = []
     for s, e in sorted(triggers):
-        if any(a <= s and e <= b for a, b in taken):
+        if furthest[bisect_right(begins, s)] >= e or regions and e + CONTEXT <= regions[-1][1]:
             continue
         s, e = max(0, s - CONTEXT), min(len(text), e + CONTEXT)
-        while s > 0 and not text[s - 1].isspace():
+        least = regions[-1][1] if regions else 0
+        while s > least and not text[s - 1].isspace():
             s -= 1
         while e < len(text) and not text[e].isspace():
             e += 1
-        if regions and s <= regions[-1][1]:
-            regions[-1][1] = max(e, regions[-1][1])
+        if regions and s <= least:
+            regions[-1][1] = max(e, least)
         else:
             regions.append([s, e])
     out = []
     for s, e in regions:
-        out += [x for x in decode(_Tokens(text, s, e), weights) if not any(x[1] < b and a < x[2] for a, b in taken)]
+        out += [x for x in decode(text, s, e, score) if furthest[bisect_left(begins, x[2])] <= x[1]]
     return out
 
 
@@ -354,7 +461,7 @@ def find(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataF
         for text in common.texts(part):
             base = base_spans(text)
             kinds = [k for k, _, _ in base]
-            rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added_spans(text, base, held.value))))
+            rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + added_spans(text, base, _scorer(held)))))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         return pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
@@ -373,7 +480,7 @@ def masked(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> Dat
             if text:
                 base = base_spans(text)
                 done, pieces = 0, []
-                for k, s, e in sorted(base + added_spans(text, base, held.value), key=lambda x: (x[1], -x[2])):
+                for k, s, e in sorted(base + added_spans(text, base, _scorer(held)), key=lambda x: (x[1], -x[2])):
                     if e > done:  # overlapping spans go together
                         if s >= done:
                             pieces += [text[done:s], f"<{k}>"]

@@ -81,14 +81,14 @@ def test_base_spans_match_the_patterns():
 def test_base_spans_of_very_long_numbers():
     for t in ("1.2.3." + "0" * 5000 + "4", "1.2.3." + "4" * 9000, "0" * 6000 + ".0.0.0", "+" + "1" * 9000, "4" * 9000):
         assert [k for k, _, _ in pii.base_spans(t)] == [k for k, _, _ in brute_spans(t)]
-        pii.added_spans(t, pii.base_spans(t), pii.trained())
+        pii.added_spans(t, pii.base_spans(t), pii.Scorer(pii.trained()))
 
 
 def test_model_finds_written_forms_and_leaves_others_alone():
-    w = pii.trained()
+    w = pii.Scorer(pii.trained())
     hit = miss = wrong = 0
     for text, spans in pii._sentences(300, seed=77):
-        got = set(pii.decode(pii._Tokens(text, 0, len(text)), w))
+        got = set(pii.decode(text, 0, len(text), w))
         hit, miss, wrong = hit + len(got & set(spans)), miss + len(set(spans) - got), wrong + len(got - set(spans))
     assert hit / (hit + miss) > 0.95 and wrong / hit < 0.07
     text = "call (555) 123-4567 or mail jo [at] corp [dot] org"
@@ -97,7 +97,7 @@ def test_model_finds_written_forms_and_leaves_others_alone():
 
 
 def test_added_spans_reach_every_trained_form():
-    w = pii.trained()
+    w = pii.Scorer(pii.trained())
     hit = miss = 0
     for text, spans in pii._sentences(300, seed=78):
         for pad in ("", prose(40, 3) + "\n"):
@@ -113,6 +113,55 @@ def test_added_spans_reach_every_trained_form():
         assert pii.added_spans(text, [], w), text
 
 
+def plain_decode(text, weights):
+    """The best segmentation by a table over all segments, whole text at once."""
+    t, step = pii._Tokens(text), weights["transitions"]
+    for x in pii._tokens(text, 0, len(text)):
+        t.push(*x)
+    n, labels = len(t.token), len(pii._LABELS)
+    best = {(0, 0): (0.0, ())}
+    for j in range(1, n + 1):
+        steps = [(j - 1, [0.0] + [None] * (labels - 1))] + [(i, [None, *pii._scores(weights, pii.features(x)).tolist()[1:]]) for i, x in t.segments(j)]
+        for i, own in steps:
+            for y in range(labels):
+                for k in range(labels):
+                    if own[k] is not None and (i, y) in best:
+                        value = best[i, y][0] + step[y, k] + own[k]
+                        if value >= best.get((j, k), (float("-inf"),))[0]:
+                            best[j, k] = value, best[i, y][1] + (((pii._LABELS[k], t.start[i], t.stop[j - 1]),) if k else ())
+    return list(max((best[n, k] for k in range(labels) if (n, k) in best), key=lambda x: x[0])[1]) if n else []
+
+
+def test_decoding_by_places_is_decoding_of_the_whole():
+    weights = pii.trained()
+    score, r = pii.Scorer(weights), random.Random(3)
+    parts = ["4111", "1", "255", "7 ", " 030 ", "(555) ", "-", ".", " dot ", " at ", "@", "corp", "com", "\n", "²", "③", "½", "٣", "߀", "🙂", "é", " call ", "+", "_", "1234567", " "]
+    for _ in range(150):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        assert pii.decode(text, 0, len(text), score) == plain_decode(text, weights), text
+    text = " ".join(x for x, _ in pii._sentences(40, seed=79))  # longer than what is held at one time
+    assert pii.decode(text, 0, len(text), score) == plain_decode(text, weights)
+
+
+def test_digits_of_other_scripts_and_number_tables(spark):
+    r, score = random.Random(4), pii.Scorer(pii.trained())
+    for _ in range(400):
+        text = "".join(r.choice("²③½٣߀🙂0123456789 .-@+()ax\n") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == brute_spans(text)
+        pii.added_spans(text, brute_spans(text), score)
+    rows = ["card 4111 1111 1111 ² 1111 x", "1 2 3 ② 12345678", "10.0.0.1² x 1234567", "123 4567 " * 4000, "a1234567b" * 4000, "a@b.co 555 123 4567, " * 2000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert pii.find(df).count() == pii.masked(df).count() == len(rows)
+
+
+def test_added_spans_keep_off_base_spans():
+    score, r = pii.Scorer(pii.trained()), random.Random(5)
+    for _ in range(60):
+        text = " ".join(r.choice(["a@b.co", "1.2.3.4", "555 123 4567", "4111 1111 1111 1111", "(555) 123-4567", "jo at corp dot com", "word"]) for _ in range(30))
+        base = brute_spans(text)
+        assert not any(s < b and a < e for _, s, e in pii.added_spans(text, base, score) for _, a, b in base)
+
+
 def test_pii_query(spark, docs, none):
     got = {(r["doc_id"], r["base_sha256"]) for r in pii.find(docs).collect()}
     assert got == {(i, hashlib.sha256(pii.listed(brute_spans(t or "")).encode()).hexdigest()) for i, t in corpus()}
