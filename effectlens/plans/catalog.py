@@ -116,8 +116,21 @@ DERIVED = {"expr_mse_unbiased_capped_norm": ("expr_mse_unbiased_capped", "expr_d
 DERIVED_POLICIES = {"expr_mse_unbiased_capped_norm": sc.CAPPED}
 
 
-def resolve(names: str | list[str]) -> list[str]:
-    """Metric names of a profile or a list of names, canonical or version 1; parts of derived ones come along."""
+#: What the names of metrics of a differential-expression table begin with, by how the table is made.
+DE_PREFIX = {"wilcoxon": "de_wilcoxon_", "deseq2": "de_deseq2_"}
+
+
+def named(name: str, method: str) -> str:
+    """The name of a metric where tables are made by ``method``."""
+    return name.replace(DE_PREFIX["wilcoxon"], DE_PREFIX[method], 1) if name.startswith(DE_PREFIX["wilcoxon"]) else name
+
+
+def resolve(names: str | list[str], method: str = "wilcoxon") -> list[str]:
+    """Metric names of a profile or a list of names, canonical or version 1; parts of derived ones come along.
+
+    Names of the other methods are entries of the catalog under the name of the
+    first one; they are refused where tables are made otherwise.
+    """
     if isinstance(names, str):
         found = [m.name for m in CATALOG.values() if names in m.profiles]
         if names in ("full", "anndata", "vcc2026"):
@@ -128,6 +141,9 @@ def resolve(names: str | list[str]) -> list[str]:
     out: list[str] = []
     for n in names:
         n = LEGACY.get(n, n)
+        if other := [m for m, prefix in DE_PREFIX.items() if n.startswith(prefix) and m not in ("wilcoxon", method)]:
+            raise ValueError(f"{n!r} needs tables made by {other[0]}, these are made by {method}")
+        n = n.replace(DE_PREFIX[method], DE_PREFIX["wilcoxon"], 1) if n.startswith(DE_PREFIX[method]) else n
         if n not in CATALOG and n not in DERIVED:
             raise ValueError(f"unknown metric {n!r}")
         out += [x for x in (*DERIVED.get(n, ()), n) if x not in out]
@@ -155,7 +171,7 @@ def _values(e: Evaluation, family: str, mine: list[Metric]) -> DataFrame:
             value = value / e.mass_target
         if m in filled:
             value = F.when(value.isNull() | F.isnan(value), F.lit(m.worst)).otherwise(value)
-        cells.append(F.struct(F.lit(m.name).alias("metric"), value.alias("value"), (F.coalesce("there", F.lit(False)) | F.lit(m in filled)).alias("counts")))
+        cells.append(F.struct(F.lit(named(m.name, e.config.de_method)).alias("metric"), value.alias("value"), (F.coalesce("there", F.lit(False)) | F.lit(m in filled)).alias("counts")))
     return frame.select("perturbation", F.explode(F.array(*cells)).alias("x")).filter("x.counts").select("perturbation", "x.metric", "x.value")
 
 
@@ -167,7 +183,7 @@ def metric_frame(e: Evaluation, name: str) -> DataFrame:
 
 def evaluate(e: Evaluation, names: str | list[str]) -> DataFrame:
     """The tidy frame (perturbation, metric, value); metrics of one family share one plan."""
-    wanted = [CATALOG[n] for n in resolve(names) if n in CATALOG]
+    wanted = [CATALOG[n] for n in resolve(names, e.config.de_method) if n in CATALOG]
     out: DataFrame | None = None
     for family in dict.fromkeys(m.family for m in wanted):
         part = _values(e, family, [m for m in wanted if m.family == family])

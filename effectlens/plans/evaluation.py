@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.operators import agreement, de, expression, profiles
+from effectlens.operators import agreement, de, expression, negative_binomial, profiles
 from effectlens.sources import staging, starschema
 
 
@@ -34,6 +34,7 @@ class Config:
     control_source: str = "real"
     no_drop: bool = True
     group_sums: bool = True  # compare logarithms of group sums where both sides are counts
+    de_method: str = "wilcoxon"  # or deseq2: a negative-binomial model of replicates
     #: What the values of the measured and the predicted side are: counts, or lognorm.
     input_types: tuple[str, str] = ("counts", "counts")
 
@@ -53,6 +54,7 @@ class Evaluation:
     genes: DataFrame
     own: DataFrame
     config: Config = field(default_factory=Config)
+    replicates: DataFrame | None = None  # cell, replicate; deseq2 needs it
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
@@ -95,9 +97,24 @@ class Evaluation:
         """side, pert, jk: sampling variance of the comparator, by the jackknife of group sums or the trace of means."""
         return self.jk if self.comparator == "bulk" else profiles.trace_over_n(self.profile)
 
+    @cached_property
+    def replicate_de(self) -> DataFrame:
+        """The table of the negative-binomial model, with means and dispersions."""
+        c = self.config
+        if self.replicates is None or set(c.input_types) != {"counts"}:
+            raise ValueError("deseq2 needs counts of both sides, and the replicate of each cell")
+        grid = self.profile.select("side", "pert", "gene")
+        if c.control_source == "real":  # the control of both sides is the measured one
+            grid = grid.filter(F.col("pert") != c.control).unionByName(grid.filter((F.col("pert") == c.control) & (F.col("side") == 0)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))))
+        return staging.written(negative_binomial.replicate_table(self.counts, self.replicates, grid, c.control, c.control_source), "replicate-de")
+
     @cached_property
     def de(self) -> DataFrame:
         c = self.config
+        if c.de_method == "deseq2":  # the model has its own fold changes and filter: no gate, no offset, no other scope
+            return staging.written(de.apply_policies(self.replicate_de.drop("mean", "dispersion"), c.nan_lfc_policy, c.min_abs_log2fc), "de")
+        if c.de_method != "wilcoxon":
+            raise ValueError(f"unknown method {c.de_method!r}")
         gate = c.cpm_gate if c.input_types[0] == "counts" else -1.0  # log-normalised values have no counts per million
         table = de.de_table(self.values, self.sizes, self.profile, c.control, c.epsilon, gate, c.fdr_scope, c.clip_value, c.mean, c.control_source)
         return staging.written(de.apply_policies(table, c.nan_lfc_policy, c.min_abs_log2fc), "de")
@@ -149,5 +166,5 @@ def of(spark: SparkSession, sf_dir: str, config: Config | None = None, axis: str
         counts = starschema.counts(spark, sf_dir, axis)
         if form == "lognorm":
             counts = profiles.lognormed(counts, profiles.libraries(counts), config.target_sum)
-        _KNOWN[key] = Evaluation(staging.written(counts, "counts"), starschema.genes(spark, axis), starschema.own_genes(spark), config)
+        _KNOWN[key] = Evaluation(staging.written(counts, "counts"), starschema.genes(spark, axis), starschema.own_genes(spark), config, starschema.replicates(spark, sf_dir))
     return _KNOWN[key]

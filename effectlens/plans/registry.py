@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.operators import de, expression, profiles
-from effectlens.plans import catalog, conventions, more, oracle
+from effectlens.plans import catalog, conventions, more, oracle, replicated
 from effectlens.plans.evaluation import Config, of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,6 @@ def _val6(spark: SparkSession, sf: str) -> DataFrame:
 
 _register("val6_cpm_gate", _val6, oracle.query([oracle.CORE], "SELECT gene, round(normalized, 4) AS cpm, normalized > 40000 AS kept FROM prof WHERE side = 0 AND pert = 0"))
 
-for _part in (more, conventions):
+for _part in (more, conventions, replicated):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

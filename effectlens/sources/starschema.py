@@ -44,3 +44,8 @@ def genes(spark: SparkSession, axis: str = "brand") -> DataFrame:
 def own_genes(spark: SparkSession) -> DataFrame:
     """pert, gene: the gene that a perturbation targets."""
     return spark.range(1, 25).select(F.col("id").cast("int").alias("pert"), F.col("id").cast("int").alias("gene"))
+
+
+def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell, replicate: customers of one market segment are a replicate of their nation."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("replicate"))
