@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from effectlens.llm import common
 MAX_N, LEAST, TOP, PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Bits of the filter (8 MB), probes of an entry, and bits of a segment in which the filter is put together.
 FILTER_BITS, PROBES, SEGMENT = 26, 4, 15
+#: Hashes that a task holds before it sends them on, hashes of a cell, and bytes of text for each range of hashes that is summed at one time (about as many hashes as a tenth).
+HELD, CELL, BUCKET_BYTES = 4_000_000, 4096, 8_000_000
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BETWEEN = np.isin(np.arange(256), list(b" \t" + _BREAKS))
 _PLAIN = bytes(x + 32 if 65 <= x <= 90 else 32 if _BETWEEN[x] else x for x in range(256))
@@ -68,13 +71,66 @@ def _holds(bloom: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return np.all((bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1, axis=0)
 
 
+_ENTRY = np.dtype([("step", np.uint64), ("n", np.uint32)])
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes with the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, cell: words and pairs of a task by hash with their counts.
+
+    Sorted hashes travel as steps from one to the next, which are short, and not
+    one row each; a task holds HELD of them at most.  A bucket is a range of
+    hashes, 2 ** buckets of them.
+    """
+
+    def cells(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        of = h >> np.uint64(64 - buckets) if buckets else np.zeros(len(h), np.uint64)
+        cut = np.unique(np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.arange(0, len(h), CELL)])
+        rows = np.empty(len(h), _ENTRY)
+        rows["step"], rows["n"] = np.r_[h[:1], np.diff(h)], np.minimum(n, 2**32 - 1)
+        rows["step"][cut] = h[cut]
+        return pa.record_batch([pa.array(of[cut].astype(np.int64)), pa.array([common.pack(x) for x in np.split(rows, cut[1:])], pa.binary())], ["bucket", "cell"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, waiting = [(h, n)], 0
+        for batch in batches:
+            for part in common.slices(batch):
+                one, two, together, _ = _hashes(part)
+                held.append(_summed(new := np.concatenate([one, two[together]]), np.ones(len(new), np.int64)))
+                waiting += len(held[-1][0])
+                if waiting > HELD // 4:
+                    held, waiting = [_summed(*map(np.concatenate, zip(*held, strict=True)))], 0
+                    if len(held[0][0]) > HELD:
+                        yield cells(*held[0])
+                        held = [(h, n)]
+        h, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        if len(h):
+            yield cells(h, n)
+
+    return docs.mapInArrow(count, "bucket bigint, cell binary")
+
+
 def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> Broadcast:
     """A filter of ``2 ** bits`` bits that holds the words and pairs of each language that come ``least`` times, and few others."""
-
-    def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        one, two, together, _ = _hashes(part)
-        h, n = np.unique(np.concatenate([one, two[together]]), return_counts=True)
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(0, int(size / BUCKET_BYTES).bit_length())
+
+    def enough(table: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        out = [np.empty(0, np.uint64)]
+        cell = table.column("cell")
+        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+            rows = [common.unpack(cell[i].as_py(), _ENTRY) for i in range(b, e)]
+            h, n = _summed(np.concatenate([np.add.accumulate(x["step"]) for x in rows]), np.concatenate([x["n"].astype(np.int64) for x in rows]))
+            out.append(h[n >= least])
+        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], ["h"])
 
     def places(part: pa.RecordBatch) -> pa.RecordBatch:
         at = np.unique(_places(part.column("h").to_numpy().view(np.uint64), bits)).astype(np.int64)
@@ -89,8 +145,9 @@ def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> Br
         return pa.record_batch([part.column("segment"), pa.array(out, pa.binary())], ["segment", "bits"])
 
     each = lambda f: lambda batches: (f(b) for b in batches if b.num_rows)
-    enough = docs.mapInArrow(common.per_slice(count), "h bigint, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    segments = enough.select("h").mapInArrow(each(places), "segment int, bit int").groupBy("segment").agg(F.collect_set("bit").alias("on")).mapInArrow(each(packed), "segment int, bits binary")
+    dealt = _counted(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(common.per_group(enough, ["bucket"]), "h bigint")
+    segments = found.mapInArrow(each(places), "segment int, bit int").groupBy("segment").agg(F.collect_set("bit").alias("on")).mapInArrow(each(packed), "segment int, bits binary")
     bloom = np.zeros(2**bits // 8, np.uint8)
     for row in segments.toLocalIterator():  # 2 ** bits bits in all
         bloom[row["segment"] * 2**SEGMENT // 8 :][: 2**SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)

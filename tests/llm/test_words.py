@@ -160,6 +160,15 @@ def test_collocations_match_brute_force(spark, seed, least, top):
     assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, 4, least, top, 80)
 
 
+def test_hashes_are_summed_over_cells_and_buckets(spark, monkeypatch):
+    for name, value in (("BUCKET_BYTES", 60), ("CELL", 8), ("HELD", 40)):
+        monkeypatch.setattr(phrases, name, value)
+    rows = odd_rows(10, "ab")
+    df = frame(spark, rows).select("lang", "text").na.fill("und", "lang").repartition(3)
+    assert phrases._counted(df, 5).select("bucket").distinct().count() > 8
+    assert {tuple(r) for r in phrases.collocations(frame(spark, rows), 4, 2).collect()} == brute_phrases(rows, 4, 2, 2000, 80)
+
+
 def test_collocations_survive_a_full_filter_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases.frequent, "__defaults__", (30, 16))  # nearly all bits set: all runs pass
     monkeypatch.setattr(phrases.counts, "__defaults__", (4, 30, 16))
