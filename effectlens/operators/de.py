@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from effectlens.functions import numeric
+from effectlens.sources import staging
 
 KEY = ["target", "feature"]
 
@@ -55,6 +56,30 @@ def benjamini_hochberg(df: DataFrame, p: str, scope: list[str], order: list[str]
     return ranked.withColumn("p_adj", F.when(usable, F.least(F.lit(1.0), F.min("_step").over(down))).otherwise(F.col(p))).drop("_step")
 
 
+def benjamini_hochberg_wide(df: DataFrame, p: str, scope: list[str], order: list[str]) -> DataFrame:
+    """As ``benjamini_hochberg``, for few scopes of very many rows: none is sorted in one task.
+
+    Rows are dealt by ranges of p; a range knows its ranks from the sizes of the
+    ranges before it, and its least step from the least ones of those after it.
+    """
+    usable = F.col(p).isNotNull() & ~F.isnan(p)
+    by = [F.col(c) for c in scope]
+    dealt = df.filter(usable).repartitionByRange(*by, F.col(p), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    dealt = staging.written(dealt, "ranges")
+    w = lambda *c: Window.partitionBy(*by).orderBy(*c)
+    ranges = dealt.groupBy("_part", *by).agg(F.count("*").alias("_rows"))  # a row for each range and scope
+    ranges = ranges.select("_part", *by, (F.sum("_rows").over(w("_part")) - F.col("_rows")).alias("_before"), F.sum("_rows").over(Window.partitionBy(*by)).alias("_n"))
+    local = Window.partitionBy("_part", *by)
+    rank = F.row_number().over(local.orderBy(F.col(p), *order)) + F.col("_before")
+    ranked = dealt.join(ranges, ["_part", *scope]).withColumn("_step", F.col(p) * F.col("_n") / rank)
+    down = local.orderBy(F.col(p).desc(), *[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = staging.written(ranked.withColumn("_least", F.min("_step").over(down)), "steps")
+    later = ranked.groupBy("_part", *by).agg(F.min("_step").alias("_own"))
+    later = later.select("_part", *by, F.min("_own").over(w(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    out = ranked.join(later, ["_part", *scope]).withColumn("p_adj", F.least(F.lit(1.0), F.col("_least"), F.col("_later")))
+    return out.select(*df.columns, "p_adj").unionByName(df.filter(~usable).withColumn("p_adj", F.col(p).cast("double")))
+
+
 def gated_genes(profile: DataFrame, control: int, least: float) -> DataFrame:
     """gene, cpm, kept: counts per million of the measured control cells, which no prediction can move, above the gate or not."""
     ref = profile.filter((F.col("side") == 0) & (F.col("pert") == control))
@@ -74,7 +99,9 @@ def de_table(values: DataFrame, sizes: DataFrame, profile: DataFrame, control: i
     if cpm_gate >= 0:
         out = out.join(gated_genes(profile, control, cpm_gate).filter("kept").select("gene"), "gene", "left_semi")
     out = out.select("side", F.col("pert").alias("target"), F.col("gene").alias("feature"), "log2_fold_change", "p_value")
-    return benjamini_hochberg(out, "p_value", ["side", "target"] if scope == "per_pert" else ["side"], ["target", "feature"])
+    if scope == "per_pert":
+        return benjamini_hochberg(out, "p_value", ["side", "target"], ["target", "feature"])
+    return benjamini_hochberg_wide(out, "p_value", ["side"], ["target", "feature"])
 
 
 def apply_policies(de: DataFrame, nan_lfc: str = "mask", min_abs_lfc: float = 0.0) -> DataFrame:

@@ -128,11 +128,38 @@ def effects(profile: DataFrame, value: str, control: int, control_side: int | No
     return joined.select(*GROUP, "gene", "m", "c", (F.col("m") - F.col("c")).alias("e"))
 
 
-def noise(counts: DataFrame, level: float, seed: int) -> DataFrame:
-    """Counts times exp(N(0, level)), rounded and kept non-negative."""
+def noise(counts: DataFrame, level: float, seed: int, kind: str = "gaussian", whole: bool = True) -> DataFrame:
+    """``gaussian``: values times exp(N(0, level)), rounded where they are ``whole``; ``downsample``: each count is kept with probability 1 - level.
+
+    Draws are hashes of the seed and the place of a value, so that neither the
+    partitioning nor a retry changes them; level 0 changes nothing.
+    """
+    if level < 0 or kind not in ("gaussian", "downsample"):
+        raise ValueError(f"no noise of kind {kind!r} and level {level}")
     if level == 0:
         return counts
-    return counts.withColumn("x", F.greatest(F.lit(0.0), F.rint(F.col("x") * F.exp(F.randn(seed) * level)))).filter("x > 0")
+    if kind == "downsample":
+        return thinned(counts, 1 - min(level, 1.0), seed)
+    place = [F.lit(seed), F.col("side"), F.col("cell"), F.col("gene")]
+    unit = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(i), *place), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    scaled = F.col("x") * F.exp(normal * level)
+    return counts.withColumn("x", F.greatest(F.lit(0.0), F.rint(scaled)) if whole else scaled).filter("x <> 0")
+
+
+def thinned(counts: DataFrame, keep: float, seed: int) -> DataFrame:
+    """Counts of which every single one stays with probability ``keep``, by a draw of its own; counts must be whole.
+
+    A draw is the first 32 bits of the md5 of seed:side:cell:gene:i.
+    """
+    odd = counts.filter((F.col("x") < 0) | (F.col("x") != F.floor("x")) | F.isnan("x")).limit(1).count()
+    if odd:
+        raise ValueError("only whole counts can be thinned")
+    place = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("side", "cell", "gene")])
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat(F.col("_place"), F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    kept = F.aggregate(F.sequence(F.lit(1), F.col("x").cast("int")), F.lit(0), lambda n, i: n + F.when(drawn(i) < int(keep * 2**32), 1).otherwise(0))
+    some = counts.filter("x > 0").withColumn("_place", place)
+    return some.withColumn("x", kept.cast("double")).drop("_place").filter("x > 0")
 
 
 def halves(libs: DataFrame, seed: int) -> DataFrame:

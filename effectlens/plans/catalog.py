@@ -193,10 +193,10 @@ def evaluate(e: Evaluation, names: str | list[str]) -> DataFrame:
     return out
 
 
-def summarize(tidy: DataFrame, names: str | list[str]) -> DataFrame:
-    """metric, mean: aggregates, derived metrics among them."""
-    out = sc.aggregate(tidy).select("metric", "mean")
-    for n in resolve(names):
+def summarize(tidy: DataFrame, names: str | list[str], method: str = "wilcoxon") -> DataFrame:
+    """metric, mean, agg: aggregates, and derived metrics as ratios of sums."""
+    out = sc.aggregate(tidy).select("metric", "mean", "agg")
+    for n in resolve(names, method):
         if n in DERIVED:
-            out = out.unionByName(sc.ratio_of_sums(tidy, *DERIVED[n], n).select("metric", F.col("value").alias("mean")))
+            out = out.unionByName(sc.ratio_of_sums(tidy, *DERIVED[n], n).select("metric", F.col("value").alias("mean"), F.lit("ratio_of_sums").alias("agg")))
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from effectlens.operators import agreement, de, expression, negative_binomial, profiles
 from effectlens.sources import staging, starschema
+from effectlens.sources.store import Store, listing
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,18 @@ class Config:
         )
 
 
+#: Settings by group, for files and ``group.name`` on the command line.
+GROUPS = {
+    "norm": ("target_sum", "bulk_target_sum", "input_types", "group_sums", "mean"),
+    "de": ("de_method", "epsilon", "clip_value", "cpm_gate", "fdr_scope", "p_adj_threshold", "nan_lfc_policy", "min_abs_log2fc", "auc_floor"),
+    "pds": ("pds_scope", "pds_ties", "pds_denominator"),
+    "run": ("control", "control_source", "no_drop"),
+}
+#: Settings that values in linear space, and differential-expression tables, depend on.
+VALUES = ("target_sum", "input_types")
+DE = (*VALUES, "bulk_target_sum", "control", "control_source", "de_method", "epsilon", "clip_value", "cpm_gate", "fdr_scope", "mean", "nan_lfc_policy", "min_abs_log2fc")
+
+
 @dataclass
 class Evaluation:
     """Counts of both sides (side, pert, cell, gene, x), genes and own genes in; tables and metrics out."""
@@ -56,14 +70,34 @@ class Evaluation:
     config: Config = field(default_factory=Config)
     replicates: DataFrame | None = None  # cell, replicate; deseq2 needs it
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    store: Store | None = None  # where tables outlive the session; ``source`` then says what the counts, genes and replicates are
+    source: dict | None = None
+
+    def kept(self, kind: str, make: Callable[[], DataFrame], *settings: str) -> DataFrame:
+        """A table that is written once: for this session, or in the store under its source and the settings it depends on."""
+        if self.store is None:
+            return staging.written(make(), kind)
+        if self.source is None:
+            raise ValueError("a store needs to know the source of the counts")
+        record = {"source": self.source, "settings": {x: getattr(self.config, x) for x in settings}}
+        return self.store.get_or_compute(kind, record, make)
 
     @cached_property
     def libs(self) -> DataFrame:
-        return staging.written(profiles.libraries(self.counts), "libs")
+        return self.kept("libs", lambda: profiles.libraries(self.counts))
 
     @cached_property
     def sizes(self) -> DataFrame:
-        return staging.written(profiles.group_sizes(self.libs), "sizes")
+        return self.kept("sizes", lambda: profiles.group_sizes(self.libs))
+
+    def require_sides(self) -> None:
+        """Where both sides are there, they have the same perturbations, the control among them: none may vanish in a join."""
+        sides = self.sizes.groupBy("pert").agg(F.min("side").alias("a"), F.max("side").alias("b"))  # a row a perturbation
+        lone = sides.filter("a = b").select("pert", "a").limit(20).collect()
+        if lone and self.sizes.select("side").distinct().count() > 1:
+            raise ValueError(f"perturbations of one side only: {[(r['pert'], r['a']) for r in lone]}")
+        if not self.sizes.filter(F.col("pert") == self.config.control).limit(1).count():
+            raise ValueError(f"the control {self.config.control!r} is missing")
 
     @property
     def comparator(self) -> str:
@@ -86,11 +120,14 @@ class Evaluation:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return staging.written(profiles.profiles(self.values, self.sizes, self.genes, self.config.bulk_target_sum), "profile")
+        self.require_sides()
+        make = lambda: profiles.profiles(self.values, self.sizes, self.genes, self.config.bulk_target_sum)
+        return self.kept("profile", make, *VALUES, "bulk_target_sum")
 
     @cached_property
     def jk(self) -> DataFrame:
-        return staging.written(profiles.jackknife(self.counts, self.libs, self.profile, self.config.bulk_target_sum), "jackknife")
+        make = lambda: profiles.jackknife(self.counts, self.libs, self.profile, self.config.bulk_target_sum)
+        return self.kept("jackknife", make, *VALUES, "bulk_target_sum")
 
     @cached_property
     def correction(self) -> DataFrame:
@@ -106,18 +143,21 @@ class Evaluation:
         grid = self.profile.select("side", "pert", "gene")
         if c.control_source == "real":  # the control of both sides is the measured one
             grid = grid.filter(F.col("pert") != c.control).unionByName(grid.filter((F.col("pert") == c.control) & (F.col("side") == 0)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))))
-        return staging.written(negative_binomial.replicate_table(self.counts, self.replicates, grid, c.control, c.control_source), "replicate-de")
+        return self.kept("replicate-de", lambda: negative_binomial.replicate_table(self.counts, self.replicates, grid, c.control, c.control_source), *VALUES, "control", "control_source")
 
     @cached_property
     def de(self) -> DataFrame:
         c = self.config
         if c.de_method == "deseq2":  # the model has its own fold changes and filter: no gate, no offset, no other scope
-            return staging.written(de.apply_policies(self.replicate_de.drop("mean", "dispersion"), c.nan_lfc_policy, c.min_abs_log2fc), "de")
+            return self.kept("de", lambda: de.apply_policies(self.replicate_de.drop("mean", "dispersion"), c.nan_lfc_policy, c.min_abs_log2fc), *DE)
         if c.de_method != "wilcoxon":
             raise ValueError(f"unknown method {c.de_method!r}")
         gate = c.cpm_gate if c.input_types[0] == "counts" else -1.0  # log-normalised values have no counts per million
-        table = de.de_table(self.values, self.sizes, self.profile, c.control, c.epsilon, gate, c.fdr_scope, c.clip_value, c.mean, c.control_source)
-        return staging.written(de.apply_policies(table, c.nan_lfc_policy, c.min_abs_log2fc), "de")
+        def make() -> DataFrame:
+            table = de.de_table(self.values, self.sizes, self.profile, c.control, c.epsilon, gate, c.fdr_scope, c.clip_value, c.mean, c.control_source)
+            return de.apply_policies(table, c.nan_lfc_policy, c.min_abs_log2fc)
+
+        return self.kept("de", make, *DE)
 
     @cached_property
     def evidence(self) -> agreement.Evidence:
@@ -129,7 +169,7 @@ class Evaluation:
     @cached_property
     def distances(self) -> DataFrame:
         c = self.config
-        return staging.written(expression.distances(self.profile, self.comparator, self.own, c.control, c.pds_scope), "distances")
+        return staging.written(expression.distances(self.profile, self.comparator, self.own, c.control, c.pds_scope), "distances")  # depends on the own genes too
 
     def pds(self, metric: str) -> DataFrame:
         c = self.config
@@ -143,12 +183,19 @@ KEPT = 8
 
 def identity(spark: SparkSession, sf_dir: str) -> tuple:
     """What tells one state of a folder's tables from another: number, size, age and names of their files, by a listing alone."""
-    files = None
-    for t in starschema.TABLES:
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{t}.parquet").select("path", "length", "modificationTime")
-        files = part if files is None else files.unionByName(part)
-    key = F.xxhash64("path", "length", F.col("modificationTime").cast("string")).cast("decimal(38,0)")
-    return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(key).cast("string")).first())
+    return tuple(listing(spark, [f"{sf_dir}/{t}.parquet" for t in starschema.TABLES]).values())
+
+
+def stored(spark: SparkSession, sf_dir: str, store: Store, config: Config | None = None, axis: str = "brand") -> Evaluation:
+    """The evaluation of a data folder whose tables are taken from ``store`` where an earlier session left them; the counts are planned, and read only for what it lacks."""
+    source = {"tables": list(identity(spark, sf_dir)), "axis": axis}
+    return Evaluation(starschema.counts(spark, sf_dir, axis), starschema.genes(spark, axis), starschema.own_genes(spark), config or Config(), starschema.replicates(spark, sf_dir), store=store, source=source)
+
+
+def warm(e: Evaluation, names: tuple[str, ...] = ("profile", "jk", "de")) -> None:
+    """Build the named tables of an evaluation ahead of its use."""
+    for name in names:
+        getattr(e, name)
 
 
 def forget() -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from effectlens.plans import catalog, scoring
 from effectlens.plans.evaluation import Config, Evaluation
+from effectlens.plans.supplied import Supplied
 
 #: Versions of what records mean; a change of meaning moves a number.
 SEMANTICS, RULE = 1, 1
@@ -41,7 +42,7 @@ def _comparator(config: Config) -> str:
 def semantics(config: Config, names: list[str] | str) -> dict:
     """All that can move a value: settings, comparator, and each metric with its rule."""
     metrics = {}
-    for n in catalog.resolve(names):
+    for n in catalog.resolve(names, config.de_method):
         if n in catalog.DERIVED:
             metrics[n] = {"derived": list(catalog.DERIVED[n])}
         else:
@@ -59,7 +60,13 @@ def run_meta(e: Evaluation, names: list[str] | str) -> dict:
     """The record that goes with a run's results."""
     spark = e.counts.sparkSession
     side = lambda s: fingerprint(e.counts.filter(F.col("side") == s), ["pert", "cell", "gene", "x"])
-    return {"digest": digest(semantics(e.config, names)), "comparator": e.comparator, "real": side(0), "pred": side(1), "metrics": catalog.resolve(names), "environment": environment(spark)}
+    return {"digest": digest(semantics(e.config, names)), "comparator": e.comparator, "real": side(0), "pred": side(1), "metrics": catalog.resolve(names, e.config.de_method), "environment": environment(spark)}
+
+
+def table_meta(s: Supplied, names: list[str] | str) -> dict:
+    """The record of a run over supplied tables."""
+    how = semantics(s.config, names if not isinstance(names, str) else [n for n in catalog.resolve(names) if n in catalog.CATALOG])
+    return {"digest": digest(how), "comparator": "tables", "real": fingerprint(s.real), "pred": fingerprint(s.pred), "metrics": sorted(how["metrics"]), "tables": s.reports, "environment": environment(s.real.sparkSession)}
 
 
 def require_paired(run: dict, baseline: dict, waive: bool = False) -> list[str]:
@@ -85,37 +92,10 @@ def require_anchor(anchor: DataFrame, names: list[str]) -> None:
         raise ValueError(f"no finite replicate for {bad}")
 
 
-def resolve_anchor(given: DataFrame | None, kept: DataFrame | None, names: list[str]) -> DataFrame:
-    """The anchor that was given, else the one that was kept; none is an error."""
-    found = given if given is not None else kept
-    if found is None:
-        raise ValueError("no anchor was given, and none was kept for these data")
-    require_anchor(found, names)
-    return found
-
-
 def competition_rule(config: Config, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> dict:
     """What a competition's score depends on: its members with their rules, settings, and the splits of the anchor."""
     return {"rule": RULE, "members": {n: asdict(catalog.CATALOG[n].policy) for n in catalog.DECISIVE} | {n: asdict(catalog.DERIVED_POLICIES[n]) for n in catalog.DERIVED}, "settings": semantics(config, "vcc2026"), "splits": list(seeds)}
 
 
-#: Fields in which a submission must agree with the published real side.
-PEERS = ("comparator", "real", "genes", "perturbations", "control", "digest")
-
-
-def bundle(e: Evaluation, names: list[str] | str) -> dict:
-    """The record of a measured side against which submissions are checked."""
-    meta = run_meta(e, names)
-    real = e.counts.filter("side = 0")
-    return {"comparator": meta["comparator"], "real": meta["real"], "genes": fingerprint(e.genes), "perturbations": fingerprint(real.select(F.col("pert").cast("string")).distinct()), "control": e.config.control, "digest": meta["digest"]}
-
-
-def check_submission(record: dict, published: dict) -> None:
-    """Every field of PEERS must be there and equal."""
-    wrong = [k for k in PEERS if k not in record or record[k] != published[k]]
-    if wrong:
-        raise ValueError(f"the submission differs from the published data in {wrong}")
-
-
 def scales_digest() -> str:
     return digest({n: {m: [base, asdict(p)] for m, (base, p) in s.entries.items()} for n, s in scoring.SCALES.items()})

@@ -234,12 +234,17 @@ _add(
 )
 
 
-def _rf4(spark: SparkSession, sf: str) -> DataFrame:
+def split_values(spark: SparkSession, sf: str) -> DataFrame:
+    """split_index, metric, value of half against half, for each split."""
     out = None
     for i in range(SPLITS):
         part = scoring.aggregate(_half_errors(spark, sf, i)).select(F.lit(i).alias("split_index"), "metric", F.col("mean").alias("value"))
         out = part if out is None else out.unionByName(part)
-    return _rounded(references.anchor(out), "replicate", "replicate_sd", "replicate_min", "replicate_max")
+    return out
+
+
+def _rf4(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(references.anchor(split_values(spark, sf)), "replicate", "replicate_sd", "replicate_min", "replicate_max")
 
 
 _add(
@@ -257,7 +262,7 @@ def _st5(spark: SparkSession, sf: str) -> DataFrame:
     real, pred = (e.counts.filter(F.col("side") == s).select("pert", "cell", "gene", "x") for s in (0, 1))
     partials = None
     for i in range(2):
-        piece = pred.join(F.broadcast(pieces.subset(perts, 2, i)), "pert", "left_semi")
+        piece = pred.join(pieces.subset(perts, 2, i), "pert", "left_semi")
         part = pieces.score_piece(real, piece, e.genes, e.own, list(ERRORS), e.config)
         partials = part if partials is None else partials.unionByName(part)
     return _rounded(pieces.merge(partials, perts), "value")
@@ -294,4 +299,3 @@ _add(
     "val12_without_own", lambda s, d: validation.without_own(of(s, d).de, of(s, d).own).select("side", "target", "feature"), [oracle.CORE, oracle.DE],
     "SELECT side, target, feature FROM de WHERE target <> feature",
 )
-_add("val16_panel_genes", lambda s, d: validation.panel_genes(of(s, d).genes, of(s, d).own), [oracle.CORE], "SELECT CAST(g AS INTEGER) AS gene FROM range(25, 26) AS r(g)")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.operators import de, expression, profiles
-from effectlens.plans import catalog, conventions, more, oracle, replicated
+from effectlens.plans import catalog, conventions, extended, more, oracle, replicated, stored
 from effectlens.plans.evaluation import Config, of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ _register("de5_rank_sum", _de5, oracle.query([oracle.CORE, oracle.DE], "SELECT s
 
 def _de9(spark: SparkSession, sf: str) -> DataFrame:
     rows = of(spark, sf).de.select("side", "target", "feature", "p_value")
-    return de.benjamini_hochberg(rows, "p_value", ["side"], ["target", "feature"]).select("side", "target", "feature", F.round("p_adj", 8).alias("p_adj"))
+    return de.benjamini_hochberg_wide(rows, "p_value", ["side"], ["target", "feature"]).select("side", "target", "feature", F.round("p_adj", 8).alias("p_adj"))
 
 
 _register("de9_global_bh", _de9, oracle.query([oracle.CORE, oracle.DE], """SELECT side, target, feature, round(least(1.0, min(step) OVER (PARTITION BY side ORDER BY i DESC)), 8) AS p_adj FROM (
@@ -135,6 +135,6 @@ def _val6(spark: SparkSession, sf: str) -> DataFrame:
 
 _register("val6_cpm_gate", _val6, oracle.query([oracle.CORE], "SELECT gene, round(normalized, 4) AS cpm, normalized > 40000 AS kept FROM prof WHERE side = 0 AND pert = 0"))
 
-for _part in (more, conventions, replicated):
+for _part in (more, conventions, replicated, stored, extended):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -69,3 +69,10 @@ def write_results(results: DataFrame, aggregate: DataFrame, outdir: str, meta: d
         aggregate.select("metric", "agg").orderBy("metric").write.mode("overwrite").option("header", True).csv(os.path.join(outdir, "metric_aggregation.csv"))
     spark = results.sparkSession
     spark.createDataFrame([(json.dumps(meta, sort_keys=True, allow_nan=False),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(outdir, "run_meta.json"))
+
+
+def write_de(table: DataFrame, outdir: str, meta: dict) -> None:
+    """The differential-expression tables of both sides beside a run's results, with the digest of the run's record."""
+    for side, name in enumerate(("real", "pred")):
+        mine = table.filter(F.col("side") == side).drop("side").withColumn("digest", F.lit(meta["digest"]))
+        mine.write.mode("overwrite").parquet(os.path.join(outdir, f"de_{name}.parquet"))

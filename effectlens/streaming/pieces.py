@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from effectlens.plans import catalog, identity
-from effectlens.plans.evaluation import Config, Evaluation
+from effectlens.plans import catalog, identity, reference
+from effectlens.plans.evaluation import Config
+from effectlens.sources.store import Store
 
 PIECE = "pert int, cell bigint, gene int, x double"
 #: Metrics that need all perturbations at once; they are made from merged counts.
@@ -38,24 +39,26 @@ def piece_config(config: Config, names: list[str]) -> Config:
     return replace(config, auc_floor="replace_zero") if config.auc_floor == "min_nonzero" else config
 
 
+def scored(measured: reference.Reference, piece: DataFrame, names: list[str]) -> DataFrame:
+    """perturbation, metric, value of the perturbations in ``piece`` (predicted counts), the digest of how they were scored, and of what against."""
+    how = identity.digest(identity.semantics(measured.config, names))
+    return catalog.evaluate(reference.against(measured, piece), names).withColumns({"scored_by": F.lit(how), "reference": F.lit(measured.digest)})
+
+
 def score_piece(real: DataFrame, piece: DataFrame, genes: DataFrame, own: DataFrame, names: list[str], config: Config) -> DataFrame:
-    """perturbation, metric, value of the perturbations in ``piece`` (predicted counts), and the digest of how they were scored."""
-    config = piece_config(config, names)
-    perts = piece.select("pert").distinct()
-    mine = real.filter(F.col("pert") == config.control).unionByName(real.filter(F.col("pert") != config.control).join(perts, "pert", "left_semi"))
-    both = mine.select(F.lit(0).alias("side"), "pert", "cell", "gene", "x").unionByName(piece.select(F.lit(1).alias("side"), "pert", "cell", "gene", "x"))
-    return catalog.evaluate(Evaluation(both, genes, own, config), names).withColumn("scored_by", F.lit(identity.digest(identity.semantics(config, names))))
+    """``scored`` against measured counts, whose tables are built for this piece."""
+    return scored(reference.build(real, genes, own, piece_config(config, names)), piece, names)
 
 
-def score_stream(spark: SparkSession, source: str, real: DataFrame, genes: DataFrame, own: DataFrame, names: list[str], out: str, checkpoint: str, config: Config) -> StreamingQuery:
-    """Score every piece found under ``source``; partials go to ``out``/piece=N."""
-    piece_config(config, names)
+def score_stream(spark: SparkSession, source: str, real: DataFrame, genes: DataFrame, own: DataFrame, names: list[str], out: str, checkpoint: str, config: Config, store: Store | None = None) -> StreamingQuery:
+    """Score every piece found under ``source`` against one reference; partials go to ``out``/piece=N."""
+    measured = reference.build(real, genes, own, piece_config(config, names), store)
 
     def score(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             if batch.limit(1).count():
-                score_piece(real, batch, genes, own, names, config).write.mode("overwrite").parquet(f"{out}/piece={number}")
+                scored(measured, batch, names).write.mode("overwrite").parquet(f"{out}/piece={number}")
         finally:
             batch.unpersist()
 
@@ -64,9 +67,11 @@ def score_stream(spark: SparkSession, source: str, real: DataFrame, genes: DataF
 
 def merge(partials: DataFrame, expected: DataFrame) -> DataFrame:
     """One tidy frame from partials; doubled or missing perturbations are refused, and partials that were scored in different ways."""
-    ways = partials.select("scored_by").distinct().limit(3).count()
-    if ways > 1:
+    ways = partials.agg(F.count_distinct("scored_by").alias("n"), F.count_distinct("reference").alias("m")).first()
+    if ways["n"] > 1:
         raise ValueError("the partials were scored with different settings")
+    if ways["m"] > 1:
+        raise ValueError("the partials were scored against different measured data")
     twice = partials.groupBy("perturbation", "metric").count().filter("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"scored more than once: {[tuple(r)[:2] for r in twice]}")
