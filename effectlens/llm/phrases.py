@@ -5,12 +5,12 @@ candidates are joined with the counts of the two parts of each cut, scored in
 Decimal, anti-joined with their one-word extensions and ranked in a window.
 
 A run that comes ``least`` times consists of words and pairs that come so often.
-A first pass counts words and pairs by hash and puts the frequent ones into a
-Bloom filter of FILTER_BITS, a size that doesn't grow with the data; the second
-explodes the runs of which all words and pairs pass it.  Both the hashes and the
-filter err only to the side of keeping, and the rows left are counted exactly as
-strings, so no candidate and no part of one is lost: parts come at least as
-often as the whole.  If a longer candidate with words on both sides explains a
+A first pass counts words and pairs by hash, a second one longer runs of frequent
+pairs; what is frequent goes into a Bloom filter of FILTER_BITS, a size that
+doesn't grow with the data, and the last pass explodes the runs that pass it.
+Both the hashes and the filter err only to the side of keeping, and the rows
+left are counted exactly as strings, so no candidate and no part of one is lost:
+parts come at least as often as the whole.  If a longer candidate with words on both sides explains a
 phrase, so does one with one word more, which is why one-word extensions do.
 
 Cases: null texts have no words; a null language is ``und``; rows that repeat
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ MAX_N, LEAST, TOP, PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Bits of the filter (8 MB), probes of an entry, and bits of a segment in which the filter is put together.
 FILTER_BITS, PROBES, SEGMENT = 26, 4, 15
 #: Hashes that a task holds before it sends them on, hashes of a cell, and bytes of text for each range of hashes that is summed at one time (about as many hashes as a tenth).
-HELD, CELL, BUCKET_BYTES = 4_000_000, 4096, 8_000_000
+HELD, CELL, BUCKET_BYTES = 3_000_000, 4096, 8_000_000
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BETWEEN = np.isin(np.arange(256), list(b" \t" + _BREAKS))
 _PLAIN = bytes(x + 32 if 65 <= x <= 90 else 32 if _BETWEEN[x] else x for x in range(256))
@@ -48,16 +48,35 @@ def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of a batch end to end: hash of language and word, hash of language and pair with the next, whether the next is in the same piece, and where each text ends."""
+def _runs(part: pa.RecordBatch, max_n: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of the words of a batch end to end, for runs of 1 to max_n words from each: hash of language and run, whether the run lies in one piece; and where each text ends."""
     w = common.hashed_words(part.column("text"), lower=True, both=False, space=_BETWEEN, breaks=_BREAKS)
     seeds = np.array([_seed(x) for x in part.column("lang").to_pylist()], np.uint64)
+    n = len(w.text)
+    together = np.zeros(n, bool)  # with the next word
+    together[:-1] = (w.text[1:] == w.text[:-1]) & (w.line[1:] == w.line[:-1])
     with np.errstate(over="ignore"):
-        own = seeds[w.text] if len(w.text) else np.empty(0, np.uint64)
-        one = common.mix(w.a + own)
-        two = common.mix(one[:-1] * np.uint64(common._BASE) + w.a[1:])
-    together = (w.text[1:] == w.text[:-1]) & (w.line[1:] == w.line[:-1])
-    return one, two, together, w.ends
+        hashes, whole = [common.mix(w.a + (seeds[w.text] if n else np.empty(0, np.uint64)))], [np.ones(n, bool)]
+        for k in range(2, max_n + 1):
+            m = max(0, n - k + 1)
+            h, ok = np.zeros(n, np.uint64), np.zeros(n, bool)
+            h[:m] = common.mix(hashes[-1][:m] * np.uint64(common._BASE) + w.a[k - 1 :])
+            ok[:m] = whole[-1][:m] & together[k - 2 : k - 2 + m]
+            hashes.append(h)
+            whole.append(ok)
+    return hashes, whole, w.ends
+
+
+def _chained(hashes: list[np.ndarray], whole: list[np.ndarray], bloom: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For runs of two and more words from each word: whether they lie in one piece and all their pairs pass the filter."""
+    pair = whole[1] & _holds(bloom, hashes[1], bits)
+    out = [pair]
+    for k in range(3, len(hashes) + 1):
+        m = max(0, len(pair) - k + 2)
+        run = np.zeros(len(pair), bool)
+        run[:m] = out[-1][:m] & pair[k - 2 :]
+        out.append(run)
+    return out
 
 
 def _places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -82,8 +101,8 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _counted(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, cell: words and pairs of a task by hash with their counts.
+def _counted(docs: DataFrame, buckets: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """bucket, cell: what ``hashes`` finds in the batches of a task, with counts.
 
     Sorted hashes travel as steps from one to the next, which are short, and not
     one row each; a task holds HELD of them at most.  A bucket is a range of
@@ -103,8 +122,7 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
         held, waiting = [(h, n)], 0
         for batch in batches:
             for part in common.slices(batch):
-                one, two, together, _ = _hashes(part)
-                held.append(_summed(new := np.concatenate([one, two[together]]), np.ones(len(new), np.int64)))
+                held.append(_summed(new := hashes(part), np.ones(len(new), np.int64)))
                 waiting += len(held[-1][0])
                 if waiting > HELD // 4:
                     held, waiting = [_summed(*map(np.concatenate, zip(*held, strict=True)))], 0
@@ -118,10 +136,8 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(count, "bucket bigint, cell binary")
 
 
-def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> Broadcast:
-    """A filter of ``2 ** bits`` bits that holds the words and pairs of each language that come ``least`` times, and few others."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(0, int(size / BUCKET_BYTES).bit_length())
+def _filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], buckets: int, least: int, bits: int) -> np.ndarray:
+    """A filter of ``2 ** bits`` bits that holds the hashes that come ``least`` times, and few others."""
 
     def enough(table: pa.Table, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         out = [np.empty(0, np.uint64)]
@@ -145,25 +161,47 @@ def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> Br
         return pa.record_batch([part.column("segment"), pa.array(out, pa.binary())], ["segment", "bits"])
 
     each = lambda f: lambda batches: (f(b) for b in batches if b.num_rows)
-    dealt = _counted(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _counted(docs, buckets, hashes).repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(common.per_group(enough, ["bucket"]), "h bigint")
     segments = found.mapInArrow(each(places), "segment int, bit int").groupBy("segment").agg(F.collect_set("bit").alias("on")).mapInArrow(each(packed), "segment int, bits binary")
     bloom = np.zeros(2**bits // 8, np.uint8)
     for row in segments.toLocalIterator():  # 2 ** bits bits in all
         bloom[row["segment"] * 2**SEGMENT // 8 :][: 2**SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(bloom)
+    return bloom
+
+
+def frequent(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, bits: int = FILTER_BITS) -> Broadcast:
+    """The filter of the runs of 1 to max_n words of each language that come ``least`` times."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(0, int(size / BUCKET_BYTES).bit_length())
+    send = docs.sparkSession.sparkContext.broadcast
+
+    def short(part: pa.RecordBatch) -> np.ndarray:
+        hashes, whole, _ = _runs(part, 2)
+        return np.concatenate([h[ok] for h, ok in zip(hashes, whole, strict=True)])
+
+    bloom = _filter(docs, short, buckets, least, bits)
+    if max_n < 3:
+        return send(bloom)
+    pairs = send(bloom)
+
+    def longer(part: pa.RecordBatch) -> np.ndarray:
+        hashes, whole, _ = _runs(part, max_n)
+        return np.concatenate([h[run] for h, run in zip(hashes[2:], _chained(hashes, whole, pairs.value, bits)[1:], strict=True)])
+
+    bloom |= _filter(docs, longer, buckets, least, bits)
+    pairs.unpersist()
+    return send(bloom)
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
     """lang, size, phrase, f: runs of 1 to max_n words that come ``least`` times; size 0 has the number of all words of a language."""
-    bloom = frequent(docs, least, bits)
+    bloom = frequent(docs, max_n, least, bits)
 
     def explode(part: pa.RecordBatch) -> pa.RecordBatch:
-        one, two, together, ends = _hashes(part)
-        runs = [_holds(bloom.value, one, bits)]
-        pair = np.r_[together & _holds(bloom.value, two, bits), np.zeros(min(1, len(one)), bool)]
-        for n in range(2, max_n + 1):  # a run of n words: a run of n - 1, then a pair
-            runs.append((runs[-1] if n > 2 else pair) & np.r_[pair[n - 2 :], np.zeros(min(n - 2, len(pair)), bool)])
+        hashes, whole, ends = _runs(part, max_n)
+        runs = [_holds(bloom.value, hashes[0], bits), *_chained(hashes, whole, bloom.value, bits)]
+        runs[2:] = [run & _holds(bloom.value, h, bits) for run, h in zip(runs[2:], hashes[2:], strict=True)]
         total: Counter[tuple[str, int, bytes]] = Counter()
         begin = 0
         for lang, text, end in zip(part.column("lang").to_pylist(), common.texts(part), ends.tolist(), strict=True):

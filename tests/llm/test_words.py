@@ -152,12 +152,12 @@ def brute_phrases(rows, max_n, least, top, percent):
     return out
 
 
-@pytest.mark.parametrize(("seed", "least", "top"), [(7, 2, 2000), (8, 3, 9)])
-def test_collocations_match_brute_force(spark, seed, least, top):
+@pytest.mark.parametrize(("seed", "least", "top", "max_n"), [(7, 2, 2000, 4), (8, 3, 9, 4), (11, 2, 50, 2), (12, 2, 50, 5)])
+def test_collocations_match_brute_force(spark, seed, least, top, max_n):
     rows = odd_rows(seed, "ab")
     rows += [(i, "a b c d. A B C D, a b c x y c d; 'Éa' b\x0bc d\ttab z", "fr") for i in range(5)]
-    got = [tuple(r) for r in phrases.collocations(frame(spark, rows), 4, least, top).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, 4, least, top, 80)
+    got = [tuple(r) for r in phrases.collocations(frame(spark, rows), max_n, least, top).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, max_n, least, top, 80)
 
 
 def test_hashes_are_summed_over_cells_and_buckets(spark, monkeypatch):
@@ -165,13 +165,12 @@ def test_hashes_are_summed_over_cells_and_buckets(spark, monkeypatch):
         monkeypatch.setattr(phrases, name, value)
     rows = odd_rows(10, "ab")
     df = frame(spark, rows).select("lang", "text").na.fill("und", "lang").repartition(3)
-    assert phrases._counted(df, 5).select("bucket").distinct().count() > 8
+    assert phrases._counted(df, 5, lambda part: phrases._runs(part, 1)[0][0]).select("bucket").distinct().count() > 8
     assert {tuple(r) for r in phrases.collocations(frame(spark, rows), 4, 2).collect()} == brute_phrases(rows, 4, 2, 2000, 80)
 
 
 def test_collocations_survive_a_full_filter_and_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases.frequent, "__defaults__", (30, 16))  # nearly all bits set: all runs pass
-    monkeypatch.setattr(phrases.counts, "__defaults__", (4, 30, 16))
+    monkeypatch.setattr(phrases.counts, "__defaults__", (4, 30, 16))  # nearly all bits set: all runs pass
     rows = odd_rows(9, "ab", 40)
     assert {tuple(r) for r in phrases.collocations(frame(spark, rows), 4, 2).collect()} == brute_phrases(rows, 4, 2, 2000, 80)
     assert phrases.collocations(frame(spark, [])).count() == 0
