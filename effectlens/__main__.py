@@ -12,7 +12,8 @@ import argparse
 import ast
 import json
 import os
-from dataclasses import fields, replace
+import warnings
+from dataclasses import asdict, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +57,15 @@ def named(metrics: str) -> list[str] | str:
     return metrics.split(",") if "," in metrics or metrics in catalog.CATALOG or metrics.startswith("de_") else metrics
 
 
-def loaded(spark: SparkSession, real: str, pred: str, own: str | None, config: Config, replicates: str | None = None, most: float | None = None) -> Evaluation:
-    """An evaluation of two tables whose perturbations and genes must agree; ``most`` bounds the totals of cells."""
+def loaded(spark: SparkSession, real: str, pred: str, own: str | None, config: Config, replicates: str | None = None, most: float | None = None, guess: bool = False, discrete: bool = False) -> Evaluation:
+    """An evaluation of two tables whose perturbations and genes must agree; ``most`` bounds the totals of cells, ``guess`` finds out what the values are."""
     side = lambda path, s: spark.read.parquet(path).select(F.lit(s).alias("side"), "pert", "cell", "gene", "x")
     both = side(real, 0).unionByName(side(pred, 1))
     validation.require_finite(both, "x")
     validation.require_pair(both, config.control)
+    config = replace(config, input_types=validation.resolved_types(both.groupBy("side", "pert", "cell").agg(F.sum("x").alias("lib")), config.input_types, guess, discrete))
     for s, kind in enumerate(config.input_types):
-        validation.require_type(both.filter(F.col("side") == s), kind)
+        validation.require_type(both.filter(F.col("side") == s), kind, discrete)
     genes = both.select("gene").distinct()
     if own is not None:
         owns = spark.read.parquet(own).select("pert", "gene")
@@ -72,7 +74,10 @@ def loaded(spark: SparkSession, real: str, pred: str, own: str | None, config: C
     validation.require_resolution(owns)
     e = Evaluation(both, genes, owns, config, spark.read.parquet(replicates).select("cell", "replicate") if replicates else None)
     if most is not None:
-        validation.require_scale(e.libs, most)
+        logged = [s for s, kind in enumerate(config.input_types) if kind == "lognorm"]
+        validation.require_scale(e.libs.filter(~F.col("side").isin(logged)), most)
+        if logged:
+            validation.require_scale(e.libs, most, both.filter(F.col("side").isin(logged)))
     return e
 
 
@@ -88,10 +93,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     if not (a.real and a.pred) or a.de_real or a.de_pred:
         raise ValueError("give --real and --pred, or --de-real and --de-pred")
-    e = loaded(spark, a.real, a.pred, a.own, config, a.replicates, a.most)
+    e = loaded(spark, a.real, a.pred, a.own, config, a.replicates, a.most, a.guess or a.preset == "v1", a.discrete)
+    config, notes = e.config, validation.remarks(e.config.input_types, e.config.group_sums, validation.profile_of_values(e.counts))
+    for note in notes:
+        warnings.warn(note, stacklevel=1)
     tidy = catalog.evaluate(e, names)
     derived = {n: parts for n, parts in catalog.DERIVED.items() if n in catalog.resolve(names, config.de_method)}
-    meta = identity.run_meta(e, names)
+    meta = identity.run_meta(e, names) | {"notes": notes, "config": asdict(config)}
     tables.write_results(tidy, catalog.summarize(tidy, names, config.de_method), a.out, meta)
     scoring.cohorts(tidy, derived).withColumn("digest", F.lit(meta["digest"])).orderBy("metric").write.mode("overwrite").option("header", True).csv(os.path.join(a.out, "cohorts.csv"))
     if "de" in e.__dict__:
@@ -141,6 +149,8 @@ def parser() -> argparse.ArgumentParser:
             for option in ("--real", "--pred", "--de-real", "--de-pred", "--replicates"):
                 q.add_argument(option)
             q.add_argument("--most", type=float, help="largest total of a cell")
+            q.add_argument("--guess", action="store_true", help="find out whether values are counts or log-normalised, as preset v1 does")
+            q.add_argument("--discrete", action="store_true", help="take all values as counts")
         elif name == "baseline":
             q.add_argument("--real", required=True)
             q.add_argument("--seed", type=int, default=0)

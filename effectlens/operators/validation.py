@@ -51,13 +51,49 @@ def guess_type(libs: DataFrame, sample: int | None = None) -> DataFrame:
     return drawn.groupBy("side").agg(F.when(off > INTEGRAL, "lognorm").otherwise("counts").alias("kind"))
 
 
+def resolved_types(libs: DataFrame, declared: tuple[str, str], guess: bool = False, allow_discrete: bool = False) -> tuple[str, ...]:
+    """What both sides are: as declared, or guessed from the cells' totals; ``allow_discrete`` calls all that is whole counts."""
+    if not guess:
+        return declared
+    if allow_discrete:
+        return ("counts", "counts")
+    kinds = {r["side"]: r["kind"] for r in guess_type(libs).collect()}  # a row a side
+    return tuple(kinds.get(s, declared[s]) for s in (0, 1))
+
+
+def remarks(types: tuple[str, str], group_sums: bool, values: DataFrame | None = None) -> list[str]:
+    """What a run should say about its inputs: sides of different kinds, a comparator that isn't the one asked for, fractions among counts."""
+    out = []
+    if types[0] != types[1]:
+        out.append(f"the sides are of different kinds: {types[0]} and {types[1]}")
+    if group_sums and set(types) != {"counts"}:
+        out.append("group sums need counts on both sides; means of log-normalised cells are compared instead")
+    for r in values.collect() if values is not None else ():  # a row a side, of profile_of_values
+        if types[r["side"]] == "counts" and (r["fraction"] or 0) > INTEGRAL:
+            out.append(f"side {r['side']}: counts with fractions up to {r['fraction']:.3g} are used as they are")
+    return out
+
+
 def beyond_scale(libs: DataFrame, most: float) -> DataFrame:
     """side, pert, cell, lib of cells whose total is NaN or above ``most``."""
     return libs.filter(F.isnan("lib") | (F.col("lib") > most)).select("side", "pert", "cell", "lib")
 
 
-def require_scale(libs: DataFrame, most: float) -> None:
-    found = beyond_scale(libs, most).limit(5).collect()
+def beyond_scale_logged(values: DataFrame, most: float) -> DataFrame:
+    """side, pert, cell, highest, total of cells of log-normalised values that can't come from totals up to ``most``.
+
+    A single value may reach log(1 + most), give or take 16 units in the last
+    place; the values of a cell, taken back, sum to ``most`` at most, but for what
+    taking back rounds.  NaN never fits.
+    """
+    g = values.groupBy("side", "pert", "cell").agg(F.max("x").alias("highest"), F.sum(F.expm1("x")).alias("total"))
+    high = F.log1p(F.lit(float(most))) * (1 + 16 * 2.0**-52)
+    return g.filter(F.isnan("highest") | (F.col("highest") > high) | (F.col("total") > most * (1 + 1e-12)))
+
+
+def require_scale(libs: DataFrame, most: float, values: DataFrame | None = None) -> None:
+    """Totals of cells up to ``most``; of log-normalised ``values``, what they are taken back to."""
+    found = (beyond_scale(libs, most) if values is None else beyond_scale_logged(values, most).withColumnRenamed("total", "lib")).limit(5).collect()
     if found:
         raise ValueError(f"cells with totals beyond {most}: {[(r['side'], r['cell'], r['lib']) for r in found]}")
 

@@ -127,6 +127,31 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("val16_panel_genes", _panel, oracle.query([oracle.CORE], "SELECT DISTINCT gene FROM counts WHERE gene NOT IN (SELECT pert FROM grp WHERE pert > 0 AND pert % 3 > 0)"))
 
+CAP = 150_000.0
+
+
+def _logged_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells whose log-normalised values of three genes exceed a cap."""
+    e = of(spark, sf, form="lognorm")
+    return validation.beyond_scale_logged(e.counts.filter("gene <= 3"), CAP).select("side", "pert", "cell", F.round("highest", 8).alias("highest"), F.round("total", 4).alias("total"))
+
+
+_add(
+    "val3_logged_scale", _logged_scale,
+    oracle.query([oracle.CORE], f"SELECT * FROM (SELECT side, pert, cell, round(max(ln(1 + v)), 8) AS highest, round(sum(v), 4) AS total FROM dense WHERE gene <= 3 AND x > 0 GROUP BY ALL) WHERE total > {CAP}"),
+)
+
+
+def _types(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of both sides, guessed where a half is taken from every fifth gene of the prediction."""
+    counts = of(spark, sf).counts
+    odd = counts.withColumn("x", F.when((F.col("side") == 1) & (F.col("gene") % 5 == 0), F.col("x") / 4).otherwise(F.col("x")))
+    kinds = validation.resolved_types(profiles.libraries(odd), ("counts", "counts"), guess=True)
+    return spark.createDataFrame([(s, k) for s, k in enumerate(kinds)], "side int, kind string")
+
+
+_add("val4_guessed_types", _types, oracle.query([oracle.CORE], "SELECT side, CASE WHEN max(abs(t - round(t))) > 1e-6 THEN 'lognorm' ELSE 'counts' END AS kind FROM (SELECT side, cell, sum(CASE WHEN side = 1 AND gene % 5 = 0 THEN x / 4 ELSE x END) AS t FROM counts GROUP BY ALL) GROUP BY side"))
+
 # ---- folders published whole
 
 

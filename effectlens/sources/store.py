@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 #: Version of what stored tables hold; another version misses.
 LAYOUT = 1
 RECORD, MANIFEST = "record.json", "manifest.json"
+#: What errors say where a file is missing or damaged.
+BROKEN = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FileNotFound", "Checksum error", "not a Parquet file", "CANNOT_READ")
 
 
 def digest(record: dict) -> str:
@@ -88,8 +91,10 @@ class Store:
         try:
             fine = json.loads(files.read(f"{place}/{RECORD}")) == json.loads(json.dumps(record, default=str)) and files.exists(f"{place}/table/_SUCCESS")
             found = self.spark.read.parquet(f"{place}/table") if fine else None
-        except Exception as e:  # noqa: BLE001  any fault of reading means that the entry is broken
-            if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FileNotFound", "Expecting value", "not a Parquet file", "CANNOT_READ")):
+        except json.JSONDecodeError:
+            found = None
+        except Exception as e:  # noqa: BLE001  faults of the files mean that the entry is broken; others go on
+            if not any(x in str(e) for x in BROKEN):
                 raise
             found = None
         if found is None:
@@ -117,8 +122,8 @@ class Store:
 def _contents(spark: SparkSession, folder: str) -> dict[str, list]:
     """Relative path: length and sha256 of each file below a folder, computed where the files are read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.sha2("content", 256).alias("sha"))
-    name = posixpath.basename(folder.rstrip("/"))
-    found = {r["path"].rpartition(f"/{name}/")[2]: [r["length"], r["sha"]] for r in rows.toLocalIterator()}  # a row a file
+    inside = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder.rstrip("/")) + "/"
+    found = {r["path"].partition(inside)[2]: [r["length"], r["sha"]] for r in rows.toLocalIterator()}  # a row a file
     return {k: v for k, v in found.items() if not k.endswith(MANIFEST)}
 
 

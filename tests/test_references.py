@@ -127,7 +127,7 @@ def test_command_line_runs_scores_and_builds(spark, tmp_path):
     real.withColumn("x", F.col("x") + (F.col("gene") % 2)).write.parquet(f"{tmp_path}/pred")
     names = "expr_mae,expr_mse,delta_pearson"
     cli.main(["run", "--real", f"{tmp_path}/real", "--pred", f"{tmp_path}/pred", "--metrics", names, "--set", "cpm_gate=1.0", "--out", f"{tmp_path}/run"], spark)
-    cli.main(["baseline", "--real", f"{tmp_path}/real", "--metrics", names, "--seed", "3", "--out", f"{tmp_path}/base"], spark)
+    cli.main(["baseline", "--real", f"{tmp_path}/real", "--metrics", names, "--set", "de.cpm_gate=1.0", "--seed", "3", "--out", f"{tmp_path}/base"], spark)
     cli.main(["score", "--results", f"{tmp_path}/run/agg_results.csv", "--baseline", f"{tmp_path}/base/agg_results.csv", "--out", f"{tmp_path}/score"], spark)
     got = [r["metric"] for r in spark.read.option("header", True).csv(f"{tmp_path}/score").collect()]
     assert sorted(got) == ["avg_score", "delta_pearson", "expr_mae", "expr_mse"]
@@ -150,14 +150,10 @@ def test_records_tell_differences(spark):
         with pytest.raises(ValueError):
             identity.require_paired(run, other)
     fine = spark.createDataFrame([("m", 0.5, 0.1, 0.4, 0.6)], "metric string, replicate double, replicate_sd double, replicate_min double, replicate_max double")
-    assert identity.resolve_anchor(None, fine, ["m"]) is fine
-    for given, names in ((None, ["m"]), (fine, ["n"]), (fine.withColumn("replicate", F.lit(float("nan"))), ["m"]), (fine.drop("replicate"), ["m"])):
+    identity.require_anchor(fine, ["m"])
+    for given, names in ((fine, ["n"]), (fine.withColumn("replicate", F.lit(float("nan"))), ["m"]), (fine.drop("replicate"), ["m"])):
         with pytest.raises(ValueError):
-            identity.resolve_anchor(given, None, names)
-    published = dict.fromkeys(identity.PEERS, "a")
-    identity.check_submission(published, published)
-    with pytest.raises(ValueError):
-        identity.check_submission(published | {"genes": "b"}, published)
+            identity.require_anchor(given, names)
     assert identity.digest(identity.competition_rule(Config())) != identity.digest(identity.competition_rule(Config(), (1, 2)))
 
 
