@@ -11,10 +11,11 @@ score can't lie below it.  Scores are integers, exact in float64 products up to
 2**53 and in Python integers beyond (then held to the range of a long).
 
 Cases: vectors that are null, or hold null or non-finite components, take no
-part, nor do those with a component of 2**1016 or more, of which 256 times is
-not finite; vectors of another length than the query's have no score with it;
-repeated ids are separate candidates, but a query has no score with rows of its
-own id, and a query id that comes again asks once, with its least vector; fewer than k candidates are all returned; empty tables give no rows.
+part; vectors of another length than the query's have no score with it; repeated
+ids are separate candidates, but a query has no score with rows of its own id;
+rows that repeat a query's id ask together: the best scores of them all are
+returned, a candidate's with each row being scores of its own; fewer than k
+scores are all returned; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ _LONG = (-(2**63), 2**63 - 1)
 
 
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Rows of (dim, ids, data): up to ``rows`` vectors of one length, floor(256 x) as float64."""
+    """Rows of (dim, ids, data): up to ``rows`` vectors of one length as float64."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            flat = np.floor(256.0 * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             begin = np.cumsum(size) - size
             for dim in np.unique(size):
                 mine = np.flatnonzero(size == dim)
@@ -57,13 +58,15 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
 
 def _scores(q: dict, c: dict) -> np.ndarray:
     """Candidates x queries; the query's own rows are marked by the caller."""
-    a = np.frombuffer(c["data"], np.float64).reshape(-1, c["dim"])
-    b = np.frombuffer(q["data"], np.float64).reshape(-1, q["dim"])
-    most = (np.abs(a).max(initial=0.0)) * (np.abs(b).max(initial=0.0)) * max(1, q["dim"])
+    x = np.frombuffer(c["data"], np.float64).reshape(-1, c["dim"])
+    y = np.frombuffer(q["data"], np.float64).reshape(-1, q["dim"])
+    with np.errstate(over="ignore"):
+        a, b = np.floor(256.0 * x), np.floor(256.0 * y)
+        most = (np.abs(a).max(initial=0.0)) * (np.abs(b).max(initial=0.0)) * max(1, q["dim"])
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
-    ints = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    exact = ints(a) @ ints(b).T
+    ints = lambda m: np.array([[256 * int(v) if abs(v) >= 2.0**53 else int(np.floor(256.0 * v)) for v in r] for r in m], object).reshape(m.shape)
+    exact = ints(x) @ ints(y).T
     return np.array([[min(max(x, _LONG[0]), _LONG[1]) for x in r] for r in exact], np.int64).reshape(exact.shape)
 
 
@@ -116,16 +119,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col(vec_col)
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(2.0**1016)))
+        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
         return df.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
     candidates = _packed(valid(vectors), CANDIDATES)
-    asked = valid(queries).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = common.staged(_packed(asked, QUERIES).select(F.monotonically_increasing_id().alias("block"), "dim", "ids", "data"), "topk-queries")
+    blocks = common.staged(_packed(valid(queries), QUERIES).select(F.monotonically_increasing_id().alias("block"), "dim", "ids", "data"), "topk-queries")
     # a candidate block is sent once to each of the ``n`` bins of query blocks
     n = max(1, blocks.count())
     blocks = blocks.withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(n)))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * 256), 2))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x.cast("double")) * 256 + 1, 2))
     top = valid(vectors).agg(F.max(norm)).first()[0]
     bits = int(np.ceil(np.log2(min(2.0**62, (top or 0.0) + 2)))) + 1  # |score| <= the largest squared length
     shifts = [s for s in range(((bits - 1) // STEP) * STEP, -1, -STEP)]
@@ -158,7 +160,7 @@ def _pairs_of(candidates: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 
 def _with_state(blocks: DataFrame, ids: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     """Query blocks with the arrays ``at`` and ``need`` in the order of their ids."""
-    rows = ids.join(state, "query_id", "left").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.struct("bin", "need").alias("x")))).alias("m"))
+    rows = ids.join(state, "query_id", "left").groupBy("block").agg(F.map_from_entries(F.collect_set(F.struct("query_id", F.struct("bin", "need").alias("x")))).alias("m"))
     return blocks.join(rows, "block").select(
         "bin", "dim", "ids", "data", F.transform("ids", lambda i: F.element_at("m", i)["bin"]).alias("at"),
         F.transform("ids", lambda i: F.element_at("m", i)["need"]).alias("need"), F.lit(shift).alias("shift"),

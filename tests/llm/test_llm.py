@@ -545,9 +545,15 @@ def test_topk_against_brute_force(spark):
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
     huge = spark.createDataFrame([(50, [1e308, 1.0]), (51, [2.0, 1.0]), (100, [3.0, -1e200]), (101, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
-    got = [tuple(x) for x in topk.top_k(huge, huge.filter("vec_id % 50 = 0"), 5).orderBy("rank").collect()]
-    most = 2**63 - 1
-    assert got == [(100, 1, 51, -most - 1), (100, 2, 101, -most - 1)]
+    got = sorted(tuple(x) for x in topk.top_k(huge, huge.filter("vec_id % 50 = 0"), 5).collect())
+    most = 2**63 - 1  # scores are held to the range of a long
+    assert got == [(50, 1, 51, most), (50, 2, 100, most), (50, 3, 101, most), (100, 1, 50, most), (100, 2, 51, -most - 1), (100, 3, 101, -most - 1)]
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [-1.0, 3.0]), (3, [2.0, 2.0])]
+    again = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for k in (2, 4, 20):  # all rows of an id ask
+        want = sorted((-int(65536 * (a[0] * b[0] + a[1] * b[1])), j) for i, a in rows if i == 50 for j, b in rows if j != 50)[:k]
+        got = [tuple(x) for x in topk.top_k(again, again.filter("vec_id = 50"), k).orderBy("rank").collect()]
+        assert got == [(50, n + 1, j, -s) for n, (s, j) in enumerate(want)]
 
 
 # ---- 10
