@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from effectlens.functions import numeric
 from effectlens.operators import profiles
@@ -74,80 +75,142 @@ def unbiased(profile: DataFrame, jk: DataFrame, own: DataFrame, control: int, va
     )
 
 
-def distances(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, block: int = BLOCK) -> DataFrame:
-    """pert, other, l1, l2, cosine: each predicted effect to each measured one.
+MEASURES = ("l1", "l2", "cosine")
+#: Measured vectors that are set against a predicted one at a time.
+ROWS = 64
 
-    Effects travel as one vector a perturbation, in blocks of about ``block``;
-    each pair of blocks is one task of matrix work, so that what is shuffled grows
-    with P x P / block vectors and no gene is a key.  ``panel`` removes all own
-    genes first, ``row`` the predicted perturbation's own ones.
-    """
-    spark = profile.sparkSession
+
+def _vectors(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(pert, genes, effects, own) of the prediction and (pert, genes, effects) as measured; ``panel`` removes all own genes, ``row`` names each perturbation's."""
     e = profiles.effects(profile, value, control)
     if scope == "panel":
         e = e.join(own.select("gene").distinct(), "gene", "left_anti")
     cells = F.sort_array(F.collect_list(F.struct("gene", "e")))
     vectors = e.groupBy("side", "pert").agg(cells.alias("x")).select("side", "pert", F.col("x.gene").alias("genes"), F.col("x.e").alias("effects"))
-    m = max(1, -(-vectors.filter("side = 0").count() // block))
-    vectors = vectors.withColumn("own_block", F.pmod(F.xxhash64("pert"), F.lit(m)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    pred = vectors.filter("side = 1")
+    pred, real = (vectors.filter(F.col("side") == s).select(*[F.col(c).alias(c) for c in ("pert", "genes", "effects")]) for s in (1, 0))
     if scope == "row":
-        pred = pred.join(own.groupBy("pert").agg(F.collect_list("gene").alias("own")), "pert", "left")
-    else:
-        pred = pred.withColumn("own", F.lit(None).cast("array<int>"))
-    pred = pred.select("pert", "genes", "effects", "own", F.col("own_block").alias("i"), every.alias("j"))
-    real = vectors.filter("side = 0").select(*[F.col(c).alias(c) for c in ("pert", "genes", "effects")], every.alias("i"), F.col("own_block").alias("j"))
-
-    def only(t: pa.Table, genes: np.ndarray) -> pa.Table:
-        """The vectors of a table on some genes."""
-        flat = pc.list_flatten(t.column("genes")).to_numpy()
-        keep = np.isin(flat, genes)
-        if keep.all():
-            return t
-        of = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("genes")).to_numpy())
-        at = np.r_[0, np.cumsum(np.bincount(of[keep], minlength=t.num_rows))].astype(np.int32)
-        cut = lambda c: pa.ListArray.from_arrays(pa.array(at), pa.array(pc.list_flatten(t.column(c)).to_numpy()[keep]))
-        return t.select(["pert", *[c for c in ("own",) if c in t.column_names]]).append_column("genes", cut("genes")).append_column("effects", cut("effects"))
+        return pred.join(own.groupBy("pert").agg(F.collect_list("gene").alias("own")), "pert", "left"), real
+    return pred.withColumn("own", F.lit(None).cast("array<int>")), real
 
-    def matrix(t: pa.Table, genes: np.ndarray) -> np.ndarray:
-        out = np.zeros((t.num_rows, len(genes)))
+
+def _between(a: np.ndarray, b: np.ndarray, skip: list[np.ndarray]) -> np.ndarray:
+    """MEASURES x rows of a x rows of b, without the columns ``skip[k]`` of row k.
+
+    Products of all rows come from one matrix product; skipped columns are taken
+    off again.  Where that leaves too few digits of l2 it is spelled out.
+    """
+    out = np.empty((3, len(a), len(b)))
+    aa, bb, ab = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :], a @ b.T
+    aa, bb = np.repeat(aa, len(b), axis=1), np.repeat(bb, len(a), axis=0)
+    for k, columns in enumerate(skip):
+        if len(columns):
+            x, y = a[k, columns], b[:, columns]
+            aa[k] -= (x * x).sum()
+            bb[k] -= (y * y).sum(axis=1)
+            ab[k] -= y @ x
+    square = aa + bb - 2 * ab
+    for k in range(len(a)):
+        for at in range(0, len(b), ROWS):
+            d = np.abs(b[at : at + ROWS] - a[k])
+            if len(skip[k]):
+                d[:, skip[k]] = 0.0
+            out[0, k, at : at + ROWS] = d.sum(axis=1)
+            near = np.flatnonzero(square[k, at : at + ROWS] <= 1e-4 * (aa[k, at : at + ROWS] + bb[k, at : at + ROWS]))
+            square[k, at + near] = (d[near] * d[near]).sum(axis=1)
+    out[1] = np.sqrt(np.maximum(square, 0.0))
+    norm = np.sqrt(np.maximum(aa, 0.0) * np.maximum(bb, 0.0))
+    out[2] = np.where(norm > 0, np.clip(1 - np.divide(ab, norm, out=np.zeros_like(ab), where=norm > 0), 0, 2), 1.0)
+    return out
+
+
+def _matrices(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Effects of both tables on the genes that both have, and the own columns of each row of the first; genes of one side only have no partner to differ from."""
+    flat = [pc.list_flatten(t.column("genes")).to_numpy() for t in (left, right)]
+    genes = np.intersect1d(*flat)
+
+    def matrix(t: pa.Table, mine: np.ndarray) -> np.ndarray:
+        keep = np.isin(mine, genes)
         of = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("genes")).to_numpy())
-        out[of, np.searchsorted(genes, pc.list_flatten(t.column("genes")).to_numpy())] = pc.list_flatten(t.column("effects")).to_numpy()
+        out = np.zeros((t.num_rows, len(genes)))
+        out[of[keep], np.searchsorted(genes, mine[keep])] = pc.list_flatten(t.column("effects")).to_numpy()[keep]
         return out
 
+    skip = [np.flatnonzero(np.isin(genes, x)) if x else np.empty(0, np.int64) for x in left.column("own").to_pylist()]
+    return matrix(left, flat[0]), matrix(right, flat[1]), skip
+
+
+def _blocks(pred: DataFrame, real: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides in about equal blocks, each pair of which meets in one task: what is shuffled grows with P x P / block vectors."""
+    m = max(1, -(-real.count() // block))
+    own_block, every = F.pmod(F.xxhash64("pert"), F.lit(m)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    return pred.select("*", own_block.alias("i"), every.alias("j")), real.select(*[F.col(c).alias(c) for c in real.columns], every.alias("i"), own_block.alias("j"))
+
+
+def distances(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, block: int = BLOCK) -> DataFrame:
+    """pert, other, l1, l2, cosine: each predicted effect to each measured one."""
+    pred, real = _blocks(*_vectors(profile, value, own, control, scope), block)
+    kind = dict(profile.dtypes)["pert"]
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = left.schema.field("pert").type
         if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("pert", left.schema.field("pert").type), ("other", left.schema.field("pert").type), ("l1", pa.float64()), ("l2", pa.float64()), ("cosine", pa.float64()))})
-        # genes of one side only have no partner to differ from
-        genes = np.intersect1d(pc.list_flatten(left.column("genes")).to_numpy(), pc.list_flatten(right.column("genes")).to_numpy())
-        a, b = (matrix(only(t, genes), genes) for t in (left, right))
-        l1, l2, cosine = np.empty((3, len(a), len(b)))
-        for k, mine in enumerate(left.column("own").to_pylist()):
-            use = ~np.isin(genes, mine or [])
-            x, y = a[k, use], b[:, use]
-            d = y - x
-            l1[k], l2[k] = np.abs(d).sum(axis=1), np.sqrt((d * d).sum(axis=1))
-            norm = np.sqrt((x * x).sum() * (y * y).sum(axis=1))
-            cosine[k] = np.where(norm > 0, np.clip(1 - np.divide(y @ x, norm, out=np.zeros(len(b)), where=norm > 0), 0, 2), 1.0)
-        other = pa.chunked_array([right.column("pert").combine_chunks()])
-        p = left.column("pert").combine_chunks().take(pa.array(np.repeat(np.arange(len(a)), len(b))))
-        o = other.combine_chunks().take(pa.array(np.tile(np.arange(len(b)), len(a))))
-        return pa.table({"pert": p, "other": o, "l1": l1.ravel(), "l2": l2.ravel(), "cosine": cosine.ravel()})
+            return pa.table({c: pa.array([], t) for c, t in (("pert", of), ("other", of), *((x, pa.float64()) for x in MEASURES))})
+        d = _between(*_matrices(left, right))
+        n, m = d.shape[1:]
+        p, o = (t.column("pert").combine_chunks().take(pa.array(at)) for t, at in ((left, np.repeat(np.arange(n), m)), (right, np.tile(np.arange(m), n))))
+        return pa.table({"pert": p, "other": o} | {c: d[i].ravel() for i, c in enumerate(MEASURES)})
 
-    kind = dict(profile.dtypes)["pert"]
     return pred.groupBy("i", "j").cogroup(real.groupBy("i", "j")).applyInArrow(compare, f"pert {kind}, other {kind}, l1 double, l2 double, cosine double")
 
 
-def discrimination(dist: DataFrame, metric: str, ties: str = "midrank", denominator: str = "n-1") -> DataFrame:
-    """pert, value: 1 - rank / D of the own profile among all; distances are compared at 9 digits."""
-    d = dist.select("pert", "other", F.round(metric, 9).alias("d"))
-    self_d = F.max(F.when(F.col("other") == F.col("pert"), F.col("d"))).over(Window.partitionBy("pert"))
-    rows = d.withColumn("s", self_d).filter("s is not null")
-    count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
-    if ties == "midrank":
-        rank = count(F.col("d") < F.col("s")) + (count(F.col("d") == F.col("s")) - 1) / 2
-    else:
-        rank = count((F.col("d") < F.col("s")) | ((F.col("d") == F.col("s")) & (F.col("other") < F.col("pert"))))
-    n = F.count("*") - (1 if denominator == "n-1" else 0)
-    return rows.groupBy("pert").agg((1 - numeric.ratio(rank, n, 0.0)).alias("value"))
+def standing(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, block: int = BLOCK) -> DataFrame:
+    """pert, n, and for each measure less, same and lower: how many measured effects lie nearer to the predicted one than its own does, as near (others only), and as near with a smaller label.
+
+    The distance to its own effect travels with each perturbation, so that a
+    pair of blocks returns counts and no distances.  Distances are compared at 9
+    digits; perturbations that weren't measured have no row.
+    """
+    pred, real = _vectors(profile, value, own, control, scope)
+    kinds = dict(profile.dtypes)
+    width = {"int": "int", "bigint": "bigint"}.get(kinds["gene"], kinds["gene"])
+
+    def to_own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_d = np.empty((3, batch.num_rows))
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                mine = row.select(["pert", "genes", "effects", "own"])
+                theirs = row.select(["pert", "real_genes", "real_effects"]).rename_columns(["pert", "genes", "effects"])
+                own_d[:, i] = np.round(_between(*_matrices(mine, theirs))[:, 0, 0], 9)
+            yield pa.record_batch([*(batch.column(c) for c in ("pert", "genes", "effects", "own")), *map(pa.array, own_d)], ["pert", "genes", "effects", "own", *(f"s_{c}" for c in MEASURES)])
+
+    both = pred.join(real.select("pert", F.col("genes").alias("real_genes"), F.col("effects").alias("real_effects")), "pert")
+    pred = both.mapInArrow(to_own, f"pert {kinds['pert']}, genes array<{width}>, effects array<double>, own array<int>, " + ", ".join(f"s_{c} double" for c in MEASURES))
+    pred, real = _blocks(pred, real, block)
+    counts = [f"{what}_{c}" for c in MEASURES for what in ("less", "same", "lower")]
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = left.schema.field("pert").type
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"pert": pa.array([], of), "n": pa.array([], pa.int64())} | {c: pa.array([], pa.int64()) for c in counts})
+        d = np.round(_between(*_matrices(left, right)), 9)
+        p, o = (np.array(t.column("pert").to_pylist()) for t in (left, right))
+        other, before = o[None, :] != p[:, None], o[None, :] < p[:, None]
+        out = {"pert": left.column("pert"), "n": pa.array(np.full(len(p), len(o)))}
+        for i, c in enumerate(MEASURES):
+            own_d = left.column(f"s_{c}").to_numpy()[:, None]
+            same = (d[i] == own_d) & other
+            for name, hit in (("less", (d[i] < own_d) & other), ("same", same), ("lower", same & before)):
+                out[f"{name}_{c}"] = pa.array(hit.sum(axis=1))
+        return pa.table(out)
+
+    schema = f"pert {kinds['pert']}, n bigint, " + ", ".join(f"{c} bigint" for c in counts)
+    parts = pred.groupBy("i", "j").cogroup(real.groupBy("i", "j")).applyInArrow(count, schema)
+    return parts.groupBy("pert").agg(*[F.sum(c).alias(c) for c in ("n", *counts)])
+
+
+def discrimination(stands: DataFrame, metric: str, ties: str = "midrank", denominator: str = "n-1") -> DataFrame:
+    """pert, value: 1 - rank / D of the own profile among all, from ``standing``."""
+    rank = F.col(f"less_{metric}") + (F.col(f"same_{metric}") / 2 if ties == "midrank" else F.col(f"lower_{metric}"))
+    n = F.col("n") - (1 if denominator == "n-1" else 0)
+    return stands.select("pert", (1 - numeric.ratio(rank, n, 0.0)).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,8 @@ BULK_SUM, CELL_SUM = 5e4, 1e6
 GROUP = ["side", "pert"]
 #: Cells of a group that one task of the jackknife takes.
 SHARE = 2000
+#: Cells of a share that are spelled out over all genes at one time.
+CELLS = 64
 
 
 def libraries(counts: DataFrame) -> DataFrame:
@@ -102,13 +105,19 @@ def jackknife(counts: DataFrame, libs: DataFrame, profile: DataFrame, bulk_sum:
         genes, total, bulk = (np.array(b.column(c)[0].as_py() if b.num_rows else []) for c in ("genes", "total", "bulk"))
         d1, d2 = np.zeros(len(genes)), np.zeros(len(genes))
         every = b.column("all")[0].as_py() if b.num_rows else 0.0
-        for mine, xs, lib in zip(*(a.column(c).to_pylist() for c in ("genes", "xs", "lib")), strict=True):
-            rest, kept = every - lib, total.copy()
-            if mine:
-                kept[np.searchsorted(genes, mine)] -= xs
-            d = (np.log1p(kept * bulk_sum / rest) if rest > 0 else 0.0) - bulk
-            d1 += d
-            d2 += d * d
+        lib = a.column("lib").to_numpy()
+        size = pc.fill_null(pc.list_value_length(a.column("genes")), 0).to_numpy()
+        at, xs = np.searchsorted(genes, pc.list_flatten(a.column("genes")).to_numpy()), pc.list_flatten(a.column("xs")).to_numpy()
+        end = np.r_[0, np.cumsum(size)]
+        for lo in range(0, len(lib), CELLS):
+            hi = min(len(lib), lo + CELLS)
+            mine = slice(end[lo], end[hi])
+            kept = np.repeat(total[None, :], hi - lo, axis=0)
+            kept[np.repeat(np.arange(hi - lo), size[lo:hi]), at[mine]] -= xs[mine]
+            rest = every - lib[lo:hi, None]
+            d = np.where(rest > 0, np.log1p(kept * bulk_sum / np.where(rest > 0, rest, 1.0)), 0.0) - bulk
+            d1 += d.sum(axis=0)
+            d2 += (d * d).sum(axis=0)
         n = len(genes)
         return pa.table([pa.array([one.get(c)] * n, b.schema.field(c).type) for c in GROUP] + [pa.array(genes, pa.int32()), pa.array(d1), pa.array(d2)], names)
 

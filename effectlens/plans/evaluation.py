@@ -167,13 +167,13 @@ class Evaluation:
         return agreement.Evidence(side(0), side(1), targets, own, self.config.p_adj_threshold)
 
     @cached_property
-    def distances(self) -> DataFrame:
+    def standing(self) -> DataFrame:
         c = self.config
-        return staging.written(expression.distances(self.profile, self.comparator, self.own, c.control, c.pds_scope), "distances")  # depends on the own genes too
+        return staging.written(expression.standing(self.profile, self.comparator, self.own, c.control, c.pds_scope), "standing")
 
     def pds(self, metric: str) -> DataFrame:
         c = self.config
-        return expression.discrimination(self.distances, metric, c.pds_ties, c.pds_denominator)
+        return expression.discrimination(self.standing, metric, c.pds_ties, c.pds_denominator)
 
 
 _KNOWN: dict[tuple, Evaluation] = {}

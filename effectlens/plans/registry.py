@@ -75,7 +75,7 @@ _register("agg9_jackknife", lambda s, d: of(s, d).jk.select("side", "pert", F.ro
 def _bulk_pds(metric: str, scope: str, ties: str, denominator: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         e = of(spark, sf)
-        d = expression.distances(e.profile, "bulk", e.own, 0, scope)
+        d = expression.standing(e.profile, "bulk", e.own, 0, scope)
         return expression.discrimination(d, metric, ties, denominator).select(F.col("pert").cast("string").alias("perturbation"), F.round("value", 6).alias("value"))
 
     return query
