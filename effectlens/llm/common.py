@@ -61,6 +61,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splits(table: DataFrame) -> int:
+    """How many tasks read a staged table: a number that grows with it, by which its rows can be dealt in shares of bounded size."""
+    return max(8, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.rdd.getNumPartitions())
+
+
 def words_of(text: str) -> list[str]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text."""
     if text.isascii():

@@ -259,7 +259,7 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, n
 def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
     """d, line (the later one), ed, eline (an earlier one), spare (how much more alike they are than they must be), over (there may be more than are returned)."""
     spark = distinct.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = common.splits(distinct)
     heavy = spark.sparkContext.broadcast(heavy_words(distinct, percent))  # at most 100,000 numbers
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -259,10 +259,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 HEAD = np.dtype([("key", "<u8"), ("n", "<u4"), ("place", "<u4"), ("side", "u1"), ("node", "<i8"), ("label", "<i8")])
 
 
-def sharing(classes: DataFrame, known: Broadcast, percent: int) -> DataFrame:
-    """a, b (a < b): all pairs of (node, n, head, label) of two labels that share a shingle of their heads and may reach the threshold."""
-    spark = classes.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def sharing(classes: DataFrame, known: Broadcast, percent: int, parts: int) -> DataFrame:
+    """a, b (a < b): all pairs of (node, n, head, label) of two labels that share a shingle of their heads and may reach the threshold.
+
+    A task holds the entries of a share; there are four times ``parts`` shares.
+    """
 
     def spread(part: pa.RecordBatch) -> np.ndarray:
         """HEAD rows of some classes."""
@@ -416,7 +417,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     label = common.staged(components(links), "labels")
     # whatever the forest missed, by the exact way
     labelled = classes.select("node", F.col("n"), "head").join(label, "node", "left").select("node", "n", "head", F.coalesce("label", "node").alias("label"))
-    left = common.staged(possible(sharing(labelled, known, percent), classes, percent), "left")
+    left = common.staged(possible(sharing(labelled, known, percent, common.splits(classes)), classes, percent), "left")
     needed = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "t"), "node")
     found = common.staged(confirmed_in_blocks(left, common.staged(texts_of(docs, needed), "left-texts"), k, percent), "left-links")
     if found.limit(1).count():
