@@ -37,8 +37,8 @@ from effectlens.llm import common
 MAX_N, LEAST, TOP, PERCENT, SCALE = 4, 30, 2000, 80, 2_000_000
 #: Bits of the filter (8 MB), probes of an entry, and bits of a segment in which the filter is put together.
 FILTER_BITS, PROBES, SEGMENT = 26, 4, 15
-#: Hashes that a task holds before it sends them on, hashes of a cell, and bytes of text for each range of hashes that is summed at one time (about as many hashes as a tenth).
-HELD, CELL, BUCKET_BYTES = 3_000_000, 4096, 8_000_000
+#: Hashes that a task holds before it sends them on, hashes of a cell, and bytes of text for each range of hashes that is summed at one time (about a tenth as many hashes).
+HELD, CELL, BUCKET_BYTES = 1_500_000, 4096, 4_000_000
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BETWEEN = np.isin(np.arange(256), list(b" \t" + _BREAKS))
 _PLAIN = bytes(x + 32 if 65 <= x <= 90 else 32 if _BETWEEN[x] else x for x in range(256))
@@ -111,18 +111,21 @@ def _counted(docs: DataFrame, buckets: int, hashes: Callable[[pa.RecordBatch], n
 
     def cells(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         of = h >> np.uint64(64 - buckets) if buckets else np.zeros(len(h), np.uint64)
-        cut = np.unique(np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.arange(0, len(h), CELL)])
-        rows = np.empty(len(h), _ENTRY)
-        rows["step"], rows["n"] = np.r_[h[:1], np.diff(h)], np.minimum(n, 2**32 - 1)
-        rows["step"][cut] = h[cut]
-        return pa.record_batch([pa.array(of[cut].astype(np.int64)), pa.array([common.pack(x) for x in np.split(rows, cut[1:])], pa.binary())], ["bucket", "cell"])
+        cut = np.unique(np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.arange(0, len(h), CELL), len(h)])
+
+        def cell(b: int, e: int) -> bytes:
+            rows = np.empty(e - b, _ENTRY)
+            rows["step"][:1], rows["step"][1:], rows["n"] = h[b], np.diff(h[b:e]), n[b:e]
+            return common.pack(rows)
+
+        return pa.record_batch([pa.array(of[cut[:-1]].astype(np.int64)), pa.array([cell(b, e) for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], ["bucket", "cell"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        h, n = np.empty(0, np.uint64), np.empty(0, np.uint32)
         held, waiting = [(h, n)], 0
         for batch in batches:
             for part in common.slices(batch):
-                held.append(_summed(new := hashes(part), np.ones(len(new), np.int64)))
+                held.append(_summed(new := hashes(part), np.ones(len(new), np.uint32)))
                 waiting += len(held[-1][0])
                 if waiting > HELD // 4:
                     held, waiting = [_summed(*map(np.concatenate, zip(*held, strict=True)))], 0
