@@ -62,6 +62,7 @@ def benjamini_hochberg_wide(df: DataFrame, p: str, scope: list[str], order: list
     Rows are dealt by ranges of p; a range knows its ranks from the sizes of the
     ranges before it, and its least step from the least ones of those after it.
     """
+    df = staging.written(df, "unadjusted")  # p is computed once, not again for the bounds of ranges
     usable = F.col(p).isNotNull() & ~F.isnan(p)
     by = [F.col(c) for c in scope]
     dealt = df.filter(usable).repartitionByRange(*by, F.col(p), *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from effectlens.functions import numeric
 from effectlens.operators import profiles
+from effectlens.sources import staging
 
 #: Perturbations of a block of distances.
 BLOCK = 1024
@@ -148,6 +149,7 @@ def _blocks(pred: DataFrame, real: DataFrame, block: int) -> tuple[DataFrame, Da
 
 def distances(profile: DataFrame, value: str, own: DataFrame, control: int, scope: str, block: int = BLOCK) -> DataFrame:
     """pert, other, l1, l2, cosine: each predicted effect to each measured one."""
+    staging.ship(profile.sparkSession)
     pred, real = _blocks(*_vectors(profile, value, own, control, scope), block)
     kind = dict(profile.dtypes)["pert"]
 
@@ -170,6 +172,7 @@ def standing(profile: DataFrame, value: str, own: DataFrame, control: int, scope
     pair of blocks returns counts and no distances.  Distances are compared at 9
     digits; perturbations that weren't measured have no row.
     """
+    staging.ship(profile.sparkSession)
     pred, real = _vectors(profile, value, own, control, scope)
     kinds = dict(profile.dtypes)
     width = {"int": "int", "bigint": "bigint"}.get(kinds["gene"], kinds["gene"])

@@ -53,6 +53,7 @@ def size_factors(bulk: DataFrame) -> DataFrame:
 
 def contrasts(bulk: DataFrame, factors: DataFrame, grid: DataFrame, control: int) -> DataFrame:
     """side, target, gene, a, sa, b, sb: counts and size factors of control and target samples, zeros included, for each gene of ``grid`` (side, pert, gene)."""
+    staging.ship(bulk.sparkSession)
     listed = factors.groupBy("side", "pert").agg(F.sort_array(F.collect_list(F.struct("replicate", "size_factor"))).alias("samples"))
     rows = bulk.groupBy("side", "pert", "gene").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "k"))).alias("k"))
     dense = grid.select("side", "pert", "gene").join(listed, ["side", "pert"]).join(rows, ["side", "pert", "gene"], "left")

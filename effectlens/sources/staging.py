@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def ship(spark: SparkSession) -> None:
+    """Let local Python workers import this package wherever the driver was started; on a cluster it comes with ``--py-files`` or is installed."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as parquet and read back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
