@@ -149,10 +149,7 @@ def _filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], buc
             rows = [common.unpack(cell[i].as_py(), _ENTRY) for i in range(b, e)]
             h, n = _summed(np.concatenate([np.add.accumulate(x["step"]) for x in rows]), np.concatenate([x["n"].astype(np.int64) for x in rows]))
             out.append(h[n >= least])
-        return pa.record_batch([pa.array(np.concatenate(out).view(np.int64))], ["h"])
-
-    def places(part: pa.RecordBatch) -> pa.RecordBatch:
-        at = np.unique(_places(part.column("h").to_numpy().view(np.uint64), bits)).astype(np.int64)
+        at = np.unique(_places(np.concatenate(out), bits)).astype(np.int64)
         return pa.record_batch([pa.array((at >> SEGMENT).astype(np.int32)), pa.array((at & (2**SEGMENT - 1)).astype(np.int32))], ["segment", "bit"])
 
     def packed(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -165,8 +162,8 @@ def _filter(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], buc
 
     each = lambda f: lambda batches: (f(b) for b in batches if b.num_rows)
     dealt = _counted(docs, buckets, hashes).repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(common.per_group(enough, ["bucket"]), "h bigint")
-    segments = found.mapInArrow(each(places), "segment int, bit int").groupBy("segment").agg(F.collect_set("bit").alias("on")).mapInArrow(each(packed), "segment int, bits binary")
+    found = dealt.mapInArrow(common.per_group(enough, ["bucket"]), "segment int, bit int")
+    segments = found.groupBy("segment").agg(F.collect_set("bit").alias("on")).mapInArrow(each(packed), "segment int, bits binary")
     bloom = np.zeros(2**bits // 8, np.uint8)
     for row in segments.toLocalIterator():  # 2 ** bits bits in all
         bloom[row["segment"] * 2**SEGMENT // 8 :][: 2**SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
