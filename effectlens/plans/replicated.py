@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 CONFIG = Config(de_method="deseq2")
-METRICS = [f"de_deseq2_{x}" for x in ("overlap_at_50", "sig_jaccard", "lfc_spearman", "direction_match", "pr_auc")]
+METRICS = [f"de_deseq2_{x}" for x in ("overlap", "sig_jaccard", "lfc_spearman", "direction_match", "pr_auc")]
 
 
 def _evaluation(spark: SparkSession, sf: str) -> Evaluation:

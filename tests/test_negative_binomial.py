@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from effectlens.operators import negative_binomial as nb
-from effectlens.plans import catalog
+from effectlens.plans import catalog, replicated
 from effectlens.plans.evaluation import Config, Evaluation
 
 
@@ -106,6 +106,7 @@ def test_table_of_an_experiment(experiment):
             assert r["log2_fold_change"] > 0.5
     got = {r["metric"] for r in catalog.evaluate(e, ["de_deseq2_sig_jaccard", "de_wilcoxon_lfc_spearman"]).select("metric").distinct().collect()}
     assert got == {"de_deseq2_sig_jaccard", "de_deseq2_lfc_spearman"}
+    assert {r["metric"] for r in catalog.evaluate(e, replicated.METRICS).select("metric").distinct().collect()} == set(replicated.METRICS)
 
 
 def test_what_the_model_refuses(experiment):
