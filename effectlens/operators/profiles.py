@@ -15,6 +15,8 @@ GROUP = ["side", "pert"]
 SHARE = 2000
 #: Cells of a share that are spelled out over all genes at one time.
 CELLS = 64
+#: Hexadecimal digits of a hash that cells of a group are counted by before they are ranked.
+HEAD = 3
 
 
 def libraries(counts: DataFrame) -> DataFrame:
@@ -171,9 +173,24 @@ def thinned(counts: DataFrame, keep: float, seed: int) -> DataFrame:
     return some.withColumn("x", kept.cast("double")).drop("_place").filter("x > 0")
 
 
+def halvings(libs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """split_index, side, pert, cell, half (0 or 1): for each seed disjoint halves of floor(n / 2) cells each group, dealt by hash.
+
+    A cell's rank is its rank among the cells whose hashes begin alike, and the
+    number of cells in the beginnings before: no task sorts a whole group.
+    """
+    key = ["split_index", *GROUP]
+    cells = libs.select(*GROUP, "cell", F.posexplode(F.array(*[F.lit(str(s)) for s in seeds])).alias("split_index", "seed"))
+    cells = cells.withColumn("hash", F.md5(F.concat_ws(":", "seed", F.col("cell").cast("string")))).withColumn("head", F.substring("hash", 1, HEAD))
+    tally = cells.groupBy(*key, "head").agg(F.count("*").alias("m"))
+    group = Window.partitionBy(*key)
+    before = F.sum("m").over(group.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
+    tally = tally.select(*key, "head", before.alias("before"), F.floor(F.sum("m").over(group) / 2).alias("h"))
+    within = F.row_number().over(Window.partitionBy(*key, "head").orderBy("hash", "cell"))
+    ranked = cells.join(tally, [*key, "head"]).withColumn("r", F.col("before") + within).filter((F.col("h") >= 1) & (F.col("r") <= 2 * F.col("h")))
+    return ranked.select(*key, "cell", F.when(F.col("r") <= F.col("h"), 0).otherwise(1).alias("half"))
+
+
 def halves(libs: DataFrame, seed: int) -> DataFrame:
-    """side, pert, cell, half (0 or 1): disjoint halves of floor(n / 2) cells each group, dealt by hash."""
-    w = Window.partitionBy(*GROUP).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell").cast("string"))), "cell")
-    h = F.floor(F.count("*").over(Window.partitionBy(*GROUP)) / 2)
-    ranked = libs.withColumn("r", F.row_number().over(w)).withColumn("h", h).filter((F.col("h") >= 1) & (F.col("r") <= 2 * F.col("h")))
-    return ranked.select(*GROUP, "cell", F.when(F.col("r") <= F.col("h"), 0).otherwise(1).alias("half"))
+    """side, pert, cell, half: one halving."""
+    return halvings(libs, (seed,)).drop("split_index")

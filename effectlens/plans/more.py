@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectlens.operators import baseline, expression, profiles, references, validation
-from effectlens.plans import catalog, oracle, scoring
+from effectlens.plans import anchoring, catalog, oracle, scoring
 from effectlens.plans.evaluation import of
 from effectlens.sources import staging
 from effectlens.streaming import pieces
@@ -236,11 +236,7 @@ _add(
 
 def split_values(spark: SparkSession, sf: str) -> DataFrame:
     """split_index, metric, value of half against half, for each split."""
-    out = None
-    for i in range(SPLITS):
-        part = scoring.aggregate(_half_errors(spark, sf, i)).select(F.lit(i).alias("split_index"), "metric", F.col("mean").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return anchoring.split_values(of(spark, sf), list(ERRORS), 0, SPLITS).select("split_index", "metric", "value")
 
 
 def _rf4(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,6 +249,28 @@ _add(
     "SELECT metric, round(avg(value), 6) AS replicate, round(stddev_pop(value), 6) AS replicate_sd, round(min(value), 6) AS replicate_min, round(max(value), 6) AS replicate_max FROM sp GROUP BY metric",
 )
 
+
+def _rf4_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The anchor with the error of fold changes, whose gate is that of the full table."""
+    values = anchoring.split_values(of(spark, sf), [*ERRORS, "de_wilcoxon_lfc_nmae"], 0, SPLITS)
+    return _rounded(anchoring.anchor(values), "replicate", "replicate_sd", "replicate_min", "replicate_max")
+
+
+def _split_sql(seed: int) -> str:
+    """Values of one split, those of fold changes among them."""
+    return f"""SELECT * FROM (WITH {_half_sql(seed)}, {_HALF_ERRORS}, {_tidy_sql('hv', 'ht')},
+  hf AS (SELECT half, pert AS target, gene AS feature, log2((m + 1e-9) / (cm + 1e-9)) AS lfc FROM hc),
+  raw AS (SELECT d.target, avg(abs(a.lfc - b.lfc)) / avg(abs(d.lfc)) AS raw FROM de d JOIN hf a ON a.half = 0 AND a.target = d.target AND a.feature = d.feature JOIN hf b ON b.half = 1 AND b.target = d.target AND b.feature = d.feature
+    WHERE d.side = 0 AND d.p_adj < 0.05 AND d.target <> d.feature GROUP BY d.target HAVING count(*) >= 10 AND avg(abs(d.lfc)) > 0)
+  SELECT metric, avg(value) AS value, count(*) AS n, 'split_half' AS estimator FROM ht GROUP BY metric UNION ALL SELECT 'de_wilcoxon_lfc_nmae', avg(raw), count(*), 'full_gate' FROM raw)"""
+
+
+_add(
+    "rf4_anchor_members", _rf4_members, [oracle.CORE, oracle.DE, "sp AS (" + " UNION ALL ".join(_split_sql(i) for i in range(SPLITS)) + ")"],
+    """SELECT metric, round(avg(value), 6) AS replicate, round(stddev_pop(value), 6) AS replicate_sd, round(min(value), 6) AS replicate_min, round(max(value), 6) AS replicate_max,
+  min(n) AS n_perturbations_min, max(n) AS n_perturbations_max, estimator FROM sp GROUP BY metric, estimator""",
+)
+
 # ---- pieces
 
 
