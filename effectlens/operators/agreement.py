@@ -20,6 +20,8 @@ from effectlens.sources import staging
 
 NAN = float("nan")
 KEY = ["target", "feature"]
+#: Purity down to which directed genes are counted by the reach (a fixed value).
+REACH_PURITY = 0.9
 
 
 @dataclass
@@ -205,7 +207,7 @@ def _longest(rows: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
             curve = curve.withColumn(f"{kind}_{name}", F.sum((F.col(flag) & inside).cast("int")).over(w))
     curve = curve.join(stats.select("target", "q"), "target")
     corrected = F.col("q") + (1 - threshold) * (1 - F.col("q"))
-    floors = (("ks", "s", F.lit(1 - threshold / 2)), ("ksu", "su", F.lit(1 - threshold / 2)), ("kr", "r", F.lit(0.9)), ("kru", "ru", F.lit(0.9)), ("kc", "r", corrected), ("kcu", "ru", corrected))
+    floors = (("ks", "s", F.lit(1 - threshold / 2)), ("ksu", "su", F.lit(1 - threshold / 2)), ("kr", "r", F.lit(REACH_PURITY)), ("kru", "ru", F.lit(REACH_PURITY)), ("kc", "r", corrected), ("kcu", "ru", corrected))
     purity = lambda x: F.try_divide(F.col(f"m_{x}").cast("double"), F.col(f"k_{x}").cast("double"))
     return curve.groupBy("target").agg(*[F.max(F.when(purity(x) >= floor, F.col(f"k_{x}"))).alias(name) for name, x, floor in floors])
 

@@ -46,12 +46,13 @@ def _nmae(e: Evaluation, profile: DataFrame, names: list[str]) -> DataFrame:
     return g.select("split_index", F.explode(F.array(*[F.lit(n) for n in names])).alias("metric"), "value", "n_perturbations")
 
 
-def split_values(e: Evaluation, names: list[str] | str, base_seed: int = 0, n_splits: int = SPLITS) -> DataFrame:
+def split_values(e: Evaluation, names: list[str] | str, base_seed: int = 0, n_splits: int = SPLITS, whole: bool = True) -> DataFrame:
     """split_index, seed, metric, value, n_perturbations: aggregates of each split, for every wanted metric.
 
     Version 1 is refused, as its halves would be typed on their own.  A metric
     without a finite value in some split raises: an anchor that lacks it would
-    change what a score is the average of.
+    change what a score is the average of.  Where it needn't be ``whole``,
+    such values stay as they are, and splits that gate no target have no row.
     """
     c = e.config
     if not c.no_drop:
@@ -71,9 +72,10 @@ def split_values(e: Evaluation, names: list[str] | str, base_seed: int = 0, n_sp
         out = part if out is None else out.unionByName(part)
     seed_of = F.element_at(F.array(*[F.lit(s) for s in dealt]), F.col("split_index") + 1)
     found = staging.written(out.select("split_index", seed_of.alias("seed"), "metric", "value", F.col("n_perturbations").cast("long").alias("n_perturbations")), "splits")
-    have = {(r["split_index"], r["metric"]) for r in found.collect() if r["value"] is not None and math.isfinite(r["value"])}  # a catalog's worth a split
-    if lacking := [(i, n) for i in range(n_splits) for n in (catalog.named(w, c.de_method) for w in wanted) if (i, n) not in have]:
-        raise ValueError(f"no usable value of these metrics, by split: {lacking}")
+    if whole:
+        have = {(r["split_index"], r["metric"]) for r in found.collect() if r["value"] is not None and math.isfinite(r["value"])}  # a catalog's worth a split
+        if lacking := [(i, n) for i in range(n_splits) for n in (catalog.named(w, c.de_method) for w in wanted) if (i, n) not in have]:
+            raise ValueError(f"no usable value of these metrics, by split: {lacking}")
     return found
 
 

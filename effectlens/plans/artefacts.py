@@ -7,12 +7,12 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectlens.plans import identity, reference
+from effectlens.plans import anchoring, competition, identity, reference
 from effectlens.plans.evaluation import Config, Evaluation
 from effectlens.sources import store
 
 #: Fields in which a submission must agree with the bundle that it is scored against.
-PEERS = ("comparator", "real", "genes", "perturbations", "control", "mass_target", "effective_types", "semantics", "digest")
+PEERS = ("comparator", "real", "genes", "perturbations", "control", "mass_target", "effective_types", "semantics", "digest", "rule")
 
 
 def record(e: Evaluation, names: list[str] | str) -> dict:
@@ -21,7 +21,7 @@ def record(e: Evaluation, names: list[str] | str) -> dict:
     return {
         "comparator": e.comparator, "real": identity.fingerprint(real, ["pert", "cell", "gene", "x"]), "genes": identity.fingerprint(e.genes), "control": e.config.control,
         "perturbations": identity.fingerprint(real.select(F.col("pert").cast("string").alias("pert")).distinct()), "mass_target": e.mass_target, "effective_types": list(e.config.input_types),
-        "semantics": [identity.SEMANTICS, reference.SEMANTICS], "digest": identity.digest(identity.semantics(e.config, names)),
+        "semantics": [identity.SEMANTICS, reference.SEMANTICS], "digest": identity.digest(identity.semantics(e.config, names)), "rule": competition.conforming_digest(e.config, names),
     }
 
 
@@ -57,6 +57,16 @@ def read_bundle(spark: SparkSession, path: str, verify: bool = True) -> tuple[re
     return reference.Reference(tables.pop("genes"), tables.pop("own"), config, what["reference"], **tables), what
 
 
+def replicate_anchor(e: Evaluation, names: list[str] | str, path: str, base_seed: int = 0, n_splits: int = anchoring.SPLITS) -> DataFrame:
+    """Make the anchor of a measured side and publish it with its record, and the rule's digest where it is a competition's."""
+    splits = anchoring.split_values(e, names, base_seed, n_splits)
+    found = anchoring.anchor(splits)
+    dealt = anchoring.seeds(base_seed, n_splits)
+    what = record(e, names) | {"seeds": list(dealt), "rule": competition.conforming_digest(e.config, names, dealt)}
+    write_anchor(found, splits, path, what)
+    return found
+
+
 def write_anchor(anchor: DataFrame, splits: DataFrame, path: str, what: dict) -> None:
     """Publish an anchor with the values of its splits."""
 

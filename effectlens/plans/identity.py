@@ -16,8 +16,8 @@ from effectlens.plans import catalog, scoring
 from effectlens.plans.evaluation import Config, Evaluation
 from effectlens.plans.supplied import Supplied
 
-#: Versions of what records mean; a change of meaning moves a number.
-SEMANTICS, RULE = 1, 1
+#: The version of what records mean; a change of meaning moves the number.
+SEMANTICS = 1
 ANCHOR = ("metric", "replicate", "replicate_sd", "replicate_min", "replicate_max")
 
 
@@ -35,7 +35,7 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
     return digest({"columns": [(c, kinds[c]) for c in columns], "rows": n, "sums": [str(a), str(b)]})
 
 
-def _comparator(config: Config) -> str:
+def comparator(config: Config) -> str:
     return "bulk" if config.group_sums and set(config.input_types) == {"counts"} else "lognorm"
 
 
@@ -48,7 +48,7 @@ def semantics(config: Config, names: list[str] | str) -> dict:
         else:
             m = catalog.CATALOG[n]
             metrics[n] = {"family": m.family, "column": m.column, "worst": m.worst if config.no_drop else None, "policy": asdict(m.policy)}
-    return {"semantics": SEMANTICS, "config": asdict(config), "comparator": _comparator(config), "metrics": metrics}
+    return {"semantics": SEMANTICS, "config": asdict(config), "comparator": comparator(config), "metrics": metrics}
 
 
 def environment(spark: SparkSession) -> dict:
@@ -92,10 +92,5 @@ def require_anchor(anchor: DataFrame, names: list[str]) -> None:
         raise ValueError(f"no finite replicate for {bad}")
 
 
-def competition_rule(config: Config, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> dict:
-    """What a competition's score depends on: its members with their rules, settings, and the splits of the anchor."""
-    return {"rule": RULE, "members": {n: asdict(catalog.CATALOG[n].policy) for n in catalog.DECISIVE} | {n: asdict(catalog.DERIVED_POLICIES[n]) for n in catalog.DERIVED}, "settings": semantics(config, "vcc2026"), "splits": list(seeds)}
-
-
 def scales_digest() -> str:
     return digest({n: {m: [base, asdict(p)] for m, (base, p) in s.entries.items()} for n, s in scoring.SCALES.items()})

@@ -236,7 +236,7 @@ _add(
 
 def split_values(spark: SparkSession, sf: str) -> DataFrame:
     """split_index, metric, value of half against half, for each split."""
-    return anchoring.split_values(of(spark, sf), list(ERRORS), 0, SPLITS).select("split_index", "metric", "value")
+    return anchoring.split_values(of(spark, sf), list(ERRORS), 0, SPLITS, whole=False).select("split_index", "metric", "value")
 
 
 def _rf4(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +252,7 @@ _add(
 
 def _rf4_members(spark: SparkSession, sf: str) -> DataFrame:
     """The anchor with the error of fold changes, whose gate is that of the full table."""
-    values = anchoring.split_values(of(spark, sf), [*ERRORS, "de_wilcoxon_lfc_nmae"], 0, SPLITS)
+    values = anchoring.split_values(of(spark, sf), [*ERRORS, "de_wilcoxon_lfc_nmae"], 0, SPLITS, whole=False)
     return _rounded(anchoring.anchor(values), "replicate", "replicate_sd", "replicate_min", "replicate_max")
 
 
@@ -262,7 +262,7 @@ def _split_sql(seed: int) -> str:
   hf AS (SELECT half, pert AS target, gene AS feature, log2((m + 1e-9) / (cm + 1e-9)) AS lfc FROM hc),
   raw AS (SELECT d.target, avg(abs(a.lfc - b.lfc)) / avg(abs(d.lfc)) AS raw FROM de d JOIN hf a ON a.half = 0 AND a.target = d.target AND a.feature = d.feature JOIN hf b ON b.half = 1 AND b.target = d.target AND b.feature = d.feature
     WHERE d.side = 0 AND d.p_adj < 0.05 AND d.target <> d.feature GROUP BY d.target HAVING count(*) >= 10 AND avg(abs(d.lfc)) > 0)
-  SELECT metric, avg(value) AS value, count(*) AS n, 'split_half' AS estimator FROM ht GROUP BY metric UNION ALL SELECT 'de_wilcoxon_lfc_nmae', avg(raw), count(*), 'full_gate' FROM raw)"""
+  SELECT metric, avg(value) AS value, count(*) AS n, 'split_half' AS estimator FROM ht GROUP BY metric UNION ALL SELECT 'de_wilcoxon_lfc_nmae', avg(raw), count(*), 'full_gate' FROM raw HAVING count(*) > 0)"""
 
 
 _add(

@@ -137,7 +137,7 @@ def test_command_line_runs_scores_and_builds(spark, tmp_path):
 
 
 def test_records_tell_differences(spark):
-    from effectlens.plans import identity
+    from effectlens.plans import competition, identity
     from effectlens.plans.evaluation import Config
 
     a = identity.digest(identity.semantics(Config(), ["expr_mae"]))
@@ -154,7 +154,7 @@ def test_records_tell_differences(spark):
     for given, names in ((fine, ["n"]), (fine.withColumn("replicate", F.lit(float("nan"))), ["m"]), (fine.drop("replicate"), ["m"])):
         with pytest.raises(ValueError):
             identity.require_anchor(given, names)
-    assert identity.digest(identity.competition_rule(Config())) != identity.digest(identity.competition_rule(Config(), (1, 2)))
+    assert competition.rule_digest() != competition.rule_digest(1) != competition.rule_digest(0, 2)
 
 
 def test_scores_of_unusable_values(spark):
