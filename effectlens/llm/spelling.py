@@ -71,7 +71,9 @@ def _steps(part: pa.RecordBatch) -> pa.RecordBatch | None:
     """id, depth, node, next of sorted words: the trie's nodes on each word's path where another word can leave it.
 
     Below the longest prefix that a word shares with its neighbours it is
-    alone; the first and the last of a batch don't know theirs and keep all.
+    alone; the first and the last of a batch don't know theirs and keep all, and
+    so do words whose ids don't follow each other: there one file ends and
+    another begins, in no order.
     """
     words = part.column("word").to_pylist()
     flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -90,7 +92,8 @@ def _steps(part: pa.RecordBatch) -> pa.RecordBatch | None:
     pair = np.repeat(np.arange(len(shared)), shared)
     at = np.arange(len(pair)) - (np.cumsum(shared) - shared)[pair]
     lcp = np.bincount(pair[node[begin[1:][pair] + at] == node[begin[:-1][pair] + at]], minlength=len(shared)) - 1
-    deep = np.maximum(np.r_[size[:1], lcp], np.r_[lcp, size[-1:]])
+    apart = np.diff(part.column("id").to_numpy()) != 1
+    deep = np.maximum(np.r_[size[:1], np.where(apart, size[1:], lcp)], np.r_[np.where(apart, size[:-1], lcp), size[-1:]])
     keep = depth <= deep[of]
     of, depth = of[keep], depth[keep]
     letter = np.where(depth < size[of], np.r_[flat, np.uint64(0)][np.minimum(first[of] + depth, len(flat))], np.uint64(0))

@@ -71,6 +71,22 @@ def test_variants_match_brute_force(spark, seed, letters, least):
     assert len(got) == len(set(got)) and set(got) == brute_variants(rows, least, 2, 5)
 
 
+@pytest.mark.parametrize(("seed", "letters"), [(1, "ab"), (3, "abcde")])
+def test_variants_where_a_task_reads_many_files(spark, seed, letters):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice(letters) for _ in range(r.randint(4, 8))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(60)), "en") for i in range(200)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = {tuple(x) for x in spelling.variants(frame(spark, rows)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == brute_variants(rows, 5, 3, 97)
+
+
 def test_variants_of_nothing_and_of_a_chain(spark):
     assert spelling.variants(frame(spark, [])).count() == 0
     chain = [("abcdefg", 3), ("abcdefx", 6), ("abcdeyx", 13), ("abcdzyx", 27), ("abctzyx", 60), ("absxtzyx", 2)]
