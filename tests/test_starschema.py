@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import pytest
 
+from effectlens.operators import profiles
+from effectlens.plans import evaluation
 from effectlens.sources import starschema
 
 
@@ -56,3 +58,12 @@ def test_the_effect_fills_no_table_of_one_task(spark, odd):
     """Cells are spelled out over all genes where they lie: nothing is aggregated or shuffled after that."""
     plan = starschema.counts(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "HashAggregate" not in plan
+
+
+def test_values_come_with_their_cells_totals(spark):
+    """Scaling joins no totals to the counts, and gives what the join gives."""
+    e = evaluation.of(spark, "/root/testdata/sf0.001")
+    assert "Join" not in e.values._jdf.queryExecution().executedPlan().toString()
+    key = ["side", "pert", "cell", "gene", "v"]
+    got, want = ({tuple(r) for r in df.select(*key).collect()} for df in (e.values, profiles.normalized(e.counts, e.libs)))
+    assert got and got == want
