@@ -141,27 +141,32 @@ def hashed_words(column: pa.Array, lower: bool = False, both: bool = True, space
     if lower:
         raw = _LOWER[raw]
     inside = ~space[raw]
-    before = np.zeros(len(raw), bool)
-    before[1:] = inside[:-1]
-    before[offsets[:-1][offsets[:-1] < len(raw)]] = False  # no word goes on in the next text
-    start = np.flatnonzero(inside & ~before)
-    letters = raw[inside]
-    upto = np.cumsum(inside)
-    begin = upto[start] - 1 if len(start) else start
-    size = np.diff(np.r_[begin, len(letters)])
-    place = np.arange(len(letters)) - np.repeat(begin, size)
-    value = letters.astype(np.uint64) + np.uint64(1)
-    longest = int(size.max(initial=0))
+    edge = np.zeros(len(raw) + 1, bool)  # a word goes on after a byte of its own, but not in the next text
+    edge[1:] = inside
+    edge[offsets[:-1]] = False
+    start = np.flatnonzero(inside & ~edge[:-1])
+    edge = np.ones(len(raw) + 1, bool)
+    edge[:-1] = ~inside
+    edge[offsets[1:]] = True
+    upto = np.flatnonzero(edge[1:] & inside) + 1
+    size = upto - start
+    place = np.arange(len(raw), dtype=np.int32 if len(raw) < 2**31 else np.int64)
+    if len(start):
+        place -= np.repeat(np.r_[place[:1], place[start]], np.diff(np.r_[0, start, len(raw)]))
+    longest = int(place.max(initial=-1)) + 1
+    value = raw.astype(np.uint64) + np.uint64(1)
     out = []
     with np.errstate(over="ignore"):
-        for seed in (0x1234567, 0x89ABCDEF)[: 1 + both]:
-            sums = np.zeros(len(letters) + 1, np.uint64)
+        for seed in (0x1234567, 0x89ABCDEF)[: 1 + both]:  # what stands between words is in no difference of sums
+            sums = np.zeros(len(raw) + 1, np.uint64)
             np.cumsum(value * _factors(longest, seed)[place], out=sums[1:])
-            out.append(mix(sums[begin + size] - sums[begin] + size.astype(np.uint64) * np.uint64(seed)))
-    text = np.searchsorted(offsets, start, side="right") - 1
+            out.append(mix(sums[upto] - sums[start] + size.astype(np.uint64) * np.uint64(seed)))
+    ends = np.searchsorted(start, offsets[1:])
+    held = np.diff(np.r_[0, ends])
+    text = np.repeat(np.arange(n), held)
     lines = np.flatnonzero(np.isin(raw, np.frombuffer(breaks, np.uint8)) if len(breaks) > 1 else raw == breaks[0])
-    line = np.searchsorted(lines, start) - np.searchsorted(lines, offsets[:-1])[text] if n else start
-    return Words(out[0], out[-1], text, line, np.searchsorted(start, offsets[1:]))
+    line = np.cumsum(np.bincount(np.searchsorted(start, lines), minlength=len(start) + 1))[: len(start)] - np.repeat(np.searchsorted(lines, offsets[:-1]), held)
+    return Words(out[0], out[-1], text, line, ends)
 
 
 #: An odd base; its powers and inverse powers turn running sums into window hashes.

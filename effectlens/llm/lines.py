@@ -52,6 +52,8 @@ _LOW40 = np.uint64((1 << 40) - 1)
 #: A line of words: identity, document, number, words, bitmap.
 LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("d", "<i8"), ("line", "<i4"), ("size", "<i4"), ("bits", "<u8", (2,))])
 PLACE = np.dtype([("d", "<i8"), ("line", "<i4")])
+#: A pair of a later and an earlier line, and how much more alike they may be than they must be; -1 for no pair, only ``over``.
+PAIR = np.dtype([("d", "<i8"), ("line", "<i4"), ("spare", "<i4"), ("ed", "<i8"), ("eline", "<i4"), ("over", "<i4")])
 #: One word of a line's prefix.
 ENTRY = np.dtype([("word", "<u8"), ("d", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8", (2,)), ("part", "<u8")])
 
@@ -256,8 +258,28 @@ def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return ok & (spare >= 0), spare
 
 
-def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
-    """d, line (the later one), ed, eline (an earlier one), spare (how much more alike they are than they must be), over (there may be more than are returned)."""
+def _candidates(pairs: np.ndarray) -> pa.RecordBatch:
+    """d, line, all, over of PAIR rows: of each later line its distinct candidates (far, ed, eline), the most alike first."""
+    p = pairs[np.lexsort((pairs["eline"], pairs["ed"], -pairs["spare"], pairs["line"], pairs["d"]))]
+    new = np.ones(len(p), bool)
+    new[1:] = (p["d"][1:] != p["d"][:-1]) | (p["line"][1:] != p["line"][:-1])
+    first = np.flatnonzero(new)
+    over = np.logical_or.reduceat(p["over"] > 0, first) if len(p) else new
+    again = np.zeros(len(p), bool)
+    again[1:] = ~new[1:] & (p["spare"][1:] == p["spare"][:-1]) & (p["ed"][1:] == p["ed"][:-1]) & (p["eline"][1:] == p["eline"][:-1])
+    kept = ~again & (p["spare"] >= 0)
+    cuts = np.r_[0, np.cumsum(kept)][np.r_[first, len(p)]]
+    far, ed, eline = (pa.array(np.ascontiguousarray(x[kept])) for x in (-p["spare"], p["ed"], p["eline"]))
+    rows = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.StructArray.from_arrays([far, ed, eline], ["far", "ed", "eline"]))
+    d, line = (pa.array(np.ascontiguousarray(p[c][first])) for c in ("d", "line"))
+    return pa.record_batch([d, line, rows, pa.array(over)], ["d", "line", "all", "over"])
+
+
+def candidates(distinct: DataFrame, percent: int) -> DataFrame:
+    """d, line (the later one), all (far, ed, eline of earlier ones, the most alike first), over (there may be more than are returned).
+
+    Pairs leave the tasks that search them as cells, dealt by the later line.
+    """
     spark = distinct.sparkSession
     parts = common.splits(distinct)
     heavy = spark.sparkContext.broadcast(heavy_words(distinct, percent))  # at most 100,000 numbers
@@ -274,19 +296,21 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
                 if len(e):
                     yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([common.pack(x) for x in np.split(e, cuts)], pa.binary())], ["share", "entries"])
 
-    def search(e: np.ndarray) -> pa.RecordBatch:
+    def search(e: np.ndarray) -> np.ndarray:
         # words of one line only are no longer needed
         order = np.argsort(e["word"], kind="stable")
         word = e["word"][order]
         again = np.zeros(len(e), bool)
         again[1:] = word[1:] == word[:-1]
         e = e[order[again | np.r_[again[1:], False]]]
-        e = e[np.lexsort((e["line"], e["d"], e["size"], e["part"], e["word"]))]
         n = len(e)
-        d, line, size, pos = (np.ascontiguousarray(e[c]) for c in ("d", "line", "size", "pos"))
-        size, pos, bits = size.astype(np.int64), pos.astype(np.int64), np.ascontiguousarray(e["bits"])
         when = np.empty(n, np.int64)
-        when[np.lexsort((line, d))] = np.arange(n)
+        when[np.lexsort((e["line"], e["d"]))] = np.arange(n)
+        order = np.lexsort(((e["size"].astype(np.int64) << 32) | when, *([e["part"]] if e["part"].any() else []), e["word"]))
+        e, when = e[order], when[order]
+        d, line, size, pos = (np.ascontiguousarray(e[c]) for c in ("d", "line", "size", "pos"))
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        low, high = (np.ascontiguousarray(e["bits"][:, k]) for k in (0, 1))
         new = np.ones(n, bool)
         new[1:] = (e["word"][1:] != e["word"][:-1]) | (e["part"][1:] != e["part"][:-1])
         group = np.cumsum(new) << 32
@@ -307,7 +331,7 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
                 shared = -(-total * percent // (100 + percent))  # overlap that the threshold asks for
                 ok = np.flatnonzero(np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= shared)
                 i, j = i[ok], j[ok]
-                spare = total[ok] - 2 * shared[ok] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1).astype(np.int64)
+                spare = total[ok] - 2 * shared[ok] - np.bitwise_count(low[i] ^ low[j]) - np.bitwise_count(high[i] ^ high[j])
                 ok = spare >= 0
                 taken[i[ok]] += 1
                 found.append(np.stack([i[ok], j[ok], spare[ok]]))
@@ -315,18 +339,37 @@ def candidate_pairs(distinct: DataFrame, percent: int) -> DataFrame:
                 live = live[far[live] >= step]
         i, j, spare = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
         over = taken >= QUOTA
-        cols = [d[i], line[i], d[j], line[j], spare.astype(np.int32), over[i]]
         rest = np.flatnonzero(e["part"] > 0)  # a split word may have partners in other parts
-        cols = [np.concatenate([x, y]) for x, y in zip(cols, (d[rest], line[rest], d[rest], line[rest], np.full(len(rest), -1, np.int32), np.ones(len(rest), bool)), strict=True)]
-        return pa.record_batch([pa.array(c) for c in cols], ["d", "line", "ed", "eline", "spare", "over"])
+        # one row a pair, however many words it shares here: its lines stand in order of time, copies of a place next to each other
+        at = np.empty(n, np.int64)
+        at[when] = np.arange(n)
+        of = np.cumsum(np.r_[True, (d[at][1:] != d[at][:-1]) | (line[at][1:] != line[at][:-1])])[when] if n else when
+        _, one, back = np.unique(of[i] * (n + 1) + of[j], return_index=True, return_inverse=True)
+        more = np.zeros(len(one), bool)
+        more[back.ravel()[over[i]]] = True
+        out = np.zeros(len(one) + len(rest), PAIR)
+        for c, x, y in (("d", d[i[one]], d[rest]), ("line", line[i[one]], line[rest]), ("ed", d[j[one]], d[rest]), ("eline", line[j[one]], line[rest]), ("spare", spare[one], -1), ("over", more, 1)):
+            out[c][: len(one)], out[c][len(one) :] = x, y
+        return out
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [common.unpack(x, ENTRY) for batch in batches for x in batch.column("entries").to_pylist()]
+        pairs = search(np.concatenate(cells)) if cells else np.empty(0, PAIR)
+        share = ((common.mix(pairs["d"].view(np.uint64) ^ common.mix(pairs["line"].astype(np.uint64)))) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        pairs, share = pairs[order], share[order]
+        cuts = np.flatnonzero(np.diff(share)) + 1
+        if len(pairs):
+            yield pa.record_batch([pa.array(share[np.r_[0, cuts]], pa.int32()), pa.array([common.pack(x) for x in np.split(pairs, cuts)], pa.binary())], ["share", "pairs"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = [common.unpack(x, PAIR) for batch in batches for x in batch.column("pairs").to_pylist()]
         if cells:
-            yield search(np.concatenate(cells))
+            yield _candidates(np.concatenate(cells))
 
     dealt = distinct.filter(F.length("lines") > 0).select("lines", "words").mapInArrow(deal, "share int, entries binary")
-    return dealt.repartition(4 * parts, "share").mapInArrow(walk, "d bigint, line int, ed bigint, eline int, spare int, over boolean")
+    pairs = dealt.repartition(4 * parts, "share").mapInArrow(walk, "share int, pairs binary")
+    return pairs.repartition(parts, "share").mapInArrow(gather, "d bigint, line int, all array<struct<far:int,ed:bigint,eline:int>>, over boolean")
 
 
 def _marks(asked: DataFrame, *columns: str) -> np.ndarray:
@@ -341,14 +384,13 @@ def _marks(asked: DataFrame, *columns: str) -> np.ndarray:
 def _only_marked(rows: DataFrame, marks: np.ndarray, *columns: str) -> DataFrame:
     """The rows whose bit is set: all that were asked for, and some more."""
     held = rows.sparkSession.sparkContext.broadcast(marks)  # SLOTS / 8 bytes
-    names = rows.columns
 
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column("_slot").to_numpy(zero_copy_only=False)
-            yield batch.select(names).filter(pa.array((held.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool)))
+    @F.pandas_udf("boolean")
+    def marked(s: pd.Series) -> pd.Series:  # texts don't leave the JVM for it
+        at = s.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
-    return rows.withColumn("_slot", F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")).mapInArrow(keep, rows.schema)
+    return rows.filter(marked(F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")))
 
 
 def _slots(rows: np.ndarray, by: str) -> np.ndarray:
@@ -504,8 +546,7 @@ def removed_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.record_batch([pa.array(np.ascontiguousarray(gone[c])) for c in ("d", "line")], ["d", "line"])
 
     copies = distinct.filter(F.length("gone") > 0).select("gone").mapInArrow(places, "d bigint, line int")
-    some = candidate_pairs(distinct, percent).groupBy("d", "line").agg(F.array_sort(F.collect_set(F.struct((-F.col("spare")).alias("far"), "ed", "eline"))).alias("all"), F.max("over").alias("over"))
-    some = common.staged(some.select("d", "line", F.filter("all", lambda x: x.far <= 0).alias("all"), "over"), "candidates")  # QUOTA a word at most
+    some = common.staged(candidates(distinct, percent), "candidates")  # QUOTA a word at most
 
     def proven(lines: DataFrame, which: Column, name: str) -> DataFrame:
         pairs = lines.select("d", "line", F.explode(which).alias("x")).select("d", "line", "x.ed", "x.eline")
